@@ -58,3 +58,29 @@ def exclusive_prefix(df: DataFrame, group: list[str], order: str, value: str, ou
     sums = sums.select(*group, "_p1", (F.col("_o1") + F.col("_o2")).alias("_o"))
     df = df.withColumn("_o0", F.coalesce(F.sum(value).over(low), F.lit(0))).join(sums, [*group, "_p1"])
     return df.withColumn(out, F.col("_o0") + F.col("_o")).drop("_p1", "_o0", "_o")
+
+
+def map_texts(docs: DataFrame, keep: list[str], make, schema: str) -> DataFrame:
+    """``keep`` columns and those that ``make(texts)`` gives, computed in Arrow batches.
+
+    ``make`` gets a pyarrow string array (nulls as they are) and returns arrays for the columns of ``schema``.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    made = StructType.fromDDL(schema)
+    full = StructType([docs.schema[c] for c in keep] + made.fields)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(full)
+        for batch in batches:
+            # large texts go through in pieces of bounded size
+            step = max(1, int(batch.num_rows * min(1.0, 16_000_000 / max(1, batch.column(len(keep)).nbytes))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                columns = [part.column(i) for i in range(len(keep))] + list(make(part.column(len(keep))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, target)], schema=target)
+
+    return docs.select(*keep, "text").mapInArrow(run, full)
