@@ -26,22 +26,36 @@ KINDS = ("assign", "access", "hex", "token", "key", "openssh")
 ASSIGN = re.compile(r"(?ia)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+#: JSON objects start with a brace and a quote or white space, hence these first letters.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}(?:[\r\n]+(?=[A-Za-z0-9+/_=-])|\\n)?)+={0,2}")
 HEXED = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: The last line of a wrapped encoding may be short.
 LAST_LINE = re.compile(r"(?:[\r\n]+|\\n)[A-Za-z0-9+/_-]{1,15}={0,2}(?![A-Za-z0-9+/_=-])")
-#: Shorter encodings hold no private key.
+#: Shorter encodings hold no private key, and encoders break lines no sooner than after 40 letters.
 LEAST_ENCODED = 64
 Span = tuple[int, int, str]
 
+#: Cheap necessary conditions, so that most texts never meet the slow patterns: a keyword, or a run long enough.
+KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
+RUNS = bytes(b if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 0x20 for b in range(256))
+
+
+def longest_run(text: str) -> int:
+    """The longest run of letters, digits and ``+/_-`` (each ASCII)."""
+    return max(map(len, text.encode().translate(RUNS).split()), default=0)
+
 
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each base kind, those that are too short dropped."""
-    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found, lowered = [], text.lower()
+    if any(k in lowered for k in KEYWORDS):
+        found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    if longest_run(text) >= 24:
+        found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    return found
 
 
 def fields(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
@@ -125,8 +139,10 @@ def is_token_header(part: str) -> bool:
 def confirmed_spans(text: str) -> list[Span]:
     """What decodes and parses as a key or a signed token."""
     found = []
-    if "." in text:
+    if "ey" in text or "ew" in text:
         found += [(m.start(), m.end(), "token") for m in SIGNED.finditer(text) if is_token_header(m[1])]
+    if longest_run(text) < 40:
+        return found
     for m in ENCODED.finditer(text):
         if m.end() - m.start() < LEAST_ENCODED:
             continue
