@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontamination, license_scan, mixing, quality_rules, secret_scan, simhash
+from timeloom.llm import decontamination, license_scan, mixing, quality_rules, secret_scan, simhash, subword_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(_documents(spark, sf_dir))
 
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontamination, op4_license_scan, op5_simhash, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mix, op2_decontamination, op4_license_scan, op5_simhash, op6_subword_quality, op8_secret_scan, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
