@@ -84,3 +84,14 @@ def map_texts(docs: DataFrame, keep: list[str], make, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
     return docs.select(*keep, "text").mapInArrow(run, full)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``key``: the same ones each time, from all parts of the table.
+
+    The count lets each task drop what can't be among the chosen, so that little reaches the final choice.
+    """
+    h, total, wide = F.xxhash64(key, F.lit(seed)), df.count(), 1 << 40
+    if total > 8 * n:
+        df = df.filter(F.pmod(h, F.lit(wide)) < int(wide * 4 * n / total))
+    return df.orderBy(F.pmod(h, F.lit(wide)), key).limit(n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontamination, license_scan, mixing, quality_rules, secret_scan, simhash, subword_quality
+from timeloom.llm import decontamination, language_id, license_scan, mixing, quality_rules, secret_scan, simhash, subword_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.pairs(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontamination, op4_license_scan, op5_simhash, op6_subword_quality, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op8_secret_scan, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

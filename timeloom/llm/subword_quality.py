@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import map_texts
+from timeloom.llm._shared import bounded_sample, map_texts
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -154,7 +154,7 @@ def held(modulus: int, remainder: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int) -> list[tuple[str | None, int]]:
     """At most ``most_rows`` labelled rows of at most ``most_chars`` characters, chosen by a hash of the id."""
     known = labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
-    known = known.filter(~held(3, 1)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_rows)
+    known = bounded_sample(known.filter(~held(3, 1)), "doc_id", most_rows, 11)
     rows = docs.filter(F.length("text") <= most_chars).select("doc_id", "text").join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     return [(r.text, r.label) for r in rows.limit(most_rows).collect()]
 
