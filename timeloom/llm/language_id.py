@@ -197,7 +197,14 @@ def identify(docs: DataFrame, keep: list[str] | None = None, **options) -> DataF
 
     keep = keep or ["doc_id"]
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    marked = docs.select(*keep, held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), "text")
+    marked = docs.select(*[c for c in keep if c != "text"], held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), "text")
     made = map_texts(marked, [*keep, "held_out", "_letters"], make, "lang_pred string, score double")
     und = ~F.col("_letters") | (F.col("lang_pred") == "und")
     return made.select(*keep, "held_out", F.when(und, "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(und, 0.0).otherwise(F.col("score")).alias("score"))
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
+    """The documents, with all their columns, that have letters and a language with at least ``min_score``."""
+    packed = docs.select("doc_id", "lang", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    made = identify(packed, ["_row"], **options)
+    return made.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

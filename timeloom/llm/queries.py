@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontamination, language_id, license_scan, mixing, quality_rules, secret_scan, simhash, subword_quality
+from timeloom.llm import decontamination, language_id, license_scan, mixing, quality_rules, secret_scan, simhash, subword_quality, suffix_tree_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op8_secret_scan, op9_quality_rules, op10_suffix_tree_lm)}
 
 
 def oracle_sql() -> dict[str, str]:

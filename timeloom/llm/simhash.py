@@ -16,7 +16,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.llm._shared import cut, map_texts
@@ -136,3 +136,18 @@ def classes(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
 def components_of(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each document."""
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
+    """One document, with all its columns, of each component: that with the least doc_id (null last, then any one text)."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_key")
+    made = cut(fingerprints(docs.select("doc_id", key, "text"), "doc_id", "_key", shingle=shingle), "simhash")
+    roots = components(links(made.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
+    # one row a fingerprint first, so that a large group is no single task's work
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_key"))).alias("first")
+    by_fp = made.groupBy("fp").agg(first).join(roots, "fp", "left")
+    stay = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("_id"), "first._key")
+    met = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_key", key).join(stay, ["_id", "_key"])
+    # repeated rows share both keys; the join has already brought them together
+    turn = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
+    return met.withColumn("_turn", turn).filter("_turn = 1").select(*[F.col(c) for c in docs.columns])
