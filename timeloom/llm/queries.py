@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontamination, language_id, license_scan, mixing, quality_rules, secret_scan, simhash, subword_quality, suffix_tree_lm
+from timeloom.llm import decontamination, language_id, license_scan, mixing, quality_rules, secret_scan, simhash, substring_dedup, subword_quality, suffix_tree_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(_documents(spark, sf_dir))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op8_secret_scan, op9_quality_rules, op10_suffix_tree_lm)}
+    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op7_substring_dedup, op8_secret_scan, op9_quality_rules, op10_suffix_tree_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
