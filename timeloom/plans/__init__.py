@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.plans import timeline
+from timeloom.plans import signals, timeline
 
-MODULES = (timeline,)
+MODULES = (timeline, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
