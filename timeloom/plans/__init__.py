@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.plans import signals, timeline
+from timeloom.plans import capture, signals, timeline
 
-MODULES = (timeline, signals)
+MODULES = (timeline, signals, capture)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
