@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.plans import capture, signals, timeline
+from timeloom.plans import capture, library, signals, timeline
 
-MODULES = (timeline, signals, capture)
+MODULES = (timeline, signals, capture, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
