@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from timeloom.operators.helpers import asof_join, interval_join, islands
 
 TRACK = ["project_id", "track_no"]
-END = F.expr("start_ms + dur_ms")
+
+
+def _end() -> Column:
+    return F.expr("start_ms + dur_ms")
 
 
 def _before(by: list[str], *order: str) -> Window:
@@ -31,18 +34,18 @@ def normalised_ranges(df: DataFrame, start: str, end: str) -> DataFrame:
 def track_overlaps(clips: DataFrame) -> DataFrame:
     """``project_id, track_no, n_overlaps``: clips that start before an earlier clip of their track ends."""
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
-    bad = F.col("start_ms") < F.lag(END).over(w)
+    bad = F.col("start_ms") < F.lag(_end()).over(w)
     return clips.select(*TRACK, F.coalesce(bad, F.lit(False)).alias("bad")).groupBy(*TRACK).agg(F.count_if("bad").alias("n_overlaps"))
 
 
 def durations(clips: DataFrame) -> DataFrame:
-    return clips.groupBy("project_id").agg(F.max(END).alias("duration_ms"))
+    return clips.groupBy("project_id").agg(F.max(_end()).alias("duration_ms"))
 
 
 def resolve_at(points: DataFrame, clips: DataFrame, width: int = 16384) -> DataFrame:
     """Every clip under each point (``point_id, project_id, t_ms``): ``point_id, track_no, clip_id, source_ms``."""
     a = points.select("project_id", "point_id", F.col("t_ms").alias("a_start"), (F.col("t_ms") + 1).alias("a_end"))
-    b = clips.select("project_id", "track_no", "clip_id", "in_ms", F.col("start_ms").alias("b_start"), END.alias("b_end"))
+    b = clips.select("project_id", "track_no", "clip_id", "in_ms", F.col("start_ms").alias("b_start"), _end().alias("b_end"))
     met = interval_join(a, b, ["project_id"], width)
     return met.select("point_id", "track_no", "clip_id", (F.col("in_ms") + F.col("a_start") - F.col("b_start")).alias("source_ms"))
 
@@ -62,7 +65,7 @@ def intersect_tracks(a: DataFrame, b: DataFrame, by: list[str], width: int = 163
 
 def selected(clips: DataFrame, ranges: DataFrame, width: int = 65536) -> DataFrame:
     """Clips that overlap any range (``project_id, start_ms, end_ms``)."""
-    a = clips.select("project_id", "track_no", "clip_id", F.col("start_ms").alias("a_start"), END.alias("a_end"))
+    a = clips.select("project_id", "track_no", "clip_id", F.col("start_ms").alias("a_start"), _end().alias("a_end"))
     b = ranges.select("project_id", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
     return interval_join(a, b, ["project_id"], width, "semi").select("project_id", "track_no", "clip_id")
 
@@ -79,7 +82,7 @@ def snapped(points: DataFrame, targets: DataFrame, within: int) -> DataFrame:
 
 def snap_targets(clips: DataFrame, points: DataFrame) -> DataFrame:
     """Zero, clip edges and markers: ``project_id, target_ms``."""
-    edges = clips.select("project_id", F.explode(F.array("start_ms", END)).alias("target_ms"))
+    edges = clips.select("project_id", F.explode(F.array("start_ms", _end())).alias("target_ms"))
     zero = clips.select("project_id", F.lit(0).cast("long").alias("target_ms"))
     return edges.unionByName(points.select("project_id", F.col("t_ms").alias("target_ms"))).unionByName(zero).distinct()
 
@@ -93,9 +96,9 @@ def packed(clips: DataFrame) -> DataFrame:
 def split_at(clips: DataFrame, cuts: DataFrame, width: int = 16384) -> DataFrame:
     """Cut clips at the points (``project_id, t_ms``) strictly inside them: pieces with ``piece_no`` from 0."""
     a = cuts.select("project_id", F.col("t_ms").alias("a_start"), (F.col("t_ms") + 1).alias("a_end")).distinct()
-    b = clips.select(*TRACK, "clip_id", F.col("start_ms").alias("b_start"), END.alias("b_end"))
+    b = clips.select(*TRACK, "clip_id", F.col("start_ms").alias("b_start"), _end().alias("b_end"))
     inside = interval_join(a, b, ["project_id"], width).filter("a_start > b_start").groupBy(*TRACK, "clip_id").agg(F.sort_array(F.collect_set("a_start")).alias("cuts"))
-    edges = F.concat(F.array("start_ms"), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(END))
+    edges = F.concat(F.array("start_ms"), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(_end()))
     pieces = clips.join(inside, [*TRACK, "clip_id"], "left").withColumn("edges", edges)
     pieces = pieces.select(*TRACK, "clip_id", "in_ms", F.col("start_ms").alias("_s"), F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("piece_no", "start_ms"), "edges")
     return pieces.select(*TRACK, "clip_id", "piece_no", "start_ms", (F.get("edges", F.col("piece_no") + 1) - F.col("start_ms")).alias("dur_ms"), (F.col("in_ms") + F.col("start_ms") - F.col("_s")).alias("in_ms"))
@@ -104,10 +107,10 @@ def split_at(clips: DataFrame, cuts: DataFrame, width: int = 16384) -> DataFrame
 def lift(clips: DataFrame, ranges: DataFrame) -> DataFrame:
     """Remove one range of each project (``project_id, cut_start, cut_end``), keeping what stands out left and right."""
     met = clips.join(ranges, "project_id", "left")
-    hit = F.col("cut_start").isNotNull() & (F.col("start_ms") < F.col("cut_end")) & (F.col("cut_start") < END)
-    left = F.struct(F.col("start_ms").alias("s"), F.least(END, F.col("cut_start")).alias("e"))
-    right = F.struct(F.greatest(F.col("start_ms"), F.col("cut_end")).alias("s"), END.alias("e"))
-    parts = F.when(hit, F.filter(F.array(left, right), lambda x: x["s"] < x["e"])).otherwise(F.array(F.struct(F.col("start_ms").alias("s"), END.alias("e"))))
+    hit = F.col("cut_start").isNotNull() & (F.col("start_ms") < F.col("cut_end")) & (F.col("cut_start") < _end())
+    left = F.struct(F.col("start_ms").alias("s"), F.least(_end(), F.col("cut_start")).alias("e"))
+    right = F.struct(F.greatest(F.col("start_ms"), F.col("cut_end")).alias("s"), _end().alias("e"))
+    parts = F.when(hit, F.filter(F.array(left, right), lambda x: x["s"] < x["e"])).otherwise(F.array(F.struct(F.col("start_ms").alias("s"), _end().alias("e"))))
     kept = met.select(*TRACK, "clip_id", "in_ms", F.col("start_ms").alias("_s"), F.explode(parts).alias("p"))
     return kept.select(*TRACK, "clip_id", F.col("p.s").alias("start_ms"), (F.col("p.e") - F.col("p.s")).alias("dur_ms"), (F.col("in_ms") + F.col("p.s") - F.col("_s")).alias("in_ms"))
 
@@ -129,21 +132,21 @@ def insert_shift(clips: DataFrame, inserts: DataFrame) -> DataFrame:
     """Make room at one point of each project (``project_id, at_ms, room_ms``): later clips move right; ``spans`` marks clips that hold the point."""
     met = clips.join(inserts, "project_id", "left")
     later = F.coalesce(F.col("start_ms") >= F.col("at_ms"), F.lit(False))
-    spans = F.coalesce((F.col("start_ms") < F.col("at_ms")) & (F.col("at_ms") < END), F.lit(False))
+    spans = F.coalesce((F.col("start_ms") < F.col("at_ms")) & (F.col("at_ms") < _end()), F.lit(False))
     return met.select(*TRACK, "clip_id", F.when(later, F.col("start_ms") + F.col("room_ms")).otherwise(F.col("start_ms")).alias("start_ms"), "dur_ms", spans.alias("spans"))
 
 
 def trim_room(clips: DataFrame) -> DataFrame:
     """How far each clip's edges may move: ``left_ms`` (bounded by its neighbour and the source) and ``right_ms`` (null: no neighbour)."""
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
-    left = F.least(F.col("start_ms") - F.coalesce(F.lag(END).over(w), F.lit(0)), F.col("in_ms"))
-    return clips.select(*TRACK, "clip_id", left.alias("left_ms"), (F.lead("start_ms").over(w) - END).alias("right_ms"))
+    left = F.least(F.col("start_ms") - F.coalesce(F.lag(_end()).over(w), F.lit(0)), F.col("in_ms"))
+    return clips.select(*TRACK, "clip_id", left.alias("left_ms"), (F.lead("start_ms").over(w) - _end()).alias("right_ms"))
 
 
 def transition_limits(clips: DataFrame, source_ms: int) -> DataFrame:
     """Longest transition between neighbours that touch, or up to 1 s apart: twice the least of durations and handles."""
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
-    rows = clips.select(*TRACK, "clip_id", "dur_ms", "in_ms", F.lead("clip_id").over(w).alias("to_clip_id"), F.lead("dur_ms").over(w).alias("to_dur"), F.lead("in_ms").over(w).alias("to_in"), (F.lead("start_ms").over(w) - END).alias("gap"))
+    rows = clips.select(*TRACK, "clip_id", "dur_ms", "in_ms", F.lead("clip_id").over(w).alias("to_clip_id"), F.lead("dur_ms").over(w).alias("to_dur"), F.lead("in_ms").over(w).alias("to_in"), (F.lead("start_ms").over(w) - _end()).alias("gap"))
     most = 2 * F.least("dur_ms", "to_dur", F.greatest(F.lit(0), F.lit(source_ms) - F.col("in_ms") - F.col("dur_ms")), "to_in")
     return rows.filter(F.col("gap").between(0, 1000)).select(*TRACK, "clip_id", "to_clip_id", most.alias("max_ms"))
 
@@ -182,7 +185,7 @@ def clip_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def source_impact(clips: DataFrame, sources: DataFrame) -> DataFrame:
     """Clips and projects that use each changed source (``source_id``)."""
-    return clips.join(sources.select("source_id").distinct(), "source_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_clips"), F.countDistinct("project_id").alias("n_projects"), F.min("start_ms").alias("first_ms"), F.max(END).alias("last_ms"))
+    return clips.join(sources.select("source_id").distinct(), "source_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_clips"), F.countDistinct("project_id").alias("n_projects"), F.min("start_ms").alias("first_ms"), F.max(_end()).alias("last_ms"))
 
 
 def unresolved_sources(clips: DataFrame, sources: DataFrame) -> DataFrame:

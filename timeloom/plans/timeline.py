@@ -22,7 +22,7 @@ POINTS_SQL = "p AS (SELECT point_id, project_id, t_ms * 7 % 700000 AS t_ms FROM
 
 #: name: (query, views, SQL)
 PLANS = {
-    "e1_range_union": (lambda s, d: op.range_union(view(s, d, "v_clips").withColumn("end_ms", op.END), op.TRACK), ["v_clips"],
+    "e1_range_union": (lambda s, d: op.range_union(view(s, d, "v_clips").withColumn("end_ms", F.expr("start_ms + dur_ms")), op.TRACK), ["v_clips"],
         "WITH m AS (SELECT *, start_ms + dur_ms AS end_ms, max(start_ms + dur_ms) OVER (PARTITION BY project_id, track_no ORDER BY start_ms, start_ms + dur_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM v_clips), i AS (SELECT *, sum(CASE WHEN pm IS NULL OR start_ms > pm THEN 1 ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT project_id, track_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_ranges FROM i GROUP BY project_id, track_no, k"),
     "b1_normalised_ranges": (lambda s, d: op.normalised_ranges(view(s, d, "v_clips").select("clip_id", (F.col("start_ms") - 500000).alias("a_ms"), F.col("in_ms").alias("b_ms")), "a_ms", "b_ms"), ["v_clips"],
         "SELECT clip_id, greatest(0, least(start_ms - 500000, in_ms)) AS a_ms, greatest(0, greatest(start_ms - 500000, in_ms)) AS b_ms FROM v_clips WHERE greatest(0, least(start_ms - 500000, in_ms)) < greatest(0, greatest(start_ms - 500000, in_ms))"),
@@ -33,7 +33,7 @@ PLANS = {
         f"WITH {POINTS_SQL} SELECT point_id, track_no, clip_id, in_ms + t_ms - start_ms AS source_ms FROM p JOIN v_timeline c ON p.project_id = c.project_id AND start_ms <= t_ms AND t_ms < start_ms + dur_ms"),
     "c2_resolve_first": (lambda s, d: op.resolve_first(_points(s, d), view(s, d, "v_timeline")), ["v_points", "v_timeline"],
         f"WITH {POINTS_SQL} SELECT point_id, track_no, clip_id, in_ms + t_ms - start_ms AS source_ms FROM p JOIN v_timeline c ON p.project_id = c.project_id AND start_ms <= t_ms AND t_ms < start_ms + dur_ms QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY track_no, clip_id) = 1"),
-    "c6_intersect": (lambda s, d: (lambda t: op.intersect_tracks(t.filter("track_no = 0"), t.filter("track_no = 1"), ["project_id"]))(view(s, d, "v_timeline").select(*op.TRACK, "start_ms", op.END.alias("end_ms"), F.col("in_ms").alias("peak"))), ["v_timeline"],
+    "c6_intersect": (lambda s, d: (lambda t: op.intersect_tracks(t.filter("track_no = 0"), t.filter("track_no = 1"), ["project_id"]))(view(s, d, "v_timeline").select(*op.TRACK, "start_ms", F.expr("start_ms + dur_ms").alias("end_ms"), F.col("in_ms").alias("peak"))), ["v_timeline"],
         "SELECT a.project_id, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.start_ms + a.dur_ms, b.start_ms + b.dur_ms) AS end_ms, greatest(a.in_ms, b.in_ms) AS peak FROM v_timeline a JOIN v_timeline b ON a.project_id = b.project_id AND a.track_no = 0 AND b.track_no = 1 AND a.start_ms < b.start_ms + b.dur_ms AND b.start_ms < a.start_ms + a.dur_ms"),
     "c7_selected": (lambda s, d: op.selected(view(s, d, "v_timeline"), _ranges(view(s, d, "v_timeline")).select("project_id", F.col("cut_start").alias("start_ms"), F.col("cut_end").alias("end_ms"))), ["v_timeline"],
         f"WITH {RANGES_SQL} SELECT c.project_id, track_no, clip_id FROM v_timeline c JOIN r ON c.project_id = r.project_id AND start_ms < cut_end AND cut_start < start_ms + dur_ms"),
