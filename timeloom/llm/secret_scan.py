@@ -147,7 +147,7 @@ def confirmed_spans(text: str) -> list[Span]:
         if m.end() - m.start() < LEAST_ENCODED:
             continue
         last = LAST_LINE.match(text, m.end())
-        for end in [m.end()] + [last.end()] * bool(last):
+        for end in [m.end(), last.end()] if last else [m.end()]:
             data = unbase64(re.sub(r"[\r\n]+|\\n", "", text[m.start() : end]))
             kind = "key" if data and is_private_key(data) else "openssh" if data and is_openssh_key(data) else None
             if kind:
