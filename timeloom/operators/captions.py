@@ -99,3 +99,50 @@ def without_hallucinations(segments: DataFrame, patterns: tuple[str, ...]) -> Da
 def in_trusted_range(segments: DataFrame, windows: DataFrame) -> DataFrame:
     """Segments that start in their window's trusted range (``track_id, from_ms, to_ms``)."""
     return segments.join(windows, "track_id").filter("start_ms >= from_ms AND start_ms < to_ms").select("track_id", "seg_id", "start_ms")
+
+
+def normalised_segments(segments: DataFrame) -> DataFrame:
+    """Start at 0 or later, at least 50 ms; words (``words`` of ``s, e, w``) only if each ends after it starts and none overlaps the one before."""
+    ok = F.forall(F.transform("words", lambda x, i: (x["e"] > x["s"]) & ((i == 0) | (x["s"] >= F.get(F.col("words"), i - 1)["e"]))), lambda x: F.coalesce(x, F.lit(True)))
+    return segments.select("track_id", "seg_id", F.greatest(F.lit(0), F.col("start_ms")).alias("start_ms"), F.greatest(F.lit(50), F.col("dur_ms")).alias("dur_ms"), F.when(ok, F.size("words")).otherwise(0).alias("n_words"))
+
+
+def active_word(segments: DataFrame, after_ms: int) -> DataFrame:
+    """Index of the word that is spoken a time after each segment's start, -1 if none is."""
+    at = F.col("start_ms") + after_ms
+    hit = F.array_position(F.transform("words", lambda x: (x["s"] <= at) & (at < x["e"])), True)
+    return segments.select("track_id", "seg_id", (hit - 1).alias("word_no"))
+
+
+def split_segments(segments: DataFrame, pivot: int) -> DataFrame:
+    """Segments with more than ``pivot`` words cut there; times are shared by the number of words."""
+    words = F.split("text", " ")
+    n = F.size(words)
+    parts = F.when(n > pivot, F.array(F.struct(F.lit(0).alias("part"), F.slice(words, 1, pivot).alias("w")), F.struct(F.lit(1).alias("part"), F.slice(words, F.lit(pivot + 1), n).alias("w")))).otherwise(F.array(F.struct(F.lit(0).alias("part"), words.alias("w"))))
+    cut = F.expr(f"dur_ms * {pivot} div size(split(text, ' '))")
+    rows = segments.select("track_id", "seg_id", "start_ms", "dur_ms", F.when(n > pivot, cut).otherwise(F.col("dur_ms")).alias("c"), F.explode(parts).alias("p"))
+    return rows.select("track_id", "seg_id", "p.part", F.when(F.col("p.part") == 0, F.col("start_ms")).otherwise(F.col("start_ms") + F.col("c")).alias("start_ms"), F.when(F.col("p.part") == 0, F.col("c")).otherwise(F.col("dur_ms") - F.col("c")).alias("dur_ms"), F.array_join("p.w", " ").alias("text"))
+
+
+def merged_segments(segments: DataFrame, group: str) -> DataFrame:
+    """Segments of a group as one, texts in order."""
+    rows = segments.groupBy("track_id", group).agg(F.min("start_ms").alias("start_ms"), F.max(F.col("start_ms") + F.col("dur_ms")).alias("end_ms"), F.sort_array(F.collect_list(F.struct("start_ms", "seg_id", "text"))).alias("s"))
+    return rows.select("track_id", group, "start_ms", "end_ms", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))
+
+
+def vtt_files(segments: DataFrame) -> DataFrame:
+    """Each track as WebVTT text."""
+    stamp = lambda c: F.replace(srt_time(c), F.lit(","), F.lit("."))
+    cue = F.concat(stamp(F.col("start_ms")), F.lit(" --> "), stamp(F.col("start_ms") + F.col("dur_ms")), F.lit("\n"), F.col("text"))
+    rows = segments.select("track_id", F.struct("start_ms", "seg_id", cue.alias("c")).alias("s")).groupBy("track_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return rows.select("track_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("s", lambda x: x["c"]), "\n\n"), F.lit("\n")).alias("vtt"))
+
+
+def parse_vtt(files: DataFrame) -> DataFrame:
+    """Cues of WebVTT texts (``track_id, vtt``); NOTE, STYLE and REGION blocks and cue settings are passed over."""
+    blocks = files.select("track_id", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("vtt", "\r\n?", "\n"), r"^\s+|\s+$", ""), "\n[ \t]*\n+")).alias("n", "b"))
+    rows = blocks.filter(~F.col("b").rlike("^(WEBVTT|NOTE|STYLE|REGION)"))
+    pattern = r"(?s)^(?:[^\n]*\n)?(\d{1,3}:\d{2}:\d{2}\.\d{3}) --> (\d{1,3}:\d{2}:\d{2}\.\d{3})[^\n]*(?:\n(.*))?$"
+    part = [F.regexp_extract("b", pattern, i) for i in (1, 2, 3)]
+    rows = rows.select("track_id", F.row_number().over(Window.partitionBy("track_id").orderBy("n")).alias("cue"), parsed_srt_time(part[0]).alias("start_ms"), parsed_srt_time(part[1]).alias("end_ms"), part[2].alias("text"))
+    return rows.filter(F.col("start_ms").isNotNull())

@@ -191,3 +191,27 @@ def replay_snapshot(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     starts = asof_join(requests, keys, ["session_id"], "start_us", "key_us", ["key_us"]).select("session_id", F.coalesce("key_us", "start_us").alias("from_us"), "end_us")
     met = chunks.join(starts, "session_id").filter("t_us BETWEEN from_us AND end_us")
     return met.groupBy("session_id", "from_us").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def parse_event_log(logs: DataFrame) -> DataFrame:
+    """DOM event logs (``log_id, json``) of schema version 1: known kinds with a time, x and y clamped to 0..1."""
+    j = F.from_json("json", "schemaVersion INT, events ARRAY<STRUCT<kind: STRING, t: BIGINT, x: DOUBLE, y: DOUBLE>>")
+    rows = logs.select("log_id", j.alias("j")).filter("j.schemaVersion = 1").select("log_id", F.posexplode("j.events").alias("n", "e"))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0))))
+    return rows.filter("e.kind IN ('click', 'scroll', 'key') AND e.t >= 0").select("log_id", "n", "e.kind", F.col("e.t").alias("t_us"), unit("e.x").alias("x"), unit("e.y").alias("y"))
+
+
+def parse_sidecar(lines: DataFrame) -> DataFrame:
+    """NDJSON sidecar lines that are objects with a ``kind``; torn and malformed lines are dropped."""
+    kind = F.try_variant_get(F.try_parse_json("line"), "$.kind", "string")
+    return lines.select("session_id", "line_no", kind.alias("kind")).filter("kind <> ''")
+
+
+def spill_plan(chunks: DataFrame, target: int) -> DataFrame:
+    """Chunks to spill: the oldest up to ``target`` bytes, extended to the next keyframe."""
+    w = Window.partitionBy("session_id").orderBy("t_us", "event_id")
+    before = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = chunks.withColumn("_b", before)
+    # the first keyframe at which the target is reached ends the spill
+    ends = rows.filter(F.col("keyframe") & (F.col("_b") >= target)).groupBy("session_id").agg(F.min("_b").alias("end"))
+    return rows.join(ends, "session_id").filter("_b < end").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import scalars as fn
 from timeloom.operators import captions as cap
+from timeloom.operators import events as ev
 from timeloom.operators import quality as op
 from timeloom.sources.views import sql_with, view
 
@@ -39,6 +40,22 @@ def _markers(s, d):
     return view(s, d, "v_points").filter("point_id % 40 = 0").select("project_id", "point_id", "t_ms", F.expr("CASE WHEN point_id % 3 = 0 THEN '  ' ELSE concat(' part ', point_id) END").alias("label"))
 
 
+#: Two words a segment; where the id is divisible by 4 the second begins before the first ends.
+WORDS = "ws AS (SELECT * FROM v_segments)"
+
+
+def _words(s, d):
+    first = F.expr("struct(start_ms AS s, start_ms + 400 + seg_id % 7 * 20 AS e, 'a' AS w)")
+    second = F.expr("struct(CASE WHEN seg_id % 4 = 0 THEN start_ms + 390 ELSE start_ms + 600 END AS s, start_ms + 900 AS e, 'b' AS w)")
+    return _seg(s, d).withColumn("words", F.array(first, second))
+
+
+def _logs(s, d):
+    events = view(s, d, "v_events")
+    rows = events.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.struct("kind", F.col("t_us").alias("t"), (F.col("x_milli") / 500.0).alias("x"), (F.col("y_milli") / 1000.0).alias("y")).alias("e")))).alias("s"))
+    return rows.select(F.col("session_id").alias("log_id"), F.to_json(F.struct(F.when(F.col("session_id") % 7 == 0, 2).otherwise(1).alias("schemaVersion"), F.transform("s", lambda x: x["e"]).alias("events"))).alias("json"))
+
+
 def _metrics(s, d):
     events = view(s, d, "v_events")
     seen = events.groupBy(F.col("kind").alias("metric")).agg(F.floor(F.avg("x_milli")).alias("value"))
@@ -92,6 +109,19 @@ PLANS = {
     "h15_levels": (lambda s, d: view(s, d, "v_pcm").select("source_id", "i", F.round(fn.level_db(F.abs("x_milli") / 1000.0), 6).alias("db")), ["v_pcm"], "SELECT source_id, i, round(CASE WHEN x_milli = 0 THEN -60.0 ELSE greatest(-60.0, 20 * log10(abs(x_milli) / 1000.0)) END, 6) AS db FROM v_pcm"),
     "d26_gram_ratio": (lambda s, d: view(s, d, "conversations").select("conv_id", "turn", fn.gram_ratio(F.col("text")).alias("ratio")), [], None),
     "b13_error_classes": (lambda s, d: view(s, d, "pages").select("page_id", fn.error_class(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Decode error at "), F.col("url"))).otherwise(F.lit("Access DENIED"))).alias("code")), [], "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'codec' ELSE 'permission' END AS code FROM pages"),
+    "b21_normalised_segments": (lambda s, d: cap.normalised_segments(_words(s, d)), ["v_segments"], f"WITH {WORDS} SELECT track_id, seg_id, greatest(0, start_ms) AS start_ms, greatest(50, dur_ms) AS dur_ms, CASE WHEN seg_id % 4 = 0 THEN 0 ELSE 2 END AS n_words FROM ws"),
+    "h12_active_word": (lambda s, d: cap.active_word(_words(s, d), 450), ["v_segments"], f"WITH {WORDS} SELECT track_id, seg_id, CASE WHEN 450 < 400 + seg_id % 7 * 20 THEN 0 WHEN seg_id % 4 = 0 THEN 1 ELSE -1 END AS word_no FROM ws"),
+    "g15_split_segments": (lambda s, d: cap.split_segments(_seg(s, d), 1), ["v_segments"], "SELECT track_id, seg_id, 0 AS part, start_ms, dur_ms * 1 // 2 AS dur_ms, split_part(text, ' ', 1) AS text FROM v_segments UNION ALL SELECT track_id, seg_id, 1, start_ms + dur_ms // 2, dur_ms - dur_ms // 2, split_part(text, ' ', 2) FROM v_segments"),
+    "g15_merged_segments": (lambda s, d: cap.merged_segments(_seg(s, d).withColumn("part", F.expr("seg_id % 5")), "part"), ["v_segments"], "SELECT track_id, seg_id % 5 AS part, min(start_ms) AS start_ms, max(start_ms + dur_ms) AS end_ms, string_agg(text, ' ' ORDER BY start_ms, seg_id) AS text FROM v_segments GROUP BY 1, 2"),
+    "a8_vtt_files": (lambda s, d: cap.vtt_files(_seg(s, d)), ["v_segments"], f"SELECT track_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(replace({SRT_T.format('start_ms')}, ',', '.') || ' --> ' || replace({SRT_T.format('(start_ms + dur_ms)')}, ',', '.') || chr(10) || text, chr(10) || chr(10) ORDER BY start_ms, seg_id) || chr(10) AS vtt FROM v_segments GROUP BY 1"),
+    "a7_parse_vtt": (lambda s, d: cap.parse_vtt(cap.vtt_files(_seg(s, d)).withColumn("vtt", F.concat(F.lit("WEBVTT\n\nNOTE a\n"), F.substring("vtt", 7, 100_000_000)))), ["v_segments"], "SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_id) AS INTEGER) AS cue, start_ms, start_ms + dur_ms AS end_ms, text FROM v_segments"),
+    "h10_drafts": (lambda s, d: view(s, d, "conversations").select("conv_id", "turn", F.array_join(F.slice(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""), 1, 3), " | ").alias("titles")), [], "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' | ') AS titles FROM conversations"),
+    "h6_stable_digests": (lambda s, d: _src(s, d).select("source_id", F.sha2(F.concat_ws("|", F.lit("ns"), "project_id", "file_name", "byte_size"), 256).alias("digest")), ["v_sources"], "SELECT source_id, sha256('ns|' || project_id || '|' || file_name || '|' || byte_size) AS digest FROM v_sources"),
+    "h8_stable_ids": (lambda s, d: _src(s, d).select("source_id", F.substring(F.sha2(F.concat_ws(":", "project_id", "source_id"), 256), 1, 16).alias("stable_id")), ["v_sources"], "SELECT source_id, sha256(project_id || ':' || source_id)[1:16] AS stable_id FROM v_sources"),
+    "h4_safe_summaries": (lambda s, d: _src(s, d).select("source_id", F.expr("CASE WHEN duration_ms < 10000 THEN 'short' WHEN duration_ms < 60000 THEN 'medium' ELSE 'long' END").alias("duration"), F.element_at(F.split("file_name", " "), -1).alias("container")), ["v_sources"], "SELECT source_id, CASE WHEN duration_ms < 10000 THEN 'short' WHEN duration_ms < 60000 THEN 'medium' ELSE 'long' END AS duration, string_split(file_name, ' ')[-1] AS container FROM v_sources"),
+    "a3_event_log": (lambda s, d: ev.parse_event_log(_logs(s, d)), ["v_events"], "SELECT session_id AS log_id, CAST(n AS INTEGER) AS n, kind, t_us, least(1.0, x_milli / 500.0) AS x, least(1.0, y_milli / 1000.0) AS y FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) - 1 AS n FROM v_events) WHERE session_id % 7 <> 0 AND kind = 'click'"),
+    "a2_sidecar": (lambda s, d: ev.parse_sidecar(view(s, d, "v_manifest")), ["v_manifest"], "SELECT session_id, line_no, json_extract_string(line, '$.kind') AS kind FROM (SELECT * FROM v_manifest WHERE json_valid(line)) WHERE json_extract_string(line, '$.kind') <> ''"),
+    "i4_spill_plan": (lambda s, d: ev.spill_plan(view(s, d, "v_events").select("session_id", "event_id", "t_us", F.col("x_milli").alias("bytes"), (F.col("event_id") % 3 == 0).alias("keyframe")), 5000), ["v_events"], "WITH b AS (SELECT *, coalesce(sum(x_milli) OVER (PARTITION BY session_id ORDER BY t_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM v_events), e AS (SELECT session_id, min(b) AS e FROM b WHERE event_id % 3 = 0 AND b >= 5000 GROUP BY 1) SELECT session_id, count(*) AS n, CAST(sum(x_milli) AS BIGINT) AS bytes FROM b JOIN e USING (session_id) WHERE b < e GROUP BY 1"),
     "h23_iso_times": (lambda s, d: view(s, d, "v_events").select("event_id", F.date_format(F.timestamp_millis(F.expr("t_us div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso")), ["v_events"], "SELECT event_id, strftime(make_timestamp(t_us // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM v_events"),
 }
 
