@@ -241,3 +241,86 @@ def beat_phases(onsets: DataFrame, period: int) -> DataFrame:
 def down_mixed(pairs: DataFrame) -> DataFrame:
     """Mono from pairs of samples: the mean, and the sum over the root of two that speech models expect."""
     return pairs.select("source_id", "n", F.round((F.col("l") + F.col("r")) / 2, 6).alias("mean"), F.round((F.col("l") + F.col("r")) / F.sqrt(F.lit(2.0)), 6).alias("asr"))
+
+
+def active_at(points: DataFrame, segments: DataFrame, width: int = 65536) -> DataFrame:
+    """Segments (``project_id, seg_id, start_ms, dur_ms``) that hold each point."""
+    a = points.select("project_id", "point_id", F.col("t_ms").alias("a_start"), (F.col("t_ms") + 1).alias("a_end"))
+    b = segments.select("project_id", "seg_id", F.col("start_ms").alias("b_start"), _end().alias("b_end"))
+    return interval_join(a, b, ["project_id"], width).select("point_id", "seg_id")
+
+
+def lut_lookup(points: DataFrame, table: DataFrame) -> DataFrame:
+    """Value of a sorted table (``project_id, key_ms, value``) at each point, linear in between, held at the ends."""
+    rows = table.select("project_id", "key_ms", "value")
+    a = asof_join(points, rows.withColumnsRenamed({"key_ms": "a_ms", "value": "a"}), ["project_id"], "t_ms", "a_ms", ["a_ms", "a"])
+    b = asof_join(a, rows.withColumnsRenamed({"key_ms": "b_ms", "value": "b"}), ["project_id"], "t_ms", "b_ms", ["b_ms", "b"], "forward")
+    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("t_ms") - F.col("a_ms")) / (F.col("b_ms") - F.col("a_ms"))
+    value = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull() | (F.col("a_ms") == F.col("b_ms")), F.col("a")).otherwise(between)
+    return b.select("point_id", F.round(value.cast("double"), 6).alias("value")).filter(F.col("value").isNotNull())
+
+
+def remap_table(speeds: DataFrame, step_ms: int, steps: int) -> DataFrame:
+    """Source time after each step of output time: the running sum of the speed (percent) that holds at the step, up to the source's end."""
+    grid = speeds.groupBy("project_id").agg(F.max("source_ms").alias("source_ms")).select("project_id", "source_ms", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("n")).withColumn("t_ms", (F.col("n") * step_ms).cast("long"))
+    keys = speeds.select("project_id", "key_ms", "speed_pct")
+    met = asof_join(grid, keys, ["project_id"], "t_ms", "key_ms", ["speed_pct"])
+    run = F.sum(F.coalesce("speed_pct", F.lit(100)) * step_ms).over(Window.partitionBy("project_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("source_at", F.expr("0L") + run).select("project_id", "n", F.expr("source_at div 100").alias("source_at"), "source_ms").filter("source_at <= source_ms").drop("source_ms")
+
+
+def normalised_keyframes(keys: DataFrame, grain_ms: int) -> DataFrame:
+    """One keyframe for each rounded time, the last one given (``ord``)."""
+    slot = F.expr(f"key_ms div {grain_ms}")
+    rows = keys.withColumn("slot", slot).groupBy("project_id", "slot").agg(F.max_by(F.struct("ord", "key_ms", "value"), "ord").alias("k"))
+    return rows.select("project_id", "k.ord", "k.key_ms", "k.value")
+
+
+def silence_cuts(clips: DataFrame, regions: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``pieces`` (clips split at the regions' edges) without those inside a region (one a project: ``cut_start, cut_end``), the rest moved left."""
+    rows = pieces.join(regions, "project_id", "left")
+    inside = F.coalesce(F.expr("start_ms >= cut_start AND start_ms + dur_ms <= cut_end"), F.lit(False))
+    w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id", "piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.when(inside, F.col("dur_ms")).otherwise(0)).over(w), F.lit(0))
+    return rows.withColumns({"_gone": gone, "_in": inside}).filter("NOT _in").select(*TRACK, "clip_id", "piece_no", (F.col("start_ms") - F.col("_gone")).alias("start_ms"), "dur_ms")
+
+
+def reframe_stats(frames: DataFrame) -> DataFrame:
+    """Frames with a face or a salient cell of each shot, the mode, and the share inside the safe zone in percent."""
+    rows = frames.groupBy("shot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "face").alias("n_face"), F.count_if(F.col("kind") == "saliency").alias("n_saliency"), F.expr("count_if(safe) * 100 div count(*)").alias("safe_pct"))
+    return rows.withColumn("mode", F.when(F.col("n_saliency") == 0, "face").when(F.col("n_face") == 0, "saliency").otherwise("mixed"))
+
+
+def weighted_picks(boxes: DataFrame) -> DataFrame:
+    """The box of each frame with the best mix of confidence, area and centrality, the first on a tie."""
+    far = F.abs(F.col("x_milli") + F.col("w_milli") / 2 - 500) + F.abs(F.col("y_milli") + F.col("h_milli") / 2 - 500)
+    value = F.round(0.45 * F.col("conf_milli") + 0.25 * F.col("w_milli") * F.col("h_milli") / 1000 + 0.2 * (1000 - far), 6)
+    rows = boxes.withColumn("score", value)
+    return rows.groupBy("frame_id").agg(F.max_by(F.struct("det_id", "score"), F.struct("score", -F.col("det_id"))).alias("m")).select("frame_id", "m.*")
+
+
+def layer_matches(layers: DataFrame, clips: DataFrame) -> DataFrame:
+    """Scene layers (``project_id, layer, source_id, track_no``) with a clip: by source first, else by track."""
+    by_source = clips.groupBy("project_id", "source_id").agg(F.min("clip_id").alias("s_clip"))
+    by_track = clips.groupBy("project_id", "track_no").agg(F.min("clip_id").alias("t_clip"))
+    met = layers.join(by_source, ["project_id", "source_id"], "left").join(by_track, ["project_id", "track_no"], "left")
+    return met.select("project_id", "layer", F.coalesce("s_clip", "t_clip").alias("clip_id"), F.col("s_clip").isNotNull().alias("by_source"))
+
+
+def one_euro(points: DataFrame, floor: float = 1.0, beta: float = 0.01, rate: float = 30.0) -> DataFrame:
+    """Speed-adaptive low pass of ``value`` by key; a fold per key."""
+    import math
+
+    def fold(rows):
+        x = dx = None
+        for r in rows:
+            v = float(r["value"])
+            if x is None:
+                x, dx = v, 0.0
+            else:
+                part = lambda cut: 1 / (1 + rate / (2 * math.pi * cut))
+                dx += part(1.0) * ((v - x) * rate - dx)
+                x += part(floor + beta * abs(dx)) * (v - x)
+            yield {"key": r["key"], "t": r["t"], "value": round(x, 6)}
+
+    return fold_per_key(points, ["key"], ["t"], fold, "key long, t long, value double")

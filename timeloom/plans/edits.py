@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
+from timeloom.operators import signal as sg
 from timeloom.sources.views import sql_with, view
 
 
@@ -79,9 +80,24 @@ PLANS = {
     "d23_mixed_blocks": (lambda s, d: op.mixed_blocks(view(s, d, "v_pcm"), view(s, d, "v_pcm").select("source_id").distinct().selectExpr("source_id", "source_id % 20 AS project_id", "50 + source_id % 100 AS gain_pct")), ["v_pcm"], "SELECT source_id % 20 AS project_id, CAST(i // 8 AS BIGINT) AS block, i % 8 AS place, greatest(-1000, least(1000, CAST(trunc(sum(x_milli * (50 + source_id % 100)) / 100) AS BIGINT))) AS x_milli FROM v_pcm GROUP BY 1, 2, 3"),
     "d25_beat_phases": (lambda s, d: op.beat_phases(view(s, d, "v_pcm"), 12), ["v_pcm"], "SELECT source_id, phase, score FROM (SELECT source_id, i % 12 AS phase, CAST(sum(x_milli) AS BIGINT) AS score FROM v_pcm GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, phase) = 1"),
     "k4_down_mixed": (lambda s, d: op.down_mixed(view(s, d, "v_pcm").groupBy("source_id", F.expr("i div 2").alias("n")).agg(F.max(F.expr("CASE WHEN i % 2 = 0 THEN x_milli END")).alias("l"), F.max(F.expr("CASE WHEN i % 2 = 1 THEN x_milli END")).alias("r"))), ["v_pcm"], "SELECT a.source_id, CAST(a.i // 2 AS BIGINT) AS n, round((a.x_milli + b.x_milli) / 2, 6) AS mean, round((a.x_milli + b.x_milli) / sqrt(2.0), 6) AS asr FROM v_pcm a JOIN v_pcm b ON a.source_id = b.source_id AND b.i = a.i + 1 AND a.i % 2 = 0"),
+    "c5_active_captions": (lambda s, d: op.active_at(_points(s, d), _tl(s, d).filter("track_no = 2").select("project_id", F.col("clip_id").alias("seg_id"), "start_ms", "dur_ms")), ["v_points", "v_timeline"], f"WITH {POINTS} SELECT point_id, clip_id AS seg_id FROM p JOIN v_timeline c ON p.project_id = c.project_id AND track_no = 2 AND start_ms <= t_ms AND t_ms < start_ms + dur_ms"),
+    "c11_lut_lookup": (lambda s, d: op.lut_lookup(_points(s, d), _keys(s, d)), ["v_points", "v_timeline"],
+        f"WITH {POINTS}, {KEYS}, j AS (SELECT p.*, a.key_ms AS ta, a.value AS va FROM p ASOF LEFT JOIN k a ON p.project_id = a.project_id AND a.key_ms <= p.t_ms), n AS (SELECT j.*, b.key_ms AS tb, b.value AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms) SELECT * FROM (SELECT point_id, round(CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * (t_ms - ta)::DOUBLE / (tb - ta) END, 6) AS value FROM n) WHERE value IS NOT NULL"),
+    "e20_remap_table": (lambda s, d: op.remap_table(_keys(s, d).selectExpr("project_id", "key_ms", "50 + value % 100 AS speed_pct", "CAST(300000 AS BIGINT) AS source_ms"), 500, 1000), ["v_timeline"],
+        f"WITH {KEYS}, g AS (SELECT project_id, n, n * 500 AS t FROM (SELECT DISTINCT project_id FROM k), range(1000) AS r(n)), m AS (SELECT g.*, coalesce(50 + value % 100, 100) AS v FROM g ASOF LEFT JOIN k ON g.project_id = k.project_id AND k.key_ms <= g.t), u AS (SELECT project_id, n, CAST(sum(v * 500) OVER (PARTITION BY project_id ORDER BY n) // 100 AS BIGINT) AS source_at FROM m) SELECT * FROM u WHERE source_at <= 300000"),
+    "e21_normalised_keyframes": (lambda s, d: op.normalised_keyframes(view(s, d, "v_clips").selectExpr("project_id", "clip_id AS ord", "start_ms AS key_ms", "in_ms AS value"), 100000), ["v_clips"], "SELECT project_id, clip_id AS ord, start_ms AS key_ms, in_ms AS value FROM v_clips QUALIFY row_number() OVER (PARTITION BY project_id, start_ms // 100000 ORDER BY clip_id DESC) = 1"),
+    "g8_silence_cuts": (lambda s, d: (lambda t: (lambda r: op.silence_cuts(t, r, iv.split_at(t, r.selectExpr("project_id", "cut_start AS t_ms").union(r.selectExpr("project_id", "cut_end AS t_ms")))))(t.select("project_id").distinct().selectExpr("project_id", "project_id % 7 * 5000 + 1000 AS cut_start", "project_id % 7 * 5000 + 31000 AS cut_end")))(_tl(s, d)), ["v_timeline"],
+        "WITH r AS (SELECT DISTINCT project_id, project_id % 7 * 5000 + 1000 AS a, project_id % 7 * 5000 + 31000 AS b FROM v_timeline), e AS (SELECT DISTINCT c.project_id, track_no, clip_id, t AS s FROM v_timeline c JOIN (SELECT project_id, a AS t FROM r UNION ALL SELECT project_id, b FROM r) q ON c.project_id = q.project_id AND start_ms < t AND t < start_ms + dur_ms UNION SELECT project_id, track_no, clip_id, start_ms FROM v_timeline), w AS (SELECT e.*, row_number() OVER k - 1 AS piece_no, lead(s) OVER k AS n FROM e WINDOW k AS (PARTITION BY clip_id ORDER BY s)), y AS (SELECT w.project_id, w.track_no, w.clip_id, piece_no, s, coalesce(n, start_ms + dur_ms) - s AS d FROM w JOIN v_timeline c USING (clip_id)), z AS (SELECT y.*, s >= a AND s + d <= b AS i FROM y JOIN r USING (project_id)) SELECT project_id, track_no, clip_id, piece_no, s - g AS start_ms, d AS dur_ms FROM (SELECT *, CAST(coalesce(sum(CASE WHEN i THEN d ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY s, clip_id, piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM z) WHERE NOT i"),
+    "d21_reframe_stats": (lambda s, d: op.reframe_stats(view(s, d, "v_detections").selectExpr("frame_id div 10 AS shot", "CASE WHEN conf_milli >= 400 THEN 'face' WHEN frame_id % 30 < 20 THEN 'saliency' ELSE 'none' END AS kind", "x_milli BETWEEN 100 AND 700 AS safe")), ["v_detections"], "SELECT shot, n, n_face, n_saliency, s * 100 // n AS safe_pct, CASE WHEN n_saliency = 0 THEN 'face' WHEN n_face = 0 THEN 'saliency' ELSE 'mixed' END AS mode FROM (SELECT frame_id // 10 AS shot, count(*) AS n, count(*) FILTER (WHERE conf_milli >= 400) AS n_face, count(*) FILTER (WHERE conf_milli < 400 AND frame_id % 30 < 20) AS n_saliency, count(*) FILTER (WHERE x_milli BETWEEN 100 AND 700) AS s FROM v_detections GROUP BY 1)"),
+    "f6_weighted_picks": (lambda s, d: op.weighted_picks(view(s, d, "v_detections")), ["v_detections"], "SELECT frame_id, det_id, score FROM (SELECT *, round(0.45::DOUBLE * conf_milli + 0.25::DOUBLE * 90 + 0.2::DOUBLE * (1000 - abs(x_milli - 350) - abs(y_milli - 350)), 6) AS score FROM v_detections) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_id) = 1"),
+    "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 3)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"], "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(4))) SELECT l.project_id, layer, coalesce(a, b) AS clip_id, a IS NOT NULL AS by_source FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id LEFT JOIN (SELECT project_id, track_no, min(clip_id) AS b FROM v_timeline GROUP BY 1, 2) t ON t.project_id = l.project_id AND t.track_no = l.layer"),
+    "e24_one_euro": (lambda s, d: op.one_euro(view(s, d, "v_pcm").selectExpr("source_id AS key", "CAST(i AS BIGINT) AS t", "x_milli AS value")), ["v_pcm"], None),
+    "e30_biquad": (lambda s, d: sg.biquad(view(s, d, "v_pcm"), (1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585)), ["v_pcm"], None),
+    "k1_spectral_flux": (lambda s, d: sg.spectral_flux(view(s, d, "v_pcm")), ["v_pcm"], None),
+    "k5_resampled": (lambda s, d: sg.resampled(view(s, d, "v_pcm"), 3, 2), ["v_pcm"],
+        "WITH o AS (SELECT source_id, unnest(range((max(i) + 1) * 3 // 2)) AS o FROM v_pcm GROUP BY 1), j AS (SELECT o.source_id, o.o, p.x_milli, p.i - o.o * (2::DOUBLE / 3) AS t FROM o JOIN v_pcm p ON p.source_id = o.source_id AND p.i BETWEEN o.o * 2 // 3 - 3 AND o.o * 2 // 3 + 4), w AS (SELECT *, CASE WHEN abs(t) < 1e-9 THEN 1.0 ELSE sin(t * pi()) / (t * pi()) END * (0.5 + 0.5 * cos(t * pi() / 4)) AS w FROM j) SELECT source_id, o, round(sum(w * x_milli) / sum(w), 6) AS x_milli FROM w GROUP BY 1, 2"),
 }
 
-
 def queries():
     return {name: query for name, (query, _, _) in PLANS.items()}
 
