@@ -324,3 +324,27 @@ def one_euro(points: DataFrame, floor: float = 1.0, beta: float = 0.01, rate: fl
             yield {"key": r["key"], "t": r["t"], "value": round(x, 6)}
 
     return fold_per_key(points, ["key"], ["t"], fold, "key long, t long, value double")
+
+
+def normalised_effects(clips: DataFrame) -> DataFrame:
+    """Effect values with their defaults, clamped: brightness -100..100 (0), contrast and saturation 0..200 (100), opacity 0..100 (100)."""
+    clamp = lambda c, d, a, b: F.greatest(F.lit(a), F.least(F.lit(b), F.coalesce(c, F.lit(d)))).cast("long").alias(c)
+    return clips.select("clip_id", clamp("brightness", 0, -100, 100), clamp("contrast", 100, 0, 200), clamp("saturation", 100, 0, 200), clamp("opacity", 100, 0, 100))
+
+
+def crossfade_gains(points: DataFrame, clips: DataFrame, dur_ms: int) -> DataFrame:
+    """Equal-power gains of both sides of the crossfade around a cut, at the points inside it."""
+    met = transitions_at(points, clips, dur_ms)
+    angle = F.col("mix_milli") / 1000.0 * F.lit(3.141592653589793 / 2)
+    return met.select("point_id", "track_no", "from_clip", "to_clip", F.round(F.cos(angle), 6).alias("out_gain"), F.round(F.sin(angle), 6).alias("in_gain"))
+
+
+def landmarks_at(points: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Landmarks (an array at each ``key_ms``) at each point, each number linear between the arrays around it, held at the ends."""
+    rows = tracks.select("project_id", "key_ms", "marks")
+    a = asof_join(points, rows.withColumnsRenamed({"key_ms": "a_ms", "marks": "a"}), ["project_id"], "t_ms", "a_ms", ["a_ms", "a"])
+    b = asof_join(a, rows.withColumnsRenamed({"key_ms": "b_ms", "marks": "b"}), ["project_id"], "t_ms", "b_ms", ["b_ms", "b"], "forward")
+    t = (F.col("t_ms") - F.col("a_ms")) / (F.col("b_ms") - F.col("a_ms"))
+    between = F.zip_with("a", "b", lambda x, y: x + (y - x) * t)
+    held = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull() | (F.col("a_ms") == F.col("b_ms")), F.col("a")).otherwise(between)
+    return b.select("point_id", F.transform(held, lambda x: F.round(x, 6)).alias("marks")).filter(F.col("marks").isNotNull())

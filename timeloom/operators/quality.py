@@ -141,3 +141,10 @@ def storage_pressure(stores: DataFrame) -> DataFrame:
     pct = F.expr("bytes * 100 div quota")
     level = F.when(pct >= 95, "critical").when(pct >= 80, "high").otherwise("normal")
     return stores.select("store_id", pct.alias("used_pct"), level.alias("level"), F.expr("greatest(0, quota - bytes) div rate").alias("left_s"))
+
+
+def parse_bundles(files: DataFrame) -> DataFrame:
+    """Bundle manifests (``bundle_id, json``) as asset rows; a manifest without version or assets, and an asset without id or size, is dropped."""
+    j = F.from_json("json", "version INT, assets ARRAY<STRUCT<id: STRING, bytes: BIGINT, digest: STRING>>")
+    rows = files.select("bundle_id", j.alias("j")).filter("j.version IS NOT NULL").select("bundle_id", F.explode("j.assets").alias("a"))
+    return rows.filter("a.id IS NOT NULL AND a.bytes >= 0").select("bundle_id", F.col("a.id").alias("asset_id"), F.col("a.bytes").alias("bytes"), F.coalesce("a.digest", F.lit("")).alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
+from timeloom.operators import quality as qu
 from timeloom.operators import signal as sg
 from timeloom.sources.views import sql_with, view
 
@@ -96,6 +97,12 @@ PLANS = {
     "k1_spectral_flux": (lambda s, d: sg.spectral_flux(view(s, d, "v_pcm")), ["v_pcm"], None),
     "k5_resampled": (lambda s, d: sg.resampled(view(s, d, "v_pcm"), 3, 2), ["v_pcm"],
         "WITH o AS (SELECT source_id, unnest(range((max(i) + 1) * 3 // 2)) AS o FROM v_pcm GROUP BY 1), j AS (SELECT o.source_id, o.o, p.x_milli, p.i - o.o * (2::DOUBLE / 3) AS t FROM o JOIN v_pcm p ON p.source_id = o.source_id AND p.i BETWEEN o.o * 2 // 3 - 3 AND o.o * 2 // 3 + 4), w AS (SELECT *, CASE WHEN abs(t) < 1e-9 THEN 1.0 ELSE sin(t * pi()) / (t * pi()) END * (0.5 + 0.5 * cos(t * pi() / 4)) AS w FROM j) SELECT source_id, o, round(sum(w * x_milli) / sum(w), 6) AS x_milli FROM w GROUP BY 1, 2"),
+    "b16_normalised_effects": (lambda s, d: op.normalised_effects(view(s, d, "v_clips").selectExpr("clip_id", "CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 END AS brightness", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 END AS contrast", "in_ms % 300 AS saturation", "CAST(NULL AS BIGINT) AS opacity")), ["v_clips"], "SELECT clip_id, greatest(-100, least(100, CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 ELSE 0 END)) AS brightness, least(200, CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 ELSE 100 END) AS contrast, least(200, in_ms % 300) AS saturation, 100 AS opacity FROM v_clips"),
+    "c22_crossfade_gains": (lambda s, d: op.crossfade_gains(_points(s, d), _tl(s, d), 2000), ["v_points", "v_timeline"],
+        f"WITH {POINTS}, c AS (SELECT project_id, track_no, clip_id AS from_clip, lead(clip_id) OVER w AS to_clip, lead(start_ms) OVER w AS cut, start_ms + dur_ms AS e FROM v_timeline WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) SELECT point_id, track_no, from_clip, to_clip, round(cos(m / 1000.0 * pi() / 2), 6) AS out_gain, round(sin(m / 1000.0 * pi() / 2), 6) AS in_gain FROM (SELECT *, (t_ms - cut + 1000) * 1000 // 2000 AS m FROM c JOIN p USING (project_id) WHERE cut - e BETWEEN 0 AND 1000 AND t_ms >= cut - 1000 AND t_ms < cut + 1000)"),
+    "c12_landmarks_at": (lambda s, d: op.landmarks_at(_points(s, d), _keys(s, d).select("project_id", "key_ms", F.array(F.col("value").cast("double"), F.col("value") * 2.0).alias("marks"))).select("point_id", F.get("marks", F.lit(0)).alias("x"), F.get("marks", F.lit(1)).alias("y")), ["v_points", "v_timeline"],
+        f"WITH {POINTS}, {KEYS}, j AS (SELECT p.*, a.key_ms AS ta, a.value AS va FROM p ASOF LEFT JOIN k a ON p.project_id = a.project_id AND a.key_ms <= p.t_ms), n AS (SELECT j.*, b.key_ms AS tb, b.value AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms), v AS (SELECT point_id, CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * ((t_ms - ta)::DOUBLE / (tb - ta)) END AS x FROM n) SELECT point_id, round(x, 6) AS x, round(2 * x, 6) AS y FROM v WHERE x IS NOT NULL"),
+    "a13_parse_bundles": (lambda s, d: qu.parse_bundles(view(s, d, "v_sources").selectExpr("source_id AS bundle_id", "CASE WHEN source_id % 9 = 0 THEN '{\"version\":1,\"ass' WHEN source_id % 9 = 1 THEN '{\"assets\":[{\"id\":\"a\",\"bytes\":1}]}' ELSE concat('{\"version\":1,\"assets\":[{\"id\":\"a', source_id, '\",\"bytes\":', byte_size, '},{\"bytes\":5},{\"id\":\"b\",\"bytes\":7,\"digest\":\"d\"}]}') END AS json")), ["v_sources"], "SELECT source_id AS bundle_id, 'a' || source_id AS asset_id, byte_size AS bytes, '' AS digest FROM v_sources WHERE source_id % 9 > 1 UNION ALL SELECT source_id, 'b', 7, 'd' FROM v_sources WHERE source_id % 9 > 1"),
 }
 
 def queries():
