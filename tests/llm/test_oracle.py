@@ -23,5 +23,5 @@ def test_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
     assert 0 < got.count() <= kept
-    texts = duckdb.sql(f"SELECT count(DISTINCT text) FROM '{sf_dir}/documents.parquet'").fetchone()[0]
+    texts = duckdb.connect().execute(f"SELECT count(DISTINCT text) FROM '{sf_dir}/documents.parquet'").fetchone()[0]
     assert got.count() <= texts
