@@ -14,7 +14,8 @@ Contexts that share an anchor meet in one shard, or in several where they are ma
 Larsson-Sadakane refinement, Kasai's scan gives their common prefixes, and neighbours with ``length`` bytes in common are
 repeats. The sorted windows of the shards of one anchor are then dealt out by range and merged by binary search.
 
-Bit maps of fixed size tell a task what needs no work; they only ever err towards more work.
+A bit map of fixed size tells a task which anchors need no work; it only ever errs towards more work. Which copy of a
+text is read is decided by an exact join.
 
 Defined results: a null text counts as empty; texts under ``length`` bytes keep all bytes; repeated rows are copies of each
 other; null ids give a row each; an empty table gives an empty result; other columns are ignored; texts of any length
@@ -302,21 +303,18 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crow
     # an anchor's occurrences differ if the least and the largest do
     seen = texts.mapInArrow(count, "anchor long, occurrence long").groupBy("anchor").agg(F.min("occurrence").alias("a"), F.max("occurrence").alias("b"))
     common = cut(seen.filter("a <> b").select("anchor"), "substrings-anchors")
-    maps = spark.sparkContext.broadcast((bit_map(common, "anchor"), bit_map(copies, "key", 22), bit_map(copies.select(_key("key", "id").alias("key")), "key", 22)))
-    texts = texts.withColumn("pair", _key("key", "id"))
+    anchor_map = spark.sparkContext.broadcast(bit_map(common, "anchor"))
+    # of a text's copies, the one with the least id speaks for all
+    chosen = texts.join(copies.select("key", F.col("id").alias("least")), "key", "left").filter("least is null or id = least")
 
     def cover(batches):
         from xxhash import xxh3_64_intdigest
 
-        anchor_map, copied, chosen = maps.value
         sent = set()
 
-        def make(key, pair, data):
-            # of a text's copies, the one with the least id speaks for all
-            if _in(copied, np.array([key]))[0] and not _in(chosen, np.array([pair]))[0]:
-                return []
+        def make(key, id_, data):
             code, first, last = anchors(data, length)
-            own = np.flatnonzero(_in(anchor_map, code))
+            own = np.flatnonzero(_in(anchor_map.value, code))
             if not len(own):
                 return []
             code, first, last = code[own].view(np.int64), first[own], last[own]
@@ -336,7 +334,7 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crow
         yield from scan(batches, make, ["anchor", "digest", "key", "first", "occurrence", "context"])
 
     schema = "anchor long, digest long, key long, first long, occurrence long, context binary"
-    places = cut(texts.select("key", "pair", "text").mapInArrow(cover, schema), "substrings-contexts")
+    places = cut(chosen.select("key", "id", "text").mapInArrow(cover, schema), "substrings-contexts")
     contexts = places.groupBy("anchor", "digest").agg((F.min("occurrence") != F.max("occurrence")).alias("many"), F.max("context").alias("context"))
     contexts = cut(contexts.join(common, "anchor", "left_semi"), "substrings-distinct")
     spans = spans_of(contexts, length, shard_bytes, crowd)
