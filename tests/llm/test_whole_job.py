@@ -1,10 +1,17 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import substring_dedup
+from timeloom.llm import substring_dedup, suffix_tree_lm
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def by_id(df):
@@ -35,3 +42,11 @@ def test_substrings_of_texts_whose_keys_look_like_a_copy(spark):
     rows = [(i, t) for i, t in enumerate(copied + copied)] + [(1000, alike), (1001, prose(5, 20) + " " + shared)]
     got = by_id(substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got[1000].n_removed >= len(shared) and got[1001].n_removed >= len(shared)
+
+
+def test_scores_do_not_depend_on_the_head(docs):
+    whole, small = (by_id(suffix_tree_lm.score(docs, head_words=n)) for n in (1 << 19, 200))
+    assert len(whole) == len(small)
+    for i, r in whole.items():
+        assert small[i].n_known == r.n_known
+        assert math.isclose(small[i].score, r.score, rel_tol=1e-9, abs_tol=1e-9)

@@ -6,8 +6,7 @@ shuffle sums them. A context of 1 to ``DEPTH`` symbols is kept if it makes up at
 its next-symbol distribution diverges from that of the context without its oldest symbol; the contexts that a kept one
 ends in are kept too. Distributions are smoothed towards the shorter context's, down to the uniform one. A symbol's
 probability is that of the longest kept context before it, and a token's spelling has the product of its symbols'. The
-model's probability of a token is the weighted mean of that and of the token's share among the training tokens, which
-counts for the frequent words below.
+model's probability of a token is the weighted mean of that and of the token's share among the training tokens.
 
 ``least_share`` bounds the tree: each depth has at most ``1 / least_share`` contexts whatever the corpus, so the tree may be
 handed to every task. Word counts have no such bound: the most frequent ``head_words`` go to every task, and what isn't
@@ -246,7 +245,7 @@ def score(docs: DataFrame, least_share: float = 1e-5, least_divergence: float =
     head = vocabulary.filter(F.col("n") >= least).toArrow().sort_by("key")
     shared = spark.sparkContext.broadcast((head["key"].to_numpy().copy(), head["n"].to_numpy().copy(), tree))
     del head, tree
-    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, row long, n_tokens long, head_known long, head_score double, score double, tail array<long>").fields])
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, row long, n_tokens long, head_known long, head_score double, head_mixed double, tail array<struct<key: long, spelling: double>>").fields])
 
     def run(batches):
         from pyspark import TaskContext
@@ -274,17 +273,28 @@ def score(docs: DataFrame, least_share: float = 1e-5, least_divergence: float =
                 # words outside a head that holds all words are unknown; else the join knows
                 outside = np.zeros(0, np.int64) if whole else np.flatnonzero(~inside[flat])
                 cuts = np.concatenate([np.searchsorted(outside, starts), [len(outside)]])
-                tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys[flat[outside]], pa.int64()))
                 share = shares[np.where(inside, place, -1)]
-                each = np.logaddexp(share[flat], tree.spellings(split) * np.log(10) + np.log(spelled)) / np.log(10)
+                spelling = tree.spellings(split) * np.log(10) + np.log(spelled)
+                each = np.logaddexp(share[flat], spelling) / np.log(10)
+                # the spelling goes along, for the share that the join finds
+                tail = pa.StructArray.from_arrays([pa.array(keys[flat[outside]], pa.int64()), pa.array(spelling[outside], pa.float64())], ["key", "spelling"])
+                tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tail)
                 made = [part.column(0), part.column(1), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(known), pa.array(np.add.reduceat(value[flat], starts)), pa.array(np.add.reduceat(each, starts)), tail]
                 row += len(n)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, target)], schema=target)
 
     scored = cut(docs.select("doc_id", F.coalesce(_held(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, full), "lm-scores")
-    tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("uses"))
-    found = tail.join(vocabulary.filter(F.col("n") < least), "key").groupBy("row").agg(F.sum("uses").alias("tail_known"), F.sum(F.col("uses") * F.log10(F.col("n") + F.lit(1.0))).alias("tail_score"))
+    tail = scored.select("row", F.explode("tail").alias("use")).groupBy("row", F.col("use.key").alias("key")).agg(F.count(F.lit(1)).alias("uses"), F.sort_array(F.collect_list("use.spelling")).alias("spellings"))
+    share = F.log(F.lit(1 - spelled) * F.col("n") / F.lit(max(1, n_all)))
+
+    def gained(total, x):
+        """What the word's share adds to the log of a spelling alone."""
+        return total + F.greatest(share - x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(share - x)))
+
+    mixed = F.aggregate("spellings", F.lit(0.0), gained) / F.lit(float(np.log(10)))
+    known = tail.join(vocabulary.filter(F.col("n") < least), "key").select("row", "uses", "n", mixed.alias("mixed"))
+    found = known.groupBy("row").agg(F.sum("uses").alias("tail_known"), F.sum(F.col("uses") * F.log10(F.col("n") + F.lit(1.0))).alias("tail_score"), F.sum("mixed").alias("tail_mixed"))
     made = scored.drop("tail").join(found, "row", "left")
     each = F.lit(float(np.log10(n_all + n_words + 1)))
     base = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * each
-    return made.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return made.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("head_mixed") + F.coalesce("tail_mixed", F.lit(0.0))).alias("score"))
