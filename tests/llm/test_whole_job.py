@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import substring_dedup, suffix_tree_lm
+from timeloom.llm import decontamination, substring_dedup, suffix_tree_lm
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,17 @@ def test_scores_do_not_depend_on_the_head(docs):
     for i, r in whole.items():
         assert small[i].n_known == r.n_known
         assert math.isclose(small[i].score, r.score, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_items_of_one_template_and_short_items(spark):
+    pears = "a basket in the old kitchen holds 5 apples and {} pears so how many fruits are in the basket now"
+    items = [(1, pears.format(5)), (2, pears.format(6)), (3, pears.format(6)), (4, "name the largest lake of northern europe today"), (5, "purple otters juggle"), (6, "12 7 Oslo 9 31 Rome 4 18 Bern 22 5 lakes")]
+    texts = [prose(10 + i, 30) + f" {t} " + prose(30 + i, 30) for i, (_, t) in enumerate(items)]
+    texts += [prose(50, 30), "purple otters never juggle", "12 7 Oslo 9 31 Rome 4 18 Bern 22 6 lakes"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.pairs(docs, benchmark).collect()}
+    # a text with one number twice is a copy of items with two numbers too, but not the other way round
+    assert set(got) == {(1, 1), (1, 2), (2, 2), (3, 2), (4, 4), (5, 5), (6, 6)}
+    assert [got[p].same_values for p in ((1, 1), (1, 2), (2, 2), (3, 2), (5, 5))] == [True, False, True, True, True]
+    assert {r.doc_id for r in decontamination.clean(docs, benchmark).collect()} == {7, 8, 9}
