@@ -21,14 +21,32 @@ def vectorscope(pixels: DataFrame) -> DataFrame:
     return pair.groupBy(F.expr("u div 100").alias("bin_u"), F.expr("v div 100").alias("bin_v")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def previous(ids: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, ``frame_id`` and ``prev_id``, the largest smaller id of the key; the first id is left out.
+
+    Without a key, numeric ids are dealt into ranges of about the same size: lag inside each, and the first id of a
+    range follows the largest of the range before (one row a range).
+    """
+    if by:
+        return ids.withColumn("prev_id", F.lag("frame_id").over(Window.partitionBy(*by).orderBy("frame_id"))).filter("prev_id is not null")
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = ids.agg(F.percentile_approx("frame_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col("frame_id"))) if bounds else F.lit(0)
+    ids = ids.filter("frame_id is not null").withColumn("range", at)
+    ends = ids.groupBy("range").agg(F.max("frame_id").alias("end"))
+    before = ends.select("range", F.lag("end").over(Window.partitionBy().orderBy("range")).alias("before"))
+    lagged = ids.withColumn("lagged", F.lag("frame_id").over(Window.partitionBy("range").orderBy("frame_id")))
+    return lagged.join(before, "range").select("frame_id", F.coalesce("lagged", "before").alias("prev_id")).filter("prev_id is not null")
+
+
 def shot_distances(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Chi-squared distance of each frame's histogram to that of the frame before; bins empty in both are skipped.
 
-    Frames are ordered by id over the ids alone (one row a frame; give ``by`` to order within a key).
+    Frames are ordered by id (give ``by`` to order within a key).
     """
     by = by or []
     ids = hist.select(*by, "frame_id").distinct()
-    prev = ids.withColumn("prev_id", F.lag("frame_id").over(Window.partitionBy(*by).orderBy("frame_id"))).filter("prev_id is not null")
+    prev = previous(ids, by)
     size = hist.groupBy(*by, "frame_id").agg(F.sum("n").alias("size"))
     own = hist.join(prev, [*by, "frame_id"]).select(*by, "frame_id", "prev_id", "bin", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
     other = hist.withColumnRenamed("frame_id", "prev_id").join(prev, [*by, "prev_id"]).select(*by, "frame_id", "prev_id", "bin", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
