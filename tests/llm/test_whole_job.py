@@ -1,12 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import decontamination, substring_dedup, suffix_tree_lm
+from timeloom.llm import decontamination, secret_scan, substring_dedup, suffix_tree_lm
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,18 @@ def test_items_of_one_template_and_short_items(spark):
     assert set(got) == {(1, 1), (1, 2), (2, 2), (3, 2), (4, 4), (5, 5), (6, 6)}
     assert [got[p].same_values for p in ((1, 1), (1, 2), (2, 2), (3, 2), (5, 5))] == [True, False, True, True, True]
     assert {r.doc_id for r in decontamination.clean(docs, benchmark).collect()} == {7, 8, 9}
+
+
+@pytest.mark.parametrize("columns", [16, 20, 32, 64])
+@pytest.mark.parametrize("mark", ["", "  ", "\t", "> "])
+@pytest.mark.parametrize("size", [500, 499, 484])
+def test_wrapped_and_indented_keys(columns, mark, size):
+    def der(tag, content):
+        return bytes([tag, 0x82, *len(content).to_bytes(2, "big")]) + content
+
+    content = b"".join(bytes([0x02, 1, i]) for i in range(8))
+    key = der(0x30, content + der(0x02, random.Random(size).randbytes(size)))
+    letters = base64.b64encode(key).decode()
+    text = "key: |\n" + "".join(mark + letters[a : a + columns] + "\n" for a in range(0, len(letters), columns)) + mark + "-----END"
+    (a, b, kind), = [s for s in secret_scan.confirmed_spans(text)]
+    assert kind == "key" and text[a:b].strip().startswith(letters[:16]) and text[a:b].rstrip("=\n").endswith(letters.rstrip("=")[-4:])

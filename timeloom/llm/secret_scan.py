@@ -28,11 +28,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: JSON objects start with a brace and a quote or white space, hence these first letters.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}(?:[\r\n]+(?=[A-Za-z0-9+/_=-])|\\n)?)+={0,2}")
+#: Lines may be indented or quoted.
+BREAK = r"(?:[\r\n]+[\x20\t>]*|\\n[\x20\t>]*)"
+ENCODED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{BREAK}[A-Za-z0-9+/_-]{{16,}})*={{0,2}}")
 HEXED = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: The last line of a wrapped encoding may be short.
-LAST_LINE = re.compile(r"(?:[\r\n]+|\\n)[A-Za-z0-9+/_-]{1,15}={0,2}(?![A-Za-z0-9+/_=-])")
-#: Shorter encodings hold no private key, and encoders break lines no sooner than after 40 letters.
+LAST_LINE = re.compile(rf"{BREAK}[A-Za-z0-9+/_-]{{1,15}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+#: Encodings of fewer letters hold no private key.
 LEAST_ENCODED = 64
 Span = tuple[int, int, str]
 
@@ -46,6 +48,11 @@ def longest_run(text: str) -> int:
     return max(map(len, text.encode().translate(RUNS).split()), default=0)
 
 
+def long_run_letters(text: str) -> int:
+    """The letters in runs that may be a line of an encoding."""
+    return sum(n for n in map(len, text.encode().translate(RUNS).split()) if n >= 16)
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each base kind, those that are too short dropped."""
     found, lowered = [], text.lower()
@@ -141,14 +148,14 @@ def confirmed_spans(text: str) -> list[Span]:
     found = []
     if "ey" in text or "ew" in text:
         found += [(m.start(), m.end(), "token") for m in SIGNED.finditer(text) if is_token_header(m[1])]
-    if longest_run(text) < 40:
+    # all but the last line, of 15 letters at most
+    if long_run_letters(text) < LEAST_ENCODED - 15:
         return found
     for m in ENCODED.finditer(text):
-        if m.end() - m.start() < LEAST_ENCODED:
-            continue
         last = LAST_LINE.match(text, m.end())
         for end in [m.end(), last.end()] if last else [m.end()]:
-            data = unbase64(re.sub(r"[\r\n]+|\\n", "", text[m.start() : end]))
+            letters = re.sub(BREAK, "", text[m.start() : end])
+            data = unbase64(letters) if len(letters) >= LEAST_ENCODED else None
             kind = "key" if data and is_private_key(data) else "openssh" if data and is_openssh_key(data) else None
             if kind:
                 found.append((m.start(), end, kind))
