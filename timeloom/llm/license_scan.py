@@ -11,7 +11,9 @@ are searched whole, and only the neighbourhood of a seed is ever matched.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -28,6 +30,22 @@ NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     ("redistribution and use in source and binary forms with or without modification", "bsd", 6),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-2", 6),
+    ("licensed under the gnu general public license version 2", "gpl-2", 4),
+    ("licensed under the gnu lesser general public license", "lgpl", 5),
+    ("licensed under the gnu affero general public license", "agpl-3", 5),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 8),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by-4", 5),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4", 6),
+    ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc", 6),
+    ("has waived all copyright and related or neighboring rights to this work", "cc0", 6),
+    ("boost software license version 1 0", "bsl-1", 2),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib", 8),
+    ("made available under the terms of the eclipse public license", "epl-2", 5),
+    ("subject to the terms of the common development and distribution license", "cddl", 6),
+    ("licensed under the european union public licence", "eupl", 4),
+    ("distributed under the terms of the artistic license 2 0", "artistic-2", 4),
+    ("do what the fuck you want to public license", "wtfpl", 3),
 )
 
 
@@ -77,9 +95,19 @@ class Finder:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                # bounds of the search, not a slice: what stands before and after still counts for the word borders
-                found += [(n, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[n].finditer(text, max(0, a), min(len(text), b))]
-        return sorted(found)
+                # the neighbourhood starts and ends at borders of words, so that a match can't end inside one
+                a, b = text.rfind(" ", 0, max(0, a)) + 1, text.find(" ", b)
+                found += [(n, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[n].finditer(text, a, len(text) if b < 0 else b)]
+        return sorted(m for m in set(found) if m[0] < len(PHRASES)) + self.best([m for m in set(found) if m[0] >= len(PHRASES)])
+
+    def best(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of matches that overlap, that with the least share of edits (then the longest): one place has one notice."""
+        kept: list[tuple[int, int, int, int]] = []  # start, end, notice, edits; by start
+        for n, a, b, e in sorted(found, key=lambda m: (m[3] / len(self.notices[m[0]][0]), m[1] - m[2], m[1], m[0])):
+            at = bisect_right(kept, (a,))
+            if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+                kept.insert(at, (a, b, n, e))
+        return sorted((n, a, b, e) for a, b, n, e in kept)
 
 
 @cache
@@ -101,9 +129,11 @@ def scan(docs: DataFrame) -> DataFrame:
             joined = b" ".join(words).decode()
             places = find.find(joined)
             base = [(n, a, b) for n, a, b, _ in places if n < len(PHRASES)]
-            starts = [joined.count(" ", 0, a) for _, a, _ in base]
+            # a place's word is found among the ends of all words
+            ends = list(accumulate(len(w) + 1 for w in joined.split(" "))) if places else []
+            starts = [bisect_right(ends, a) for _, a, _ in base]
             score = max((1 - e / len(find.notices[n][0]) for n, _, _, e in places), default=0.0)
-            spans = ",".join(f"{find.notices[n][1]}:{joined.count(' ', 0, a)}:{joined.count(' ', 0, b) + 1}:{e}" for n, a, b, e in places if n >= len(PHRASES))
+            spans = ",".join(f"{find.notices[n][1]}:{bisect_right(ends, a)}:{bisect_right(ends, b - 1) + 1}:{e}" for n, a, b, e in places if n >= len(PHRASES))
             name = lambda found: ",".join(sorted({find.notices[x[0]][1] for x in found}))
             rows.append((len(words), len(base), min(starts, default=None), max(starts, default=None), name(base), name(places), score, spans))
         return [list(c) for c in zip(*rows)] if rows else [[]] * 8
