@@ -24,10 +24,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: computed once, and safe against lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/timeloom/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it again: computed once, and safe against lost executors.
+
+    What a session wrote stays until ``discard`` or ``clear``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/timeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that no later plan reads."""
+    for df in tables:
+        if path := df.__dict__.get("_written"):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that ``cut`` wrote in this session; call it when the results have been read."""
+    _delete(spark, f"{shared_folder(spark)}/timeloom/{spark.sparkContext.applicationId}")
 
 
 def let(value: Column, body) -> Column:
@@ -86,12 +109,25 @@ def map_texts(docs: DataFrame, keep: list[str], make, schema: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, full)
 
 
-def bounded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, n: int, seed: int, by: str | None = None) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of ``key``: the same ones each time, from all parts of the table.
 
-    The count lets each task drop what can't be among the chosen, so that little reaches the final choice.
+    With ``by`` each of its values gets an equal share of the ``n`` rows, however rare it is. Counts let each task drop what
+    can't be among the chosen, so that little reaches the final choice.
     """
-    h, total, wide = F.xxhash64(key, F.lit(seed)), df.count(), 1 << 40
-    if total > 8 * n:
-        df = df.filter(F.pmod(h, F.lit(wide)) < int(wide * 4 * n / total))
-    return df.orderBy(F.pmod(h, F.lit(wide)), key).limit(n)
+    h, wide = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)), 1 << 40
+    if by is None:
+        total = df.count()
+        if total > 8 * n:
+            df = df.filter(h < int(wide * 4 * n / total))
+        return df.orderBy(h, key).limit(n)
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_of"))
+    share = max(1, n // max(1, counts.count()))
+    df = df.join(counts, by).filter(h < F.greatest(F.lit(40.0), F.lit(4.0 * share)) * wide / F.col("_of"))
+    turn = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
+    return df.withColumn("_turn", turn).filter(F.col("_turn") <= share).drop("_turn", "_of").limit(n)
+
+
+def slice_of(text: str, most_chars: int, seed: int) -> Column:
+    """A text of at most ``most_chars`` characters: the whole, or as much from a place that a hash chooses."""
+    return F.substring(F.col(text), 1 + F.pmod(F.xxhash64(text, F.lit(seed)), F.greatest(F.lit(1), F.length(text) - most_chars + 1)).cast("int"), F.lit(most_chars))

@@ -2,11 +2,13 @@
 
 Two recurrent passes, one from each end, label every byte position with language probabilities; a document's
 probabilities are their mean over all of its positions. The network is trained in numpy by backpropagation through time
-on windows of a bounded sample of labelled rows. Texts are read in windows of ``STEPS`` bytes, many at a time.
+on windows of a bounded sample of labelled rows, of each language alike. Texts are read in windows of ``STEPS`` bytes, many at
+a time.
 
 Defined results: a null text and one without a letter get ``und`` with score 0; repeated rows and null ids give a row
 each (a null id is never held out nor learned from); an empty table gives an empty result; without labelled rows every
-language is ``und``; other columns are ignored; texts of any length are read whole.
+language is ``und``; of equal probabilities the language first in code-point order is given; labelled rows shorter than a
+window of the training are learned too; other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import bounded_sample, map_texts
+from timeloom.llm._shared import bounded_sample, map_texts, slice_of
 
 STEPS = 96
 HIDDEN = 12
@@ -142,8 +144,9 @@ def train(texts: list[str], langs: list[str], rounds: int = 260, columns: int =
         inputs[:, h : 2 * h] -= 0.5
         arrays += [inputs.astype(np.float32), rng.normal(0, 0.8 / np.sqrt(h), (3 * h, h)).astype(np.float32)]
     arrays += [rng.normal(0, 0.3, (n, 2 * h)).astype(np.float32), np.zeros((n, 1), np.float32)]
-    by = [[np.frombuffer(t.encode(), np.uint8) for t, name in zip(texts, langs) if name == x and len(t.encode()) >= steps] for x in names]
-    by = [(np.concatenate(b) if b else np.zeros(steps, np.uint8)) for b in by]
+    # the texts of a language are one stream; a language of a few bytes is told over and over
+    by = [np.frombuffer(b" ".join(t.encode() for t, name in zip(texts, langs) if name == x) + b" ", np.uint8) for x in names]
+    by = [b if len(b) >= steps else np.resize(b, steps) for b in by]
     means, squares = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
     for k in range(1, rounds + 1):
         label = rng.integers(0, n, columns)
@@ -172,11 +175,15 @@ def train(texts: list[str], langs: list[str], rounds: int = 260, columns: int =
 
 
 def learned(docs: DataFrame, most_rows: int = 2000, most_chars: int = 6000, **training) -> Network | None:
-    """A network trained on at most ``most_rows`` rows of at most ``most_chars`` characters (at most 12 MB, on the driver): those with a language whose id's checksum isn't 0 modulo 5. None if there are none."""
+    """A network trained on at most ``most_rows`` rows, equally many of each language, of each at most ``most_chars`` characters (12 MB at most, on the driver).
+
+    Only rows with a language whose id's checksum isn't 0 modulo 5 are learned from. None if there are none.
+    """
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    chosen = docs.filter((part != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    ids = bounded_sample(chosen.select("doc_id"), "doc_id", most_rows, 23).withColumnRenamed("doc_id", "_doc").distinct()
-    rows = chosen.join(ids, chosen["doc_id"] == ids["_doc"], "left_semi").filter(F.length("text") <= most_chars).select("text", "lang", F.xxhash64("doc_id", "text").alias("o"))
+    chosen = docs.filter((part != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    ids = bounded_sample(chosen.select("doc_id", "lang"), "doc_id", most_rows, 23, "lang").select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang")).distinct()
+    rows = chosen.join(F.broadcast(ids), (chosen["doc_id"] == F.col("_doc")) & (chosen["lang"] == F.col("_lang")), "left_semi")  # most_rows ids at most
+    rows = rows.select(slice_of("text", most_chars, 23).alias("text"), "lang", F.xxhash64("doc_id", "text").alias("o"))
     rows = rows.orderBy("o", "text", "lang").limit(most_rows).collect()
     return train([r.text for r in rows], [r.lang for r in rows], **training) if rows else None
 
@@ -204,7 +211,11 @@ def identify(docs: DataFrame, keep: list[str] | None = None, **options) -> DataF
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
-    """The documents, with all their columns, that have letters and a language with at least ``min_score``."""
+    """The documents, with all their columns, that have letters and a language with at least ``min_score``.
+
+    Defined results: null, empty and letterless texts go; repeated rows and null ids stay or go by their text; without
+    labelled rows nothing is known, so nothing stays; an empty table gives an empty one; extra columns may have any names.
+    """
     packed = docs.select("doc_id", "lang", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     made = identify(packed, ["_row"], **options)
     return made.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
