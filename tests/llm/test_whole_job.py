@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import decontamination, secret_scan, substring_dedup, suffix_tree_lm
+from timeloom.llm import decontamination, language_id, license_scan, quality_rules, secret_scan, substring_dedup, subword_quality, suffix_tree_lm
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,50 @@ def test_wrapped_and_indented_keys(columns, mark, size):
     text = "key: |\n" + "".join(mark + letters[a : a + columns] + "\n" for a in range(0, len(letters), columns)) + mark + "-----END"
     (a, b, kind), = [s for s in secret_scan.confirmed_spans(text)]
     assert kind == "key" and text[a:b].strip().startswith(letters[:16]) and text[a:b].rstrip("=\n").endswith(letters.rstrip("=")[-4:])
+
+
+def test_common_lines_weigh_by_use_and_copies_count(spark):
+    own = lambda i: "\n".join(f"{prose(900 + 10 * i + k, 20)}" for k in range(3))
+    footer = "all rights reserved by the operators of this page 2024"
+    rows = [(i, own(i) + "\n" + "\n".join([footer] * (40 if i == 0 else 1)), "a") for i in range(120)]
+    rows += [(200 + i, own(500) + "\n" + own(501), "b") for i in range(101)] + [(400, own(600), "b"), (401, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rid", F.lit(5)).withColumn("host", F.lit("h"))
+    got = by_id(quality_rules.judge(docs))
+    assert got[0].share_left < 0.5 and not got[0].kept
+    assert all(got[i].share_left > 0.5 and got[i].kept for i in range(1, 120))
+    assert all(got[200 + i].share_left == 0 for i in range(101)) and got[400].share_left == 1 == got[401].share_left
+    text = by_id(quality_rules.without_common_lines(docs))
+    assert text[5].text == own(5) and text[0].text == own(0) and text[200].text == "" and text[400].text == own(600) and text[401].text is None
+    assert text[5].rid == 5 and text[5].host == "h"
+
+
+def test_long_texts_score_alike_in_any_pieces():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = subword_quality.Model(rng.normal(size=subword_quality.BUCKETS).astype(np.float32), 0.25)
+    text = " ".join(random.Random(8).choice(["the", "the", "a  b", "x" * 70, "été", "Word\n"]) for _ in range(4000))
+    whole = model.margin(text, 1 << 30)
+    assert all(math.isclose(model.margin(text, n), whole, rel_tol=1e-9) for n in (1, 7, 100, 4096))
+    got = model.margins([text[:40], None, text, "the", "the", text[:99]], 1 << 18)
+    assert np.allclose(got, [model.margin(t, 1 << 30) for t in (text[:40], None, text, "the", "the", text[:99])], rtol=1e-9)
+
+
+def test_short_and_rare_languages_are_learned(spark):
+    words = {"en": "the with and of from", "de": "und der nicht mit aus", "fr": "les des avec pour dans"}
+    rows = [(i, " ".join(random.Random(i).sample(words[x].split(), 4)), x) for i in range(400) for x in [("en", "en", "en", "de")[i % 4]]]
+    rows += [(1000 + i, words["fr"][:17], "fr") for i in range(4)] + [(2000 + i, words[x], None) for i, x in enumerate(words)]
+    got = by_id(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=60))
+    assert [got[2000 + i].lang_pred for i in range(3)] == list(words)
+
+
+def test_licenses_end_at_words(spark):
+    find = license_scan.Finder()
+    for text in ("licensed under cc by nc 4 0abcdefg", "released under the mit licenseexyzabc", "xyzreleased under the mit licenseabc"):
+        for n, a, b, edits in find.find(text):
+            notice, _, k = find.notices[n]
+            assert text[a - 1 : a] in ("", " ") and text[b : b + 1] in ("", " ") and edits <= k
+    assert find.find("released under the mit licenseexyzabc") == []
+    long = "word " * 40_000 + "released under the mitt license " + "word " * 40_000
+    row = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert license_scan.scan(row).collect()[0].spans == "mit:40000:40005:1"

@@ -7,7 +7,7 @@ fold into one number for scoring, so that whole texts are scored by a few array
 
 Defined results: a null or empty text has no features and gets the softmax of the biases alone; repeated rows and null
 ids give a row each (a null id is never held out nor learned from); an empty table gives an empty result; without any
-labelled rows every score is 0.5; other columns are ignored.
+labelled rows every score is 0.5; an id that ``labels`` marks in both ways is not learned from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import bounded_sample, map_texts
+from timeloom.llm._shared import bounded_sample, map_texts, slice_of
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -27,9 +27,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint32(0x9E3779B1)
 
 
-def features(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(raw: np.ndarray, bounds: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """``(places, buckets)`` for words and for each length of n-grams; a place is a byte's index in ``raw``.
 
+    ``raw`` may hold many texts that begin and end with a space; ``bounds`` are their places.
+
     Words are runs without white space; their n-grams reach over the white space before and after, so that beginnings
     and ends count as such. Letters A-Z are lowered.
     """
@@ -57,8 +59,9 @@ def features(raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         word[space] = 0
         total = np.add.reduceat(word, starts).astype(np.uint32) + (ends - starts).astype(np.uint32)
         out.append((starts, ((total ^ (total >> np.uint32(13))) * _MIX) >> np.uint32(14)))
+        owner = np.searchsorted(bounds, starts, "right") if bounds is not None else np.zeros(len(starts), np.int64)
         for back in REPEATS:
-            at = starts[back:][total[back:] == total[:-back]]
+            at = starts[back:][(total[back:] == total[:-back]) & (owner[back:] == owner[:-back])]
             out.append((at, np.full(len(at), back, np.uint32)))
     return out
 
@@ -74,13 +77,24 @@ class Model:
         self.table, self.bias = table, bias
 
     def margin(self, text: str | None, chunk: int = 1 << 20) -> float:
-        total, count, raw = 0.0, 0, _bytes(text)
-        for at in range(0, len(raw), chunk):  # long texts in pieces that overlap by the longest n-gram
-            part = raw[at : at + chunk + max(GRAMS) - 1]
-            for places, buckets in features(part):
-                buckets = buckets[places < chunk] if len(part) > chunk else buckets
-                total += float(self.table[buckets].sum(dtype=np.float64))
-                count += len(buckets)
+        """One text, in pieces of about ``chunk`` bytes; the same for any ``chunk``.
+
+        A piece starts with the last ``max(REPEATS)`` words of the one before, whose own features are left out, and pieces
+        part at white space, so that no word is cut.
+        """
+        total, count, raw, at, before = 0.0, 0, _bytes(text), 0, 0
+        spaces = np.flatnonzero(_SPACE[raw])
+        while at < len(raw) - 1:
+            end = int(spaces[min(len(spaces) - 1, np.searchsorted(spaces, at + chunk))])
+            for places, buckets in features(raw[before : end + 1]):
+                # the space at the end is the next piece's first
+                own = buckets[(places >= at - before) & (places < end - before)]
+                total += float(self.table[own].sum(dtype=np.float64))
+                count += len(own)
+            words = np.flatnonzero(_SPACE[raw[at:end]] & ~_SPACE[raw[at + 1 : end + 1]])
+            if len(words) >= max(REPEATS):
+                before = at + int(words[-max(REPEATS)])
+            at = end
         return self.bias + total / max(1, count)
 
     def margins(self, texts: list[str | None], chunk: int = 1 << 18) -> np.ndarray:
@@ -106,7 +120,7 @@ class Model:
         raw = np.concatenate(parts)
         bounds = np.cumsum([0] + [len(p) for p in parts])
         total, count = np.zeros(len(parts)), np.zeros(len(parts))
-        for places, buckets in features(raw):
+        for places, buckets in features(raw, bounds):
             owner = np.searchsorted(places, bounds)
             sums = np.concatenate([[0.0], np.cumsum(self.table[buckets], dtype=np.float64)])
             total += sums[owner[1:]] - sums[owner[:-1]]
@@ -152,17 +166,17 @@ def held(modulus: int, remainder: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int) -> list[tuple[str | None, int]]:
-    """At most ``most_rows`` labelled rows of at most ``most_chars`` characters, chosen by a hash of the id."""
-    known = labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    """At most ``most_rows`` labelled rows, chosen by a hash of the id, of each at most ``most_chars`` characters."""
+    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("_most")).filter("label = _most").drop("_most")
     known = bounded_sample(known.filter(~held(3, 1)), "doc_id", most_rows, 11)
-    rows = docs.filter(F.length("text") <= most_chars).select("doc_id", "text").join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    rows = docs.select("doc_id", slice_of("text", most_chars, 11).alias("text")).join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text")
     return [(r.text, r.label) for r in rows.limit(most_rows).collect()]
 
 
 def score(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, most_chars: int = 6000, **training) -> DataFrame:
     """``doc_id, held_out, score, predicted, margin``.
 
-    Learned from at most ``most_rows`` labelled rows that aren't held out and have at most ``most_chars`` characters:
+    Learned from at most ``most_rows`` labelled rows that aren't held out, of each at most ``most_chars`` characters:
     a bounded sample, at most 15 MB, that fits the driver.
     """
     rows = sample(docs, labels, most_rows, most_chars)
