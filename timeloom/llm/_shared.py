@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of every operator that counts plain words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a bit map of hashes, as a power of two: 8 MB, whatever the input.
+BIT_MAP = 26
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -109,6 +112,46 @@ def map_texts(docs: DataFrame, keep: list[str], make, schema: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, full)
 
 
+def groups(column, most: int = 2_000_000):
+    """Rows of a string column in runs of at most ``most`` bytes, or one row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, column.slice(at, end - at).to_pylist()
+        at = end
+
+
+def bit_map(keys: DataFrame, column: str = "key", bits: int = BIT_MAP) -> np.ndarray:
+    """A map of ``2 ** bits`` bits of the hashes in ``column``, gathered in pieces of at most 8 KB."""
+    low = keys.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("low")).distinct()
+    pieces = low.groupBy(F.shiftright("low", 16).alias("piece")).agg(F.collect_list(F.col("low").bitwiseAND(F.lit(65535)).cast("int")).alias("at"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for at in batch.column(1):
+                piece = np.zeros(1 << 13, np.uint8)
+                at = np.array(at.values, np.int64)
+                np.bitwise_or.at(piece, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                made.append(piece.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["piece", "bytes"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in pieces.mapInArrow(pack, "piece long, bytes binary").toLocalIterator():
+        out[row.piece << 13 : (row.piece + 1) << 13] = np.frombuffer(row.bytes, np.uint8)
+    return out
+
+
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, seed: int, by: str | None = None) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of ``key``: the same ones each time, from all parts of the table.
 

@@ -30,12 +30,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import cut
+from timeloom.llm._shared import bit_map, cut, in_map
 
 GRAM = 32
 #: Positions of one piece of a text; pieces overlap so that no window is lost.
 PIECE = 1 << 19
-BIT_MAP = 26
 SEPARATOR = 0xFF  # in no UTF-8 text
 _ODD = [np.uint64(x * 2 + 1) for x in np.random.default_rng(77).integers(1 << 61, 1 << 62, 6).tolist()]
 
@@ -77,37 +76,6 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(map(np.concatenate, zip(*found)))
 
 
-# ---- bit maps
-
-
-def bit_map(keys: DataFrame, column: str = "key", bits: int = BIT_MAP) -> np.ndarray:
-    """A map of ``2 ** bits`` bits of the hashes in ``column``, gathered in pieces of at most 8 KB."""
-    low = keys.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("low")).distinct()
-    pieces = low.groupBy(F.shiftright("low", 16).alias("piece")).agg(F.collect_list(F.col("low").bitwiseAND(F.lit(65535)).cast("int")).alias("at"))
-
-    def pack(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            made = []
-            for at in batch.column(1):
-                piece = np.zeros(1 << 13, np.uint8)
-                at = np.array(at.values, np.int64)
-                np.bitwise_or.at(piece, at >> 3, (1 << (at & 7)).astype(np.uint8))
-                made.append(piece.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["piece", "bytes"])
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in pieces.mapInArrow(pack, "piece long, bytes binary").toLocalIterator():
-        out[row.piece << 13 : (row.piece + 1) << 13] = np.frombuffer(row.bytes, np.uint8)
-    return out
-
-
-def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
-    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 # ---- suffix arrays
 
 
@@ -314,7 +282,7 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crow
 
         def make(key, id_, data):
             code, first, last = anchors(data, length)
-            own = np.flatnonzero(_in(anchor_map.value, code))
+            own = np.flatnonzero(in_map(anchor_map.value, code))
             if not len(own):
                 return []
             code, first, last = code[own].view(np.int64), first[own], last[own]

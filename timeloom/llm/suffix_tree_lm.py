@@ -1,300 +1,260 @@
-"""Language-model scores: a probabilistic suffix tree over bytes, beside add-one word counts.
+"""Language-model scores: a probabilistic suffix tree over words, beside add-one word counts.
 
-A text's tokens are its words (A-Z lowered) and one end. The tree's symbols are bytes: a word is spelled by its own and
-a space, the end by a byte of its own. One pass over the training rows counts words and runs of ``DEPTH + 1`` symbols in each task, and a
-shuffle sums them. A context of 1 to ``DEPTH`` symbols is kept if it makes up at least ``least_share`` of all places and
-its next-symbol distribution diverges from that of the context without its oldest symbol; the contexts that a kept one
-ends in are kept too. Distributions are smoothed towards the shorter context's, down to the uniform one. A symbol's
-probability is that of the longest kept context before it, and a token's spelling has the product of its symbols'. The
-model's probability of a token is the weighted mean of that and of the token's share among the training tokens.
+A text's tokens are its words (A-Z lowered) and one end. The root of the tree is the add-one distribution of tokens; a
+state is a context of one to ``depth`` tokens. Runs of tokens are counted level by level over all training texts; a run is
+counted only if both runs of one token less in it occur twice or more. A next token is kept in a context if it stands there
+twice or more and its share diverges from what the shorter context gives it (``n * log(ratio) >= least_gain``), and a context
+is a state if it keeps a token. A state's distribution is smoothed towards the shorter context's: what its kept tokens leave,
+and ``strength`` more, goes to the shorter context. A token's probability is that of the longest state before it.
 
-``least_share`` bounds the tree: each depth has at most ``1 / least_share`` contexts whatever the corpus, so the tree may be
-handed to every task. Word counts have no such bound: the most frequent ``head_words`` go to every task, and what isn't
-among them is joined with the table of all words.
+So the log probability of a text is a sum over its runs: each token adds its share at the root, each context that is a state
+adds the log of what it leaves to the shorter one, and each kept run adds what it gains over that. The model is a table
+of such addends by run, as large as the corpus makes it, and scoring is a join of runs with it. A bounded number of the most
+frequent runs goes to every task, and a bit map of fixed size tells which runs have an addend; what is left is joined. Neither
+bound changes a score.
 
 Defined results: a null text counts as empty (one token, the end); repeated rows and null ids give a row each (a null
 id is never held out nor learned from); an empty table gives an empty result; without training rows counts are 0 and
-every symbol is equally likely; other columns are ignored; texts of any length are scored whole.
+every token is as likely as an unknown one; other columns are ignored; texts of any length are scored whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from timeloom.llm._shared import cut
+from timeloom.llm._shared import bit_map, cut, groups, in_map
 
-DEPTH = 5
-#: Contexts of up to so many symbols are looked up at once, older symbols one by one.
-NEAR = 4
-#: Bytes that no UTF-8 text has: before a text's first symbol, and its end. As a word, the end is a line feed.
-PAD, END, END_WORD = 0xFF, 0xFE, b"\n"
-SYMBOLS = 64
-WORDS, RUNS = 0, 1
+#: A byte that no UTF-8 text has stands for the end.
+END = 0xFE
+#: Bytes that are hashed at once, and runs that a task holds before it hands them on.
+PIECE, HELD = 1 << 21, 2_000_000
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\v\f\r" else b for b in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    # only these six bytes part words; bytes.split() would part at no others once they are spaces
-    return [w for w in (text or "").encode().translate(_TABLE).split(b" ") if w]
-
-
-def symbols_of(texts_words: list[list[bytes]]) -> np.ndarray:
-    return np.frombuffer(b"".join([b"%b%b%b%c" % (bytes([PAD]) * DEPTH, b" ".join(w), b" " if w else b"", END) for w in texts_words]), np.uint8)
-
-
-def runs_of(raw: np.ndarray) -> np.ndarray:
-    """For each symbol that isn't padding: it and the ``DEPTH`` before it as one number, itself lowest."""
-    wide = raw.astype(np.int64)
-    code = wide[DEPTH:].copy()
-    for j in range(1, DEPTH + 1):
-        code |= wide[DEPTH - j : len(wide) - j] << (8 * j)
-    return code[raw[DEPTH:] != PAD]
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    h = xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def counted(training: DataFrame, flush: int = 200_000) -> DataFrame:
-    """``kind, key, n``: counts of words (by hash) and of runs over the rows of ``training``."""
+_PLACES = np.random.default_rng(41).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * _P2
+    x = (x ^ x >> np.uint64(29)) * _P3
+    return x ^ x >> np.uint64(32)
+
+
+def run_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(context, suffix)`` of two longs."""
+    h = np.uint64(42)
+    for x in (context, suffix):
+        h = (h + _P5 + np.uint64(8)) ^ _turned(x * _P2, 31) * _P1
+        h = _mixed(_turned(h, 27) * _P1 + _P4)
+    return h
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens in a row, and which are ends of a text."""
+    joined, at, hashes, ends = b"".join(b"%b %c " % ((t or "").encode().translate(_TABLE), END) for t in texts), 0, [], []
+    while at < len(joined):
+        raw = np.frombuffer(joined, np.uint8, joined.index(b" ", min(at + PIECE, len(joined) - 1)) + 1 - at, at)
+        at += len(raw)
+        space = raw == 32
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if not len(starts):
+            continue
+        first = np.concatenate([[0], starts])
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(np.concatenate([first, [len(raw)]])))
+        word = (raw.astype(np.uint64) + np.uint64(1)) * (_PLACES[place & 1023] + (place >> 10).astype(np.uint64) * _P3)
+        word[space] = 0
+        hashes.append(_mixed(np.add.reduceat(word, starts)))
+        ends.append(raw[starts] == END)
+    return (np.concatenate(hashes), np.concatenate(ends)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, bool))
+
+
+def runs(hashes: np.ndarray, ends: np.ndarray, most: int):
+    """For each length from 2 to ``most``: contexts, suffixes and keys of the runs from each token on, and which runs lie in one text."""
+    keys, whole = hashes, None
+    for _ in range(2, most + 1):
+        context, suffix = keys[:-1], keys[1:]
+        whole = ~ends[:-1] if whole is None else whole[:-1] & whole[1:]
+        keys = run_key(context, suffix) if len(context) else context
+        yield context, suffix, keys, whole
+
+
+class Tally:
+    """Counts of runs by key, with what else is known of them."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> None:
+        keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((keys, *(c[at] for c in columns), n))
+        self.size += len(keys)
+
+    def taken(self) -> tuple[np.ndarray, ...]:
+        """All but the keys."""
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        self.parts, self.size = [], 0
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+        return *(c[first] for c in columns[1:-1]), np.add.reduceat(columns[-1], first)
+
+
+def counted(training: DataFrame, level: int, twice: np.ndarray | None = None) -> DataFrame:
+    """``context, suffix, n`` of the runs of ``level`` tokens, at level 2 also of single tokens (``context`` 0).
+
+    ``twice``: a bit map of the runs of one token less that occur twice or more.
+    """
     import pyarrow as pa
 
-    def run(batches):
-        tally, parts, waiting = Counter(), [], 0
+    shared = training.sparkSession.sparkContext.broadcast(twice)
 
-        def rows(kind, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
+    def run(batches):
+        tally = Tally()
 
-        def words():
-            return rows(WORDS, np.array([_hash(w) for w in tally], np.int64), np.array(list(tally.values()), np.int64))
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in tally.taken()], names=["context", "suffix", "n"])
 
         for batch in batches:
-            texts = batch.column(0)
-            step = max(1, int(len(texts) * min(1.0, 2_000_000 / max(1, texts.nbytes))))
-            for at in range(0, len(texts), step):
-                split = [words_of(t) for t in texts.slice(at, step).to_pylist()]
-                for w in split:
-                    tally.update(w)
-                tally[END_WORD] += len(split)
-                if len(tally) > flush:
-                    yield words()
-                    tally.clear()
-                codes = np.sort(runs_of(symbols_of(split)))
-                first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-                parts.append((codes[first], np.diff(np.concatenate([first, [len(codes)]]))))
-                waiting += len(first)
-                if waiting > 1_000_000:
-                    parts = [_summed(*map(np.concatenate, zip(*parts)))]
-                    waiting = len(parts[0][0])
-                    if waiting > 700_000:
-                        yield rows(RUNS, *parts.pop())
-                        waiting = 0
-        if tally:
-            yield words()
-        if parts:
-            yield rows(RUNS, *_summed(*map(np.concatenate, zip(*parts))))
-
-    made = training.select("text").mapInArrow(run, "kind int, key long, n long")
-    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def contexts(runs: DataFrame, least_share: float, least_divergence: float) -> pd.DataFrame:
-    """``depth, context, symbol, n`` of the kept contexts (the empty one included) from counts of whole runs (``key, n``).
-
-    Each depth is written once, so that plans stay small; ``least_share`` bounds what is collected.
+            for _, texts in groups(batch.column(0)):
+                hashes, ends = tokens(texts)
+                if level == 2:
+                    tally.add(hashes, np.zeros(len(hashes), np.uint64), hashes)
+                *_, (context, suffix, keys, own) = runs(hashes, ends, level)
+                if shared.value is not None:
+                    near = in_map(shared.value, context) if len(context) else own
+                    own = own & near & (in_map(shared.value, suffix) if len(suffix) else own)
+                tally.add(keys[own], context[own], suffix[own])
+                if tally.size > HELD:
+                    yield rows()
+        if tally.size:
+            yield rows()
+
+    made = training.select("text").mapInArrow(run, "context long, suffix long, n long")
+    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task's runs differ already, so they are summed only where they meet
+    return made.repartition(parts, "context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+
+
+def addends(level: DataFrame, of: DataFrame, shorter: DataFrame, strength: float, least_gain: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a level adds to the model for its kept runs and for its states, each ``key, n, v``, and its runs' probabilities, ``key, p``.
+
+    ``level``: ``context, suffix, n``; ``of``: ``key, n`` of the contexts; ``shorter``: ``key, p`` of the suffixes.
     """
-    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, int(np.ceil(total * least_share)))
-    longer, by = runs.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n"), {}
-    for k in range(DEPTH, -1, -1):
-        # the counts of a context are those of the contexts that end in it
-        counts = cut(longer, f"lm-depth{k}") if k == DEPTH else cut(longer.groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"), "symbol").agg(F.sum("n").alias("n")), f"lm-depth{k}")
-        size = counts.groupBy("context").agg(F.sum("n").alias("of")).filter(F.col("of") >= (least if k else 1))
-        longer, by[k] = counts, cut(counts.join(size, "context"), f"lm-often{k}")
-    kept, out = None, [by[0].select("context", "symbol", "n").toArrow().to_pandas().assign(depth=0)]
-    for k in range(DEPTH, 0, -1):
-        parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-        shorter = by[k - 1].select(F.col("context").alias("parent"), "symbol", F.col("n").alias("pn"), F.col("of").alias("pof"))
-        # every place of a context is one of its suffix, so the shorter one's counts are there and not smaller
-        both = by[k].withColumn("parent", parent).join(shorter, ["parent", "symbol"])
-        p = F.col("n") / F.col("of")
-        apart = both.groupBy("context").agg(F.sum(p * F.log(p / (F.col("pn") / F.col("pof")))).alias("kl"))
-        own = apart.filter(F.col("kl") >= least_divergence).select("context")
-        kept = cut(own if kept is None else own.union(kept).distinct(), f"lm-kept{k}")
-        out.append(by[k].join(kept, "context", "left_semi").select("context", "symbol", "n").toArrow().to_pandas().assign(depth=k))
-        kept = kept.select(parent.alias("context"))
-    return pd.concat(out, ignore_index=True)
-
-
-class Tree:
-    """``states``: (depth, context of symbol codes) by number, the empty one first; ``logs``: log10 probabilities (states x symbols)."""
-
-    def __init__(self, codes: np.ndarray, depth: np.ndarray, context: np.ndarray, logs: np.ndarray):
-        self.codes, self.depth, self.context, self.logs = codes, depth, context, logs
-        self.n_rest = max(1, int((codes[: PAD - 1] == SYMBOLS - 1).sum()))
-        self._of = None
-
-    @staticmethod
-    def grown(rows: pd.DataFrame, strength: float) -> Tree:
-        """The smoothed tree from the kept contexts' counts: frequent bytes get a symbol each, the rest share the last."""
-        root = rows[rows.depth == 0].groupby("symbol").n.sum().sort_values(ascending=False, kind="stable")
-        codes = np.full(256, SYMBOLS - 1, np.uint8)
-        codes[PAD], codes[END] = 0, 1
-        often = [s for s in sorted(root.index, key=lambda s: (-root[s], s)) if s not in (PAD, END)][: SYMBOLS - 3]
-        codes[often] = np.arange(2, 2 + len(often))
-        context = np.zeros(len(rows), np.int64)
-        raw, depth = rows.context.to_numpy(np.int64), rows.depth.to_numpy(np.int64)
-        for j in range(DEPTH):
-            context |= np.where(depth > j, codes[(raw >> (8 * j)) & 255].astype(np.int64) << (6 * j), 0)
-        key = depth << 40 | context
-        states, index = np.unique(np.concatenate([[0], key]), return_inverse=True)
-        n = np.zeros((len(states), SYMBOLS))
-        np.add.at(n, (index[1:], codes[rows.symbol.to_numpy(np.int64)]), rows.n.to_numpy(np.float64))
-        depth, context = states >> 40, states & ((1 << 40) - 1)
-        p = np.empty_like(n)
-        uniform = np.full(SYMBOLS, 1 / (SYMBOLS - 1))
-        uniform[0] = 0  # padding never follows
-        for k in range(DEPTH + 1):
-            own = np.flatnonzero(depth == k)
-            above = p[np.searchsorted(states, (k - 1) << 40 | context[own] & ((1 << 6 * (k - 1)) - 1))] if k else uniform
-            p[own] = (n[own] + strength * above) / (n[own].sum(axis=1, keepdims=True) + strength)
-        with np.errstate(divide="ignore"):
-            return Tree(codes, depth, context, np.log10(p).astype(np.float32))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """The longest kept context in each run of ``NEAR`` symbols, and for each context and older symbol the longer one (or itself); made once for each process."""
-        if self._of is None:
-            near = np.zeros(1 << 6 * NEAR, np.uint16 if len(self.depth) < 1 << 16 else np.int32)
-            for k in range(1, NEAR + 1):
-                own = np.flatnonzero(self.depth == k)
-                near.reshape(-1, 1 << 6 * k)[:, self.context[own]] = own
-            older = np.repeat(np.arange(len(self.depth), dtype=np.int32), SYMBOLS).reshape(-1, SYMBOLS)
-            keys = self.depth << 40 | self.context
-            far = np.flatnonzero(self.depth > NEAR)
-            k = self.depth[far] - 1
-            older[np.searchsorted(keys, k << 40 | self.context[far] & ((1 << 6 * k) - 1)), self.context[far] >> (6 * k)] = far
-            self._of = near, older.ravel()
-        return self._of
-
-    def states_before(self, sym: np.ndarray) -> np.ndarray:
-        """The longest kept context before each symbol from the ``DEPTH``-th on."""
-        near, older = self.tables()
-        n = len(sym) - DEPTH
-        run = np.zeros(n, np.int32)
-        for j in range(NEAR):
-            run |= sym[DEPTH - 1 - j : DEPTH - 1 - j + n].astype(np.int32) << (6 * j)
-        state = near[run].astype(np.int32)
-        for k in range(NEAR, DEPTH):
-            longer = older[state * SYMBOLS + sym[DEPTH - 1 - k : DEPTH - 1 - k + n]]
-            # only a context of the full length so far has the next symbol as its neighbour
-            state = np.where(self.depth[state] == k, longer, state)
-        return state
-
-    def spellings(self, texts_words: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of the spelling of each token, text by text."""
-        raw = symbols_of(texts_words)
-        sym = self.codes[raw]
-        logs = self.logs.ravel()[self.states_before(sym) * SYMBOLS + sym[DEPTH:]]
-        logs[sym[DEPTH:] == SYMBOLS - 1] -= np.float32(np.log10(self.n_rest))
-        logs[raw[DEPTH:] == PAD] = 0
-        # the first text's padding went with its contexts; that of another text adds zeros to the end before it
-        sizes = np.array([n for words in texts_words for n in (*map(len, words), DEPTH)], np.int64) + 1
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes, dtype=np.float64)
-
-
-class Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _held():
+    rows = level.join(of.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context")
+    rows = rows.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("p_short")), "suffix")
+    keep = F.col("n") * F.log(F.col("n") / F.col("n_context") / F.col("p_short")) >= least_gain
+    rows = cut(rows.select(F.xxhash64("context", "suffix").alias("key"), "context", "n", "n_context", "p_short", keep.alias("kept")), "lm-level")
+    left = F.first("n_context") - F.sum("n") + F.lit(strength)
+    states = cut(rows.filter("kept").groupBy("context").agg(F.first("n_context").alias("n_state"), left.alias("left")), "lm-states")
+    met = rows.join(states, "context", "left")
+    whole = F.col("n_state") + F.lit(strength)
+    share = F.col("left") / whole * F.col("p_short")
+    p = F.when(F.col("kept"), F.col("n") / whole + share).otherwise(F.coalesce(share, F.col("p_short")))
+    gains = met.filter("kept").select("key", "n", F.log10(p / share).alias("v"))
+    fewer = states.select(F.col("context").alias("key"), F.col("n_state").alias("n"), F.log10(F.col("left") / whole).alias("v"))
+    return gains, fewer, met.select("key", p.alias("p"))
+
+
+def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Rows of the ``n`` that at most ``most`` rows reach, and that ``n``."""
+    spectrum = table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).toArrow().to_pandas().sort_values("n", ascending=False)
+    fits = spectrum.n[spectrum.rows.cumsum() <= most]
+    least = int(fits.min()) if len(fits) else 1 << 62
+    return table.filter(F.col("n") >= least), least
+
+
+def _held() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
 
 
-def score(docs: DataFrame, least_share: float = 1e-5, least_divergence: float = 0.01, strength: float = 8.0, spelled: float = 0.5, head_words: int = 1 << 19) -> DataFrame:
+def _found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys in the sorted table, or its length where they aren't in it."""
+    at = np.searchsorted(table, keys)
+    return np.where(np.append(table, 0)[at] == keys, at, len(table)) if len(table) else np.zeros(len(keys), np.int64)
+
+
+def model(docs: DataFrame, depth: int, strength: float, least_gain: float) -> tuple[DataFrame, DataFrame, int, int]:
+    """``words`` (``key, n, v``) and ``grams`` (``key, n, v``) of the rows that aren't held out; how many tokens they have, and distinct ones."""
+    training = docs.filter(~_held())
+    first = cut(counted(training, 2).filter("context = 0 OR n > 1"), "lm-counts")
+    words = first.filter("context = 0").select(F.col("suffix").alias("key"), "n")
+    n_all, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    of, shorter = words, words.select("key", ((F.col("n") + 1) / F.lit(float(n_all + n_words + 1))).alias("p"))
+    level, grams = first.filter("context <> 0"), []
+    for k in range(2, depth + 2):
+        gains, fewer, p = addends(level, of, shorter, strength, least_gain)
+        if k == 2:  # the states of one token add to the tokens' own addends
+            own = F.log10(F.col("n") + F.lit(1.0)) + F.coalesce("v", F.lit(0.0))
+            words = cut(words.join(fewer.select("key", "v"), "key", "left").select("key", "n", own.alias("v")), "lm-words")
+        grams += [gains] if k == 2 else [gains, fewer]
+        if k <= depth:
+            of, shorter = level.select(F.xxhash64("context", "suffix").alias("key"), "n"), cut(p, "lm-shares")
+            level = cut(counted(training, k + 1, bit_map(of)).filter("n > 1"), "lm-counts")
+    # a run may be kept in its context and be a state itself
+    grams = cut(reduce(DataFrame.unionByName, grams).groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "lm-runs")
+    return words, grams, n_all, n_words
+
+
+def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 8.0, head_words: int = 1 << 19, head_runs: int = 1 << 19) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    counts = cut(counted(docs.filter(~_held())), "lm-counts")
-    vocabulary, runs = counts.filter(F.col("kind") == WORDS).select("key", "n"), counts.filter(F.col("kind") == RUNS).select("key", "n")
-    n_all, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # bounded by least_share: at most DEPTH / least_share contexts of at most 256 symbols, in practice far fewer
-    tree = Tree.grown(contexts(runs, least_share, least_divergence), strength)
-    # the least count that at most head_words words reach
-    spectrum = vocabulary.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).toArrow().to_pandas().sort_values("n", ascending=False)
-    fits = spectrum.n[spectrum.words.cumsum() <= head_words]
-    least = int(fits.min()) if len(fits) else 1 << 62
-    head = vocabulary.filter(F.col("n") >= least).toArrow().sort_by("key")
-    shared = spark.sparkContext.broadcast((head["key"].to_numpy().copy(), head["n"].to_numpy().copy(), tree))
-    del head, tree
-    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, row long, n_tokens long, head_known long, head_score double, head_mixed double, tail array<struct<key: long, spelling: double>>").fields])
+    words, grams, n_all, n_words = model(docs, depth, strength, least_gain)
+    (head, least_word), (often, least_run) = most_frequent(words, head_words), most_frequent(grams, head_runs)
+    sent = [[t[c].to_numpy().copy() for c in ("key", "n", "v")] for t in (df.toArrow().sort_by("key") for df in (head, often))]
+    shared = spark.sparkContext.broadcast((sent, bit_map(grams)))
+    del sent
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, row long, n_tokens long, head_known long, head_base double, head_score double, tail array<long>").fields])
 
     def run(batches):
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target, row = to_arrow_schema(full), TaskContext.get().partitionId() << 40
-        head_keys, head_counts, tree = shared.value
-        logs, whole = np.log10(head_counts + 1.0), least == 1 and len(head_keys)
-        with np.errstate(divide="ignore"):
-            shares = np.log((1 - spelled) * np.concatenate([head_counts, [0]]) / max(1, n_all))
+        ((word_keys, word_n, word_v), (gram_keys, _, gram_v)), known = shared.value
+        base, word_v, gram_v = np.append(np.log10(word_n + 1.0), 0), np.append(word_v, 0), np.append(gram_v, 0)
+        # words outside a head that holds all words are unknown; else the join knows
+        whole = least_word == 1
         for batch in batches:
-            step = max(1, int(batch.num_rows * min(1.0, 2_000_000 / max(1, batch.column(2).nbytes))))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                split = [words_of(t) for t in part.column(2).to_pylist()]
-                ids = Ids()
-                flat = np.array([ids[w] for words in split for w in (*words, END_WORD)], np.int64)
-                keys = np.array([_hash(w) for w in ids], np.int64)
-                place = np.minimum(np.searchsorted(head_keys, keys), max(0, len(head_keys) - 1))
-                inside = head_keys[place] == keys if len(head_keys) else np.zeros(len(keys), bool)
-                value = np.where(inside, logs[place] if len(logs) else 0.0, 0.0)
-                n = np.array([len(w) + 1 for w in split], np.int64)
-                starts = np.cumsum(n) - n
-                known = np.add.reduceat(inside[flat].astype(np.int64), starts)
-                # words outside a head that holds all words are unknown; else the join knows
-                outside = np.zeros(0, np.int64) if whole else np.flatnonzero(~inside[flat])
-                cuts = np.concatenate([np.searchsorted(outside, starts), [len(outside)]])
-                share = shares[np.where(inside, place, -1)]
-                spelling = tree.spellings(split) * np.log(10) + np.log(spelled)
-                each = np.logaddexp(share[flat], spelling) / np.log(10)
-                # the spelling goes along, for the share that the join finds
-                tail = pa.StructArray.from_arrays([pa.array(keys[flat[outside]], pa.int64()), pa.array(spelling[outside], pa.float64())], ["key", "spelling"])
-                tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tail)
-                made = [part.column(0), part.column(1), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(known), pa.array(np.add.reduceat(value[flat], starts)), pa.array(np.add.reduceat(each, starts)), tail]
-                row += len(n)
+            for at, texts in groups(batch.column(2)):
+                hashes, ends = tokens(texts)
+                last = np.flatnonzero(ends)
+                starts = np.concatenate([[0], last[:-1] + 1])
+                place = _found(word_keys, hashes.view(np.int64))
+                value = word_v[place]
+                outside = np.flatnonzero(place == len(word_keys)) if not whole else np.zeros(0, np.int64)
+                tail_at, tail = [outside], [hashes[outside].view(np.int64)]
+                for _, _, keys, own in runs(hashes, ends, depth + 1):
+                    own = np.flatnonzero(own)
+                    own = own[in_map(known, keys[own])] if len(own) else own
+                    found = _found(gram_keys, keys[own].view(np.int64))
+                    value[own] += gram_v[found]
+                    own = own[found == len(gram_keys)]
+                    tail_at.append(own)
+                    tail.append(keys[own].view(np.int64))
+                tail_at, tail = np.concatenate(tail_at), np.concatenate(tail)
+                order = np.argsort(tail_at, kind="stable")
+                cuts = np.concatenate([np.searchsorted(tail_at[order], starts), [len(order)]])
+                part = batch.slice(at, len(texts))
+                made = [part.column(0), part.column(1), pa.array(row + np.arange(len(texts))), pa.array(last - starts + 1), pa.array(np.add.reduceat((place < len(word_keys)).astype(np.int64), starts)), pa.array(np.add.reduceat(base[place], starts)), pa.array(np.add.reduceat(value, starts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tail[order]))]
+                row += len(texts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, target)], schema=target)
 
     scored = cut(docs.select("doc_id", F.coalesce(_held(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, full), "lm-scores")
-    tail = scored.select("row", F.explode("tail").alias("use")).groupBy("row", F.col("use.key").alias("key")).agg(F.count(F.lit(1)).alias("uses"), F.sort_array(F.collect_list("use.spelling")).alias("spellings"))
-    share = F.log(F.lit(1 - spelled) * F.col("n") / F.lit(max(1, n_all)))
-
-    def gained(total, x):
-        """What the word's share adds to the log of a spelling alone."""
-        return total + F.greatest(share - x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(share - x)))
-
-    mixed = F.aggregate("spellings", F.lit(0.0), gained) / F.lit(float(np.log(10)))
-    known = tail.join(vocabulary.filter(F.col("n") < least), "key").select("row", "uses", "n", mixed.alias("mixed"))
-    found = known.groupBy("row").agg(F.sum("uses").alias("tail_known"), F.sum(F.col("uses") * F.log10(F.col("n") + F.lit(1.0))).alias("tail_score"), F.sum("mixed").alias("tail_mixed"))
+    rest = words.filter(F.col("n") < least_word).unionByName(grams.filter(F.col("n") < least_run).withColumn("n", F.lit(None).cast("long")))
+    met = scored.select("row", F.explode("tail").alias("key")).join(rest, "key")
+    found = met.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("tail_base"), F.sum("v").alias("tail_score"))
     made = scored.drop("tail").join(found, "row", "left")
-    each = F.lit(float(np.log10(n_all + n_words + 1)))
-    base = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * each
-    return made.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("head_mixed") + F.coalesce("tail_mixed", F.lit(0.0))).alias("score"))
+    each = F.col("n_tokens") * F.lit(float(np.log10(n_all + n_words + 1)))
+    base, total = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) - each, F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - each
+    return made.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))
