@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from timeloom.llm import decontamination, language_id, license_scan, mixing, secret_scan, simhash, subword_quality, substring_dedup, suffix_tree_lm
+from timeloom.llm import _shared, decontamination, language_id, license_scan, mixing, secret_scan, simhash, subword_quality, substring_dedup, suffix_tree_lm
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -179,13 +179,57 @@ def test_word_counts_of_the_model(docs, texts, head):
         assert r.score < 0
 
 
-def test_tree_probabilities_sum_to_one():
-    import pandas as pd
+def suffix_tree(training, depth, strength, least_gain):
+    """The model's function of a context and a token, by its definition."""
+    c = collections.Counter(tuple(ws[i : i + k]) for ws in training for k in range(1, depth + 2) for i in range(len(ws) - k + 1))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    states, counted = {}, {g for g, x in c.items() if len(g) == 1}
+
+    def p(context, w):
+        if not context:
+            return (c[(w,)] + 1) / (n + v + 1)
+        if context not in states:
+            return p(context[1:], w)
+        kept, left = states[context]
+        return (kept.get(w, 0) + left * p(context[1:], w)) / (c[context] + strength)
+
+    for k in range(2, depth + 2):
+        kept = collections.defaultdict(dict)
+        for g, x in c.items():
+            if len(g) == k and x > 1 and x * math.log(x / c[g[:-1]] / p(g[1:-1], g[-1])) >= least_gain:
+                kept[g[:-1]][g[-1]] = x
+        states |= {s: (t, c[s] - sum(t.values()) + strength) for s, t in kept.items()}
+    return p
+
+
+@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"depth": 3, "least_gain": 4.0, "strength": 2.0}, {"head_words": 50, "head_runs": 20}])
+def test_suffix_tree(docs, texts, options):
+    tokens = {i: WORD.findall(lowered(t)) + [0] for i, t in texts.items()}
+    settings = {"depth": 2, "strength": 1.0, "least_gain": 8.0} | options
+    depth = settings["depth"]
+    p = suffix_tree([ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2], depth, settings["strength"], settings["least_gain"])
+    got = by_id(suffix_tree_lm.score(docs, **options))
+    for i, ws in tokens.items():
+        want = sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), w)) for k, w in enumerate(ws))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9, abs_tol=1e-9), i
+    assert sum(r.score > r.base_score for r in got.values()) > 10
+
+
+def test_run_keys_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(6).integers(-(1 << 63), 1 << 63, (20, 2), dtype=np.int64)
+    rows = spark.createDataFrame([tuple(map(int, r)) for r in x], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    got = _shared.run_key(np.array([r.a for r in rows]).view(np.uint64), np.array([r.b for r in rows]).view(np.uint64)).view(np.int64)
+    assert got.tolist() == [r.h for r in rows]
 
-    rows = pd.DataFrame({"depth": [0, 0, 0, 1, 1], "context": [0, 0, 0, 97, 97], "symbol": [97, 98, 254, 98, 254], "n": [5, 4, 2, 3, 1]})
-    tree = suffix_tree_lm.Tree.grown(rows, 2.0)
-    assert np.allclose((10.0 ** tree.logs).sum(axis=1), 1)
-    assert tree.spellings([[b"ab", b"a"], []]).shape == (4,)
+
+def test_tokens_in_pieces(monkeypatch):
+    texts = ["A b\tb  c", None, "", "x" * 3000 + " é", " lead"]
+    whole = _shared.tokens(texts)
+    assert whole[1].sum() == 5 and len(whole[0]) == 4 + 1 + 1 + 1 + 2 + 1 + 1 + 1 and whole[0][1] == whole[0][2]
+    monkeypatch.setattr(_shared, "PIECE", 7)
+    assert all((a == b).all() for a, b in zip(whole, _shared.tokens(texts)))
 
 
 def test_licenses(docs, texts):
@@ -287,3 +331,22 @@ def test_quality_held_out(spark, sf_dir):
     got = [(r.score, truth[r.doc_id]) for r in subword_quality.score(docs, labels).collect() if r.held_out and r.doc_id in truth]
     good, bad = [s for s, y in got if y], [s for s, y in got if not y]
     assert good and bad and sum((a > b) + 0.5 * (a == b) for a in good for b in bad) >= 0.9 * len(good) * len(bad)
+
+
+def test_mixing_of_sources_below_a_block(spark):
+    rows = [(i, "one two three four five", f"s{i}") for i in range(6)] + [(10 + i, "w " * 50, "s9") for i in range(20)]
+    got = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert [got[i].target for i in range(6)] == [15.0] * 6 and [got[i].taken for i in range(6)] == [15] * 6
+
+
+def test_mixture_is_the_texts(docs):
+    taken = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    words, rows = collections.Counter(), mixing.mixed(docs).collect()
+    for r in rows:
+        assert len(WORD.findall(r.text)) == r.n_words <= 32
+        if len(r.doc_ids) == 1:
+            words[r.doc_ids[0]] += r.n_words
+    assert sum(r.n_words for r in rows) == sum(r.taken for r in taken.values())
+    assert all(words[i] <= r.taken for i, r in taken.items())
+    counts = collections.Counter(r.shard for r in rows)
+    assert all(n == 1024 for s, n in counts.items() if s != max(counts))

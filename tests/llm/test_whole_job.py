@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import decontamination, language_id, license_scan, quality_rules, secret_scan, substring_dedup, subword_quality, suffix_tree_lm
+from timeloom.llm import decontamination, language_id, license_scan, quality_rules, secret_scan, simhash, substring_dedup, subword_quality, suffix_tree_lm
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +127,42 @@ def test_licenses_end_at_words(spark):
     long = "word " * 40_000 + "released under the mitt license " + "word " * 40_000
     row = spark.createDataFrame([(1, long)], "doc_id long, text string")
     assert license_scan.scan(row).collect()[0].spans == "mit:40000:40005:1"
+
+
+def edited(seed, text, share):
+    r = random.Random(seed)
+    return " ".join(prose(seed * 977 + i, 1) if r.random() < share else w for i, w in enumerate(text.split()))
+
+
+def test_near_copies_of_any_length(spark):
+    passage = prose(70, 60)
+    base = [prose(7000 + i, n) for i, n in enumerate((40, 60, 90, 150, 400, 3000))]
+    rows = [(100 * i + k, edited(31 * i + k, t, 0.04) if k else t) for i, t in enumerate(base) for k in range(4)]
+    rows += [(9000 + i, prose(8000 + i, 150) + " " + passage + " " + prose(8500 + i, 150)) for i in range(60)]
+    rows += [(500_000 + i, edited(600 + i, base[3], 0.03)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.col("doc_id") + 7).withColumn("_key", F.lit(3)).withColumn("_turn", F.lit(9)).withColumn("th", F.lit(1))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = {r.doc_id: r for r in got.collect()}
+    assert all(r._id == i + 7 and r._key == 3 and r._turn == 9 and r.th == 1 for i, r in kept.items())
+    assert all(9000 + i in kept for i in range(60)), "documents that share a passage aren't copies"
+    copies = [i for i, t in rows if not 9000 <= i < 9100 and i not in {100 * k for k in range(6)}]
+    assert {100 * k for k in range(6)} <= set(kept) and sum(i in kept for i in copies) <= 0.05 * len(copies)
+    # every link holds 0.8 of both texts' words in common runs of five words
+    texts = dict(rows)
+    made, linked = simhash.near_copies(docs)
+    of = {r.th: texts[r.doc_id].split() for r in made.collect()}
+
+    def share(a, b):
+        five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        both = five(a) & five(b)
+        inside = lambda w: len({j for i in range(len(w) - 4) if tuple(w[i : i + 5]) in both for j in range(i, i + 5)})
+        return (inside(a) + inside(b)) / (len(a) + len(b))
+
+    found = linked.collect()
+    assert found and all(share(of[r.a], of[r.b]) >= 0.8 for r in found)
+
+
+def test_texts_without_words_are_copies(spark):
+    docs = spark.createDataFrame([(1, ""), (2, " \n"), (3, None), (4, None), (None, "a"), (None, "a"), (5, "A"), (6, "b")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 5, 6]

@@ -15,6 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 BIT_MAP = 26
 
 
+#: A byte that no UTF-8 text has stands for the end.
+END = 0xFE
+#: Bytes that are hashed at once.
+PIECE = 1 << 21
+_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\v\f\r" else b for b in range(256))
+_PLACES = np.random.default_rng(41).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a local session may fall back to a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -152,6 +162,44 @@ def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * _P2
+    x = (x ^ x >> np.uint64(29)) * _P3
+    return x ^ x >> np.uint64(32)
+
+
+def run_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(context, suffix)`` of two longs."""
+    h = np.uint64(42)
+    for x in (context, suffix):
+        h = (h + _P5 + np.uint64(8)) ^ _turned(x * _P2, 31) * _P1
+        h = _mixed(_turned(h, 27) * _P1 + _P4)
+    return h
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lowered) of all texts in a row, each text's followed by one end, and which are ends."""
+    joined, at, hashes, ends = b"".join(b"%b %c " % ((t or "").encode().translate(_TABLE), END) for t in texts), 0, [], []
+    while at < len(joined):
+        raw = np.frombuffer(joined, np.uint8, joined.index(b" ", min(at + PIECE, len(joined) - 1)) + 1 - at, at)
+        at += len(raw)
+        space = raw == 32
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if not len(starts):
+            continue
+        first = np.concatenate([[0], starts])
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(np.concatenate([first, [len(raw)]])))
+        word = (raw.astype(np.uint64) + np.uint64(1)) * (_PLACES[place & 1023] + (place >> 10).astype(np.uint64) * _P3)
+        word[space] = 0
+        hashes.append(_mixed(np.add.reduceat(word, starts)))
+        ends.append(raw[starts] == END)
+    return (np.concatenate(hashes), np.concatenate(ends)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, bool))
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, seed: int, by: str | None = None) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of ``key``: the same ones each time, from all parts of the table.
 

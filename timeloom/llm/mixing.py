@@ -1,13 +1,15 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of a source form one stream, in a pseudorandom but fixed order of its documents, cut into blocks of
-``block_words``. The output is a sequence of slots, grouped in shards. For each shard a multinomial draw of source
-counts is made (stratified: one uniform number in each of the shard's equal strata, which keeps each slot's
-distribution and lowers the variance). The slots of a source are numbered through all shards; number ``r`` takes the
-block at ``r mod n`` of a pseudorandom permutation of the source's ``n`` blocks, a new permutation for each pass.
+``block_words``. The output is a sequence of slots, grouped in shards. A source is due as many slots as bring its target at
+its blocks' mean length. Each slot of a shard draws a source by these numbers, so the source counts of a shard are
+multinomial. The few slots that a source drew beyond its due are handed to sources that drew too few, by number. The slots
+of a source are numbered through all shards; number ``r`` takes the block at ``r mod n`` of a pseudorandom permutation of
+the source's ``n`` blocks, a new permutation for each pass.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, ordered last; a
-null or repeated doc_id is a row like any other; an empty table gives an empty result; other columns are ignored.
+null or repeated doc_id is a row like any other; a source smaller than a block is one short block and still meets its
+target to half a block; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import WORD, cut, exclusive_prefix
+from timeloom.llm._shared import WORD, cut, exclusive_prefix, spread
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -51,69 +53,106 @@ def _permuted(x: Column, n: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
-def mixture(docs: DataFrame, block_words: int = 32, shard_slots: int = 1024, weights=WEIGHTS, most: float = 3.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """``(pieces, slots)``: what each block consists of, and what each output shard takes.
+def sources(sized: DataFrame, block_words: int, weights=WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The targets with ``sid`` (a hash that stands for the source, null or not), ``n_blocks``, ``n_slots`` due and ``low``, the slots due to sources before."""
+    src = targets(sized, weights, most).withColumn("sid", _sid(seed)).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
+    due = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    return src.withColumn("n_slots", due).withColumn("low", F.coalesce(F.sum("n_slots").over(before), F.lit(0)))
 
-    ``pieces``: ``doc_id, size, skey, start, block, from_word, n_words, source_size, target``; a piece is the words
-    ``from_word`` up to ``from_word + n_words`` of a document, and lies in block ``block`` of its source (null for
-    documents without words). ``slots``: ``shard, skey, r, block``; joined by ``(skey, block)`` they make the output.
+
+def _sid(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("skey").isNull(), F.col("skey"))
+
+
+def pieces(docs: DataFrame, sized: DataFrame, src: DataFrame, block_words: int, seed: int, texts: bool = False) -> DataFrame:
+    """What each block consists of: ``doc_id, size, skey, sid, start, block, from_word, n_words, source_size, target`` (and ``piece``, the words).
+
+    A piece is the words ``from_word`` up to ``from_word + n_words`` of a document, and lies in block ``block`` of its source
+    (null for documents without words). ``start`` is the document's place in its source's stream.
     """
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", F.col("source").alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized, "mix-sizes")
-    n_docs, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    src = cut(targets(sized, weights, most), "mix-sources")
-    # source ids that aren't null make every later join a plain one
-    sid = F.xxhash64(F.lit(seed), F.col("skey").isNull(), F.col("skey"))
-    src = src.withColumn("sid", sid).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
-
-    # the streams: where each document starts in its source
-    buckets = max(1, n_docs // 256)
-    rows = sized.withColumn("sid", sid).withColumn("_r", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("_r", F.lit(buckets)))
+    buckets = max(1, sized.count() // 256)
+    rows = _sized(docs, *(["text"] if texts else [])) if texts else sized
+    rows = rows.withColumn("sid", _sid(seed)).withColumn("_r", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("_r", F.lit(buckets)))
+    sums = sized.select(_sid(seed).alias("sid"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)).alias("bucket"), "size").groupBy("sid", "bucket").agg(F.sum("size").alias("_n"))
+    sums = exclusive_prefix(sums, ["sid"], "bucket", "_n", "_off").drop("_n")
     inner = Window.partitionBy("sid", "bucket").orderBy("_r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    sums = exclusive_prefix(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("_n")), ["sid"], "bucket", "_n", "_off").drop("_n")
-    rows = rows.join(sums, ["sid", "bucket"]).withColumn("start", F.col("_in") + F.col("_off"))
-    end = F.col("start") + F.col("size")
+    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["sid", "bucket"]).withColumn("start", F.col("_in") + F.col("_off"))
+
+    def piece(block: Column) -> Column:
+        first = F.greatest(block * block_words, F.col("start"))
+        n = F.least((block + 1) * block_words, F.col("start") + F.col("size")) - first
+        made = [block.alias("block"), (first - F.col("start")).alias("from_word"), n.alias("n_words")]
+        if texts:
+            made.append(F.array_join(F.slice("words", (first - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("piece"))
+        return F.struct(*made)
+
     spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
-    rows = rows.select("doc_id", "size", "skey", "sid", "start", F.explode_outer(spans).alias("block"))
-    first = F.greatest(F.col("block") * block_words, F.col("start"))
-    pieces = rows.withColumn("from_word", first - F.col("start")).withColumn("n_words", F.least((F.col("block") + 1) * block_words, end) - first)
-    pieces = pieces.join(src.select("sid", "source_size", "target"), "sid")
-
-    # the draws: how many slots of a shard fall to each source
-    n_slots = max(int(total > 0), round(total / block_words))
-    n_shards, wide = -(-n_slots // shard_slots), 1024
-    share = F.col("target") / F.lit(float(max(total, 1)))
-    run = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    src = src.withColumn("_lo", F.least(F.lit(1.0), F.coalesce(F.sum(share).over(run), F.lit(0.0))))
-    # the last source ends at 1, so that every slot falls to a source whatever the sums of doubles are
-    src = src.withColumn("_hi", F.coalesce(F.lead("_lo").over(Window.orderBy("sid")), F.lit(1.0)))
-    draws = src.filter("n_blocks > 0").select("skey", "sid", "n_blocks", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(max(n_shards - 1, 0) // wide))).alias("_w"))
-    draws = draws.repartition("sid", "_w").withColumn("shard", F.explode(F.sequence(F.col("_w") * wide, F.least((F.col("_w") + 1) * wide, F.lit(n_shards)) - 1)))
-    if n_shards == 0:
-        draws = draws.limit(0)
-    draws = draws.withColumn("shard", F.col("shard").cast("long")).withColumn("_m", F.least(F.lit(shard_slots), F.lit(n_slots) - F.col("shard") * shard_slots))
-
-    def below(x: Column) -> Column:
-        """How many of the shard's slots drew a number under x."""
-        whole = F.floor(x * F.col("_m"))
-        jitter = F.pmod(F.xxhash64(F.lit(seed), "shard", whole), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        return whole + ((x * F.col("_m") - whole) > jitter).cast("long")
-
-    draws = draws.withColumn("_n", below(F.col("_hi")) - below(F.col("_lo"))).drop("_lo", "_hi", "_m", "_w")
-    ranks = exclusive_prefix(draws, ["sid"], "shard", "_n", "_first").filter("_n > 0")
-    slots = ranks.withColumn("r", F.explode(F.expr("sequence(_first, _first + _n - 1)"))).filter(F.col("r") < F.col("n_blocks") * int(most))
+    if texts:
+        rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = rows.select("doc_id", "size", "skey", "sid", "start", F.explode_outer(F.transform(spans, piece)).alias("_p"))
+    rows = rows.select("doc_id", "size", "skey", "sid", "start", "_p.*")
+    return rows.join(src.select("sid", "source_size", "target"), "sid")
+
+
+def slots(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """What each output shard takes: ``shard, sid, r, block``; joined with the pieces by ``(sid, block)`` they make the output."""
+    spark = src.sparkSession
+    n_src, n_slots = src.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_slots"), F.lit(0))).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a slot's number falls to one source; both meet by the range of numbers that they lie in
+    wide = max(1, n_slots // (4 * max(1, n_src)))
+    ranges = src.filter("n_slots > 0").select("sid", "low", (F.col("low") + F.col("n_slots")).alias("high"))
+    ranges = ranges.withColumn("_range", F.explode(F.sequence(F.expr(f"low div {wide}"), F.expr(f"(high - 1) div {wide}"))))
+    drawn = spark.range(0, n_slots, 1, parts).select(F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n_slots))).alias("_u"))
+    drawn = drawn.withColumn("_range", F.expr(f"_u div {wide}")).join(ranges, "_range").filter("low <= _u AND _u < high")
+    drawn = cut(drawn.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("_n")), "mix-draws")
+
+    every = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = src.join(drawn.groupBy("sid").agg(F.sum("_n").alias("_drawn")), "sid", "left").select("sid", "n_blocks", "n_slots", F.coalesce("_drawn", F.lit(0)).alias("_drawn"))
+    before = lambda x: F.coalesce(F.sum(F.greatest(x, F.lit(0))).over(every), F.lit(0))
+    gaps = gaps.withColumn("_spare", before(F.col("_drawn") - F.col("n_slots"))).withColumn("_lack", before(F.col("n_slots") - F.col("_drawn")))
+    gaps = cut(gaps, "mix-gaps")
+    ranks = exclusive_prefix(drawn, ["sid"], "shard", "_n", "_first").join(gaps.select("sid", "n_blocks", "n_slots", "_spare"), "sid")
+    ranks = spread(ranks, "sid", "shard").withColumn("_end", F.col("_first") + F.col("_n"))
+    kept = ranks.filter("_first < n_slots").select("shard", "sid", "n_blocks", F.explode(F.expr("sequence(_first, least(_end, n_slots) - 1)")).alias("r"))
+    moved = ranks.filter("_end > n_slots").select("shard", F.explode(F.expr("sequence(_spare + greatest(_first, n_slots) - n_slots, _spare + _end - 1 - n_slots)")).alias("_turn"))
+    lacking = gaps.filter("_drawn < n_slots").select("sid", "n_blocks", "_drawn", "_lack", F.explode(F.expr("sequence(_lack, _lack + n_slots - _drawn - 1)")).alias("_turn"))
+    moved = moved.join(lacking, "_turn").select("shard", "sid", "n_blocks", (F.col("_drawn") + F.col("_turn") - F.col("_lack")).alias("r"))
     block = _permuted(F.pmod("r", F.col("n_blocks")), F.col("n_blocks"), F.xxhash64(F.lit(seed), "sid", F.expr("r div n_blocks")))
-    return pieces, slots.select("shard", "skey", "sid", "r", block.alias("block"))
+    return kept.unionByName(moved).select("shard", "sid", "r", block.alias("block"))
+
+
+def _sized(docs: DataFrame, *keep: str) -> DataFrame:
+    return docs.select("doc_id", F.col("source").alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
+
+
+def mixture(docs: DataFrame, block_words: int = 32, shard_slots: int = 1024, weights=WEIGHTS, most: float = 3.0, seed: int = 7, texts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The pieces of all blocks and the slots of all shards."""
+    sized = cut(_sized(docs), "mix-sizes")
+    src = cut(sources(sized, block_words, weights, most, seed), "mix-sources")
+    return pieces(docs, sized, src, block_words, seed, texts), slots(src, shard_slots, seed)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: ``doc_id, size, source_size, target, taken``."""
-    pieces, slots = mixture(docs, **options)
-    uses = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
+    parts, taken_by = mixture(docs, **options)
+    uses = taken_by.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
     taken = F.coalesce(F.sum(F.col("n_words") * F.col("uses")), F.lit(0)).cast("long")
-    empty = pieces.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    empty = parts.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     # a start is unique in its source among documents with words, so repeated ids stay apart
-    full = pieces.filter("size > 0").join(uses, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"))
+    full = parts.filter("size > 0").join(uses, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"))
     return full.select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mixture itself, a row for each slot: ``shard, r`` (its number in its source), ``source, block, doc_ids, n_words, text``.
+
+    A block has at most ``block_words`` words, so it is put together from as many pieces at most.
+    """
+    parts, taken_by = mixture(docs, texts=True, **options)
+    inside = F.array_sort(F.collect_list(F.struct("start", "doc_id", "piece", "n_words")))
+    made = parts.filter("size > 0").groupBy("sid", "block").agg(F.first("skey").alias("source"), inside.alias("_in"))
+    text, n_words = F.array_join(F.transform("_in", lambda x: x["piece"]), " "), F.aggregate("_in", F.lit(0).cast("long"), lambda n, x: n + x["n_words"])
+    made = made.select("sid", "block", "source", F.transform("_in", lambda x: x["doc_id"]).alias("doc_ids"), n_words.alias("n_words"), text.alias("text"))
+    return taken_by.join(made, ["sid", "block"]).select("shard", "r", "source", "block", "doc_ids", "n_words", "text")

@@ -187,7 +187,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The same columns with every span in ``text`` replaced by ``mark``; overlapping spans become one mark."""
+    """The same columns with every span in ``text`` replaced by ``mark``; overlapping spans become one mark.
+
+    Defined results: every row stays, repeated ones too; null and empty texts stay as they are; an empty table gives an
+    empty one; extra columns may have any names.
+    """
 
     def make(texts):
         out = []

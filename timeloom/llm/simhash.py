@@ -6,6 +6,10 @@ Where one such key holds more than ``large`` distinct fingerprints, its members
 one bit of each instead (two fingerprints within 2 bits share such a word), which is linear in the group and as exact.
 Components of the links are found by alternating star contractions, written to the shared folder after each round.
 
+``one_of_each`` drops near copies for a pipeline. A similarity of 0.8 puts 64-bit fingerprints some 12 bits apart, which no
+choice of blocks finds in a large corpus, so there candidates are texts that share a sampled shingle of five words; the
+Hamming distance thins them, and the share of words in common shingles, counted on the texts, decides.
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows and null ids
 give a row each, and a component of null ids has a null id; an empty table gives an empty result; other columns are
 ignored; texts of any length are hashed whole.
@@ -19,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import cut, map_texts
+from timeloom.llm._shared import cut, discard, groups, map_texts, run_key, tokens
 
 #: The seed of the shingle hash, and the white space that parts words.
 SEED = 42
@@ -103,18 +107,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     least neighbour, until nothing changes. Each round is written, so a lost executor repeats one round at most. A hub
     is no single task's work: its least neighbour is a partial aggregate, joined back to its edges.
     """
-    edges = cut(edges.select("a", "b").filter("a <> b").distinct(), "components")
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = cut(df.filter("a <> b").distinct(), "components")
+        return df, tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first())
+
+    edges, state = written(edges.select("a", "b"))
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b")))
-        after = cut(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "components")
-        same = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first()
-        done = same(after) == same(edges)
-        edges = after
-        if done:
+        before, last = edges, state
+        edges, state = written(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        discard(before)
+        if state == last:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -138,16 +145,116 @@ def components_of(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
-    """One document, with all its columns, of each component: that with the least doc_id (null last, then any one text)."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_key")
-    made = cut(fingerprints(docs.select("doc_id", key, "text"), "doc_id", "_key", shingle=shingle), "simhash")
-    roots = components(links(made.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
-    # one row a fingerprint first, so that a large group is no single task's work
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_key"))).alias("first")
-    by_fp = made.groupBy("fp").agg(first).join(roots, "fp", "left")
-    stay = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("_id"), "first._key")
-    met = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_key", key).join(stay, ["_id", "_key"])
-    # repeated rows share both keys; the join has already brought them together
-    turn = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
-    return met.withColumn("_turn", turn).filter("_turn = 1").select(*[F.col(c) for c in docs.columns])
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words (of the whole sequence if it is shorter) from hashes of words."""
+    made = hashes
+    for _ in range(min(size, len(hashes)) - 1):
+        made = run_key(made[:-1], made[1:])
+    return made
+
+
+def sampled(made: np.ndarray, least: int = 16) -> np.ndarray:
+    """Distinct shingles whose hash ends in as many zero bits as leave ``least`` to twice as many of the text's.
+
+    Texts of another size class keep a part of the same ones, so that near copies meet in many shingles however long they are.
+    """
+    made = np.unique(made)
+    bits = max(0, int(len(made) / least).bit_length() - 1)
+    return made[made & np.uint64((1 << bits) - 1) == 0]
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, th`` (the text's hash), ``fp`` (the fingerprint of its shingles) and ``keys`` (its sampled shingles)."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("th long, fp long, keys array<long>").fields])
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in groups(batch.column(2)):
+                hashes, ends = tokens(texts)
+                fps, keys, start = [], [], 0
+                for end in np.flatnonzero(ends).tolist():
+                    made, start = shingles(hashes[start:end], size), end + 1
+                    votes = np.zeros(64, np.int64)
+                    for k in range(0, len(made), 1 << 16):
+                        votes += np.unpackbits(made[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                    fps.append(int.from_bytes(np.packbits(votes * 2 > len(made)).tobytes(), "little", signed=True))
+                    # texts without words meet under a key of their own
+                    keys.append(sampled(made).view(np.int64) if len(made) else np.zeros(1, np.int64))
+                part = batch.slice(at, len(texts))
+                cuts = np.cumsum([0, *map(len, keys)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(keys)))], names=["doc_id", "th", "fp", "keys"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, full)
+
+
+def common_share(a: str | None, b: str | None, size: int) -> float:
+    """The share of the words of both texts that lie in shingles which both have; 1 if neither has a word."""
+    sides = [tokens([t])[0][:-1] for t in (a, b)]
+    made = [shingles(x, size) for x in sides]
+    total = 0
+    for own, other in (made, made[::-1]):
+        edge = np.zeros(len(own) + size, np.int64)
+        hit = np.isin(own, other)
+        width = min(size, len(sides[0] if own is made[0] else sides[1]))
+        edge[: len(own)] += hit
+        edge[width : width + len(own)] -= hit
+        total += int((np.cumsum(edge) > 0).sum())
+    return total / max(1, sum(map(len, sides))) if any(map(len, sides)) else 1.0
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 24, large: int = 32) -> tuple[DataFrame, DataFrame]:
+    """``made`` (``doc_id, th``) and the links ``a, b`` between hashes of texts that are near copies.
+
+    Two texts are near copies if ``similarity`` of their words lie in shingles of ``size`` words that both have. All pairs are
+    compared in groups of up to ``large`` texts with one sampled shingle. In larger groups each text is compared with the
+    least, in linear work: copies of one text are near copies of each other too, and near copies that meet in a crowd of
+    other texts (a passage that many quote) have most of their shingles outside that crowd and meet there as well.
+    """
+    import pyarrow as pa
+
+    made = cut(sketches(docs, size), "simhash-sketches")
+    distinct = made.groupBy("th").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    keyed = distinct.select("th", "fp", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "fp")).alias("least")).filter("n > 1")
+    met = cut(keyed.join(sizes, "key"), "simhash-shingles")
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    few, many = met.filter(F.col("n") <= large), met.filter(F.col("n") > large)
+    a, b = few.select("key", F.col("th").alias("a"), F.col("fp").alias("fa")), few.select("key", F.col("th").alias("b"), F.col("fp").alias("fb"))
+    pairs = a.join(b, "key").filter("a < b").filter(close("fa", "fb")).select("a", "b")
+    stars = many.select(F.col("least.th").alias("a"), F.col("th").alias("b"), F.col("least.fp").alias("fa"), F.col("fp").alias("fb")).filter(close("fa", "fb")).select("a", "b")
+    pairs = cut(pairs.unionByName(stars).filter("a <> b").distinct(), "simhash-pairs")
+    sides = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(sides, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    texts = cut(texts, "simhash-texts")
+    both = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            own = [common_share(x.as_py(), y.as_py(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(own, pa.bool_()))
+
+    linked = cut(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "simhash-links")
+    discard(met, pairs, texts)
+    return made, linked
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One document, with all its columns, of each group of near copies: that with the least doc_id (null last, then any one text).
+
+    Defined results: null texts are copies of each other, and so are texts without words; repeated rows leave one; of null
+    ids one row of a group without other ids stays; an empty table gives an empty one; extra columns may have any names.
+    """
+    made, linked = near_copies(docs, **options)
+    roots = components(linked).withColumnRenamed("node", "th")
+    # one row a text first, so that a large group is no single task's work
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("first")
+    by_text = made.groupBy("th").agg(first).join(roots, "th", "left")
+    stay = by_text.groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("_id"), F.col("first.none").alias("_none"), F.col("first.th").alias("_th"))
+    packed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_th"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    keys = ["_id", "_none", "_th"]
+    # repeated rows share all keys; the join has already brought them together
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("_th"))
+    return packed.join(stay, keys).withColumn("_turn", turn).filter("_turn = 1").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
