@@ -59,17 +59,17 @@ def parse_srt(files: DataFrame) -> DataFrame:
     """Cues of SRT texts (``track_id, srt``): ``track_id, cue, start_ms, end_ms, text, problem`` (``ok`` or the first rule broken)."""
     blocks = files.select("track_id", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("srt", "\r\n?", "\n"), r"^\s+|\s+$", ""), "\n[ \t]*\n+")).alias("cue", "b"))
     lines = F.split("b", "\n")
-    rows = blocks.select("track_id", "cue", F.get(lines, F.lit(0)).alias("no"), F.split(F.get(lines, F.lit(1)), "-->").alias("t"), F.array_join(F.slice(lines, 3, 10_000), "\n").alias("text"))
+    rows = blocks.select("track_id", "cue", F.get(lines, F.lit(0)).alias("no"), F.split(F.get(lines, F.lit(1)), "-->").alias("t"), F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n").alias("text"))
     rows = rows.select("track_id", "cue", "no", "text", parsed_srt_time(F.get("t", F.lit(0))).alias("start_ms"), parsed_srt_time(F.get("t", F.lit(1))).alias("end_ms"))
     prior = F.lag("end_ms").over(Window.partitionBy("track_id").orderBy("cue"))
     problem = F.when(~F.col("no").rlike(r"^\s*\d+\s*$"), "invalid-index").when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "invalid-timecode").when(F.col("end_ms") <= F.col("start_ms"), "negative-duration").when(F.trim("text") == "", "empty-cue").when(F.col("start_ms") < prior, "overlap").otherwise("ok")
     return rows.select("track_id", "cue", "start_ms", "end_ms", "text", problem.alias("problem"))
 
 
-def dominant_language(documents: DataFrame, key: str) -> DataFrame:
-    """The language with more characters of two (``fr`` on a tie)."""
-    sums = documents.groupBy(key).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n_chars")).otherwise(0)).alias(x) for x in ("fr", "de")])
-    return sums.select(key, F.when(F.col("fr") >= F.col("de"), "fr").otherwise("de").alias("lang"))
+def dominant_language(detections: DataFrame, key: str) -> DataFrame:
+    """``zh`` or ``en``, whichever has more confidence among the detections of a key (``detected``, ``confidence``); ``zh`` on a tie."""
+    zh, en = (F.sum(F.when(F.col("detected").startswith(x), F.col("confidence")).otherwise(0)) for x in ("zh", "en"))
+    return detections.groupBy(key).agg(zh.alias("zh"), en.alias("en")).select(key, F.when(F.col("zh") >= F.col("en"), "zh").otherwise("en").alias("lang"))
 
 
 def chapters(markers: DataFrame, length_ms: int, least: int = 3, spacing_ms: int = 10_000) -> DataFrame:
@@ -138,11 +138,39 @@ def vtt_files(segments: DataFrame) -> DataFrame:
     return rows.select("track_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("s", lambda x: x["c"]), "\n\n"), F.lit("\n")).alias("vtt"))
 
 
-def parse_vtt(files: DataFrame) -> DataFrame:
-    """Cues of WebVTT texts (``track_id, vtt``); NOTE, STYLE and REGION blocks and cue settings are passed over."""
+def vtt_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of WebVTT texts (``track_id, vtt``): ``track_id, n, cue`` (number among cue blocks, null for others), ``start_ms, end_ms, settings, text``."""
     blocks = files.select("track_id", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("vtt", "\r\n?", "\n"), r"^\s+|\s+$", ""), "\n[ \t]*\n+")).alias("n", "b"))
-    rows = blocks.filter(~F.col("b").rlike("^(WEBVTT|NOTE|STYLE|REGION)"))
-    pattern = r"(?s)^(?:[^\n]*\n)?(\d{1,3}:\d{2}:\d{2}\.\d{3}) --> (\d{1,3}:\d{2}:\d{2}\.\d{3})[^\n]*(?:\n(.*))?$"
-    part = [F.regexp_extract("b", pattern, i) for i in (1, 2, 3)]
-    rows = rows.select("track_id", F.row_number().over(Window.partitionBy("track_id").orderBy("n")).alias("cue"), parsed_srt_time(part[0]).alias("start_ms"), parsed_srt_time(part[1]).alias("end_ms"), part[2].alias("text"))
-    return rows.filter(F.col("start_ms").isNotNull())
+    other = F.col("b").rlike("^(WEBVTT|NOTE|STYLE|REGION)")
+    pattern = r"(?s)^(?:[^\n]*\n)?(\d{1,3}:\d{2}:\d{2}\.\d{3}) --> (\d{1,3}:\d{2}:\d{2}\.\d{3})([^\n]*)(?:\n(.*))?$"
+    part = [F.regexp_extract("b", pattern, i) for i in (1, 2, 3, 4)]
+    w = Window.partitionBy("track_id").orderBy("n")
+    cue = F.when(~other, F.sum((~other).cast("int")).over(w))
+    return blocks.select("track_id", "n", cue.alias("cue"), parsed_srt_time(part[0]).alias("start_ms"), parsed_srt_time(part[1]).alias("end_ms"), F.trim(part[2]).alias("settings"), part[3].alias("text"))
+
+
+def parse_vtt(files: DataFrame) -> DataFrame:
+    """Cues of WebVTT texts; NOTE, STYLE and REGION blocks and cue settings are passed over, and so are cues without times, in order or text."""
+    rows = vtt_blocks(files).filter("cue IS NOT NULL AND end_ms > start_ms AND trim(text) <> ''")
+    return rows.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
+def vtt_diagnostics(files: DataFrame) -> DataFrame:
+    """What is wrong in WebVTT texts: ``track_id, cue`` (0: the file), ``code`` (``missing-header, invalid-timecode, negative-duration, empty-cue, overlap, ignored-settings``)."""
+    header = files.filter(~F.col("vtt").rlike("^\ufeff?WEBVTT")).select("track_id", F.lit(0).cast("long").alias("cue"), F.lit("missing-header").alias("code"))
+    rows = vtt_blocks(files).filter("cue IS NOT NULL")
+    prior = F.max("end_ms").over(Window.partitionBy("track_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_prior", prior)
+    bad = F.when(F.col("start_ms").isNull(), "invalid-timecode").when(F.col("end_ms") <= F.col("start_ms"), "negative-duration").when(F.trim("text") == "", "empty-cue").when(F.col("start_ms") < F.col("_prior"), "overlap")
+    codes = F.array_compact(F.array(bad, F.when(F.col("settings") != "", "ignored-settings")))
+    return rows.select("track_id", F.col("cue").cast("long").alias("cue"), F.explode(codes).alias("code")).unionByName(header)
+
+
+def srt_diagnostics(files: DataFrame) -> DataFrame:
+    """Cues of SRT texts that break a rule: ``track_id, cue, problem``; all but overlapping ones are left out of ``parsed_cues``."""
+    return parse_srt(files).filter("problem <> 'ok'").select("track_id", "cue", "problem")
+
+
+def parsed_cues(files: DataFrame) -> DataFrame:
+    """The good cues of SRT texts: ``track_id, cue, start_ms, end_ms, text``."""
+    return parse_srt(files).filter("problem IN ('ok', 'overlap')").select("track_id", "cue", "start_ms", "end_ms", "text")

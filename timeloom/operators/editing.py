@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.operators.helpers import asof_join, fold_per_key, interval_join
+from timeloom.operators.intervals import TOUCH_MS, cut_by_ranges, resolve_at
 
 TRACK = ["project_id", "track_no"]
 
@@ -30,15 +31,40 @@ def sampled_keyframes(points: DataFrame, keys: DataFrame, fallback: int) -> Data
     return b.select("point_id", "project_id", "t_ms", F.round(value.cast("double"), 6).alias("value"))
 
 
-def transitions_at(points: DataFrame, clips: DataFrame, dur_ms: int, width: int = 16384) -> DataFrame:
-    """Points inside the transition around a cut (clips up to 1 s apart): both clips and how far the mix is, in thousandths."""
+def touching_cuts(clips: DataFrame) -> DataFrame:
+    """Cuts between neighbours that touch: ``project_id, track_no, from_clip, to_clip, cut_ms``."""
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
-    cuts = clips.select(*TRACK, F.col("clip_id").alias("from_clip"), F.lead("clip_id").over(w).alias("to_clip"), F.lead("start_ms").over(w).alias("cut"), _end().alias("e")).filter("cut - e BETWEEN 0 AND 1000")
-    b = cuts.select(*TRACK, "from_clip", "to_clip", (F.col("cut") - dur_ms // 2).alias("b_start"), (F.col("cut") + dur_ms // 2).alias("b_end"))
+    rows = clips.select(*TRACK, F.col("clip_id").alias("from_clip"), F.lead("clip_id").over(w).alias("to_clip"), F.lead("start_ms").over(w).alias("cut_ms"), _end().alias("_e"))
+    return rows.filter(F.abs(F.col("cut_ms") - F.col("_e")) <= TOUCH_MS).drop("_e")
+
+
+def transitions_at(points: DataFrame, clips: DataFrame, dur_ms: int, width: int = 16384) -> DataFrame:
+    """Points inside the transition around a cut of clips that touch: both clips and how far the mix is, in thousandths."""
+    b = touching_cuts(clips).select(*TRACK, "from_clip", "to_clip", (F.col("cut_ms") - dur_ms // 2).alias("b_start"), (F.col("cut_ms") + dur_ms // 2).alias("b_end"))
     a = points.select("project_id", "point_id", F.col("t_ms").alias("a_start"), (F.col("t_ms") + 1).alias("a_end"))
     return interval_join(a, b, ["project_id"], width).select("point_id", "track_no", "from_clip", "to_clip", F.expr(f"(a_start - b_start) * 1000 div {dur_ms}").alias("mix_milli"))
 
 
+def layers_at(points: DataFrame, clips: DataFrame, dur_ms: int) -> DataFrame:
+    """Layers of each point: the plain clip of a track, or the outgoing and the incoming one where a transition replaces it.
+
+    ``point_id, track_no, clip_id, role`` (``plain``, ``out``, ``in``) and ``mix_milli``; transitions are no longer than the
+    clips around them, so one point has one of a track.
+    """
+    mixes = transitions_at(points, clips, dur_ms)
+    sides = F.array(F.struct(F.col("from_clip").alias("clip_id"), F.lit("out").alias("role")), F.struct(F.col("to_clip").alias("clip_id"), F.lit("in").alias("role")))
+    mixed = mixes.select("point_id", "track_no", "mix_milli", F.explode(sides).alias("s")).select("point_id", "track_no", "s.clip_id", "s.role", "mix_milli")
+    plain = resolve_at(points, clips).join(mixes.select("point_id", "track_no").distinct(), ["point_id", "track_no"], "left_anti")
+    return plain.select("point_id", "track_no", "clip_id", F.lit("plain").alias("role"), F.lit(0).cast("long").alias("mix_milli")).unionByName(mixed)
+
+
+def shared_source_layers(layers: DataFrame, clips: DataFrame) -> DataFrame:
+    """Incoming layers whose source is that of the outgoing one: ``point_id, track_no, clip_id, source_id``."""
+    named = layers.join(clips.select("clip_id", "source_id"), "clip_id")
+    out = named.filter("role = 'out'").select("point_id", "track_no", "source_id")
+    return named.filter("role = 'in'").join(out, ["point_id", "track_no", "source_id"], "left_semi").select("point_id", "track_no", "clip_id", "source_id")
+
+
 def boundary_guard(pairs: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Pairs (``project_id, pair_id, from_ms, to_ms``) with the first boundary in (from, to], or -1."""
     b = boundaries.select("project_id", F.col("t_ms").alias("hit_ms")).distinct()
@@ -96,7 +122,7 @@ def rolled(clips: DataFrame, by_ms: int) -> DataFrame:
     """Cuts that may move by ``by_ms`` without emptying the clip before or running out of the one after: changed pairs."""
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
     rows = clips.select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms", F.lead("clip_id").over(w).alias("to_clip"), F.lead("start_ms").over(w).alias("to_start"), F.lead("dur_ms").over(w).alias("to_dur"), F.lead("in_ms").over(w).alias("to_in"))
-    ok = rows.filter((F.col("to_start") - _end() <= 1000) & (F.col("dur_ms") + by_ms > 0) & (F.col("to_dur") - by_ms > 0) & (F.col("to_in") + by_ms >= 0))
+    ok = rows.filter((F.abs(F.col("to_start") - _end()) <= TOUCH_MS) & (F.col("dur_ms") + by_ms > 0) & (F.col("to_dur") - by_ms > 0) & (F.col("to_in") + by_ms >= 0))
     return ok.select("clip_id", "to_clip", (F.col("dur_ms") + by_ms).alias("dur_ms"), (F.col("to_start") + by_ms).alias("to_start"), (F.col("to_dur") - by_ms).alias("to_dur"), (F.col("to_in") + by_ms).alias("to_in"))
 
 
@@ -197,32 +223,41 @@ def smoothed(points: DataFrame, alpha: float, jump: int) -> DataFrame:
     return fold_per_key(points, ["key"], ["t"], fold, "key long, t long, mean double")
 
 
-def tracked_subjects(boxes: DataFrame, least_iou: float = 0.3) -> DataFrame:
-    """One box a frame: the one that overlaps the last subject best, else the surest; a fold per shot."""
+def tracked_subjects(boxes: DataFrame, least_iou: float = 0.3, coast: int = 30) -> DataFrame:
+    """One box a frame (``shot, frame_id, det_id, face, x_milli, y_milli, w_milli, h_milli, conf_milli``); a fold per shot.
+
+    Faces go before other boxes. The box that overlaps the last subject by ``least_iou`` or more is kept, the best of them;
+    where none does, the last subject is held for up to ``coast`` frames (``held``), then the surest box takes over.
+    """
+
+    def iou(a, b):
+        i = max(0, min(a["x_milli"] + a["w_milli"], b["x_milli"] + b["w_milli"]) - max(a["x_milli"], b["x_milli"])) * max(0, min(a["y_milli"] + a["h_milli"], b["y_milli"] + b["h_milli"]) - max(a["y_milli"], b["y_milli"]))
+        return i / max(1, a["w_milli"] * a["h_milli"] + b["w_milli"] * b["h_milli"] - i)
 
     def fold(rows):
         frames: dict = {}
         for r in rows:
             frames.setdefault(r["frame_id"], []).append(r)
-        last = None
-
-        def iou(a, b):
-            i = max(0, min(a["x_milli"] + 300, b["x_milli"] + 300) - max(a["x_milli"], b["x_milli"])) * max(0, min(a["y_milli"] + 300, b["y_milli"] + 300) - max(a["y_milli"], b["y_milli"]))
-            return i / (180_000 - i)
-
+        last, seen = None, None
         for frame, found in sorted(frames.items()):
+            found = [b for b in found if b["face"]] or found
             near = [b for b in found if last and iou(last, b) >= least_iou]
-            last = max(near, key=lambda b: (iou(last, b), -b["det_id"])) if near else max(found, key=lambda b: (b["conf_milli"], -b["det_id"]))
-            yield {"shot": last["shot"], "frame_id": frame, "det_id": last["det_id"]}
+            held = bool(last) and not near and last["face"] >= found[0]["face"] and frame - seen <= coast
+            if near:
+                last = max(near, key=lambda b: (iou(last, b), -b["det_id"]))
+            elif not held:
+                last = max(found, key=lambda b: (b["conf_milli"], -b["det_id"]))
+            seen = seen if held else frame
+            yield {"shot": last["shot"], "frame_id": frame, "det_id": last["det_id"], "held": held}
 
-    return fold_per_key(boxes, ["shot"], ["frame_id", "det_id"], fold, "shot long, frame_id long, det_id long")
+    return fold_per_key(boxes, ["shot"], ["frame_id", "det_id"], fold, "shot long, frame_id long, det_id long, held boolean")
 
 
-def slow_motion_instants(clips: DataFrame, factor: int, most: int) -> DataFrame:
-    """Times between a clip's whole seconds at which frames are made up: at most ``most`` an interval."""
+def slow_motion_instants(clips: DataFrame, interval_ms: int, factor: int, most: int) -> DataFrame:
+    """Times between a clip's source frames (``interval_ms`` apart) at which frames are made up: at most ``most`` an interval."""
     n = min(factor - 1, most)
-    rows = clips.select("clip_id", F.explode(F.sequence(F.lit(0), F.expr("dur_ms div 1000") - 1)).alias("second"))
-    return rows.select("clip_id", "second", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).select("clip_id", "second", "k", F.expr(f"second * 1000 + k * 1000 div {factor}").alias("t_ms"))
+    rows = clips.filter(F.col("dur_ms") >= interval_ms).select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"dur_ms div {interval_ms}") - 1)).alias("interval"))
+    return rows.select("clip_id", "interval", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).select("clip_id", "interval", "k", F.expr(f"interval * {interval_ms} + k * {interval_ms} div {factor}").alias("t_ms"))
 
 
 def mixed_blocks(pcm: DataFrame, gains: DataFrame, block: int = 8) -> DataFrame:
@@ -260,13 +295,22 @@ def lut_lookup(points: DataFrame, table: DataFrame) -> DataFrame:
     return b.select("point_id", F.round(value.cast("double"), 6).alias("value")).filter(F.col("value").isNotNull())
 
 
-def remap_table(speeds: DataFrame, step_ms: int, steps: int) -> DataFrame:
-    """Source time after each step of output time: the running sum of the speed (percent) that holds at the step, up to the source's end."""
-    grid = speeds.groupBy("project_id").agg(F.max("source_ms").alias("source_ms")).select("project_id", "source_ms", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("n")).withColumn("t_ms", (F.col("n") * step_ms).cast("long"))
-    keys = speeds.select("project_id", "key_ms", "speed_pct")
-    met = asof_join(grid, keys, ["project_id"], "t_ms", "key_ms", ["speed_pct"])
-    run = F.sum(F.coalesce("speed_pct", F.lit(100)) * step_ms).over(Window.partitionBy("project_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return met.withColumn("source_at", F.expr("0L") + run).select("project_id", "n", F.expr("source_at div 100").alias("source_at"), "source_ms").filter("source_at <= source_ms").drop("source_ms")
+def remap_table(speeds: DataFrame, step_ms: int, most: int = 4) -> DataFrame:
+    """Source time after each step of output time, by Simpson's rule over the speed curve (percent, linear between keys).
+
+    ``speeds``: ``project_id, key_ms, speed_pct, source_ms``. The table ends with the step that reaches the source's end, and
+    at ``most`` times the source's length in any case.
+    """
+    ends = speeds.groupBy("project_id").agg(F.max("source_ms").alias("source_ms"))
+    grid = ends.select("project_id", "source_ms", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"source_ms * {most} div {step_ms}"))).alias("n"))
+    # the speed at both ends of a step and in its middle
+    at = grid.select("project_id", "source_ms", "n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).withColumn("t_ms", F.expr(f"n * {step_ms} + k * {step_ms} div 2")).withColumn("point_id", F.struct("project_id", "source_ms", "n", "k"))
+    speed = lut_lookup(at.select("project_id", "t_ms", "point_id"), speeds.select("project_id", "key_ms", F.col("speed_pct").alias("value"))).select("point_id.*", "value")
+    weight = F.when(F.col("k") == 1, 4).otherwise(1)
+    step = speed.groupBy("project_id", "source_ms", "n").agg(F.sum(weight * F.col("value")).alias("_v")).withColumn("_d", F.col("_v") * step_ms / 600)
+    run = F.sum("_d").over(Window.partitionBy("project_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = step.withColumn("_at", run)
+    return rows.filter(F.col("_at") - F.col("_d") < F.col("source_ms")).select("project_id", "n", F.round(F.least(F.col("_at"), F.col("source_ms").cast("double")) + 1e-7, 3).alias("source_at"))
 
 
 def normalised_keyframes(keys: DataFrame, grain_ms: int) -> DataFrame:
@@ -276,13 +320,12 @@ def normalised_keyframes(keys: DataFrame, grain_ms: int) -> DataFrame:
     return rows.select("project_id", "k.ord", "k.key_ms", "k.value")
 
 
-def silence_cuts(clips: DataFrame, regions: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``pieces`` (clips split at the regions' edges) without those inside a region (one a project: ``cut_start, cut_end``), the rest moved left."""
-    rows = pieces.join(regions, "project_id", "left")
-    inside = F.coalesce(F.expr("start_ms >= cut_start AND start_ms + dur_ms <= cut_end"), F.lit(False))
+def silence_cuts(clips: DataFrame, regions: DataFrame) -> DataFrame:
+    """Clips split at the regions' edges (any number a project: ``cut_start, cut_end``), pieces inside a region deleted, the rest of a track moved left by them."""
+    pieces = cut_by_ranges(clips, regions)
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id", "piece_no").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(F.when(inside, F.col("dur_ms")).otherwise(0)).over(w), F.lit(0))
-    return rows.withColumns({"_gone": gone, "_in": inside}).filter("NOT _in").select(*TRACK, "clip_id", "piece_no", (F.col("start_ms") - F.col("_gone")).alias("start_ms"), "dur_ms")
+    gone = F.coalesce(F.sum(F.when(F.col("inside"), F.col("dur_ms")).otherwise(0)).over(w), F.lit(0))
+    return pieces.withColumn("_gone", gone).filter("NOT inside").select(*TRACK, "clip_id", "piece_no", (F.col("start_ms") - F.col("_gone")).alias("start_ms"), "dur_ms")
 
 
 def reframe_stats(frames: DataFrame) -> DataFrame:

@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.operators.helpers import asof_join, fold_per_key, islands
-
-KINDS = ("chunk", "pause", "resume")
+from timeloom.operators.helpers import asof_join, fold_per_key, interval_join, islands
+
+#: The kinds of capture sources, and the fields that each kind of record must have.
+SOURCE_KINDS = ("screen", "webcam", "mic", "system-audio")
+RECORD = "kind STRING, version DOUBLE, sessionId STRING, startedAtIso STRING, epochUs BIGINT, sources ARRAY<STRUCT<sourceId: STRING, kind: STRING>>, chunkTargetS DOUBLE, sourceId STRING, file STRING, byteOffset BIGINT, byteLength BIGINT, fromUs BIGINT, toUs BIGINT, keyFrame BOOLEAN, preEncodeDrops BIGINT, reason STRING, endedAtIso STRING, atUs BIGINT, source STRUCT<sourceId: STRING, kind: STRING, label: STRING>, mode STRING, sceneId STRING"
+REQUIRED = {
+    "header": ("sessionId", "startedAtIso", "sources", "chunkTargetS"),
+    "epoch": ("epochUs",),
+    "chunk": ("sourceId", "file", "byteOffset", "byteLength", "fromUs", "toUs", "keyFrame", "preEncodeDrops"),
+    "source-ended": ("sourceId", "reason"),
+    "finalize": ("endedAtIso", "reason"),
+    "pause": ("atUs",),
+    "resume": ("atUs",),
+    "source-added": ("atUs", "source.sourceId", "source.label"),
+    "source-region-applied": ("sourceId", "atUs"),
+    "scene-switch": ("sceneId", "atUs"),
+}
 
 
 def parse_manifest(lines: DataFrame) -> DataFrame:
-    """NDJSON lines (``session_id, line_no, line``) of known kinds with their required fields; all else is dropped."""
-    j = F.from_json("line", "kind STRING, atUs BIGINT, fromUs BIGINT, byteLength BIGINT")
-    rows = lines.select("session_id", "line_no", j.alias("j")).select("session_id", "line_no", F.col("j.kind").alias("kind"), F.col("j.atUs").alias("at_us"), F.col("j.fromUs").alias("from_us"), F.col("j.byteLength").alias("byte_length"))
-    whole = F.when(F.col("kind") == "chunk", F.col("from_us").isNotNull() & (F.col("byte_length") >= 0)).when(F.col("kind").isin("pause", "resume"), F.col("at_us").isNotNull())
-    return rows.filter(whole).select("session_id", "line_no", "kind", F.coalesce("at_us", "from_us").alias("t_us"), F.coalesce("byte_length", F.lit(0)).alias("bytes"))
+    """NDJSON lines (``session_id, line_no, line``) of known kinds with their required fields; torn, malformed and unknown ones are dropped.
+
+    ``session_id, line_no, kind, t_us`` (the record's time, or null), ``bytes, source_id, to_us, key_frame, drops, detail``
+    (file, reason, mode or scene).
+    """
+    rows = lines.select("session_id", "line_no", F.from_json("line", RECORD).alias("j"))
+    whole = None
+    for kind, names in REQUIRED.items():
+        ok = reduce(lambda x, y: x & y, [F.col(f"j.{n}").isNotNull() for n in names])
+        if kind == "header":
+            ok = ok & (F.col("j.version") == 1) & F.forall("j.sources", lambda x: x["sourceId"].isNotNull() & F.coalesce(x["kind"].isin(*SOURCE_KINDS), F.lit(False)))
+        if kind == "source-added":
+            ok = ok & F.col("j.source.kind").isin(*SOURCE_KINDS)
+        if kind == "source-region-applied":
+            ok = ok & F.col("j.mode").isin("crop", "element")
+        whole = F.when(F.col("j.kind") == kind, ok) if whole is None else whole.when(F.col("j.kind") == kind, ok)
+    rows = rows.filter(whole)
+    return rows.select(
+        "session_id", "line_no", "j.kind", F.coalesce("j.atUs", "j.fromUs", "j.epochUs").alias("t_us"), F.coalesce("j.byteLength", F.lit(0)).alias("bytes"), F.coalesce("j.sourceId", "j.source.sourceId").alias("source_id"),
+        F.col("j.toUs").alias("to_us"), F.col("j.keyFrame").alias("key_frame"), F.col("j.preEncodeDrops").alias("drops"), F.coalesce("j.file", "j.reason", "j.mode", "j.sceneId").alias("detail"),
+    )
 
 
 def dropped_lines(lines: DataFrame) -> DataFrame:
@@ -47,15 +79,17 @@ def collapsed(events: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("event_id", "session_id", (F.col("t_us") - F.coalesce("gone", F.lit(0))).alias("collapsed_us"))
 
 
-def landings(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
-    """First and last chunk of each session on collapsed time, relative to the earliest of all in its group; at least 0.1 s long."""
-    chunks = manifest.filter("kind = 'chunk'").select("session_id", F.col("line_no").alias("event_id"), "t_us")
-    ends = collapsed(chunks, pairs).groupBy("session_id").agg(F.min("collapsed_us").alias("first_us"), F.max("collapsed_us").alias("last_us"))
-    return ends.select("session_id", "first_us", F.greatest(F.col("last_us") - F.col("first_us"), F.lit(100_000)).alias("dur_us"))
+def landings(manifest: DataFrame, pairs: DataFrame, epochs: DataFrame) -> DataFrame:
+    """Where each source of a session lands: its first and last chunk on collapsed time, counted from the session's epoch (``session_id, epoch_us``); at least 0.1 s long."""
+    chunks = manifest.filter("kind = 'chunk'").select("session_id", F.struct("line_no", "source_id").alias("event_id"), "t_us")
+    ends = collapsed(chunks, pairs).groupBy("session_id", F.col("event_id.source_id").alias("source_id")).agg(F.min("collapsed_us").alias("first_us"), F.max("collapsed_us").alias("last_us"))
+    made = ends.join(epochs, "session_id")
+    return made.select("session_id", "source_id", F.greatest(F.lit(0), F.col("first_us") - F.col("epoch_us")).alias("start_us"), F.greatest(F.col("last_us") - F.col("first_us"), F.lit(100_000)).alias("dur_us"))
 
 
 def chunk_totals(manifest: DataFrame) -> DataFrame:
-    return manifest.filter("kind = 'chunk'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("bytes").alias("bytes"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+    """Chunks, bytes, drops before the encoder and times of each source of a session."""
+    return manifest.filter("kind = 'chunk'").groupBy("session_id", "source_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("bytes").alias("bytes"), F.sum("drops").alias("drops"), F.min("t_us").alias("first_us"), F.max("to_us").alias("last_us"))
 
 
 def sessions(events: DataFrame, gap_us: int) -> DataFrame:
@@ -185,20 +219,31 @@ def scene_intervals(switches: DataFrame, end_us: Column) -> DataFrame:
     return rows.filter("end_us > start_us")
 
 
-def replay_snapshot(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """From the last keyframe at or before each request's start up to its end: ``session_id, from_us, n, bytes``."""
+def replay_snapshot(chunks: DataFrame, requests: DataFrame, width: int = 60_000_000) -> DataFrame:
+    """What each request (``request_id, session_id, start_us, end_us``, both ends included) saves: ``request_id, from_us, n, bytes``.
+
+    It begins at the last keyframe at or before the request's start, else at the first one inside the request; a session
+    without keyframes (audio only) is cut at the start itself. Requests that meet no chunk are left out.
+    """
     keys = chunks.filter("keyframe").select("session_id", F.col("t_us").alias("key_us"))
-    starts = asof_join(requests, keys, ["session_id"], "start_us", "key_us", ["key_us"]).select("session_id", F.coalesce("key_us", "start_us").alias("from_us"), "end_us")
-    met = chunks.join(starts, "session_id").filter("t_us BETWEEN from_us AND end_us")
-    return met.groupBy("session_id", "from_us").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    before = asof_join(requests, keys, ["session_id"], "start_us", "key_us", ["key_us"])
+    after = asof_join(before, keys.withColumnRenamed("key_us", "next_us"), ["session_id"], "start_us", "next_us", ["next_us"], "forward")
+    video = keys.select("session_id").distinct().withColumn("_video", F.lit(True))
+    inside = F.when(F.col("next_us") <= F.col("end_us"), F.col("next_us"))
+    starts = after.join(video, "session_id", "left").withColumn("from_us", F.when(F.col("_video"), F.coalesce("key_us", inside)).otherwise(F.col("start_us"))).filter("from_us IS NOT NULL")
+    a = chunks.select("session_id", "bytes", F.col("t_us").alias("a_start"), (F.col("t_us") + 1).alias("a_end"))
+    b = starts.select("session_id", "request_id", "from_us", F.col("from_us").alias("b_start"), (F.col("end_us") + 1).alias("b_end"))
+    met = interval_join(a, b, ["session_id"], width)
+    return met.groupBy("request_id", "from_us").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def parse_event_log(logs: DataFrame) -> DataFrame:
-    """DOM event logs (``log_id, json``) of schema version 1: known kinds with a time, x and y clamped to 0..1."""
-    j = F.from_json("json", "schemaVersion INT, events ARRAY<STRUCT<kind: STRING, t: BIGINT, x: DOUBLE, y: DOUBLE>>")
-    rows = logs.select("log_id", j.alias("j")).filter("j.schemaVersion = 1").select("log_id", F.posexplode("j.events").alias("n", "e"))
+    """DOM event logs (``log_id, json``) of schema version 1 with a session: known kinds with a time, x and y clamped to 0..1, the wheel's ``delta_y`` of scrolls."""
+    j = F.from_json("json", "eventLogSchemaVersion INT, sessionId STRING, events ARRAY<STRUCT<kind: STRING, t: DOUBLE, x: DOUBLE, y: DOUBLE, deltaY: DOUBLE>>")
+    rows = logs.select("log_id", j.alias("j")).filter("j.eventLogSchemaVersion = 1 AND j.sessionId IS NOT NULL").select("log_id", F.posexplode("j.events").alias("n", "e"))
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0))))
-    return rows.filter("e.kind IN ('click', 'scroll', 'key') AND e.t >= 0").select("log_id", "n", "e.kind", F.col("e.t").alias("t_us"), unit("e.x").alias("x"), unit("e.y").alias("y"))
+    rows = rows.filter("e.kind IN ('click', 'scroll', 'key') AND e.t IS NOT NULL")
+    return rows.select("log_id", "n", "e.kind", F.col("e.t").alias("t"), unit("e.x").alias("x"), unit("e.y").alias("y"), F.when(F.col("e.kind") == "scroll", F.col("e.deltaY")).alias("delta_y"))
 
 
 def parse_sidecar(lines: DataFrame) -> DataFrame:

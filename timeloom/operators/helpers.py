@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def interval_join(a: DataFrame, b: DataFrame, by: list[str], width: int, how: st
     """Pairs of half-open ranges (``a_start, a_end`` and ``b_start, b_end``) of one key that overlap.
 
     Ranges are dealt into bins of ``width``, bins are joined, and a pair is kept in the bin where its overlap begins.
-    ``semi`` and ``anti`` keep rows of ``a`` (which then needs distinct rows).
+    ``semi`` and ``anti`` keep rows of ``a``, each as often as it stands there; nulls in other columns don't matter.
     """
 
     def bins(df: DataFrame, s: str, e: str, out: str) -> DataFrame:
@@ -53,8 +54,11 @@ def interval_join(a: DataFrame, b: DataFrame, by: list[str], width: int, how: st
     met = met.filter(F.expr(f"greatest(a_start, b_start) div {width}") == F.col("_bin")).drop("_bin")
     if how == "inner":
         return met
-    keys = met.select(*a.columns).distinct()
-    return a.join(keys, a.columns, "left_semi" if how == "semi" else "left_anti")
+    # whether a range is met depends on its key and ends alone
+    names = [*by, "a_start", "a_end"]
+    keys = met.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)]).distinct()
+    same = [a[c].eqNullSafe(keys[f"_k{i}"]) for i, c in enumerate(names)]
+    return a.join(keys, reduce(lambda x, y: x & y, same), "left_semi" if how == "semi" else "left_anti")
 
 
 def fold_per_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from timeloom.operators.helpers import asof_join, interval_join, islands
 
 TRACK = ["project_id", "track_no"]
+#: Clips no further apart are neighbours that touch.
+TOUCH_MS = 1
 
 
 def _end() -> Column:
@@ -104,36 +106,91 @@ def split_at(clips: DataFrame, cuts: DataFrame, width: int = 16384) -> DataFrame
     return pieces.select(*TRACK, "clip_id", "piece_no", "start_ms", (F.get("edges", F.col("piece_no") + 1) - F.col("start_ms")).alias("dur_ms"), (F.col("in_ms") + F.col("start_ms") - F.col("_s")).alias("in_ms"))
 
 
-def lift(clips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Remove one range of each project (``project_id, cut_start, cut_end``), keeping what stands out left and right."""
-    met = clips.join(ranges, "project_id", "left")
-    hit = F.col("cut_start").isNotNull() & (F.col("start_ms") < F.col("cut_end")) & (F.col("cut_start") < _end())
-    left = F.struct(F.col("start_ms").alias("s"), F.least(_end(), F.col("cut_start")).alias("e"))
-    right = F.struct(F.greatest(F.col("start_ms"), F.col("cut_end")).alias("s"), _end().alias("e"))
-    parts = F.when(hit, F.filter(F.array(left, right), lambda x: x["s"] < x["e"])).otherwise(F.array(F.struct(F.col("start_ms").alias("s"), _end().alias("e"))))
-    kept = met.select(*TRACK, "clip_id", "in_ms", F.col("start_ms").alias("_s"), F.explode(parts).alias("p"))
-    return kept.select(*TRACK, "clip_id", F.col("p.s").alias("start_ms"), (F.col("p.e") - F.col("p.s")).alias("dur_ms"), (F.col("in_ms") + F.col("p.s") - F.col("_s")).alias("in_ms"))
-
-
-def extract(clips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``lift``, then what starts at or after the range's end moves left by its length."""
-    kept = lift(clips, ranges).join(ranges, "project_id", "left")
-    shift = F.when(F.col("start_ms") >= F.col("cut_end"), F.col("cut_end") - F.col("cut_start")).otherwise(0)
-    return kept.select(*TRACK, "clip_id", (F.col("start_ms") - shift).alias("start_ms"), "dur_ms", "in_ms")
-
-
-def ripple_delete(clips: DataFrame, removed: Column) -> DataFrame:
-    """Delete the clips that ``removed`` marks; later ones of their track move left by the deleted time before them."""
-    gone = F.coalesce(F.sum(F.when(removed, F.col("dur_ms")).otherwise(0)).over(_before(TRACK, "start_ms", "clip_id")), F.lit(0))
-    return clips.withColumn("_gone", gone.cast("long")).filter(~removed).select(*TRACK, "clip_id", (F.col("start_ms") - F.col("_gone")).alias("start_ms"), "dur_ms", "in_ms")
-
-
-def insert_shift(clips: DataFrame, inserts: DataFrame) -> DataFrame:
-    """Make room at one point of each project (``project_id, at_ms, room_ms``): later clips move right; ``spans`` marks clips that hold the point."""
-    met = clips.join(inserts, "project_id", "left")
-    later = F.coalesce(F.col("start_ms") >= F.col("at_ms"), F.lit(False))
-    spans = F.coalesce((F.col("start_ms") < F.col("at_ms")) & (F.col("at_ms") < _end()), F.lit(False))
-    return met.select(*TRACK, "clip_id", F.when(later, F.col("start_ms") + F.col("room_ms")).otherwise(F.col("start_ms")).alias("start_ms"), "dur_ms", spans.alias("spans"))
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges of each project (any number of them: ``project_id, cut_start, cut_end``) as a union, with ``gone``, the time that they hold up to each one's end."""
+    made = range_union(ranges.select("project_id", "cut_start", "cut_end").filter("cut_start < cut_end"), ["project_id"], "cut_start", "cut_end")
+    run = Window.partitionBy("project_id").orderBy("cut_start").rowsBetween(Window.unboundedPreceding, 0)
+    return made.select("project_id", "cut_start", "cut_end", F.sum(F.col("cut_end") - F.col("cut_start")).over(run).alias("gone"))
+
+
+def cut_by_ranges(clips: DataFrame, ranges: DataFrame, target: Column | None = None, width: int = 16384) -> DataFrame:
+    """Clips of target tracks (all by default) cut at the edges of the ranges: pieces with ``inside``, whether a range holds them."""
+    clips = clips.withColumn("_target", F.lit(True) if target is None else target)
+    b = merged_ranges(ranges).select("project_id", F.col("cut_start").alias("b_start"), F.col("cut_end").alias("b_end"))
+    a = clips.filter("_target").select(*TRACK, "clip_id", F.col("start_ms").alias("a_start"), _end().alias("a_end"))
+    cuts = interval_join(a, b, ["project_id"], width).groupBy(*TRACK, "clip_id").agg(F.collect_list(F.struct(F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))).alias("cuts"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.array("start_ms", _end()), F.flatten(F.transform(F.coalesce("cuts", F.array().cast("array<struct<s:bigint,e:bigint>>")), lambda x: F.array(x["s"], x["e"]))))))
+    rows = clips.join(cuts, [*TRACK, "clip_id"], "left").withColumn("edges", edges)
+    pieces = F.transform(F.slice("edges", F.lit(1), F.size("edges") - 1), lambda x, i: F.struct(x.alias("s"), F.get(F.col("edges"), i + 1).alias("e")))
+    rows = rows.select(*TRACK, "clip_id", "in_ms", "cuts", F.col("start_ms").alias("_s"), F.posexplode(pieces).alias("piece_no", "p"))
+    inside = F.coalesce(F.exists("cuts", lambda x: (x["s"] <= F.col("p.s")) & (F.col("p.e") <= x["e"])), F.lit(False))
+    return rows.select(*TRACK, "clip_id", "piece_no", F.col("p.s").alias("start_ms"), (F.col("p.e") - F.col("p.s")).alias("dur_ms"), (F.col("in_ms") + F.col("p.s") - F.col("_s")).alias("in_ms"), inside.alias("inside"))
+
+
+def lift(clips: DataFrame, ranges: DataFrame, target: Column | None = None) -> DataFrame:
+    """Remove the ranges of each project (any number: ``project_id, cut_start, cut_end``) from the target tracks, keeping what stands out."""
+    return cut_by_ranges(clips, ranges, target).filter("NOT inside").select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms")
+
+
+def extract(clips: DataFrame, ranges: DataFrame, target: Column | None = None, synced: Column | None = None) -> DataFrame:
+    """``lift``, then what starts at or after a range's end moves left by it, on target and on synced tracks.
+
+    A project is refused, and keeps its clips, if a clip of a synced track that is no target overlaps a range: ``accepted``.
+    """
+    target, synced = F.lit(True) if target is None else target, F.lit(False) if synced is None else synced
+    runs = merged_ranges(ranges)
+    a = clips.filter(synced & ~target).select(*TRACK, "clip_id", F.col("start_ms").alias("a_start"), _end().alias("a_end"))
+    b = runs.select("project_id", F.col("cut_start").alias("b_start"), F.col("cut_end").alias("b_end"))
+    refused = interval_join(a, b, ["project_id"], 16384).select("project_id").distinct()
+    kept = clips.join(refused, "project_id", "left_semi").select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms", F.lit(False).alias("accepted"))
+    good = lift(clips.join(refused, "project_id", "left_anti"), ranges, target)
+    moved = asof_join(good, runs.select("project_id", "cut_end", "gone"), ["project_id"], "start_ms", "cut_end", ["gone"])
+    shift = F.when(target | synced, F.coalesce("gone", F.lit(0))).otherwise(0)
+    return moved.select(*TRACK, "clip_id", (F.col("start_ms") - shift).alias("start_ms"), "dur_ms", "in_ms", F.lit(True).alias("accepted")).unionByName(kept)
+
+
+def _with_refusal(rows: DataFrame, refused: DataFrame) -> DataFrame:
+    """``accepted``: false for all clips of the projects in ``refused``."""
+    return rows.join(refused.select("project_id", F.lit(True).alias("_no")).distinct(), "project_id", "left").withColumn("accepted", F.col("_no").isNull()).drop("_no")
+
+
+def ripple_delete(clips: DataFrame, removed: Column, synced: Column | None = None) -> DataFrame:
+    """Delete the clips that ``removed`` marks; later ones of their track move left by the deleted time before them.
+
+    Synced tracks without deleted clips move by what the track that loses most loses, from its first deleted clip on. A
+    project is refused, and keeps its clips, if a clip of such a track stands over that point or clips then overlap: ``accepted``.
+    """
+    synced = F.lit(False) if synced is None else synced
+    rows = clips.withColumns({"_gone": F.coalesce(F.sum(F.when(removed, F.col("dur_ms")).otherwise(0)).over(_before(TRACK, "start_ms", "clip_id")), F.lit(0)).cast("long"), "_removed": removed, "_synced": synced})
+    per = rows.filter("_removed").groupBy(*TRACK).agg(F.sum("dur_ms").alias("_total"), F.min("start_ms").alias("_from"))
+    best = per.groupBy("project_id").agg(F.max_by(F.struct("_total", "_from"), F.struct("_total", -F.col("track_no"))).alias("_b"))
+    rows = rows.join(per.select(*TRACK, F.lit(True).alias("_own")), TRACK, "left").join(best, "project_id", "left")
+    follows = F.col("_synced") & F.col("_own").isNull() & F.col("_b").isNotNull()
+    to = F.when(F.col("_own"), F.col("start_ms") - F.col("_gone")).when(follows & (F.col("start_ms") >= F.col("_b._from")), F.greatest(F.lit(0), F.col("start_ms") - F.col("_b._total"))).otherwise(F.col("start_ms"))
+    over = follows & (F.col("start_ms") < F.col("_b._from")) & (_end() > F.col("_b._from"))
+    rows = rows.withColumns({"_to": to, "_over": over})
+    left = rows.filter("NOT _removed").withColumn("_hit", F.col("_to") < F.lag(F.col("_to") + F.col("dur_ms")).over(Window.partitionBy(*TRACK).orderBy("_to", "clip_id")))
+    refused = left.filter("_over OR _hit").select("project_id")
+    made = _with_refusal(rows, refused).filter("NOT (_removed AND accepted)")
+    return made.select(*TRACK, "clip_id", F.when(F.col("accepted"), F.col("_to")).otherwise(F.col("start_ms")).alias("start_ms"), "dur_ms", "in_ms", "accepted")
+
+
+def insert_edit(clips: DataFrame, inserts: DataFrame, synced: Column | None = None) -> DataFrame:
+    """Insert clips (``project_id, track_no, clip_id, at_ms, dur_ms``, one point a project) and make room for the longest.
+
+    What starts at or after the point moves right, on the tracks that get a clip and on synced ones. A project is refused,
+    and keeps its clips, if a clip of those tracks stands over the point: ``accepted``.
+    """
+    synced = F.lit(False) if synced is None else synced
+    room = inserts.groupBy("project_id").agg(F.min("at_ms").alias("at_ms"), F.max("dur_ms").alias("room_ms"))
+    rows = clips.join(inserts.select(*TRACK, F.lit(True).alias("_own")).distinct(), TRACK, "left").join(room, "project_id", "left")
+    moves = F.coalesce(F.col("_own"), F.lit(False)) | (synced & F.col("at_ms").isNotNull())
+    over = moves & (F.col("start_ms") < F.col("at_ms")) & (F.col("at_ms") < _end())
+    made = _with_refusal(rows, rows.filter(over).select("project_id"))
+    start = F.when(F.col("accepted") & moves & (F.col("start_ms") >= F.col("at_ms")), F.col("start_ms") + F.col("room_ms")).otherwise(F.col("start_ms"))
+    made = made.select(*TRACK, "clip_id", start.alias("start_ms"), "dur_ms", "accepted")
+    added = inserts.join(made.filter("NOT accepted").select("project_id").distinct(), "project_id", "left_anti")
+    return made.unionByName(added.select(*TRACK, "clip_id", F.col("at_ms").alias("start_ms"), "dur_ms", F.lit(True).alias("accepted")))
 
 
 def trim_room(clips: DataFrame) -> DataFrame:
@@ -144,17 +201,20 @@ def trim_room(clips: DataFrame) -> DataFrame:
 
 
 def transition_limits(clips: DataFrame, source_ms: int) -> DataFrame:
-    """Longest transition between neighbours that touch, or up to 1 s apart: twice the least of durations and handles."""
+    """Longest transition between neighbours that touch: twice the least of durations and handles."""
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
     rows = clips.select(*TRACK, "clip_id", "dur_ms", "in_ms", F.lead("clip_id").over(w).alias("to_clip_id"), F.lead("dur_ms").over(w).alias("to_dur"), F.lead("in_ms").over(w).alias("to_in"), (F.lead("start_ms").over(w) - _end()).alias("gap"))
     most = 2 * F.least("dur_ms", "to_dur", F.greatest(F.lit(0), F.lit(source_ms) - F.col("in_ms") - F.col("dur_ms")), "to_in")
-    return rows.filter(F.col("gap").between(0, 1000)).select(*TRACK, "clip_id", "to_clip_id", most.alias("max_ms"))
+    return rows.filter(F.abs("gap") <= TOUCH_MS).select(*TRACK, "clip_id", "to_clip_id", most.alias("max_ms"))
 
 
-def frame_grid(clips: DataFrame, fps: int, frames: int) -> DataFrame:
-    """``project_id, frame, t_ms`` of the first ``frames`` output frames of each project, as far as it lasts."""
-    grid = durations(clips).select("project_id", "duration_ms", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))
-    return grid.withColumn("t_ms", F.expr(f"frame * 1000 div {fps}")).filter("t_ms < duration_ms").select("project_id", "frame", "t_ms")
+def frame_grid(clips: DataFrame, fps: int) -> DataFrame:
+    """``project_id, frame, t_ms`` of all output frames of each project; long projects are dealt out in runs of 4096 frames."""
+    last = F.expr(f"(duration_ms * {fps} - 1) div 1000")
+    runs = durations(clips).filter("duration_ms > 0").select("project_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(duration_ms * {fps} - 1) div 1000 div 4096"))).alias("run"), last.alias("last"))
+    parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = runs.repartition(parts, "project_id", "run").select("project_id", F.explode(F.expr("sequence(run * 4096, least(run * 4096 + 4095, last))")).alias("frame"))
+    return frames.withColumn("t_ms", F.expr(f"frame * 1000 div {fps}"))
 
 
 def close_marked_groups(clips: DataFrame, group: Column, chosen: Column) -> DataFrame:
@@ -165,10 +225,10 @@ def close_marked_groups(clips: DataFrame, group: Column, chosen: Column) -> Data
 
 
 def unlinked(clips: DataFrame, group: Column, chosen: Column) -> DataFrame:
-    """Chosen clips leave their groups; a group left with one member is dissolved: ``clip_id, group_id`` (or null)."""
-    rows = clips.select("clip_id", F.when(chosen, None).otherwise(group).alias("group_id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("group_id"))
-    return rows.select("clip_id", F.when(n >= 2, F.col("group_id")).alias("group_id"))
+    """Chosen clips leave their groups; a group of a project left with one member is dissolved: ``project_id, clip_id, group_id`` (or null)."""
+    rows = clips.select("project_id", "clip_id", F.when(chosen, None).otherwise(group).alias("group_id"))
+    whole = rows.filter("group_id IS NOT NULL").groupBy("project_id", "group_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n").withColumn("_whole", F.lit(True))
+    return rows.join(whole, ["project_id", "group_id"], "left").select("project_id", "clip_id", F.when(F.col("_whole"), F.col("group_id")).alias("group_id"))
 
 
 def clip_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -204,6 +264,7 @@ def markers_to_ranges(points: DataFrame) -> DataFrame:
 
 
 def shifted_markers(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Markers inside a removed range (one a project: ``cut_start, cut_end``) go, later ones move left."""
-    met = points.join(ranges, "project_id", "left").filter(F.coalesce(~F.expr("t_ms >= cut_start AND t_ms < cut_end"), F.lit(True)))
-    return met.select("point_id", "project_id", F.when(F.col("t_ms") >= F.col("cut_end"), F.expr("t_ms - (cut_end - cut_start)")).otherwise(F.col("t_ms")).alias("t_ms"))
+    """Markers inside removed ranges (any number a project) go, later ones move left by the ranges before them."""
+    runs = merged_ranges(ranges)
+    met = asof_join(points, runs, ["project_id"], "t_ms", "cut_start", ["cut_end", "gone"])
+    return met.filter("cut_end IS NULL OR t_ms >= cut_end").select("point_id", "project_id", (F.col("t_ms") - F.coalesce("gone", F.lit(0))).alias("t_ms"))

@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 from timeloom.operators import events as op
 from timeloom.sources.views import sql_with, view
 
-MAN = "m AS (SELECT session_id, line_no, kind, coalesce(a, f) AS t_us, coalesce(b, 0) AS bytes FROM (SELECT session_id, line_no, json_extract_string(line, '$.kind') AS kind, CAST(json_extract_string(line, '$.atUs') AS BIGINT) AS a, CAST(json_extract_string(line, '$.fromUs') AS BIGINT) AS f, CAST(json_extract_string(line, '$.byteLength') AS BIGINT) AS b FROM (SELECT * FROM v_manifest WHERE json_valid(line))) WHERE CASE WHEN kind = 'chunk' THEN f IS NOT NULL AND b >= 0 WHEN kind IN ('pause', 'resume') THEN a IS NOT NULL END)"
+_NUM = "json_type(line, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE')"
+_STR = "json_type(line, '$.{0}') = 'VARCHAR'"
+_ALL = lambda kind, strings, numbers, more="": f"WHEN '{kind}' THEN " + " AND ".join([*(_STR.format(x) for x in strings), *(_NUM.format(x) for x in numbers)]) + more
+_RULES = " ".join([
+    _ALL("header", ("sessionId", "startedAtIso"), ("chunkTargetS",), " AND json_extract_string(line, '$.version') = '1' AND coalesce(list_bool_and(list_transform(json_extract_string(line, '$.sources[*].kind'), lambda x: x IN ('screen', 'webcam', 'mic', 'system-audio'))), true)"),
+    _ALL("epoch", (), ("epochUs",)),
+    _ALL("chunk", ("sourceId", "file"), ("byteOffset", "byteLength", "fromUs", "toUs", "preEncodeDrops"), " AND json_type(line, '$.keyFrame') = 'BOOLEAN'"),
+    _ALL("source-ended", ("sourceId", "reason"), ()),
+    _ALL("finalize", ("endedAtIso", "reason"), ()),
+    _ALL("pause", (), ("atUs",)),
+    _ALL("resume", (), ("atUs",)),
+    _ALL("source-added", ("source.sourceId", "source.label"), ("atUs",), " AND json_extract_string(line, '$.source.kind') IN ('screen', 'webcam', 'mic', 'system-audio')"),
+    _ALL("source-region-applied", ("sourceId",), ("atUs",), " AND json_extract_string(line, '$.mode') IN ('crop', 'element')"),
+    _ALL("scene-switch", ("sceneId",), ("atUs",)),
+])
+_S = "json_extract_string(line, '$.{}')".format
+_I = lambda x: f"TRY_CAST({_S(x)} AS BIGINT)"
+MAN = f"m AS (SELECT session_id, line_no, {_S('kind')} AS kind, coalesce({_I('atUs')}, {_I('fromUs')}, {_I('epochUs')}) AS t_us, coalesce({_I('byteLength')}, 0) AS bytes, coalesce({_S('sourceId')}, {_S('source.sourceId')}) AS source_id, {_I('toUs')} AS to_us, TRY_CAST({_S('keyFrame')} AS BOOLEAN) AS key_frame, {_I('preEncodeDrops')} AS drops, coalesce({_S('file')}, {_S('reason')}, {_S('mode')}, {_S('sceneId')}) AS detail FROM (SELECT * FROM v_manifest WHERE json_valid(line)) WHERE CASE {_S('kind')} {_RULES} END)"
 PAIRS = MAN + ", p AS (SELECT session_id, pause_us, resume_us FROM (SELECT session_id, kind, t_us AS resume_us, lag(kind) OVER w AS k, lag(t_us) OVER w AS pause_us FROM m WHERE kind IN ('pause', 'resume') WINDOW w AS (PARTITION BY session_id ORDER BY t_us, line_no)) WHERE kind = 'resume' AND k = 'pause')"
 
 
@@ -37,8 +54,8 @@ PLANS = {
     "e8_pause_pairs": (_pairs, ["v_manifest"], f"WITH {PAIRS} SELECT * FROM p"),
     "e9_seam_markers": (lambda s, d: op.seam_markers(_pairs(s, d)), ["v_manifest"], f"WITH {PAIRS} SELECT session_id, CAST(row_number() OVER w AS INTEGER) AS seam, CAST(pause_us - coalesce(sum(resume_us - pause_us) OVER (PARTITION BY session_id ORDER BY resume_us, pause_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_us FROM p WINDOW w AS (PARTITION BY session_id ORDER BY resume_us, pause_us)"),
     "c13_collapsed": (lambda s, d: op.collapsed(view(s, d, "v_events"), _pairs(s, d)), ["v_manifest"], f"WITH {PAIRS} SELECT e.event_id, e.session_id, CAST(e.t_us - coalesce(sum(resume_us - pause_us), 0) AS BIGINT) AS collapsed_us FROM v_events e LEFT JOIN p ON p.session_id = e.session_id AND p.resume_us <= e.t_us GROUP BY e.event_id, e.session_id, e.t_us"),
-    "e13_landings": (lambda s, d: op.landings(_man(s, d), _pairs(s, d)), ["v_manifest"], f"WITH {PAIRS}, c AS (SELECT m.session_id, m.line_no, CAST(m.t_us - coalesce(sum(resume_us - pause_us), 0) AS BIGINT) AS t FROM m LEFT JOIN p ON p.session_id = m.session_id AND p.resume_us <= m.t_us WHERE m.kind = 'chunk' GROUP BY m.session_id, m.line_no, m.t_us) SELECT session_id, min(t) AS first_us, greatest(max(t) - min(t), 100000) AS dur_us FROM c GROUP BY session_id"),
-    "i13_chunk_totals": (lambda s, d: op.chunk_totals(_man(s, d)), ["v_manifest"], f"WITH {MAN} SELECT session_id, count(*) AS n_chunks, CAST(sum(bytes) AS BIGINT) AS bytes, min(t_us) AS first_us, max(t_us) AS last_us FROM m WHERE kind = 'chunk' GROUP BY session_id"),
+    "e13_landings": (lambda s, d: (lambda m: op.landings(m, op.pause_pairs(m), m.filter("kind = 'chunk'").groupBy("session_id").agg(F.min("t_us").alias("epoch_us"))))(_man(s, d)), ["v_manifest"], f"WITH {PAIRS}, ep AS (SELECT session_id, min(t_us) AS ep FROM m WHERE kind = 'chunk' GROUP BY 1), c AS (SELECT m.session_id, m.source_id, m.line_no, CAST(m.t_us - coalesce(sum(resume_us - pause_us), 0) AS BIGINT) AS t FROM m LEFT JOIN p ON p.session_id = m.session_id AND p.resume_us <= m.t_us WHERE m.kind = 'chunk' GROUP BY m.session_id, m.source_id, m.line_no, m.t_us) SELECT c.session_id, c.source_id, greatest(0, min(t) - any_value(ep)) AS start_us, greatest(max(t) - min(t), 100000) AS dur_us FROM c JOIN ep USING (session_id) GROUP BY c.session_id, c.source_id"),
+    "i13_chunk_totals": (lambda s, d: op.chunk_totals(_man(s, d)), ["v_manifest"], f"WITH {MAN} SELECT session_id, source_id, count(*) AS n_chunks, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(drops) AS BIGINT) AS drops, min(t_us) AS first_us, max(to_us) AS last_us FROM m WHERE kind = 'chunk' GROUP BY 1, 2"),
     "d22_capture_epochs": (lambda s, d: _man(s, d).filter("kind = 'chunk'").groupBy((F.col("session_id") % 10).alias("project_id")).agg(F.min("t_us").alias("epoch_us")), ["v_manifest"], f"WITH {MAN} SELECT session_id % 10 AS project_id, min(t_us) AS epoch_us FROM m WHERE kind = 'chunk' GROUP BY 1"),
     "i9_sessions": (lambda s, d: op.sessions(view(s, d, "v_events"), 40_000_000_000), ["v_events"], "SELECT session_id, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN g IS NULL OR g > 40000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, t_us - lag(t_us) OVER (PARTITION BY session_id ORDER BY t_us, event_id) AS g FROM v_events)) GROUP BY session_id, k"),
     "e14_pointer_clusters": (_clusters, ["v_events"], CLUSTERS + " SELECT session_id, start_us, end_us, n, sx, sy FROM cl"),
@@ -56,8 +73,8 @@ PLANS = {
         "WITH u AS (SELECT source_id, duration_ms // 1000 * 7 AS ds FROM v_sources), n AS (SELECT source_id, ds, unnest(range(0, greatest(0, (ds - 5 + 24) // 25 - 1) + 1)) AS n FROM u WHERE ds > 0) SELECT source_id, n, n * 25 AS start_s, least(n * 25 + 30, ds) AS end_s, CASE WHEN n = 0 THEN 0 ELSE n * 25 + 2 END AS from_s, CASE WHEN n * 25 + 30 >= ds THEN least(n * 25 + 30, ds) ELSE n * 25 + 27 END AS to_s FROM n"),
     "i1_bounded_intake": (lambda s, d: op.bounded_intake(view(s, d, "v_events"), 600_000_000_000, 20), ["v_events"], "SELECT session_id, t_us // 600000000000 AS period, least(count(*), 20) AS kept, greatest(count(*) - 20, 0) AS dropped FROM v_events GROUP BY ALL"),
     "e12_scene_intervals": (lambda s, d: op.scene_intervals(view(s, d, "v_events"), F.lit(1_800_000_000_000_000)), ["v_events"], "SELECT * FROM (SELECT session_id, kind, t_us AS start_us, coalesce(lead(t_us) OVER (PARTITION BY session_id ORDER BY t_us, event_id), 1800000000000000) AS end_us FROM v_events) WHERE end_us > start_us"),
-    "i3_replay_snapshot": (lambda s, d: (lambda e: op.replay_snapshot(e.select("session_id", "t_us", (F.col("event_id") % 3 == 0).alias("keyframe"), F.col("x_milli").alias("bytes")), e.groupBy("session_id").agg(F.expr("max(t_us) - 200000000000").alias("start_us"), F.max("t_us").alias("end_us"))))(view(s, d, "v_events")), ["v_events"],
-        "WITH q AS (SELECT session_id, max(t_us) - 200000000000 AS s, max(t_us) AS e FROM v_events GROUP BY 1), b AS (SELECT q.session_id, coalesce(max(t_us), any_value(s)) AS f, any_value(e) AS e FROM q LEFT JOIN v_events v ON v.session_id = q.session_id AND v.event_id % 3 = 0 AND v.t_us <= q.s GROUP BY q.session_id) SELECT b.session_id, f AS from_us, count(*) AS n, CAST(sum(x_milli) AS BIGINT) AS bytes FROM b JOIN v_events v ON v.session_id = b.session_id AND v.t_us BETWEEN f AND e GROUP BY 1, 2"),
+    "i3_replay_snapshot": (lambda s, d: (lambda e: op.replay_snapshot(e.select("session_id", "t_us", F.expr("event_id % 30 = 0 AND session_id % 5 <> 0").alias("keyframe"), F.col("x_milli").alias("bytes")), e.filter("kind = 'click'").select(F.col("event_id").alias("request_id"), "session_id", (F.col("t_us") - 30_000_000_000).alias("start_us"), F.col("t_us").alias("end_us")), 40_000_000_000))(view(s, d, "v_events")), ["v_events"],
+        "WITH c AS (SELECT *, event_id % 30 = 0 AND session_id % 5 <> 0 AS kf FROM v_events), q AS (SELECT event_id AS request_id, session_id, t_us - 30000000000 AS s, t_us AS e FROM v_events WHERE kind = 'click'), b AS (SELECT q.*, (SELECT max(t_us) FROM c WHERE c.session_id = q.session_id AND kf AND t_us <= s) AS k, (SELECT min(t_us) FROM c WHERE c.session_id = q.session_id AND kf AND t_us >= s AND t_us <= e) AS n, q.session_id IN (SELECT session_id FROM c WHERE kf) AS v FROM q), f AS (SELECT *, CASE WHEN v THEN coalesce(k, n) ELSE s END AS from_us FROM b) SELECT request_id, from_us, count(*) AS n, CAST(sum(x_milli) AS BIGINT) AS bytes FROM f JOIN c ON c.session_id = f.session_id AND t_us BETWEEN from_us AND e GROUP BY 1, 2"),
 }
 
 

@@ -8,6 +8,7 @@ from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
 from timeloom.operators import quality as qu
 from timeloom.operators import signal as sg
+from timeloom.plans.timeline import PIECES
 from timeloom.sources.views import sql_with, view
 
 
@@ -27,6 +28,15 @@ def _tl(s, d):
     return view(s, d, "v_timeline")
 
 
+def _tight(s, d):
+    return view(s, d, "v_tight")
+
+
+#: Cuts between clips that touch.
+CUTS_AT = "tc AS (SELECT * FROM (SELECT project_id, track_no, clip_id AS from_clip, lead(clip_id) OVER w AS to_clip, lead(start_ms) OVER w AS cut, start_ms + dur_ms AS e FROM v_tight WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) WHERE abs(cut - e) <= 1)"
+LAYERS = f"{POINTS}, {CUTS_AT}, x AS (SELECT point_id, track_no, from_clip, to_clip, (t_ms - cut + 400) * 1000 // 800 AS m FROM tc JOIN p USING (project_id) WHERE t_ms >= cut - 400 AND t_ms < cut + 400), ly AS (SELECT point_id, track_no, clip_id, 'plain' AS role, 0 AS mix_milli FROM p JOIN v_tight c ON p.project_id = c.project_id AND start_ms <= t_ms AND t_ms < start_ms + dur_ms WHERE (point_id, track_no) NOT IN (SELECT (point_id, track_no) FROM x) UNION ALL SELECT point_id, track_no, from_clip, 'out', m FROM x UNION ALL SELECT point_id, track_no, to_clip, 'in', m FROM x)"
+
+
 def _timing(s, d):
     return view(s, d, "v_sources").select("source_id", F.expr("CASE WHEN source_id % 5 = 0 THEN NULL ELSE source_id % 40 END").alias("v_start"), F.expr("source_id % 60").alias("a_start"), F.expr("CASE WHEN source_id % 5 = 0 THEN NULL ELSE duration_ms END").alias("v_end"), F.expr("duration_ms - 100").alias("a_end"))
 
@@ -48,8 +58,11 @@ TRACKS = "SELECT DISTINCT project_id, track_no FROM v_clips"
 PLANS = {
     "c10_sampled_keyframes": (lambda s, d: op.sampled_keyframes(_points(s, d), _keys(s, d), 100), ["v_points", "v_timeline"],
         f"WITH {POINTS}, {KEYS}, j AS (SELECT p.*, a.key_ms AS ta, a.value AS va, a.easing AS e FROM p ASOF LEFT JOIN k a ON p.project_id = a.project_id AND a.key_ms <= p.t_ms), n AS (SELECT j.*, b.key_ms AS tb, b.value AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms), u AS (SELECT *, (t_ms - ta)::DOUBLE / nullif(tb - ta, 0) AS t FROM n) SELECT point_id, project_id, t_ms, round(CASE WHEN va IS NULL AND vb IS NULL THEN 100.0 WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * CASE e WHEN 'hold' THEN 0.0 WHEN 'smooth' THEN t * t * (3 - 2 * t) ELSE t END END, 6) AS value FROM u"),
-    "c3_transitions_at": (lambda s, d: op.transitions_at(_points(s, d), _tl(s, d), 4000), ["v_points", "v_timeline"],
-        f"WITH {POINTS}, c AS (SELECT project_id, track_no, clip_id AS from_clip, lead(clip_id) OVER w AS to_clip, lead(start_ms) OVER w AS cut, start_ms + dur_ms AS e FROM v_timeline WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) SELECT point_id, track_no, from_clip, to_clip, (t_ms - cut + 2000) * 1000 // 4000 AS mix_milli FROM c JOIN p USING (project_id) WHERE cut - e BETWEEN 0 AND 1000 AND t_ms >= cut - 2000 AND t_ms < cut + 2000"),
+    "c3_transitions_at": (lambda s, d: op.transitions_at(_points(s, d), _tight(s, d), 800), ["v_points", "v_tight"],
+        f"WITH {POINTS}, {CUTS_AT} SELECT point_id, track_no, from_clip, to_clip, (t_ms - cut + 400) * 1000 // 800 AS mix_milli FROM tc JOIN p USING (project_id) WHERE t_ms >= cut - 400 AND t_ms < cut + 400"),
+    "c3_layers_at": (lambda s, d: op.layers_at(_points(s, d), _tight(s, d), 800), ["v_points", "v_tight"], f"WITH {LAYERS} SELECT * FROM ly"),
+    "c4_shared_source_layers": (lambda s, d: (lambda t: op.shared_source_layers(op.layers_at(_points(s, d), t, 800), t))(_tight(s, d).withColumn("source_id", F.col("source_id") % 5)), ["v_points", "v_tight"],
+        f"WITH {LAYERS}, n AS (SELECT ly.*, source_id % 5 AS source_id FROM ly JOIN v_tight USING (clip_id)) SELECT point_id, i.track_no, i.clip_id, i.source_id FROM n i JOIN n o USING (point_id) WHERE i.track_no = o.track_no AND i.role = 'in' AND o.role = 'out' AND i.source_id = o.source_id"),
     "c19_boundary_guard": (lambda s, d: op.boundary_guard(_points(s, d).select("project_id", F.col("point_id").alias("pair_id"), F.col("t_ms").alias("from_ms"), (F.col("t_ms") + 1500).alias("to_ms")), _tl(s, d).filter("track_no = 1").select("project_id", F.col("start_ms").alias("t_ms"))), ["v_points", "v_timeline"],
         f"WITH {POINTS}, b AS (SELECT DISTINCT project_id, start_ms AS h FROM v_timeline WHERE track_no = 1) SELECT point_id AS pair_id, coalesce(min(h), -1) AS boundary_ms FROM p LEFT JOIN b ON p.project_id = b.project_id AND h > t_ms AND h <= t_ms + 1500 GROUP BY 1"),
     "b8_normalised_timing": (lambda s, d: op.normalised_timing(_timing(s, d)), ["v_sources"],
@@ -62,7 +75,7 @@ PLANS = {
     "b15_patched": (lambda s, d: op.patched(view(s, d, "v_clips"), view(s, d, "v_clips").filter("clip_id % 5 = 0").selectExpr("clip_id", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 900 END AS gain", "in_ms * 3 AS fade_ms")), ["v_clips"], "SELECT clip_id, CASE WHEN clip_id % 5 = 0 AND in_ms % 2 = 0 THEN least(400, in_ms % 900) ELSE 100 END AS gain, CASE WHEN clip_id % 5 = 0 THEN least(dur_ms // 2, in_ms * 3) ELSE 0 END AS fade_ms FROM v_clips"),
     "g4_overwritten": (lambda s, d: (lambda t: (lambda r, n: op.overwritten(t, n, iv.lift(t, r)))(t.select("project_id").distinct().selectExpr("project_id", "project_id * 100 AS cut_start", "project_id * 100 + 9000 AS cut_end"), t.select("project_id").distinct().selectExpr("project_id", "CAST(0 AS BIGINT) AS track_no", "-project_id AS clip_id", "project_id * 100 AS start_ms", "CAST(9000 AS BIGINT) AS dur_ms")))(_tl(s, d)), ["v_timeline"],
         "WITH x AS (SELECT *, project_id * 100 AS a, project_id * 100 + 9000 AS b, start_ms + dur_ms AS e FROM v_timeline) SELECT project_id, track_no, clip_id, start_ms, dur_ms FROM x WHERE NOT (start_ms < b AND a < e) UNION ALL SELECT project_id, track_no, clip_id, start_ms, a - start_ms FROM x WHERE start_ms < a AND a < e UNION ALL SELECT project_id, track_no, clip_id, b, e - b FROM x WHERE start_ms < b AND b < e UNION ALL SELECT DISTINCT project_id, 0, -project_id, a, 9000 FROM x"),
-    "g10_rolled": (lambda s, d: op.rolled(_tl(s, d), -1500), ["v_timeline"], "SELECT clip_id, tc AS to_clip, dur_ms - 1500 AS dur_ms, ts - 1500 AS to_start, td + 1500 AS to_dur, ti - 1500 AS to_in FROM (SELECT *, lead(clip_id) OVER w AS tc, lead(start_ms) OVER w AS ts, lead(dur_ms) OVER w AS td, lead(in_ms) OVER w AS ti FROM v_timeline WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) WHERE ts - (start_ms + dur_ms) <= 1000 AND dur_ms > 1500 AND ti >= 1500"),
+    "g10_rolled": (lambda s, d: op.rolled(_tight(s, d), -1500), ["v_tight"], "SELECT clip_id, tc AS to_clip, dur_ms - 1500 AS dur_ms, ts - 1500 AS to_start, td + 1500 AS to_dur, ti - 1500 AS to_in FROM (SELECT *, lead(clip_id) OVER w AS tc, lead(start_ms) OVER w AS ts, lead(dur_ms) OVER w AS td, lead(in_ms) OVER w AS ti FROM v_tight WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) WHERE abs(ts - (start_ms + dur_ms)) <= 1 AND dur_ms > 1500 AND ti >= 1500"),
     "g10_slipped": (lambda s, d: op.slipped(_tl(s, d), 2500, 50000), ["v_timeline"], "SELECT * FROM (SELECT clip_id, in_ms, greatest(0, least(in_ms + 2500, 50000 - dur_ms)) AS new_in FROM v_timeline) WHERE in_ms <> new_in"),
     "g11_moved_batches": (lambda s, d: op.moved_batches(_tl(s, d), _tl(s, d).filter("clip_id % 4001 = 0").selectExpr("clip_id", "CAST(800 AS BIGINT) AS by_ms")), ["v_timeline"], "WITH m AS (SELECT *, start_ms + CASE WHEN clip_id % 4001 = 0 THEN 800 ELSE 0 END AS t FROM v_timeline), b AS (SELECT *, t < 0 OR coalesce(t < lag(t + dur_ms) OVER (PARTITION BY project_id, track_no ORDER BY t, clip_id), false) AS bad FROM m), a AS (SELECT *, bool_or(bad) OVER (PARTITION BY project_id) AS y FROM b) SELECT project_id, clip_id, CASE WHEN y THEN start_ms ELSE t END AS start_ms, NOT y AS accepted FROM a"),
     "g13_beat_splits": (lambda s, d: op.beat_splits(_tl(s, d), _points(s, d), 9000), ["v_points", "v_timeline"],
@@ -76,19 +89,19 @@ PLANS = {
     "a10_gapped_sequence": (lambda s, d: op.gapped_sequence(_tl(s, d)), ["v_timeline"],
         "WITH g AS (SELECT *, start_ms - coalesce(lag(start_ms + dur_ms) OVER w, 0) AS gap FROM v_timeline WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)), c AS (SELECT project_id, track_no, start_ms, 'clip' AS kind, clip_id, dur_ms FROM g UNION ALL SELECT project_id, track_no, start_ms - gap, 'gap', -1, gap FROM g WHERE gap > 0) SELECT project_id, track_no, row_number() OVER (PARTITION BY project_id, track_no ORDER BY start_ms) - 1 AS n, kind, clip_id, dur_ms FROM c"),
     "e25_smoothed": (lambda s, d: op.smoothed(view(s, d, "v_pcm").selectExpr("source_id AS key", "CAST(i + i div 20 * 5 AS BIGINT) AS t", "x_milli AS value"), 0.25, 3), ["v_pcm"], None),
-    "e26_tracked_subjects": (lambda s, d: op.tracked_subjects(view(s, d, "v_detections").withColumn("shot", F.expr("frame_id div 40"))), ["v_detections"], None),
-    "h20_slow_motion": (lambda s, d: op.slow_motion_instants(_tl(s, d).filter("clip_id % 50 = 0"), 4, 2), ["v_timeline"], "SELECT clip_id, CAST(s AS BIGINT) AS second, CAST(k AS INTEGER) AS k, s * 1000 + k * 1000 // 4 AS t_ms FROM (SELECT clip_id, unnest(range(dur_ms // 1000)) AS s FROM v_timeline WHERE clip_id % 50 = 0), range(1, 3) AS r(k)"),
+    "e26_tracked_subjects": (lambda s, d: op.tracked_subjects(view(s, d, "v_detections").withColumns({"shot": F.expr("frame_id div 40"), "face": F.expr("conf_milli >= 400")})), ["v_detections"], None),
+    "h20_slow_motion": (lambda s, d: op.slow_motion_instants(_tl(s, d), 5000, 4, 2), ["v_timeline"], "SELECT clip_id, CAST(s AS BIGINT) AS interval, CAST(k AS INTEGER) AS k, s * 5000 + k * 5000 // 4 AS t_ms FROM (SELECT clip_id, unnest(range(dur_ms // 5000)) AS s FROM v_timeline), range(1, 3) AS r(k)"),
     "d23_mixed_blocks": (lambda s, d: op.mixed_blocks(view(s, d, "v_pcm"), view(s, d, "v_pcm").select("source_id").distinct().selectExpr("source_id", "source_id % 20 AS project_id", "50 + source_id % 100 AS gain_pct")), ["v_pcm"], "SELECT source_id % 20 AS project_id, CAST(i // 8 AS BIGINT) AS block, i % 8 AS place, greatest(-1000, least(1000, CAST(trunc(sum(x_milli * (50 + source_id % 100)) / 100) AS BIGINT))) AS x_milli FROM v_pcm GROUP BY 1, 2, 3"),
     "d25_beat_phases": (lambda s, d: op.beat_phases(view(s, d, "v_pcm"), 12), ["v_pcm"], "SELECT source_id, phase, score FROM (SELECT source_id, i % 12 AS phase, CAST(sum(x_milli) AS BIGINT) AS score FROM v_pcm GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, phase) = 1"),
     "k4_down_mixed": (lambda s, d: op.down_mixed(view(s, d, "v_pcm").groupBy("source_id", F.expr("i div 2").alias("n")).agg(F.max(F.expr("CASE WHEN i % 2 = 0 THEN x_milli END")).alias("l"), F.max(F.expr("CASE WHEN i % 2 = 1 THEN x_milli END")).alias("r"))), ["v_pcm"], "SELECT a.source_id, CAST(a.i // 2 AS BIGINT) AS n, round((a.x_milli + b.x_milli) / 2, 6) AS mean, round((a.x_milli + b.x_milli) / sqrt(2.0), 6) AS asr FROM v_pcm a JOIN v_pcm b ON a.source_id = b.source_id AND b.i = a.i + 1 AND a.i % 2 = 0"),
     "c5_active_captions": (lambda s, d: op.active_at(_points(s, d), _tl(s, d).filter("track_no = 2").select("project_id", F.col("clip_id").alias("seg_id"), "start_ms", "dur_ms")), ["v_points", "v_timeline"], f"WITH {POINTS} SELECT point_id, clip_id AS seg_id FROM p JOIN v_timeline c ON p.project_id = c.project_id AND track_no = 2 AND start_ms <= t_ms AND t_ms < start_ms + dur_ms"),
     "c11_lut_lookup": (lambda s, d: op.lut_lookup(_points(s, d), _keys(s, d)), ["v_points", "v_timeline"],
         f"WITH {POINTS}, {KEYS}, j AS (SELECT p.*, a.key_ms AS ta, a.value AS va FROM p ASOF LEFT JOIN k a ON p.project_id = a.project_id AND a.key_ms <= p.t_ms), n AS (SELECT j.*, b.key_ms AS tb, b.value AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms) SELECT * FROM (SELECT point_id, round(CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * (t_ms - ta)::DOUBLE / (tb - ta) END, 6) AS value FROM n) WHERE value IS NOT NULL"),
-    "e20_remap_table": (lambda s, d: op.remap_table(_keys(s, d).selectExpr("project_id", "key_ms", "50 + value % 100 AS speed_pct", "CAST(300000 AS BIGINT) AS source_ms"), 500, 1000), ["v_timeline"],
-        f"WITH {KEYS}, g AS (SELECT project_id, n, n * 500 AS t FROM (SELECT DISTINCT project_id FROM k), range(1000) AS r(n)), m AS (SELECT g.*, coalesce(50 + value % 100, 100) AS v FROM g ASOF LEFT JOIN k ON g.project_id = k.project_id AND k.key_ms <= g.t), u AS (SELECT project_id, n, CAST(sum(v * 500) OVER (PARTITION BY project_id ORDER BY n) // 100 AS BIGINT) AS source_at FROM m) SELECT * FROM u WHERE source_at <= 300000"),
+    "e20_remap_table": (lambda s, d: op.remap_table(_keys(s, d).selectExpr("project_id", "key_ms", "50 + value % 100 AS speed_pct", "CAST(300000 AS BIGINT) AS source_ms"), 500), ["v_timeline"],
+        f"WITH {KEYS}, q AS (SELECT project_id, n, h, n * 500 + h * 250 AS t_ms FROM (SELECT DISTINCT project_id FROM k), range(2401) AS r(n), range(3) AS z(h)), j AS (SELECT q.*, a.key_ms AS ta, 50 + a.value % 100 AS va FROM q ASOF LEFT JOIN k a ON q.project_id = a.project_id AND a.key_ms <= q.t_ms), m AS (SELECT j.*, b.key_ms AS tb, 50 + b.value % 100 AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms), v AS (SELECT project_id, n, h, round(CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * (t_ms - ta)::DOUBLE / (tb - ta) END, 6) AS v FROM m), st AS (SELECT project_id, n, sum(CASE h WHEN 1 THEN 4 ELSE 1 END * v) * 500 / 600.0 AS d FROM v GROUP BY 1, 2), u AS (SELECT *, sum(d) OVER (PARTITION BY project_id ORDER BY n) AS a FROM st) SELECT project_id, n, round(least(a, 300000.0) + 1e-7, 3) AS source_at FROM u WHERE a - d < 300000"),
     "e21_normalised_keyframes": (lambda s, d: op.normalised_keyframes(view(s, d, "v_clips").selectExpr("project_id", "clip_id AS ord", "start_ms AS key_ms", "in_ms AS value"), 100000), ["v_clips"], "SELECT project_id, clip_id AS ord, start_ms AS key_ms, in_ms AS value FROM v_clips QUALIFY row_number() OVER (PARTITION BY project_id, start_ms // 100000 ORDER BY clip_id DESC) = 1"),
-    "g8_silence_cuts": (lambda s, d: (lambda t: (lambda r: op.silence_cuts(t, r, iv.split_at(t, r.selectExpr("project_id", "cut_start AS t_ms").union(r.selectExpr("project_id", "cut_end AS t_ms")))))(t.select("project_id").distinct().selectExpr("project_id", "project_id % 7 * 5000 + 1000 AS cut_start", "project_id % 7 * 5000 + 31000 AS cut_end")))(_tl(s, d)), ["v_timeline"],
-        "WITH r AS (SELECT DISTINCT project_id, project_id % 7 * 5000 + 1000 AS a, project_id % 7 * 5000 + 31000 AS b FROM v_timeline), e AS (SELECT DISTINCT c.project_id, track_no, clip_id, t AS s FROM v_timeline c JOIN (SELECT project_id, a AS t FROM r UNION ALL SELECT project_id, b FROM r) q ON c.project_id = q.project_id AND start_ms < t AND t < start_ms + dur_ms UNION SELECT project_id, track_no, clip_id, start_ms FROM v_timeline), w AS (SELECT e.*, row_number() OVER k - 1 AS piece_no, lead(s) OVER k AS n FROM e WINDOW k AS (PARTITION BY clip_id ORDER BY s)), y AS (SELECT w.project_id, w.track_no, w.clip_id, piece_no, s, coalesce(n, start_ms + dur_ms) - s AS d FROM w JOIN v_timeline c USING (clip_id)), z AS (SELECT y.*, s >= a AND s + d <= b AS i FROM y JOIN r USING (project_id)) SELECT project_id, track_no, clip_id, piece_no, s - g AS start_ms, d AS dur_ms FROM (SELECT *, CAST(coalesce(sum(CASE WHEN i THEN d ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY s, clip_id, piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM z) WHERE NOT i"),
+    "g8_silence_cuts": (lambda s, d: op.silence_cuts(_tl(s, d), view(s, d, "v_regions")), ["v_timeline", "v_regions"],
+        f"WITH {PIECES.format('true')} SELECT project_id, track_no, clip_id, piece_no, s - g AS start_ms, d AS dur_ms FROM (SELECT *, CAST(coalesce(sum(CASE WHEN inside THEN d ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY s, clip_id, piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM pp) WHERE NOT inside"),
     "d21_reframe_stats": (lambda s, d: op.reframe_stats(view(s, d, "v_detections").selectExpr("frame_id div 10 AS shot", "CASE WHEN conf_milli >= 400 THEN 'face' WHEN frame_id % 30 < 20 THEN 'saliency' ELSE 'none' END AS kind", "x_milli BETWEEN 100 AND 700 AS safe")), ["v_detections"], "SELECT shot, n, n_face, n_saliency, s * 100 // n AS safe_pct, CASE WHEN n_saliency = 0 THEN 'face' WHEN n_face = 0 THEN 'saliency' ELSE 'mixed' END AS mode FROM (SELECT frame_id // 10 AS shot, count(*) AS n, count(*) FILTER (WHERE conf_milli >= 400) AS n_face, count(*) FILTER (WHERE conf_milli < 400 AND frame_id % 30 < 20) AS n_saliency, count(*) FILTER (WHERE x_milli BETWEEN 100 AND 700) AS s FROM v_detections GROUP BY 1)"),
     "f6_weighted_picks": (lambda s, d: op.weighted_picks(view(s, d, "v_detections")), ["v_detections"], "SELECT frame_id, det_id, score FROM (SELECT *, round(0.45::DOUBLE * conf_milli + 0.25::DOUBLE * 90 + 0.2::DOUBLE * (1000 - abs(x_milli - 350) - abs(y_milli - 350)), 6) AS score FROM v_detections) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_id) = 1"),
     "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 3)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"], "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(4))) SELECT l.project_id, layer, coalesce(a, b) AS clip_id, a IS NOT NULL AS by_source FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id LEFT JOIN (SELECT project_id, track_no, min(clip_id) AS b FROM v_timeline GROUP BY 1, 2) t ON t.project_id = l.project_id AND t.track_no = l.layer"),
@@ -98,8 +111,8 @@ PLANS = {
     "k5_resampled": (lambda s, d: sg.resampled(view(s, d, "v_pcm"), 3, 2), ["v_pcm"],
         "WITH o AS (SELECT source_id, unnest(range((max(i) + 1) * 3 // 2)) AS o FROM v_pcm GROUP BY 1), j AS (SELECT o.source_id, o.o, p.x_milli, p.i - o.o * (2::DOUBLE / 3) AS t FROM o JOIN v_pcm p ON p.source_id = o.source_id AND p.i BETWEEN o.o * 2 // 3 - 3 AND o.o * 2 // 3 + 4), w AS (SELECT *, CASE WHEN abs(t) < 1e-9 THEN 1.0 ELSE sin(t * pi()) / (t * pi()) END * (0.5 + 0.5 * cos(t * pi() / 4)) AS w FROM j) SELECT source_id, o, round(sum(w * x_milli) / sum(w), 6) AS x_milli FROM w GROUP BY 1, 2"),
     "b16_normalised_effects": (lambda s, d: op.normalised_effects(view(s, d, "v_clips").selectExpr("clip_id", "CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 END AS brightness", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 END AS contrast", "in_ms % 300 AS saturation", "CAST(NULL AS BIGINT) AS opacity")), ["v_clips"], "SELECT clip_id, greatest(-100, least(100, CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 ELSE 0 END)) AS brightness, least(200, CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 ELSE 100 END) AS contrast, least(200, in_ms % 300) AS saturation, 100 AS opacity FROM v_clips"),
-    "c22_crossfade_gains": (lambda s, d: op.crossfade_gains(_points(s, d), _tl(s, d), 2000), ["v_points", "v_timeline"],
-        f"WITH {POINTS}, c AS (SELECT project_id, track_no, clip_id AS from_clip, lead(clip_id) OVER w AS to_clip, lead(start_ms) OVER w AS cut, start_ms + dur_ms AS e FROM v_timeline WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) SELECT point_id, track_no, from_clip, to_clip, round(cos(m / 1000.0 * pi() / 2), 6) AS out_gain, round(sin(m / 1000.0 * pi() / 2), 6) AS in_gain FROM (SELECT *, (t_ms - cut + 1000) * 1000 // 2000 AS m FROM c JOIN p USING (project_id) WHERE cut - e BETWEEN 0 AND 1000 AND t_ms >= cut - 1000 AND t_ms < cut + 1000)"),
+    "c22_crossfade_gains": (lambda s, d: op.crossfade_gains(_points(s, d), _tight(s, d), 800), ["v_points", "v_tight"],
+        f"WITH {LAYERS} SELECT point_id, track_no, from_clip, to_clip, round(cos(m / 1000.0 * pi() / 2), 6) AS out_gain, round(sin(m / 1000.0 * pi() / 2), 6) AS in_gain FROM x"),
     "c12_landmarks_at": (lambda s, d: op.landmarks_at(_points(s, d), _keys(s, d).select("project_id", "key_ms", F.array(F.col("value").cast("double"), F.col("value") * 2.0).alias("marks"))).select("point_id", F.get("marks", F.lit(0)).alias("x"), F.get("marks", F.lit(1)).alias("y")), ["v_points", "v_timeline"],
         f"WITH {POINTS}, {KEYS}, j AS (SELECT p.*, a.key_ms AS ta, a.value AS va FROM p ASOF LEFT JOIN k a ON p.project_id = a.project_id AND a.key_ms <= p.t_ms), n AS (SELECT j.*, b.key_ms AS tb, b.value AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms), v AS (SELECT point_id, CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * ((t_ms - ta)::DOUBLE / (tb - ta)) END AS x FROM n) SELECT point_id, round(x, 6) AS x, round(2 * x, 6) AS y FROM v WHERE x IS NOT NULL"),
     "a13_parse_bundles": (lambda s, d: qu.parse_bundles(view(s, d, "v_sources").selectExpr("source_id AS bundle_id", "CASE WHEN source_id % 9 = 0 THEN '{\"version\":1,\"ass' WHEN source_id % 9 = 1 THEN '{\"assets\":[{\"id\":\"a\",\"bytes\":1}]}' ELSE concat('{\"version\":1,\"assets\":[{\"id\":\"a', source_id, '\",\"bytes\":', byte_size, '},{\"bytes\":5},{\"id\":\"b\",\"bytes\":7,\"digest\":\"d\"}]}') END AS json")), ["v_sources"], "SELECT source_id AS bundle_id, 'a' || source_id AS asset_id, byte_size AS bytes, '' AS digest FROM v_sources WHERE source_id % 9 > 1 UNION ALL SELECT source_id, 'b', 7, 'd' FROM v_sources WHERE source_id % 9 > 1"),
