@@ -1,10 +1,6 @@
 """Operators without SQL against plain Python."""
 
-import math
-
-import numpy as np
-
-from timeloom.operators import editing, frames, helpers, signal
+from timeloom.operators import editing, frames, helpers
 
 
 def test_one_euro_follows_a_constant(spark):
@@ -32,26 +28,6 @@ def test_suppression_keeps_the_surest(spark):
     assert sorted(r.det_id for r in frames.non_max_suppression(rows, 0.3, 5).collect()) == [2, 3]
 
 
-def test_spectral_flux(spark):
-    x = np.random.default_rng(1).integers(-900, 900, 40)
-    got = signal.spectral_flux(spark.createDataFrame([(1, i, int(v)) for i, v in enumerate(x)], "source_id long, i int, x_milli long")).orderBy("frame").collect()
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
-    mags = [np.log1p(np.abs(np.fft.rfft(x[a : a + 16] / 1000 * window))) for a in range(0, 25, 8)]
-    want = [float(np.maximum(0, m - p).sum()) for m, p in zip(mags, [np.zeros(9), *mags])]
-    assert np.allclose([r.flux for r in got], want, atol=1e-5)
-
-
-def test_biquad(spark):
-    b, a = (1.5, -2.6, 1.1), (-1.6, 0.7)
-    x = [100, -50, 30, 0, 0, 999]
-    got = signal.biquad(spark.createDataFrame([(7, i, v) for i, v in enumerate(x)], "source_id long, i long, x_milli long"), b, a).orderBy("i").collect()
-    y: list[float] = []
-    for i in range(len(x)):
-        at = lambda s, k: s[k] if k >= 0 else 0.0
-        y.append(sum(c * at(x, i - k) / 1000 for k, c in enumerate(b)) - sum(c * at(y, i - k - 1) for k, c in enumerate(a)))
-    assert all(math.isclose(r.y, v, abs_tol=1e-8) for r, v in zip(got, y))
-
-
 def test_halo_of_chunks(spark):
     rows = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (1, 1, [4.0]), (1, 2, [5.0])], "source_id long, chunk_no int, samples array<double>")
     got = helpers.with_halo(rows, ["source_id"], "chunk_no", "samples", 2).orderBy("chunk_no").collect()

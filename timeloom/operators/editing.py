@@ -267,12 +267,6 @@ def mixed_blocks(pcm: DataFrame, gains: DataFrame, block: int = 8) -> DataFrame:
     return rows.groupBy("project_id", "block", "place").agg(total.alias("x_milli"))
 
 
-def beat_phases(onsets: DataFrame, period: int) -> DataFrame:
-    """The phase of a beat grid that collects most onset strength, the first on a tie."""
-    by = onsets.groupBy("source_id", (F.col("i") % period).alias("phase")).agg(F.sum("x_milli").alias("score"))
-    return by.groupBy("source_id").agg(F.max_by(F.struct("phase", "score"), F.struct("score", -F.col("phase"))).alias("m")).select("source_id", "m.*")
-
-
 def down_mixed(pairs: DataFrame) -> DataFrame:
     """Mono from pairs of samples: the mean, and the sum over the root of two that speech models expect."""
     return pairs.select("source_id", "n", F.round((F.col("l") + F.col("r")) / 2, 6).alias("mean"), F.round((F.col("l") + F.col("r")) / F.sqrt(F.lit(2.0)), 6).alias("asr"))

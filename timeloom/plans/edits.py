@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
 from timeloom.operators import quality as qu
-from timeloom.operators import signal as sg
 from timeloom.plans.timeline import PIECES
 from timeloom.sources.views import sql_with, view
 
@@ -92,7 +91,6 @@ PLANS = {
     "e26_tracked_subjects": (lambda s, d: op.tracked_subjects(view(s, d, "v_detections").withColumns({"shot": F.expr("frame_id div 40"), "face": F.expr("conf_milli >= 400")})), ["v_detections"], None),
     "h20_slow_motion": (lambda s, d: op.slow_motion_instants(_tl(s, d), 5000, 4, 2), ["v_timeline"], "SELECT clip_id, CAST(s AS BIGINT) AS interval, CAST(k AS INTEGER) AS k, s * 5000 + k * 5000 // 4 AS t_ms FROM (SELECT clip_id, unnest(range(dur_ms // 5000)) AS s FROM v_timeline), range(1, 3) AS r(k)"),
     "d23_mixed_blocks": (lambda s, d: op.mixed_blocks(view(s, d, "v_pcm"), view(s, d, "v_pcm").select("source_id").distinct().selectExpr("source_id", "source_id % 20 AS project_id", "50 + source_id % 100 AS gain_pct")), ["v_pcm"], "SELECT source_id % 20 AS project_id, CAST(i // 8 AS BIGINT) AS block, i % 8 AS place, greatest(-1000, least(1000, CAST(trunc(sum(x_milli * (50 + source_id % 100)) / 100) AS BIGINT))) AS x_milli FROM v_pcm GROUP BY 1, 2, 3"),
-    "d25_beat_phases": (lambda s, d: op.beat_phases(view(s, d, "v_pcm"), 12), ["v_pcm"], "SELECT source_id, phase, score FROM (SELECT source_id, i % 12 AS phase, CAST(sum(x_milli) AS BIGINT) AS score FROM v_pcm GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, phase) = 1"),
     "k4_down_mixed": (lambda s, d: op.down_mixed(view(s, d, "v_pcm").groupBy("source_id", F.expr("i div 2").alias("n")).agg(F.max(F.expr("CASE WHEN i % 2 = 0 THEN x_milli END")).alias("l"), F.max(F.expr("CASE WHEN i % 2 = 1 THEN x_milli END")).alias("r"))), ["v_pcm"], "SELECT a.source_id, CAST(a.i // 2 AS BIGINT) AS n, round((a.x_milli + b.x_milli) / 2, 6) AS mean, round((a.x_milli + b.x_milli) / sqrt(2.0), 6) AS asr FROM v_pcm a JOIN v_pcm b ON a.source_id = b.source_id AND b.i = a.i + 1 AND a.i % 2 = 0"),
     "c5_active_captions": (lambda s, d: op.active_at(_points(s, d), _tl(s, d).filter("track_no = 2").select("project_id", F.col("clip_id").alias("seg_id"), "start_ms", "dur_ms")), ["v_points", "v_timeline"], f"WITH {POINTS} SELECT point_id, clip_id AS seg_id FROM p JOIN v_timeline c ON p.project_id = c.project_id AND track_no = 2 AND start_ms <= t_ms AND t_ms < start_ms + dur_ms"),
     "c11_lut_lookup": (lambda s, d: op.lut_lookup(_points(s, d), _keys(s, d)), ["v_points", "v_timeline"],
@@ -106,10 +104,6 @@ PLANS = {
     "f6_weighted_picks": (lambda s, d: op.weighted_picks(view(s, d, "v_detections")), ["v_detections"], "SELECT frame_id, det_id, score FROM (SELECT *, round(0.45::DOUBLE * conf_milli + 0.25::DOUBLE * 90 + 0.2::DOUBLE * (1000 - abs(x_milli - 350) - abs(y_milli - 350)), 6) AS score FROM v_detections) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_id) = 1"),
     "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 3)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"], "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(4))) SELECT l.project_id, layer, coalesce(a, b) AS clip_id, a IS NOT NULL AS by_source FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id LEFT JOIN (SELECT project_id, track_no, min(clip_id) AS b FROM v_timeline GROUP BY 1, 2) t ON t.project_id = l.project_id AND t.track_no = l.layer"),
     "e24_one_euro": (lambda s, d: op.one_euro(view(s, d, "v_pcm").selectExpr("source_id AS key", "CAST(i AS BIGINT) AS t", "x_milli AS value")), ["v_pcm"], None),
-    "e30_biquad": (lambda s, d: sg.biquad(view(s, d, "v_pcm"), (1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585)), ["v_pcm"], None),
-    "k1_spectral_flux": (lambda s, d: sg.spectral_flux(view(s, d, "v_pcm")), ["v_pcm"], None),
-    "k5_resampled": (lambda s, d: sg.resampled(view(s, d, "v_pcm"), 3, 2), ["v_pcm"],
-        "WITH o AS (SELECT source_id, unnest(range((max(i) + 1) * 3 // 2)) AS o FROM v_pcm GROUP BY 1), j AS (SELECT o.source_id, o.o, p.x_milli, p.i - o.o * (2::DOUBLE / 3) AS t FROM o JOIN v_pcm p ON p.source_id = o.source_id AND p.i BETWEEN o.o * 2 // 3 - 3 AND o.o * 2 // 3 + 4), w AS (SELECT *, CASE WHEN abs(t) < 1e-9 THEN 1.0 ELSE sin(t * pi()) / (t * pi()) END * (0.5 + 0.5 * cos(t * pi() / 4)) AS w FROM j) SELECT source_id, o, round(sum(w * x_milli) / sum(w), 6) AS x_milli FROM w GROUP BY 1, 2"),
     "b16_normalised_effects": (lambda s, d: op.normalised_effects(view(s, d, "v_clips").selectExpr("clip_id", "CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 END AS brightness", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 END AS contrast", "in_ms % 300 AS saturation", "CAST(NULL AS BIGINT) AS opacity")), ["v_clips"], "SELECT clip_id, greatest(-100, least(100, CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 ELSE 0 END)) AS brightness, least(200, CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 ELSE 100 END) AS contrast, least(200, in_ms % 300) AS saturation, 100 AS opacity FROM v_clips"),
     "c22_crossfade_gains": (lambda s, d: op.crossfade_gains(_points(s, d), _tight(s, d), 800), ["v_points", "v_tight"],
         f"WITH {LAYERS} SELECT point_id, track_no, from_clip, to_clip, round(cos(m / 1000.0 * pi() / 2), 6) AS out_gain, round(sin(m / 1000.0 * pi() / 2), 6) AS in_gain FROM x"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timeloom.operators import audio as au
 from timeloom.operators import frames as fr
 from timeloom.operators import intervals as iv
 from timeloom.operators import signal as op
@@ -31,6 +32,19 @@ def _times(s, d):
     return view(s, d, "v_events").select(F.col("session_id").alias("source_id"), F.col("t_us").alias("t"))
 
 
+HOP_S = au.HOP / au.RATE
+CANDIDATES = "cd AS (SELECT source_id, i, x FROM (SELECT *, avg(x) OVER (PARTITION BY source_id ORDER BY i ROWS 16 PRECEDING) AS a, max(x) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM v_series) WHERE i >= 16 AND x > 1.3::DOUBLE * a AND x > 0.01::DOUBLE AND x >= m)"
+TEMPOS = f"nn AS (SELECT source_id, count(*) AS n FROM v_series GROUP BY 1), ac AS (SELECT a.source_id, l.k AS k, round(CASE WHEN sqrt(sum(a.x * a.x) * sum(b.x * b.x)) > 0 THEN sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) ELSE 0 END, 9) AS r FROM v_series a CROSS JOIN range(28, 95) AS l(k) JOIN v_series b ON b.source_id = a.source_id AND b.i = a.i + l.k GROUP BY ALL), nb AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q FROM ac WINDOW w AS (PARTITION BY source_id ORDER BY k)), bs AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY r DESC, k) = 1), tm AS (SELECT source_id, CAST(k AS INTEGER) AS lag, n, round(greatest(60.0, least(200.0, 60 / ((k + CASE WHEN k > 28 AND k < least(94, n - 1) AND abs(p - 2 * r + q) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (p - q) / (p - 2 * r + q))) ELSE 0 END) * {HOP_S!r}::DOUBLE))), 4) AS bpm FROM bs JOIN nn USING (source_id))"
+
+
+def _series(s, d):
+    return view(s, d, "v_series")
+
+
+def _long(s, d):
+    return view(s, d, "v_chunks")
+
+
 PLANS = {
     "e3_windowed_energy": (lambda s, d: op.windowed_energy(view(s, d, "v_pcm")), ["v_pcm"], f"WITH {ENERGY} SELECT * FROM e"),
     "e4_quiet_regions": (_quiet, ["v_pcm"], f"WITH {QUIET} SELECT source_id, start_i, end_i, peak_sq FROM q"),
@@ -41,11 +55,7 @@ PLANS = {
     "e7_block_loudness": (lambda s, d: op.block_loudness(view(s, d, "v_pcm")), ["v_pcm"],
         "WITH b AS (SELECT source_id, CAST(i // 4 AS BIGINT) AS block, sum(x_milli * x_milli) AS s FROM v_pcm GROUP BY ALL) SELECT source_id, block, round(-0.691 + 10 * log10(CAST(p AS DOUBLE) / 16000000.0), 6) AS loudness FROM (SELECT *, sum(s) OVER w AS p, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block ROWS 3 PRECEDING)) WHERE n = 4 AND p > 0"),
     "d8_integrated_loudness": (lambda s, d: op.integrated_loudness(op.block_loudness(view(s, d, "v_pcm"))), ["v_pcm"],
-        "WITH b AS (SELECT source_id, i // 4 AS block, sum(x_milli * x_milli) AS s FROM v_pcm GROUP BY ALL), l AS (SELECT source_id, round(-0.691 + 10 * log10(CAST(p AS DOUBLE) / 16000000.0), 6) AS l FROM (SELECT *, sum(s) OVER w AS p, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block ROWS 3 PRECEDING)) WHERE n = 4 AND p > 0), g AS (SELECT source_id, 10 * log10(avg(pow(10.0, l / 10))) - 10 AS g FROM l WHERE l > -70 GROUP BY 1), k AS (SELECT source_id, round(10 * log10(avg(pow(10.0, l / 10))), 5) AS integrated FROM l JOIN g USING (source_id) WHERE l > -70 AND l > g GROUP BY 1) SELECT source_id, integrated, round(least(30.0, -14 - integrated), 5) AS gain_db FROM k"),
-    "e6_onset_candidates": (lambda s, d: op.onset_candidates(view(s, d, "v_pcm")), ["v_pcm"],
-        "SELECT source_id, i, x_milli FROM (SELECT *, avg(x_milli) OVER (PARTITION BY source_id ORDER BY i ROWS 16 PRECEDING) AS a, max(x_milli) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM v_pcm) WHERE x_milli > 1.3 * a AND x_milli > 10 AND x_milli >= m"),
-    "d24_autocorrelation": (lambda s, d: op.autocorrelation(view(s, d, "v_pcm")), ["v_pcm"],
-        "WITH s AS (SELECT a.source_id, l.k AS k, CAST(coalesce(sum(a.x_milli * b.x_milli), 0) AS BIGINT) AS s FROM v_pcm a CROSS JOIN range(4, 21) AS l(k) LEFT JOIN v_pcm b ON b.source_id = a.source_id AND b.i = a.i + l.k GROUP BY ALL) SELECT source_id, CAST(k AS INTEGER) AS best_lag, s AS score FROM s QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s DESC, k) = 1"),
+        "WITH b AS (SELECT source_id, i // 4 AS block, sum(x_milli * x_milli) AS s FROM v_pcm GROUP BY ALL), l AS (SELECT source_id, round(-0.691 + 10 * log10(CAST(p AS DOUBLE) / 16000000.0), 6) AS l FROM (SELECT *, sum(s) OVER w AS p, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block ROWS 3 PRECEDING)) WHERE n = 4 AND p > 0), g AS (SELECT source_id, 10 * log10(avg(pow(10.0, l / 10))) - 10 AS g FROM l WHERE l >= -70 GROUP BY 1), k AS (SELECT source_id, round(10 * log10(avg(pow(10.0, l / 10))), 5) AS integrated FROM l JOIN g USING (source_id) WHERE l >= -70 AND l >= g GROUP BY 1) SELECT source_id, integrated, round(least(30.0, -14 - integrated), 5) AS gain_db FROM k"),
     "e29_look_ahead_peaks": (lambda s, d: op.look_ahead_peaks(view(s, d, "v_pcm"), 200), ["v_pcm"],
         "WITH b AS (SELECT source_id, CAST(i // 4 AS BIGINT) AS block, max(abs(x_milli)) AS p FROM v_pcm GROUP BY ALL) SELECT source_id, block, peak, round(20 * log10(200.0 / peak), 6) AS gain_db FROM (SELECT *, max(p) OVER (PARTITION BY source_id ORDER BY block ROWS 4 PRECEDING) AS peak FROM b) WHERE peak > 200"),
     "a16_delta_encoded": (lambda s, d: op.delta_encoded(_times(s, d)), ["v_events"], "SELECT session_id AS source_id, row_number() OVER w AS n, t_us - coalesce(lag(t_us) OVER w, 0) AS delta FROM v_events WINDOW w AS (PARTITION BY session_id ORDER BY t_us)"),
@@ -66,6 +76,18 @@ PLANS = {
     "f5_best_detection": (lambda s, d: fr.best_detection(view(s, d, "v_detections")), ["v_detections"],
         "SELECT frame_id, det_id, conf_milli FROM v_detections QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY conf_milli DESC, w_milli * h_milli DESC, det_id) = 1"),
     "f7_non_max_suppression": (lambda s, d: fr.non_max_suppression(view(s, d, "v_detections"), 0.3, 5), ["v_detections"], None),
+    "e6_onsets": (lambda s, d: au.picked_onsets(au.onset_candidates(_series(s, d)), 24), ["v_series"],
+        f"WITH RECURSIVE {CANDIDATES}, f AS (SELECT source_id, min(i) AS i FROM cd GROUP BY 1 UNION ALL SELECT f.source_id, (SELECT min(cd.i) FROM cd WHERE cd.source_id = f.source_id AND cd.i - f.i >= 24) AS i FROM f WHERE f.i IS NOT NULL) SELECT source_id, i FROM f WHERE i IS NOT NULL"),
+    "d24_tempos": (lambda s, d: au.tempos(_series(s, d), HOP_S), ["v_series"], f"WITH {TEMPOS} SELECT source_id, lag, bpm FROM tm"),
+    "d25_beat_phases": (lambda s, d: (lambda x: au.beat_phases(x, au.tempos(x, HOP_S), HOP_S))(_series(s, d)), ["v_series"],
+        f"WITH {TEMPOS}, gr AS (SELECT source_id, bpm, n, 60 / (bpm * {HOP_S!r}::DOUBLE) AS t, h.h AS h FROM tm, range(128) AS h(h)), gb AS (SELECT source_id, bpm, n, h, CAST(floor(h * t / 128 + k * t + 0.5) AS BIGINT) AS i FROM (SELECT *, unnest(range(CAST(floor(n / t) AS BIGINT) + 2)) AS k FROM gr)), gs AS (SELECT gb.source_id, bpm, h, round(sum(x), 6) AS score FROM gb JOIN v_series v ON v.source_id = gb.source_id AND v.i = gb.i WHERE gb.i < n GROUP BY ALL) SELECT source_id, bpm, CAST(h AS INTEGER) AS phase, score FROM gs QUALIFY row_number() OVER (PARTITION BY source_id, bpm ORDER BY score DESC, h) = 1"),
+    "k1_spectral_flux": (lambda s, d: au.spectral_flux(_long(s, d)), ["v_chunks"], None),
+    "k2_beats": (lambda s, d: au.beats(_long(s, d), size=128, hop=64, rate=6000), ["v_chunks"], None),
+    "k3_log_mel": (lambda s, d: au.log_mel(_long(s, d), rate=1600, size_s=2.0, overlap_s=0.2), ["v_chunks"], None),
+    "k5_resampled": (lambda s, d: au.resampled(_long(s, d), 44_100, 48_000), ["v_chunks"], None),
+    "e30_weighted_power": (lambda s, d: au.weighted_power(_long(s, d), 480), ["v_chunks"], None),
+    "k6_loudness": (lambda s, d: au.loudness_job(_long(s, d), step=480), ["v_chunks"], None),
+    "k6_mixed_loudness": (lambda s, d: (lambda c: au.loudness_job(au.mixed_chunks(c, c.select("source_id").distinct().selectExpr("source_id", "source_id % 4 AS project_id", "0.25 + source_id % 3 AS gain"), 480), step=480))(_long(s, d)), ["v_chunks"], None),
 }
 
 

@@ -26,6 +26,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         "SELECT vec_id AS source_id, pos AS i, CAST(floor(CAST(col AS DOUBLE)*1000) AS BIGINT) AS x_milli FROM (SELECT vec_id, posexplode(embedding) FROM {embeddings})",
         "SELECT vec_id AS source_id, CAST(generate_subscripts(embedding,1)-1 AS INTEGER) AS i, CAST(floor(CAST(unnest(embedding) AS DOUBLE)*1000) AS BIGINT) AS x_milli FROM embeddings",
     ),
+    "v_chunks": (
+        ("embeddings",),
+        "SELECT CAST(floor(vec_id / 64) AS BIGINT) AS source_id, CAST(vec_id % 64 AS BIGINT) AS chunk_no, transform(embedding, x -> CAST(x AS DOUBLE)) AS samples FROM {embeddings}",
+        "SELECT CAST(floor(vec_id / 64) AS BIGINT) AS source_id, CAST(vec_id % 64 AS BIGINT) AS chunk_no, CAST(embedding AS DOUBLE[]) AS samples FROM embeddings",
+    ),
+    "v_series": (("v_pcm",), "SELECT CAST(floor(source_id / 64) AS BIGINT) AS source_id, CAST(source_id % 64 * 64 + i AS BIGINT) AS i, CAST(abs(x_milli) AS DOUBLE) / 1000 AS x FROM {v_pcm}", None),
     "v_pixels": (("v_pcm",), "SELECT source_id AS frame_id, CAST(floor(i/8) AS INT) AS y, i % 8 AS x, least(greatest(x_milli+500,0),999) AS v_milli FROM {v_pcm}", None),
     "v_segments": (
         ("v_events",),
