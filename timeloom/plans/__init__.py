@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.plans import capture, edits, library, signals, timeline
+from timeloom.plans import capture, edits, library, projects, signals, timeline
 
-MODULES = (timeline, signals, capture, library, edits)
+MODULES = (timeline, signals, capture, library, edits, projects)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
