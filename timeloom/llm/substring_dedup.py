@@ -35,6 +35,8 @@ from timeloom.llm._shared import bit_map, cut, in_map
 GRAM = 32
 #: Positions of one piece of a text; pieces overlap so that no window is lost.
 PIECE = 1 << 19
+#: Ways in which the contexts of an anchor are dealt before they are counted.
+SALTS = 8
 SEPARATOR = 0xFF  # in no UTF-8 text
 _ODD = [np.uint64(x * 2 + 1) for x in np.random.default_rng(77).integers(1 << 61, 1 << 62, 6).tolist()]
 
@@ -171,9 +173,12 @@ def spans_of(contexts: DataFrame, length: int, shard_bytes: int, crowd: int) ->
     """
     import pyarrow as pa
 
-    many = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    only = F.first(F.struct("digest", "many", (F.octet_length("context") - length).cast("int").alias("hi"))).alias("only")
+    many = cut(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), only), "substrings-crowds")
+    # the contexts of an anchor are dealt by digest too, so that a frequent anchor is no single task's work
+    salted = many.filter("n > 1").select("anchor", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     sub = F.pmod(F.col("digest"), F.ceil(F.col("n") / F.lit(crowd)))
-    dealt = contexts.join(many, "anchor").filter("n > 1").withColumn("sub", sub).select("anchor", "digest", "many", "context", "sub", (F.col("n") > crowd).alias("split"))
+    dealt = contexts.withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).withColumn("sub", sub).select("anchor", "digest", "many", "context", "sub", (F.col("n") > crowd).alias("split"))
     n_parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n_parts, "anchor", "sub").sortWithinPartitions("anchor", "sub")
     schema = "anchor long, digest long, lo int, hi int, prefix long, window long"
@@ -225,15 +230,16 @@ def spans_of(contexts: DataFrame, length: int, shard_bytes: int, crowd: int) ->
     runs = made.filter("prefix is null").select("anchor", "digest", "lo", "hi")
     across = made.filter("prefix is not null").repartitionByRange(n_parts, "prefix", "window").mapInArrow(merge, "anchor long, digest long, lo int, hi int")
     # an anchor with one context needs no array: its windows occur as often as the context does
-    alone = contexts.join(many, "anchor").filter("n = 1 and many").select("anchor", "digest", F.lit(0).alias("lo"), (F.octet_length("context") - length).cast("int").alias("hi"))
+    alone = many.filter("n = 1 and only.many").select("anchor", "only.digest", F.lit(0).alias("lo"), "only.hi")
     return runs.unionByName(across).unionByName(alone)
 
 
 # ---- the operator
 
 
-def _key(*cols) -> Column:
-    return F.xxhash64(*cols)
+def _key(text: str) -> Column:
+    """16 bytes that stand for a text; no two texts of a corpus share them."""
+    return F.unhex(F.md5(text))
 
 
 def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crowd: int = 2000) -> DataFrame:
@@ -258,8 +264,8 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crow
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if isinstance(c[0], np.ndarray) else pa.array([x for part in c for x in part]) for c in zip(*out)], names=names)
 
-    def occurrence(key: int, first: np.ndarray) -> np.ndarray:
-        return _mixed((first.astype(np.uint64) * _ODD[5]) ^ np.uint64(key & ((1 << 64) - 1))).view(np.int64)
+    def occurrence(key: bytes, first: np.ndarray) -> np.ndarray:
+        return _mixed((first.astype(np.uint64) * _ODD[5]) ^ np.uint64(int.from_bytes(key[:8], "little"))).view(np.int64)
 
     def count(batches):
         def make(key, id_, data):
@@ -297,11 +303,11 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crow
                     sent.add((anchor, digest))
                 digests.append(digest)
                 contexts.append(context if new else None)
-            return [(code, np.array(digests, np.int64), np.full(len(own), key), first, occurrence(key, first), contexts)]
+            return [(code, np.array(digests, np.int64), [key] * len(own), first, occurrence(key, first), contexts)]
 
         yield from scan(batches, make, ["anchor", "digest", "key", "first", "occurrence", "context"])
 
-    schema = "anchor long, digest long, key long, first long, occurrence long, context binary"
+    schema = "anchor long, digest long, key binary, first long, occurrence long, context binary"
     places = cut(chosen.select("key", "id", "text").mapInArrow(cover, schema), "substrings-contexts")
     contexts = places.groupBy("anchor", "digest").agg((F.min("occurrence") != F.max("occurrence")).alias("many"), F.max("context").alias("context"))
     contexts = cut(contexts.join(common, "anchor", "left_semi"), "substrings-distinct")
