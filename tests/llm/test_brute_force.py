@@ -183,7 +183,7 @@ def suffix_tree(training, depth, strength, least_gain):
     """The model's function of a context and a token, by its definition."""
     c = collections.Counter(tuple(ws[i : i + k]) for ws in training for k in range(1, depth + 2) for i in range(len(ws) - k + 1))
     n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
-    states, counted = {}, {g for g, x in c.items() if len(g) == 1}
+    states, counted = {}, {g for g, x in c.items() if len(g) <= 2}
 
     def p(context, w):
         if not context:
@@ -195,17 +195,21 @@ def suffix_tree(training, depth, strength, least_gain):
 
     for k in range(2, depth + 2):
         kept = collections.defaultdict(dict)
+        if k > 2:
+            twice = {g for g in counted if len(g) == k - 1 and c[g] > 1}
+            room = {g for g in twice if -c[g] * math.log(p(g[:-1], g[-1])) >= least_gain}
+            counted |= {g for g in c if len(g) == k and g[:-1] in twice and g[1:] in room}
         for g, x in c.items():
-            if len(g) == k and x > 1 and x * math.log(x / c[g[:-1]] / p(g[1:-1], g[-1])) >= least_gain:
+            if g in counted and len(g) == k and x > 1 and x * math.log(x / c[g[:-1]] / p(g[1:-1], g[-1])) >= least_gain:
                 kept[g[:-1]][g[-1]] = x
         states |= {s: (t, c[s] - sum(t.values()) + strength) for s, t in kept.items()}
     return p
 
 
-@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"depth": 3, "least_gain": 4.0, "strength": 2.0}, {"head_words": 50, "head_runs": 20}])
+@pytest.mark.parametrize("options", [{}, {"depth": 1, "least_gain": 8.0}, {"depth": 3, "least_gain": 4.0, "strength": 2.0}, {"head_words": 50, "head_runs": 20}])
 def test_suffix_tree(docs, texts, options):
     tokens = {i: WORD.findall(lowered(t)) + [0] for i, t in texts.items()}
-    settings = {"depth": 2, "strength": 1.0, "least_gain": 8.0} | options
+    settings = {"depth": 2, "strength": 1.0, "least_gain": 20.0} | options
     depth = settings["depth"]
     p = suffix_tree([ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2], depth, settings["strength"], settings["least_gain"])
     got = by_id(suffix_tree_lm.score(docs, **options))

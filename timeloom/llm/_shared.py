@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word of every operator that counts plain words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of a bit map of hashes, as a power of two: 8 MB, whatever the input.
 BIT_MAP = 26
 
@@ -43,7 +45,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/timeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the table replaces the shuffles that made it; without this they stay on disk until the driver collects its garbage
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._written = path
     return made
@@ -203,8 +211,9 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def bounded_sample(df: DataFrame, key: str, n: int, seed: int, by: str | None = None) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of ``key``: the same ones each time, from all parts of the table.
 
-    With ``by`` each of its values gets an equal share of the ``n`` rows, however rare it is. Counts let each task drop what
-    can't be among the chosen, so that little reaches the final choice.
+    With ``by`` (a label, few enough values for the driver, which learns them) each of its values gets an equal share of the
+    ``n`` rows, however rare it is. Counts let each task drop what can't be among the chosen, so that little reaches the final
+    choice.
     """
     h, wide = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)), 1 << 40
     if by is None:
@@ -214,7 +223,7 @@ def bounded_sample(df: DataFrame, key: str, n: int, seed: int, by: str | None =
         return df.orderBy(h, key).limit(n)
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_of"))
     share = max(1, n // max(1, counts.count()))
-    df = df.join(counts, by).filter(h < F.greatest(F.lit(40.0), F.lit(4.0 * share)) * wide / F.col("_of"))
+    df = df.join(F.broadcast(counts), by).filter(h < F.greatest(F.lit(40.0), F.lit(4.0 * share)) * wide / F.col("_of"))
     turn = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
     return df.withColumn("_turn", turn).filter(F.col("_turn") <= share).drop("_turn", "_of").limit(n)
 

@@ -2,7 +2,8 @@
 
 A text's tokens are its words (A-Z lowered) and one end. The root of the tree is the add-one distribution of tokens; a
 state is a context of one to ``depth`` tokens. Runs of tokens are counted level by level over all training texts; a run is
-counted only if both runs of one token less in it occur twice or more. A next token is kept in a context if it stands there
+counted only if both runs of one token less in it were counted and occur twice or more, and its last token could still gain
+enough: ``n * log(1 / p) >= least_gain`` of the run without its first token. A next token is kept in a context if it stands there
 twice or more and its share diverges from what the shorter context gives it (``n * log(ratio) >= least_gain``), and a context
 is a state if it keeps a token. A state's distribution is smoothed towards the shorter context's: what its kept tokens leave,
 and ``strength`` more, goes to the shorter context. A token's probability is that of the longest state before it.
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from timeloom.llm._shared import bit_map, cut, groups, in_map, run_key, tokens
+from timeloom.llm._shared import bit_map, cut, discard, groups, in_map, run_key, tokens
 
 #: Runs that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 4_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def runs(hashes: np.ndarray, ends: np.ndarray, most: int):
@@ -51,33 +53,56 @@ class Tally:
 
     def add(self, keys: np.ndarray, *columns: np.ndarray) -> None:
         keys, at, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((keys, *(c[at] for c in columns), n))
+        self.parts.append([keys, *(c[at] for c in columns), n])
         self.size += len(keys)
 
-    def taken(self) -> tuple[np.ndarray, ...]:
-        """All but the keys."""
+    def merge(self) -> None:
         columns = [np.concatenate(c) for c in zip(*self.parts)]
-        self.parts, self.size = [], 0
         order = np.argsort(columns[0], kind="stable")
-        columns = [c[order] for c in columns]
-        first = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
-        return *(c[first] for c in columns[1:-1]), np.add.reduceat(columns[-1], first)
+        keys = columns[0][order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.parts = [[keys[first], *(c[order[first]] for c in columns[1:-1]), np.add.reduceat(columns[-1][order], first)]]
+        self.size = len(first)
+
+    def full(self) -> bool:
+        """Whether it holds nearly ``HELD`` runs that differ."""
+        if self.size > HELD:
+            self.merge()
+        return self.size > 0.7 * HELD
+
+    def taken(self) -> list[np.ndarray]:
+        """All but the keys."""
+        self.merge()
+        columns, self.parts, self.size = self.parts[0][1:], [], 0
+        return columns
 
 
-def counted(training: DataFrame, level: int, twice: np.ndarray | None = None) -> DataFrame:
-    """``context, suffix, n`` of the runs of ``level`` tokens, at level 2 also of single tokens (``context`` 0).
+def counted(training: DataFrame, level: int, maps: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``context, suffix, n`` of the runs of ``level`` tokens that occur twice or more, at level 2 also of all single tokens (``context`` 0).
 
-    ``twice``: a bit map of the runs of one token less that occur twice or more.
+    ``maps``: bit maps of the runs that may be contexts and of those that may be suffixes. A task hands on its runs packed by part, so
+    that a shuffle moves few rows; those of a part are summed where they meet.
     """
     import pyarrow as pa
 
-    shared = training.sparkSession.sparkContext.broadcast(twice)
+    n_parts = 4 * int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = training.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
         tally = Tally()
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in tally.taken()], names=["context", "suffix", "n"])
+        def packed():
+            context, suffix, n = tally.taken()
+            part = (context * _ODD ^ suffix) * _ODD >> np.uint64(32)
+            part = (part % np.uint64(n_parts)).astype(np.int32)
+            # by context too, for its repeats compress well
+            order = np.lexsort((suffix, context, part))
+            context, suffix, n, part = context[order], suffix[order], n[order], part[order]
+            cuts = np.searchsorted(part, np.arange(n_parts + 1))
+            for at in range(0, n_parts, 16):
+                own = [(p, slice(cuts[p], cuts[p + 1])) for p in range(at, min(at + 16, n_parts)) if cuts[p + 1] > cuts[p]]
+                blobs = [context[w].tobytes() + suffix[w].tobytes() + n[w].astype(np.int64).tobytes() for _, w in own]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "runs"])
 
         for batch in batches:
             for _, texts in groups(batch.column(0)):
@@ -86,38 +111,52 @@ def counted(training: DataFrame, level: int, twice: np.ndarray | None = None) ->
                     tally.add(hashes, np.zeros(len(hashes), np.uint64), hashes)
                 *_, (context, suffix, keys, own) = runs(hashes, ends, level)
                 if shared.value is not None:
-                    near = in_map(shared.value, context) if len(context) else own
-                    own = own & near & (in_map(shared.value, suffix) if len(suffix) else own)
+                    own = np.flatnonzero(own)
+                    own = own[in_map(shared.value[1], suffix[own])]
+                    own = own[in_map(shared.value[0], context[own])]
                 tally.add(keys[own], context[own], suffix[own])
-                if tally.size > HELD:
-                    yield rows()
+                if tally.full():
+                    yield from packed()
         if tally.size:
-            yield rows()
+            yield from packed()
 
-    made = training.select("text").mapInArrow(run, "context long, suffix long, n long")
-    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a task's runs differ already, so they are summed only where they meet
-    return made.repartition(parts, "context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+    def met(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, []).append(blob)
+        for part in sorted(held):
+            columns = [np.frombuffer(b, np.int64).reshape(3, -1) for b in held.pop(part)]
+            context, suffix, n = np.concatenate(columns, axis=1)
+            order = np.lexsort((suffix, context))
+            context, suffix, n = context[order], suffix[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])]))
+            context, suffix, n = context[first], suffix[first], np.add.reduceat(n, first)
+            own = (context == 0) | (n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (context, suffix, n)], names=["context", "suffix", "n"])
+
+    made = training.select("text").mapInArrow(run, "part int, runs binary")
+    return made.repartition(n_parts // 4, "part").mapInArrow(met, "context long, suffix long, n long")
 
 
 def addends(level: DataFrame, of: DataFrame, shorter: DataFrame, strength: float, least_gain: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What a level adds to the model for its kept runs and for its states, each ``key, n, v``, and its runs' probabilities, ``key, p``.
+    """What a level adds to the model for its kept runs and for its states, each ``key, n, v``, and its runs, ``key, n, p``.
 
     ``level``: ``context, suffix, n``; ``of``: ``key, n`` of the contexts; ``shorter``: ``key, p`` of the suffixes.
     """
     rows = level.join(of.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context")
     rows = rows.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("p_short")), "suffix")
     keep = F.col("n") * F.log(F.col("n") / F.col("n_context") / F.col("p_short")) >= least_gain
-    rows = cut(rows.select(F.xxhash64("context", "suffix").alias("key"), "context", "n", "n_context", "p_short", keep.alias("kept")), "lm-level")
+    rows = cut(rows.select(F.xxhash64("context", "suffix").alias("key"), "context", "n", "p_short", keep.alias("kept"), F.when(keep, F.col("n_context")).alias("n_context")), "lm-level")
     left = F.first("n_context") - F.sum("n") + F.lit(strength)
     states = cut(rows.filter("kept").groupBy("context").agg(F.first("n_context").alias("n_state"), left.alias("left")), "lm-states")
-    met = rows.join(states, "context", "left")
     whole = F.col("n_state") + F.lit(strength)
     share = F.col("left") / whole * F.col("p_short")
     p = F.when(F.col("kept"), F.col("n") / whole + share).otherwise(F.coalesce(share, F.col("p_short")))
-    gains = met.filter("kept").select("key", "n", F.log10(p / share).alias("v"))
+    made = cut(rows.join(states, "context", "left").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / share)).alias("v")), "lm-shares")
     fewer = states.select(F.col("context").alias("key"), F.col("n_state").alias("n"), F.log10(F.col("left") / whole).alias("v"))
-    return gains, fewer, met.select("key", p.alias("p"))
+    discard(rows)
+    return made.filter("v IS NOT NULL").select("key", "n", "v"), fewer, made
 
 
 def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -141,26 +180,29 @@ def _found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def model(docs: DataFrame, depth: int, strength: float, least_gain: float) -> tuple[DataFrame, DataFrame, int, int]:
     """``words`` (``key, n, v``) and ``grams`` (``key, n, v``) of the rows that aren't held out; how many tokens they have, and distinct ones."""
     training = docs.filter(~_held())
-    first = cut(counted(training, 2).filter("context = 0 OR n > 1"), "lm-counts")
+    first = cut(counted(training, 2), "lm-counts")
     words = first.filter("context = 0").select(F.col("suffix").alias("key"), "n")
     n_all, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     of, shorter = words, words.select("key", ((F.col("n") + 1) / F.lit(float(n_all + n_words + 1))).alias("p"))
-    level, grams = first.filter("context <> 0"), []
+    level, grams, used = first.filter("context <> 0"), [], [first]
     for k in range(2, depth + 2):
-        gains, fewer, p = addends(level, of, shorter, strength, least_gain)
+        gains, fewer, made = addends(level, of, shorter, strength, least_gain)
         if k == 2:  # the states of one token add to the tokens' own addends
             own = F.log10(F.col("n") + F.lit(1.0)) + F.coalesce("v", F.lit(0.0))
             words = cut(words.join(fewer.select("key", "v"), "key", "left").select("key", "n", own.alias("v")), "lm-words")
         grams += [gains] if k == 2 else [gains, fewer]
+        discard(*used)
         if k <= depth:
-            of, shorter = level.select(F.xxhash64("context", "suffix").alias("key"), "n"), cut(p, "lm-shares")
-            level = cut(counted(training, k + 1, bit_map(of)).filter("n > 1"), "lm-counts")
+            room = made.filter(F.col("n") * -F.log("p") >= least_gain)
+            of, shorter = made.select("key", "n"), room.select("key", "p")
+            level = cut(counted(training, k + 1, (bit_map(of), bit_map(room))), "lm-counts")
+            level, used = level.join(shorter.select(F.col("key").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "n"), [level]
     # a run may be kept in its context and be a state itself
     grams = cut(reduce(DataFrame.unionByName, grams).groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "lm-runs")
     return words, grams, n_all, n_words
 
 
-def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 8.0, head_words: int = 1 << 19, head_runs: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 20.0, head_words: int = 1 << 19, head_runs: int = 1 << 19) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     import pyarrow as pa
 
