@@ -328,12 +328,125 @@ def reframe_stats(frames: DataFrame) -> DataFrame:
     return rows.withColumn("mode", F.when(F.col("n_saliency") == 0, "face").when(F.col("n_face") == 0, "saliency").otherwise("mixed"))
 
 
+#: The parts of confidence, area, centrality and continuity in a face's score, frames until a face counts as lost, and the least confidence.
+FACE_WEIGHTS, LOST_AFTER, LEAST_CONFIDENCE = (0.45, 0.25, 0.2, 0.1), 30, 0.3
+
+
+def face_scores(boxes: DataFrame) -> DataFrame:
+    """Boxes that are sure enough with ``score``, what their confidence, area and distance from the middle give without continuity."""
+    cx, cy = (F.col("x_milli") + F.col("w_milli") / 2) / 500 - 1, (F.col("y_milli") + F.col("h_milli") / 2) / 500 - 1
+    central = F.greatest(F.lit(0.0), 1 - F.sqrt(cx * cx + cy * cy))
+    conf, area, middle, _ = FACE_WEIGHTS
+    score = F.round(conf * F.col("conf_milli") / 1000 + area * F.col("w_milli") * F.col("h_milli") / 1e6 + middle * central, 6)
+    return boxes.filter(F.col("conf_milli") >= int(LEAST_CONFIDENCE * 1000)).withColumn("score", score)
+
+
 def weighted_picks(boxes: DataFrame) -> DataFrame:
-    """The box of each frame with the best mix of confidence, area and centrality, the first on a tie."""
-    far = F.abs(F.col("x_milli") + F.col("w_milli") / 2 - 500) + F.abs(F.col("y_milli") + F.col("h_milli") / 2 - 500)
-    value = F.round(0.45 * F.col("conf_milli") + 0.25 * F.col("w_milli") * F.col("h_milli") / 1000 + 0.2 * (1000 - far), 6)
-    rows = boxes.withColumn("score", value)
-    return rows.groupBy("frame_id").agg(F.max_by(F.struct("det_id", "score"), F.struct("score", -F.col("det_id"))).alias("m")).select("frame_id", "m.*")
+    """The primary face of each frame (``track, frame_id, det_id, face_id`` and the box): the best score, a bonus for the last one's face, the first on a tie.
+
+    A face that isn't seen for more than 30 frames loses its bonus; a fold per track over scored boxes.
+    """
+
+    def fold(rows):
+        frames: dict = {}
+        for r in rows:
+            frames.setdefault(r["frame_id"], []).append(r)
+        last, seen = None, None
+        for frame, found in sorted(frames.items()):
+            if seen is not None and frame - seen - 1 > LOST_AFTER:
+                last = None
+            best = max(found, key=lambda r: (r["score"] + (FACE_WEIGHTS[3] if r["face_id"] == last else 0.0), -r["det_id"]))
+            handed = last is not None and best["face_id"] != last
+            last, seen = best["face_id"], frame
+            yield {"track": best["track"], "frame_id": frame, "det_id": best["det_id"], "face_id": last, "handed_over": handed}
+
+    return fold_per_key(face_scores(boxes).select("track", "frame_id", "det_id", "face_id", "score"), ["track"], ["frame_id", "det_id"], fold, "track long, frame_id long, det_id long, face_id long, handed_over boolean")
+
+
+def beat_aligned(clips: DataFrame, beats: DataFrame, chosen: Column) -> DataFrame:
+    """Chosen clips start at the nearest beat (the earlier on a tie) unless they would then overlap a clip that stays or was placed: ``clip_id, start_ms``, only moved ones.
+
+    Beats are found by two as-of joins; placing is a fold per track in the order of starts.
+    """
+    from timeloom.operators.intervals import snapped
+
+    rows = clips.withColumn("_chosen", chosen)
+    near = snapped(rows.filter("_chosen").select("project_id", F.col("clip_id").alias("point_id"), F.col("start_ms").alias("t_ms")), beats.select("project_id", F.col("t_ms").alias("target_ms")), 1 << 60)
+    rows = rows.join(near.select(F.col("point_id").alias("clip_id"), "project_id", F.greatest(F.lit(0), F.col("snap_ms")).alias("to_ms")), ["project_id", "clip_id"], "left")
+
+    def fold(rows):
+        from bisect import bisect_right
+
+        rows = list(rows)
+        placed = sorted((r["start_ms"], r["start_ms"] + r["dur_ms"]) for r in rows if not r["chosen"])
+        for r in rows:
+            if not r["chosen"] or r["to_ms"] is None:
+                continue
+            a, b = r["to_ms"], r["to_ms"] + r["dur_ms"]
+            at = bisect_right(placed, (a, b))
+            # what is placed doesn't overlap, so only the neighbours can be in the way
+            if (at and placed[at - 1][1] > a) or (at < len(placed) and placed[at][0] < b):
+                continue
+            placed.insert(at, (a, b))
+            if a != r["start_ms"]:
+                yield {"clip_id": r["clip_id"], "start_ms": a}
+
+    made = rows.select(*TRACK, "clip_id", "start_ms", "dur_ms", "to_ms", F.col("_chosen").alias("chosen"))
+    return fold_per_key(made, TRACK, ["start_ms", "clip_id"], fold, "clip_id long, start_ms long")
+
+
+def reframe_keyframes(path: DataFrame, velocity: float, acceleration: float, interval: float = 0.5, hold_gap: float = 0.001, sweeps: int = 10) -> DataFrame:
+    """Keyframes that follow a subject's path (``clip_id, shot, t, cx, cy``): ``clip_id, shot, t, x, y, easing``; a fold per clip.
+
+    Each shot is sampled at regular times, linear in between; velocity and then acceleration are clamped in up to ``sweeps``
+    passes; the position before a cut is held until just before the next shot begins.
+    """
+    import numpy as np
+
+    def clamped(values, times):
+        out = values.copy()
+        for _ in range(sweeps):
+            changed = False
+            for i in range(1, len(out)):
+                dt, dv = times[i] - times[i - 1], out[i] - out[i - 1]
+                if dt > 0 and abs(dv / dt) > velocity:
+                    out[i], changed = out[i - 1] + np.sign(dv) * velocity * dt, True
+            if not changed:
+                break
+        for _ in range(sweeps):
+            changed = False
+            for i in range(2, len(out)):
+                d1, d2 = times[i - 1] - times[i - 2], times[i] - times[i - 1]
+                if d1 <= 0 or d2 <= 0:
+                    continue
+                v1, v2 = (out[i - 1] - out[i - 2]) / d1, (out[i] - out[i - 1]) / d2
+                if abs((v2 - v1) / d2) > acceleration:
+                    out[i], changed = out[i - 1] + (v1 + np.sign(v2 - v1) * acceleration * d2) * d2, True
+            if not changed:
+                break
+        return out
+
+    def fold(rows):
+        shots: dict = {}
+        for r in rows:
+            shots.setdefault(r["shot"], []).append(r)
+        order = sorted(shots.items(), key=lambda s: s[1][0]["t"])
+        for k, (shot, points) in enumerate(order):
+            t = np.array([r["t"] for r in points])
+            times = [t[0]]
+            while times[-1] + interval < t[-1] - 1e-6:
+                times.append(times[-1] + interval)
+            if t[-1] - t[0] > 1e-6:
+                times.append(t[-1])
+            x, y = (clamped(np.interp(times, t, -np.array([r[c] for r in points])), times) for c in ("cx", "cy"))
+            made = [(times[i], x[i], y[i], "linear") for i in range(len(times))]
+            if k < len(order) - 1:
+                hold = order[k + 1][1][0]["t"] - hold_gap
+                made = made + [(hold, x[-1], y[-1], "hold")] if hold > times[-1] + 1e-6 else made[:-1] + [(times[-1], x[-1], y[-1], "hold")]
+            for at, a, b, easing in made:
+                yield {"clip_id": points[0]["clip_id"], "shot": shot, "t": round(float(at), 6), "x": round(float(a), 6), "y": round(float(b), 6), "easing": easing}
+
+    return fold_per_key(path, ["clip_id"], ["t"], fold, "clip_id long, shot long, t double, x double, y double, easing string")
 
 
 def layer_matches(layers: DataFrame, clips: DataFrame) -> DataFrame:

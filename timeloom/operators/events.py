@@ -106,19 +106,30 @@ def pointer_clusters(events: DataFrame, span_us: int = 2_000_000, reach: int = 1
     Membership moves the centroid, so each session is folded in time order (key events are left out).
     """
 
-    def fold(rows):
-        out, now = [], None
-        for r in rows:
-            if now and r["t_us"] - now["start_us"] <= span_us and (r["x_milli"] - now["sx"] / now["n"]) ** 2 + (r["y_milli"] - now["sy"] / now["n"]) ** 2 <= reach * reach:
-                now["sx"], now["sy"], now["n"], now["end_us"] = now["sx"] + r["x_milli"], now["sy"] + r["y_milli"], now["n"] + 1, r["t_us"]
-                continue
-            if now:
-                out.append(now)
-            now = {"session_id": r["session_id"], "start_us": r["t_us"], "end_us": r["t_us"], "n": 1, "sx": r["x_milli"], "sy": r["y_milli"]}
-        return out + ([now] if now else [])
+    import pyarrow as pa
+
+    names = ["session_id", "start_us", "end_us", "n", "sx", "sy"]
+
+    def run(batches):
+        """Sorted rows as a stream; the open cluster is all that is kept."""
+        session = start = end = None
+        n, sx, sy, far = 0, 0, 0, reach * reach
+        for batch in batches:
+            out = []
+            for s, t, x, y in zip(*(batch.column(c).to_pylist() for c in ("session_id", "t_us", "x_milli", "y_milli"))):
+                if s == session and t - start <= span_us and (x - sx / n) ** 2 + (y - sy / n) ** 2 <= far:
+                    end, n, sx, sy = t, n + 1, sx + x, sy + y
+                    continue
+                if n:
+                    out.append((session, start, end, n, sx, sy))
+                session, start, end, n, sx, sy = s, t, t, 1, x, y
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (session, start, end, n, sx, sy)], names=names)
 
     pointer = events.filter("kind <> 'key'").select("session_id", "event_id", "t_us", "x_milli", "y_milli")
-    return fold_per_key(pointer, ["session_id"], ["t_us", "event_id"], fold, "session_id long, start_us long, end_us long, n long, sx long, sy long")
+    return pointer.repartition("session_id").sortWithinPartitions("session_id", "t_us", "event_id").mapInArrow(run, "session_id long, start_us long, end_us long, n long, sx long, sy long")
 
 
 def zoom_proposals(clusters: DataFrame, lead_us: int, hold_us: int, near_us: int = 50_000) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,19 +64,31 @@ def interval_join(a: DataFrame, b: DataFrame, by: list[str], width: int, how: st
 
 
 def fold_per_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
-    """Rows of each key, in order, through ``fold(rows) -> rows`` (lists of dicts); one key's rows fit a task."""
+    """Rows of each key, in order, through ``fold(rows) -> rows`` (iterators of dicts).
+
+    Rows are dealt by key and sorted, and a task reads them as a stream: a fold that keeps little state takes keys of any
+    size, and many small keys cost no call each.
+    """
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
     target = StructType.fromDDL(schema)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        table = table.sort_by([(c, "ascending") for c in order])
-        return pa.Table.from_pylist(list(fold(table.to_pylist())), schema=to_arrow_schema(target))
-
-    return df.groupBy(*keys).applyInArrow(run, target)
+        kind, out = to_arrow_schema(target), []
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for _, own in groupby(rows, key=itemgetter(*keys)):
+            for made in fold(own):
+                out.append(made)
+                if len(out) == 10_000:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, target)
 
 
 def with_halo(chunks: DataFrame, by: list[str], order: str, samples: str, n: int) -> DataFrame:

@@ -101,7 +101,10 @@ PLANS = {
     "g8_silence_cuts": (lambda s, d: op.silence_cuts(_tl(s, d), view(s, d, "v_regions")), ["v_timeline", "v_regions"],
         f"WITH {PIECES.format('true')} SELECT project_id, track_no, clip_id, piece_no, s - g AS start_ms, d AS dur_ms FROM (SELECT *, CAST(coalesce(sum(CASE WHEN inside THEN d ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY s, clip_id, piece_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM pp) WHERE NOT inside"),
     "d21_reframe_stats": (lambda s, d: op.reframe_stats(view(s, d, "v_detections").selectExpr("frame_id div 10 AS shot", "CASE WHEN conf_milli >= 400 THEN 'face' WHEN frame_id % 30 < 20 THEN 'saliency' ELSE 'none' END AS kind", "x_milli BETWEEN 100 AND 700 AS safe")), ["v_detections"], "SELECT shot, n, n_face, n_saliency, s * 100 // n AS safe_pct, CASE WHEN n_saliency = 0 THEN 'face' WHEN n_face = 0 THEN 'saliency' ELSE 'mixed' END AS mode FROM (SELECT frame_id // 10 AS shot, count(*) AS n, count(*) FILTER (WHERE conf_milli >= 400) AS n_face, count(*) FILTER (WHERE conf_milli < 400 AND frame_id % 30 < 20) AS n_saliency, count(*) FILTER (WHERE x_milli BETWEEN 100 AND 700) AS s FROM v_detections GROUP BY 1)"),
-    "f6_weighted_picks": (lambda s, d: op.weighted_picks(view(s, d, "v_detections")), ["v_detections"], "SELECT frame_id, det_id, score FROM (SELECT *, round(0.45::DOUBLE * conf_milli + 0.25::DOUBLE * 90 + 0.2::DOUBLE * (1000 - abs(x_milli - 350) - abs(y_milli - 350)), 6) AS score FROM v_detections) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_id) = 1"),
+    "f6_weighted_picks": (lambda s, d: op.weighted_picks(view(s, d, "v_detections").selectExpr("*", "frame_id div 50 AS track", "det_id % 3 AS face_id")), ["v_detections"], None),
+    "f6_face_scores": (lambda s, d: op.face_scores(view(s, d, "v_detections")).select("frame_id", "det_id", "score"), ["v_detections"], "SELECT frame_id, det_id, round(0.45::DOUBLE * conf_milli / 1000 + 0.25::DOUBLE * w_milli * h_milli / 1000000 + 0.2::DOUBLE * greatest(0.0, 1 - sqrt(power((x_milli + 150.0::DOUBLE) / 500 - 1, 2) + power((y_milli + 150.0::DOUBLE) / 500 - 1, 2))), 6) AS score FROM v_detections WHERE conf_milli >= 300"),
+    "g14_beat_aligned": (lambda s, d: op.beat_aligned(_tl(s, d), _points(s, d), F.expr("clip_id % 2 = 0")), ["v_points", "v_timeline"], None),
+    "e23_reframe_keyframes": (lambda s, d: op.reframe_keyframes(op.tracked_subjects(view(s, d, "v_detections").withColumns({"shot": F.expr("frame_id div 40"), "face": F.expr("conf_milli >= 400")})).join(view(s, d, "v_detections").select("det_id", "x_milli", "y_milli"), "det_id").selectExpr("shot div 4 AS clip_id", "shot", "frame_id / 10D AS t", "x_milli / 1000D AS cx", "y_milli / 1000D AS cy"), 0.5, 1.0), ["v_detections"], None),
     "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 3)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"], "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(4))) SELECT l.project_id, layer, coalesce(a, b) AS clip_id, a IS NOT NULL AS by_source FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id LEFT JOIN (SELECT project_id, track_no, min(clip_id) AS b FROM v_timeline GROUP BY 1, 2) t ON t.project_id = l.project_id AND t.track_no = l.layer"),
     "e24_one_euro": (lambda s, d: op.one_euro(view(s, d, "v_pcm").selectExpr("source_id AS key", "CAST(i AS BIGINT) AS t", "x_milli AS value")), ["v_pcm"], None),
     "b16_normalised_effects": (lambda s, d: op.normalised_effects(view(s, d, "v_clips").selectExpr("clip_id", "CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 END AS brightness", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 END AS contrast", "in_ms % 300 AS saturation", "CAST(NULL AS BIGINT) AS opacity")), ["v_clips"], "SELECT clip_id, greatest(-100, least(100, CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 ELSE 0 END)) AS brightness, least(200, CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 ELSE 100 END) AS contrast, least(200, in_ms % 300) AS saturation, 100 AS opacity FROM v_clips"),

@@ -62,15 +62,17 @@ PLANS = {
     "a16_delta_decoded": (lambda s, d: op.delta_decoded(op.delta_encoded(_times(s, d))), ["v_events"], "SELECT session_id AS source_id, row_number() OVER (PARTITION BY session_id ORDER BY t_us) AS n, t_us AS t FROM v_events"),
     "d7_frame_rate_modes": (lambda s, d: op.frame_rate_modes(view(s, d, "v_events").select(F.col("session_id").alias("source_id"), F.col("event_id").alias("packet_id"), "t_us")), ["v_events"],
         "WITH p AS (SELECT session_id, d FROM (SELECT session_id, row_number() OVER w AS n, t_us - lag(t_us) OVER w AS d FROM v_events WINDOW w AS (PARTITION BY session_id ORDER BY t_us, event_id)) WHERE n <= 40 AND d > 0), m AS (SELECT session_id, avg(d) AS a, count(*) AS c FROM p GROUP BY 1) SELECT session_id AS source_id, c AS n_steps, CASE WHEN c < 4 THEN 'unknown' WHEN max(abs(d - a)) > greatest(2000.0, 0.08 * a) THEN 'variable' ELSE 'constant' END AS mode FROM p JOIN m USING (session_id) GROUP BY session_id, a, c"),
-    "d10_histogram": (lambda s, d: fr.histogram(view(s, d, "v_pixels"), 256), ["v_pixels"], "SELECT frame_id, v_milli * 256 // 1000 AS bin, count(*) AS n FROM v_pixels GROUP BY ALL"),
-    "d11_column_waveform": (lambda s, d: fr.column_waveform(view(s, d, "v_pixels")), ["v_pixels"], "SELECT frame_id, x, min(v_milli) AS low, max(v_milli) AS high FROM v_pixels GROUP BY ALL"),
-    "d12_vectorscope": (lambda s, d: fr.vectorscope(view(s, d, "v_pixels")), ["v_pixels"], "SELECT u // 100 AS bin_u, v // 100 AS bin_v, count(*) AS n FROM (SELECT a.v_milli AS u, b.v_milli AS v FROM v_pixels a JOIN v_pixels b ON a.frame_id = b.frame_id AND a.y = b.y AND b.x = a.x + 1 AND a.x % 2 = 0) GROUP BY ALL"),
-    "d14_shot_boundaries": (lambda s, d: fr.shot_distances(fr.histogram(view(s, d, "v_pixels"), 8)), ["v_pixels"],
-        "WITH h AS (SELECT frame_id, v_milli * 8 // 1000 AS bin, count(*) AS n FROM v_pixels GROUP BY ALL), f AS (SELECT frame_id, lag(frame_id) OVER (ORDER BY frame_id) AS p FROM (SELECT DISTINCT frame_id FROM h)), g AS (SELECT f.frame_id, f.p, b.bin FROM f CROSS JOIN range(8) AS b(bin) WHERE p IS NOT NULL) SELECT g.frame_id, p AS prev_id, round(sum(CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) > 0 THEN pow(coalesce(a.n, 0) - coalesce(b.n, 0), 2)::DOUBLE / (coalesce(a.n, 0) + coalesce(b.n, 0)) ELSE 0 END) / 64, 6) AS distance FROM g LEFT JOIN h a ON a.frame_id = g.frame_id AND a.bin = g.bin LEFT JOIN h b ON b.frame_id = g.p AND b.bin = g.bin GROUP BY 1, 2"),
+    "d10_histogram": (lambda s, d: fr.histogram(view(s, d, "v_rgb")), ["v_rgb"], "WITH ch AS (SELECT frame_id, x, y, unnest(['r', 'g', 'b', 'y']) AS channel, unnest([r, g, b, (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)]) AS v FROM v_rgb) SELECT frame_id, channel, CAST(floor(greatest(0.0, least(0.9999::DOUBLE, v)) * 256) AS BIGINT) AS bin, count(*) AS n FROM ch GROUP BY ALL"),
+    "d10_clipped_pixels": (lambda s, d: fr.clipped_pixels(view(s, d, "v_rgb")), ["v_rgb"], "SELECT frame_id, count(*) FILTER (WHERE r < 0 OR r > 1 OR g < 0 OR g > 1 OR b < 0 OR b > 1) AS n_clipped FROM v_rgb GROUP BY 1"),
+    "d11_column_waveform": (lambda s, d: fr.column_waveform(view(s, d, "v_rgb")), ["v_rgb"], "WITH ch AS (SELECT frame_id, x, y, unnest(['r', 'g', 'b', 'y']) AS channel, unnest([r, g, b, (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)]) AS v FROM v_rgb) SELECT frame_id, x, channel, CAST(min(floor(greatest(0.0, v) * 65535)) AS BIGINT) AS low, CAST(max(floor(greatest(0.0, v) * 65535)) AS BIGINT) AS high FROM ch GROUP BY ALL"),
+    "d12_vectorscope": (lambda s, d: fr.vectorscope(view(s, d, "v_rgb")), ["v_rgb"], "SELECT CAST(floor(greatest(0.0, least(0.9999::DOUBLE, (b - (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)) / 1.8556::DOUBLE + 0.5)) * 64) AS BIGINT) AS bin_u, CAST(floor(greatest(0.0, least(0.9999::DOUBLE, (r - (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)) / 1.5748::DOUBLE + 0.5)) * 64) AS BIGINT) AS bin_v, count(*) AS n FROM v_rgb GROUP BY ALL"),
+    "d13_colour_histogram": (lambda s, d: fr.colour_histogram(view(s, d, "v_rgb")), ["v_rgb"], "SELECT frame_id, (CAST(floor(greatest(0.0, least(0.9999::DOUBLE, r)) * 8) AS BIGINT) * 8 + CAST(floor(greatest(0.0, least(0.9999::DOUBLE, g)) * 8) AS BIGINT)) * 8 + CAST(floor(greatest(0.0, least(0.9999::DOUBLE, b)) * 8) AS BIGINT) AS bin, count(*) AS n, count(*) / 64.0::DOUBLE AS share FROM v_rgb GROUP BY ALL"),
+    "d14_shot_boundaries": (lambda s, d: fr.shot_distances(fr.colour_histogram(view(s, d, "v_rgb"), 2).drop("share")), ["v_rgb"],
+        "WITH h AS (SELECT frame_id, (CAST(floor(greatest(0.0, least(0.9999::DOUBLE, r)) * 2) AS BIGINT) * 2 + CAST(floor(greatest(0.0, least(0.9999::DOUBLE, g)) * 2) AS BIGINT)) * 2 + CAST(floor(greatest(0.0, least(0.9999::DOUBLE, b)) * 2) AS BIGINT) AS bin, count(*) AS n FROM v_rgb GROUP BY ALL), f AS (SELECT frame_id, lag(frame_id) OVER (ORDER BY frame_id) AS p FROM (SELECT DISTINCT frame_id FROM h)), g AS (SELECT f.frame_id, f.p, b.bin FROM f CROSS JOIN range(8) AS b(bin) WHERE p IS NOT NULL) SELECT g.frame_id, p AS prev_id, round(sum(CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) > 0 THEN pow(coalesce(a.n, 0) - coalesce(b.n, 0), 2)::DOUBLE / (coalesce(a.n, 0) + coalesce(b.n, 0)) ELSE 0 END) / 64, 6) AS distance, round(sum(CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) > 0 THEN pow(coalesce(a.n, 0) - coalesce(b.n, 0), 2)::DOUBLE / (coalesce(a.n, 0) + coalesce(b.n, 0)) ELSE 0 END) / 64, 6) > 0.5 AS boundary FROM g LEFT JOIN h a ON a.frame_id = g.frame_id AND a.bin = g.bin LEFT JOIN h b ON b.frame_id = g.p AND b.bin = g.bin GROUP BY 1, 2"),
     "d15_ssim": (lambda s, d: fr.ssim(*(lambda p: (p, p.withColumn("frame_id", F.col("frame_id") - 1)))(view(s, d, "v_pixels"))), ["v_pixels"],
         "WITH w AS (SELECT a.frame_id, a.y // 4 AS wy, a.x // 4 AS wx, avg(a.v_milli) AS ma, avg(b.v_milli) AS mb, avg(a.v_milli * a.v_milli) AS aa, avg(b.v_milli * b.v_milli) AS bb, avg(a.v_milli * b.v_milli) AS ab FROM v_pixels a JOIN v_pixels b ON b.frame_id = a.frame_id + 1 AND a.x = b.x AND a.y = b.y GROUP BY ALL) SELECT frame_id, round(avg(((2 * ma * mb + 100.0) * (2 * (ab - ma * mb) + 900.0)) / ((ma * ma + mb * mb + 100.0) * (aa - ma * ma + bb - mb * mb + 900.0))), 6) AS ssim FROM w GROUP BY 1"),
-    "d16_saliency": (lambda s, d: fr.salient_cells(view(s, d, "v_pixels")), ["v_pixels"],
-        "SELECT frame_id, CAST(c AS INTEGER) AS cell, round(sd, 6) AS score FROM (SELECT frame_id, y // 4 * 2 + x // 4 AS c, round(stddev_pop(v_milli), 6) AS sd FROM v_pixels GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY sd DESC, c) = 1"),
+    "d16_saliency": (lambda s, d: fr.salient_cells(view(s, d, "v_rgb"), 4), ["v_rgb"],
+        "WITH q AS (SELECT frame_id, x, y, least(255.0, floor(greatest(0.0, r) * 256)) AS r, least(255.0, floor(greatest(0.0, g) * 256)) AS g, least(255.0, floor(greatest(0.0, b) * 256)) AS b FROM v_rgb), p AS (SELECT frame_id, x, y, CASE WHEN 128 - 0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5 * b BETWEEN 77 AND 127 AND 128 + 0.5 * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b BETWEEN 133 AND 173 THEN 1.0 ELSE 0.0 END AS skin, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM q), e AS (SELECT c.frame_id, c.x, c.y, c.skin, c.l, coalesce(sqrt(power(-a.l + b.l - 2 * d.l + 2 * e.l - f.l + h.l, 2) + power(-a.l - 2 * u.l - b.l + f.l + 2 * w.l + h.l, 2)), 0) AS edge FROM p c " + " ".join(f"LEFT JOIN p {n} ON {n}.frame_id = c.frame_id AND {n}.x = c.x + {dx} AND {n}.y = c.y + {dy}" for n, dx, dy in (("a", -1, -1), ("u", 0, -1), ("b", 1, -1), ("d", -1, 0), ("e", 1, 0), ("f", -1, 1), ("w", 0, 1), ("h", 1, 1))) + "), k AS (SELECT frame_id, CAST(y // 2 * 4 + x // 2 AS INTEGER) AS cell, avg(skin) AS skin, avg(edge) AS edge, stddev_pop(l) AS con FROM e GROUP BY 1, 2), m AS (SELECT *, max(skin) OVER w AS ms, max(edge) OVER w AS me, max(con) OVER w AS mc FROM k WINDOW w AS (PARTITION BY frame_id)), z AS (SELECT frame_id, cell, round(0.5 * coalesce(skin / nullif(ms, 0), 0) + 0.3::DOUBLE * coalesce(edge / nullif(me, 0), 0) + 0.2::DOUBLE * coalesce(con / nullif(mc, 0), 0), 6) AS confidence FROM m) SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY confidence DESC, cell) = 1"),
     "c24_box_iou": (lambda s, d: fr.box_iou(view(s, d, "v_detections")), ["v_detections"],
         "SELECT frame_id, a, b, round(i::DOUBLE / (180000 - i), 6) AS iou FROM (SELECT p.frame_id, p.det_id AS a, q.det_id AS b, greatest(0, 300 - abs(p.x_milli - q.x_milli)) * greatest(0, 300 - abs(p.y_milli - q.y_milli)) AS i FROM v_detections p JOIN v_detections q ON p.frame_id = q.frame_id AND p.det_id < q.det_id) WHERE i > 0"),
     "f5_best_detection": (lambda s, d: fr.best_detection(view(s, d, "v_detections")), ["v_detections"],

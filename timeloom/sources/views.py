@@ -33,6 +33,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     ),
     "v_series": (("v_pcm",), "SELECT CAST(floor(source_id / 64) AS BIGINT) AS source_id, CAST(source_id % 64 * 64 + i AS BIGINT) AS i, CAST(abs(x_milli) AS DOUBLE) / 1000 AS x FROM {v_pcm}", None),
     "v_pixels": (("v_pcm",), "SELECT source_id AS frame_id, CAST(floor(i/8) AS INT) AS y, i % 8 AS x, least(greatest(x_milli+500,0),999) AS v_milli FROM {v_pcm}", None),
+    "v_rgb": (("v_pixels",), "SELECT frame_id, y, x, CAST(v_milli AS DOUBLE) * 1.1D / 1000 - 0.03D AS r, CAST(v_milli * 7 % 1000 AS DOUBLE) / 1000 AS g, CAST(v_milli * 3 % 1000 AS DOUBLE) / 1000 AS b FROM {v_pixels}", "SELECT frame_id, y, x, CAST(v_milli AS DOUBLE) * 1.1::DOUBLE / 1000 - 0.03::DOUBLE AS r, CAST(v_milli * 7 % 1000 AS DOUBLE) / 1000 AS g, CAST(v_milli * 3 % 1000 AS DOUBLE) / 1000 AS b FROM v_pixels"),
     "v_segments": (
         ("v_events",),
         "SELECT session_id AS track_id, event_id AS seg_id, CAST(floor(t_us/3600000) AS BIGINT) AS start_ms, CAST(1000 AS BIGINT) AS dur_ms, concat(kind, ' ', CAST(y_milli % 3 AS STRING), '!') AS text FROM {v_events}",

@@ -1,11 +1,15 @@
-"""Streaming twins of the capture operators: bounded state by watermark, or explicit state per session."""
+"""Streaming twins of the capture operators.
+
+State is bounded by a watermark, or ends when a session has been idle for ``idle_ms``: what is still open is handed on then,
+and the state is dropped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,14 +28,47 @@ def chunks_once(chunks: DataFrame, time: str, late: str, keys: list[str]) -> Dat
     return chunks.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def chunk_totals(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("bytes").alias("bytes"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+def chunk_totals(chunks: DataFrame, time: str | None = None, late: str = "10 minutes", gap: str = "1 hour") -> DataFrame:
+    """Chunks, bytes, drops and times of each source of a session.
+
+    With a ``time`` column a session's totals are final, and its state gone, once nothing came for ``gap`` and ``late`` has
+    passed; without one they are running totals (of a bounded replay).
+    """
+    keys = ["session_id", "source_id"]
+    grouped = chunks.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap)) if time else chunks.groupBy(*keys)
+    made = grouped.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("bytes").alias("bytes"), F.sum("drops").alias("drops"), F.min("t_us").alias("first_us"), F.max("to_us").alias("last_us"))
+    return made.drop("session_window")
+
+
+def bounded_intake(events: DataFrame, time: str, late: str, period: str, most: int) -> DataFrame:
+    """Events of a session and period beyond the first ``most`` are dropped and counted: ``session_id, start, kept, dropped``."""
+    made = events.withWatermark(time, late).groupBy("session_id", F.window(time, period)).agg(F.count(F.lit(1)).alias("n"))
+    return made.select("session_id", F.col("window.start").alias("start"), F.least("n", F.lit(most)).alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).alias("dropped"))
+
+
+def in_time(events: DataFrame, time: str, late_ms: int) -> DataFrame:
+    """Rows of one micro-batch marked ``late`` where they are over ``late_ms`` behind the newest of their session in it; use it in ``foreachBatch`` to keep a table of late rows."""
+    newest = F.max(time).over(Window.partitionBy("session_id"))
+    return events.withColumn("late", F.unix_millis(newest) - F.unix_millis(time) > late_ms)
 
 
-def live_rates(samples: DataFrame) -> DataFrame:
+def _idle(state, idle_ms: int | None) -> None:
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+
+
+def _timeout(idle_ms: int | None) -> str:
+    """None: a bounded replay, whose state ends with it (a stream that waits for idle sessions never ends by itself)."""
+    return "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
+
+
+def live_rates(samples: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
     """Bits a second between samples of a running counter (``session_id, t_us, total``), the last sample kept as state."""
 
     def step(key, frames: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["t_us", "total"])
         made = []
@@ -40,57 +77,84 @@ def live_rates(samples: DataFrame) -> DataFrame:
             made.append((key[0], int(t), rate))
             last = (int(t), int(total))
         state.update(last)
+        _idle(state, idle_ms)
         yield pd.DataFrame(made, columns=["session_id", "t_us", "bps"])
 
-    return samples.groupBy("session_id").applyInPandasWithState(step, "session_id long, t_us long, bps long", "t_us long, total long", "append", "NoTimeout")
+    return samples.groupBy("session_id").applyInPandasWithState(step, "session_id long, t_us long, bps long", "t_us long, total long", "append", _timeout(idle_ms))
 
 
-def quiet_regions(blocks: DataFrame, open_below: int, close_at: int, hop: int, least: int) -> DataFrame:
+def quiet_regions(blocks: DataFrame, open_below: int, close_at: int, hop: int, least: int, idle_ms: int | None = 3_600_000) -> DataFrame:
     """Hysteresis regions of ``source_id, block, sumsq`` (two hops of energy) with the open region as state.
 
-    Equal to the batch operator for any split into batches, as long as blocks come in order; a region that is still
-    open shows once a later block closes it.
+    Equal to the batch operator for any split into batches, as long as blocks come in order; a region that is still open
+    shows once a later block closes it, or with its last block's end when the source has been idle.
     """
     size = 2 * hop
 
     def step(key, frames: Iterator[pd.DataFrame], state):
-        start, peak = state.get if state.exists else (-1, 0)
-        rows, made = pd.concat(list(frames)).sort_values("block"), []
-        for block, sumsq in zip(rows.block, rows.sumsq):
-            if start < 0 and sumsq < open_below**2 * size:
-                start, peak = int(block) * hop, int(sumsq)
-            elif start >= 0 and sumsq >= close_at**2 * size:
-                if int(block) * hop - start >= least:
-                    made.append((key[0], start, int(block) * hop, peak))
-                start, peak = -1, 0
-            elif start >= 0:
-                peak = max(peak, int(sumsq))
-        state.update((start, peak))
+        start, peak, last = state.get if state.exists else (-1, 0, -1)
+        made = []
+        if state.hasTimedOut:
+            if start >= 0 and last * hop + size - start >= least:
+                made.append((key[0], start, last * hop + size, peak))
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values("block")
+            for block, sumsq in zip(rows.block, rows.sumsq):
+                if start < 0 and sumsq < open_below**2 * size:
+                    start, peak = int(block) * hop, int(sumsq)
+                elif start >= 0 and sumsq >= close_at**2 * size:
+                    if int(block) * hop - start >= least:
+                        made.append((key[0], start, int(block) * hop, peak))
+                    start, peak = -1, 0
+                elif start >= 0:
+                    peak = max(peak, int(sumsq))
+                last = int(block)
+            state.update((start, peak, last))
+            _idle(state, idle_ms)
         yield pd.DataFrame(made, columns=["source_id", "start_i", "end_i", "peak_sq"])
 
-    return blocks.groupBy("source_id").applyInPandasWithState(step, "source_id long, start_i long, end_i long, peak_sq long", "start long, peak long", "append", "NoTimeout")
+    return blocks.groupBy("source_id").applyInPandasWithState(step, "source_id long, start_i long, end_i long, peak_sq long", "start long, peak long, last long", "append", _timeout(idle_ms))
 
 
-def replay_buffer(chunks: DataFrame, keep_us: int) -> DataFrame:
-    """The last ``keep_us`` of each session as one row a batch: ``session_id, from_us, to_us, n, bytes``.
+def ring(held: list[list[int]], dropped: int, keep_us: int) -> tuple[list[list[int]], int]:
+    """The chunks (``t, dur, bytes, video, keyframe``) that a replay buffer keeps, and how many groups it has dropped for being too long.
 
-    State holds the chunks since the oldest group that is still needed; a group begins at a keyframe, and the buffer
-    always begins at one.
+    It begins at the first keyframe from which no more than ``keep_us`` is held. Where no keyframe does, the oldest group goes
+    as a whole and counts as dropped. Without video it is cut by time alone, and loses at least its oldest chunk.
+    """
+    if not held or held[-1][0] + held[-1][1] - held[0][0] <= keep_us:
+        return held, dropped
+    end = held[-1][0] + held[-1][1]
+    video = any(c[3] for c in held)
+    starts = [i for i, c in enumerate(held) if not video or (c[3] and c[4])]
+    cut = next((i for i in starts if end - held[i][0] <= keep_us), None)
+    if cut is None and not video:
+        cut = 1
+    if cut is None:
+        cut = next((i for i in starts if i), None)
+        if cut is None:
+            return held, dropped
+        dropped += 1
+    return held[cut:], dropped
+
+
+def replay_buffer(chunks: DataFrame, keep_us: int, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The last ``keep_us`` of each session (``session_id, t_us, dur_us, bytes, video, keyframe``) as one row a batch: ``session_id, from_us, to_us, n, bytes, dropped``.
+
+    State holds what the buffer keeps; one whole group longer than ``keep_us`` is held until the next keyframe comes.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state):
-        held = [list(c) for c in zip(*state.get)] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        flat, dropped = state.get if state.exists else ([], 0)
+        held = [list(flat[i : i + 5]) for i in range(0, len(flat), 5)]
         for r in pd.concat(list(frames)).sort_values("t_us").itertuples():
-            held.append([int(r.t_us), int(r.bytes), bool(r.keyframe)])
-        first = next((i for i, c in enumerate(held) if c[2]), len(held))
-        held = held[first:]
-        while held and held[-1][0] - held[0][0] > keep_us:
-            later = next((i for i, c in enumerate(held) if i and c[2]), None)
-            if later is None:
-                break
-            held = held[later:]
-        state.update(tuple(list(c) for c in zip(*held)) if held else ([], [], []))
-        if held:
-            yield pd.DataFrame([(key[0], held[0][0], held[-1][0], len(held), sum(c[1] for c in held))], columns=["session_id", "from_us", "to_us", "n", "bytes"])
-
-    return chunks.groupBy("session_id").applyInPandasWithState(step, "session_id long, from_us long, to_us long, n long, bytes long", "t array<long>, b array<long>, k array<boolean>", "append", "NoTimeout")
+            held, dropped = ring([*held, [int(r.t_us), int(r.dur_us), int(r.bytes), int(r.video), int(r.keyframe)]], dropped, keep_us)
+        state.update(([int(v) for c in held for v in c], dropped))
+        _idle(state, idle_ms)
+        yield pd.DataFrame([(key[0], held[0][0], held[-1][0] + held[-1][1], len(held), sum(c[2] for c in held), dropped)], columns=["session_id", "from_us", "to_us", "n", "bytes", "dropped"])
+
+    return chunks.groupBy("session_id").applyInPandasWithState(step, "session_id long, from_us long, to_us long, n long, bytes long, dropped long", "held array<long>, dropped long", "append", _timeout(idle_ms))
