@@ -279,7 +279,8 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20, crow
     common = cut(seen.filter("a <> b").select("anchor"), "substrings-anchors")
     anchor_map = spark.sparkContext.broadcast(bit_map(common, "anchor"))
     # of a text's copies, the one with the least id speaks for all
-    chosen = texts.join(copies.select("key", F.col("id").alias("least")), "key", "left").filter("least is null or id = least")
+    # (a merge join at every size: a table of copies grows with the corpus)
+    chosen = texts.join(copies.select("key", F.col("id").alias("least")).hint("merge"), "key", "left").filter("least is null or id = least")
 
     def cover(batches):
         from xxhash import xxh3_64_intdigest
