@@ -139,8 +139,8 @@ def counted(training: DataFrame, level: int, maps: tuple[np.ndarray, np.ndarray]
     return made.repartition(n_parts // 4, "part").mapInArrow(met, "context long, suffix long, n long")
 
 
-def addends(level: DataFrame, of: DataFrame, shorter: DataFrame, strength: float, least_gain: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What a level adds to the model for its kept runs and for its states, each ``key, n, v``, and its runs, ``key, n, p``.
+def addends(level: DataFrame, of: DataFrame, shorter: DataFrame, strength: float, least_gain: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a level adds to the model for its kept runs and for its states, each ``key, n, v``; its runs, ``key, n, p``, and its states, as tables.
 
     ``level``: ``context, suffix, n``; ``of``: ``key, n`` of the contexts; ``shorter``: ``key, p`` of the suffixes.
     """
@@ -156,7 +156,7 @@ def addends(level: DataFrame, of: DataFrame, shorter: DataFrame, strength: float
     made = cut(rows.join(states, "context", "left").select("key", "n", p.alias("p"), F.when(F.col("kept"), F.log10(p / share)).alias("v")), "lm-shares")
     fewer = states.select(F.col("context").alias("key"), F.col("n_state").alias("n"), F.log10(F.col("left") / whole).alias("v"))
     discard(rows)
-    return made.filter("v IS NOT NULL").select("key", "n", "v"), fewer, made
+    return made.filter("v IS NOT NULL").select("key", "n", "v"), fewer, made, states
 
 
 def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -184,9 +184,10 @@ def model(docs: DataFrame, depth: int, strength: float, least_gain: float) -> tu
     words = first.filter("context = 0").select(F.col("suffix").alias("key"), "n")
     n_all, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     of, shorter = words, words.select("key", ((F.col("n") + 1) / F.lit(float(n_all + n_words + 1))).alias("p"))
-    level, grams, used = first.filter("context <> 0"), [], [first]
+    level, grams, used, tables = first.filter("context <> 0"), [], [first], []
     for k in range(2, depth + 2):
-        gains, fewer, made = addends(level, of, shorter, strength, least_gain)
+        gains, fewer, made, states = addends(level, of, shorter, strength, least_gain)
+        tables += [made, states]
         if k == 2:  # the states of one token add to the tokens' own addends
             own = F.log10(F.col("n") + F.lit(1.0)) + F.coalesce("v", F.lit(0.0))
             words = cut(words.join(fewer.select("key", "v"), "key", "left").select("key", "n", own.alias("v")), "lm-words")
@@ -199,10 +200,11 @@ def model(docs: DataFrame, depth: int, strength: float, least_gain: float) -> tu
             level, used = level.join(shorter.select(F.col("key").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "n"), [level]
     # a run may be kept in its context and be a state itself
     grams = cut(reduce(DataFrame.unionByName, grams).groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "lm-runs")
+    discard(*tables)
     return words, grams, n_all, n_words
 
 
-def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 20.0, head_words: int = 1 << 19, head_runs: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 20.0, head_words: int = 1 << 17, head_runs: int = 1 << 17) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     import pyarrow as pa
 
