@@ -32,6 +32,8 @@ from timeloom.llm._shared import bit_map, cut, discard, groups, in_map, run_key,
 
 #: Runs that a task holds before it hands them on.
 HELD = 4_000_000
+#: Parts in which runs are looked up.
+PARTS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -252,8 +254,13 @@ def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: fl
 
     scored = cut(docs.select("doc_id", F.coalesce(_held(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, full), "lm-scores")
     rest = words.filter(F.col("n") < least_word).unionByName(grams.filter(F.col("n") < least_run).withColumn("n", F.lit(None).cast("long")))
-    met = scored.select("row", F.explode("tail").alias("key")).join(rest, "key")
-    found = met.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("tail_base"), F.sum("v").alias("tail_score"))
+    # by parts of the keys, each written before the next, so that the shuffles of one part at a time are on disk
+    own = lambda key, part: F.pmod(key, F.lit(PARTS)) == part
+    sums = []
+    for part in range(PARTS):
+        met = scored.select("row", F.explode(F.filter("tail", lambda k: own(k, part))).alias("key")).join(rest.filter(own(F.col("key"), part)), "key")
+        sums.append(cut(met.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("tail_base"), F.sum("v").alias("tail_score")), "lm-found"))
+    found = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("tail_known", "tail_base", "tail_score")])
     made = scored.drop("tail").join(found, "row", "left")
     each = F.col("n_tokens") * F.lit(float(np.log10(n_all + n_words + 1)))
     base, total = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) - each, F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - each
