@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeloom.llm import decontamination, language_id, license_scan, merkle_manifest, mixing, quality_rules, secret_scan, simhash, spelling_variants, substring_dedup, subword_quality, suffix_tree_lm
+from timeloom.llm import decontamination, jaccard_join, language_id, license_scan, merkle_manifest, mixing, quality_rules, secret_scan, simhash, spelling_variants, substring_dedup, subword_quality, suffix_tree_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(_documents(spark, sf_dir))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(_documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audit(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op7_substring_dedup, op8_secret_scan, op9_quality_rules, op10_suffix_tree_lm, op11_spelling_variants, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_mix, op2_decontamination, op3_language_id, op4_license_scan, op5_simhash, op6_subword_quality, op7_substring_dedup, op8_secret_scan, op9_quality_rules, op10_suffix_tree_lm, op11_spelling_variants, op12_jaccard_join, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
