@@ -81,4 +81,4 @@ def test_one_of_each_keeps_one(docs):
 
 
 def test_a_query_for_each_operator():
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14))

@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from timeloom.llm._shared import _mixed, bit_map, cut, discard, groups, in_map, tokens
-from timeloom.llm.simhash import components, shingles
+from timeloom.llm.simhash import components
 
 #: Global token orders; the seeds of their hashes.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Frequent tokens that go to every task, and how often one must stand among ``CHUNK`` tokens to be looked at.
 FREQUENT, CHUNK, OFTEN = 1 << 17, 1 << 22, 8
+_WEIGHTS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Links need 100 * common >= PERCENT * all.
 PERCENT = 80
 
@@ -44,9 +45,14 @@ PERCENT = 80
 def token_sets(texts: list[str | None], size: int):
     """The distinct shingle hashes of each text, sorted."""
     hashes, ends = tokens(texts)
-    start = 0
+    # sums of words weighed by their places in the run, for runs of 1 to size words
+    sums = [hashes * _WEIGHTS[0]]
+    for k in range(1, size):
+        sums.append(sums[-1][:-1] + hashes[k:] * _WEIGHTS[k])
+    whole, start = _mixed(sums[-1]), 0
     for end in np.flatnonzero(ends).tolist():
-        yield np.unique(shingles(hashes[start:end], size))
+        n = end - start
+        yield np.unique(whole[start : end - size + 1]) if n >= size else _mixed(sums[n - 1][start : start + 1]) if n else whole[:0]
         start = end + 1
 
 
@@ -72,49 +78,50 @@ def prefix(made: np.ndarray, seed: int, frequent: np.ndarray, rank: np.ndarray)
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, id_hash, m`` (distinct shingles) and ``sid``, the key of the set; null for empty sets."""
+    """``doc_id, id_hash, m`` (distinct shingles) and ``sid``, the key of the set; null for empty sets.
+
+    Rows with ``often`` are no documents but tokens that stand often among ``CHUNK`` tokens of distinct sets of a task, with counts.
+    """
     import pyarrow as pa
 
-    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("id_hash long, m long, sid binary").fields])
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("id_hash long, m long, sid binary, often array<struct<token: long, n: long>>").fields])
 
     def run(batches):
-        for batch in batches:
-            for at, texts in groups(batch.column(2)):
-                made = list(token_sets(texts, size))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array([set_key(s) if len(s) else None for s in made], pa.binary())], names=["doc_id", "id_hash", "m", "sid"])
-
-    return docs.select("doc_id", F.xxhash64("doc_id").alias("id_hash"), "text").mapInArrow(run, full)
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-
-def frequent_tokens(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` tokens that stand often among those of one task, sorted, and their ranks from rare to frequent."""
-    import pyarrow as pa
-
-    def run(batches):
-        held, n = [], 0
+        target, held, seen, n = to_arrow_schema(full), [], set(), 0
 
         def often():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             own = counts >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(values[own].view(np.int64)), pa.array(counts[own], pa.int64())], names=["token", "n"])
+            pairs = pa.StructArray.from_arrays([pa.array(values[own].view(np.int64)), pa.array(counts[own], pa.int64())], names=["token", "n"])
+            row = [pa.nulls(1, f.type) for f in target][:-1] + [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs).cast(target.field(4).type)]
+            return pa.RecordBatch.from_arrays(row, schema=target)
 
         for batch in batches:
-            for _, texts in groups(batch.column(0)):
-                keys = set()
-                for made in token_sets(texts, size):
-                    if len(made) and (key := set_key(made)) not in keys:
-                        keys.add(key)
-                        held.append(made)
-                        n += len(made)
+            for at, texts in groups(batch.column(2)):
+                made = list(token_sets(texts, size))
+                keys = [set_key(s) if len(s) else None for s in made]
+                part = batch.slice(at, len(texts))
+                columns = [part.column(0), part.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(made), target.field(4).type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
+                for own, key in zip(made, keys):
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        held.append(own)
+                        n += len(own)
                 if n >= CHUNK:
                     yield often()
-                    held, n = [], 0
+                    held, seen, n = [], set(), 0
         if held:
             yield often()
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("id_hash"), "text").mapInArrow(run, full)
+
+
+def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` largest tokens by ``n`` (``token, n``), sorted, and their ranks from rare to frequent."""
+    rows = counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, n))] = np.arange(len(token))
@@ -122,19 +129,46 @@ def frequent_tokens(docs: DataFrame, size: int, most: int = FREQUENT) -> tuple[n
     return token[order], rank[order]
 
 
-def met_tokens(docs: DataFrame, size: int, order: int, frequent, ids: np.ndarray) -> DataFrame:
+def texts_in(docs: DataFrame, ids: np.ndarray, size: int):
+    """Rows and how a task reads sets from them: keys and tokens of the non-empty sets of documents whose hashed id is in the bit map."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def read(batch):
+        import pyarrow as pa
+
+        batch = batch.filter(pa.array(in_map(shared.value, batch.column(0).to_numpy())))
+        for _, texts in groups(batch.column(1)):
+            for made in token_sets(texts, size):
+                if len(made):
+                    yield set_key(made), made
+
+    return docs.select(F.xxhash64("doc_id").alias("id_hash"), "text"), read
+
+
+def sets_in(sets: DataFrame):
+    """The same of a table of sets."""
+
+    def read(batch):
+        for key, made in zip(batch.column(0), batch.column(1)):
+            yield key.as_py(), np.frombuffer(made.as_buffer(), np.uint64)
+
+    return sets.select("sid", "tokens"), read
+
+
+def met_tokens(source, order: int, frequent) -> DataFrame:
     """``token, sid, m, at`` (place in the prefix, from 0) of the prefix tokens that two sets or more have under one order.
 
-    ``ids``: a bit map of the hashed ids whose documents take part.
+    ``source``: as ``texts_in`` and ``sets_in`` give it.
     """
     import pyarrow as pa
 
-    n_parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = docs.sparkSession.sparkContext.broadcast((*frequent, ids))
+    rows_of, read = source
+    n_parts = 4 * int(rows_of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = rows_of.sparkSession.sparkContext.broadcast(frequent)
     kind = np.dtype([("token", np.uint64), ("s0", np.uint64), ("s1", np.uint64), ("m", np.int32), ("at", np.int32)])
 
     def run(batches):
-        words, rank, known = shared.value
+        words, rank = shared.value
         held, n = [], 0
 
         def packed():
@@ -148,17 +182,13 @@ def met_tokens(docs: DataFrame, size: int, order: int, frequent, ids: np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([rows[cuts[p] : cuts[p + 1]].tobytes() for p in own], pa.binary())], names=["part", "rows"])
 
         for batch in batches:
-            batch = batch.filter(pa.array(in_map(known, batch.column(0).to_numpy())))
-            for _, texts in groups(batch.column(1)):
-                for made in token_sets(texts, size):
-                    if not len(made):
-                        continue
-                    first = prefix(made, ORDERS[order], words, rank)
-                    rows = np.empty(len(first), kind)
-                    rows["s0"], rows["s1"] = np.frombuffer(set_key(made), np.uint64)
-                    rows["token"], rows["m"], rows["at"] = first, len(made), np.arange(len(first))
-                    held.append(rows)
-                    n += len(rows)
+            for key, made in read(batch):
+                first = prefix(made, ORDERS[order], words, rank)
+                rows = np.empty(len(first), kind)
+                rows["s0"], rows["s1"] = np.frombuffer(key, np.uint64)
+                rows["token"], rows["m"], rows["at"] = first, len(made), np.arange(len(first))
+                held.append(rows)
+                n += len(rows)
                 if n >= 1 << 20:
                     yield packed()
                     held, n = [], 0
@@ -184,26 +214,29 @@ def met_tokens(docs: DataFrame, size: int, order: int, frequent, ids: np.ndarray
                 sids = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(sids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(own["token"].view(np.int64)), sids, pa.array(own["m"].astype(np.int64)), pa.array(own["at"].astype(np.int64))], names=["token", "sid", "m", "at"])
 
-    made = docs.select(F.xxhash64("doc_id").alias("id_hash"), "text").mapInArrow(run, "part int, rows binary")
+    made = rows_of.mapInArrow(run, "part int, rows binary")
     return made.repartition(n_parts // 4, "part").sortWithinPartitions("part").mapInArrow(met, "token long, sid binary, m long, at long")
 
 
-def whole_sets(docs: DataFrame, size: int, sids: DataFrame, ids: np.ndarray) -> DataFrame:
+def whole_sets(source, sids: DataFrame) -> DataFrame:
     """``sid, tokens`` (sorted) of the sets ``sids``, one row each."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    rows_of, read = source
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(in_map(shared.value, batch.column(0).to_numpy())))
-            for _, texts in groups(batch.column(1)):
-                made = [s for s in token_sets(texts, size) if len(s)]
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(map(set_key, made), pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], names=["sid", "tokens"])
+            made, n = [], 0
+            for key, own in read(batch):
+                made.append((key, own.tobytes()))
+                n += len(own)
+                if n >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*made)], names=["sid", "tokens"])
+                    made, n = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*made)], names=["sid", "tokens"])
 
-    rows = docs.select(F.xxhash64("doc_id").alias("id_hash"), "text").mapInArrow(run, "sid binary, tokens binary")
-    return rows.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+    return rows_of.mapInArrow(run, "sid binary, tokens binary").join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def could_link(m_a: Column, m_b: Column, at_a: Column, at_b: Column) -> Column:
@@ -240,27 +273,24 @@ def linked(pairs: DataFrame, others: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = 5, large: int = 64) -> tuple[DataFrame, DataFrame]:
     """``doc_id, m, sid`` of all documents, and ``node, root`` of the sets in components of two or more."""
-    made = cut(sets_of(docs, size), "jaccard-sets")
+    every = cut(sets_of(docs, size), "jaccard-sets")
+    made = every.filter("often IS NULL").drop("often")
+    made._written = every._written
+    frequent = frequent_tokens(every.select(F.explode("often").alias("x")).select("x.*"))
     # one document stands for its set; a bit map of the ids may let others through, which only adds work
     first = made.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id_hash").alias("id_hash"))
-    ids = bit_map(first, "id_hash")
-    frequent = frequent_tokens(docs, size)
-    met = [cut(met_tokens(docs, size, 0, frequent, ids), "jaccard-order0")]
-    used = list(met)
-    alive = met[0].select("sid").distinct()
+    met = cut(met_tokens(texts_in(docs, bit_map(first, "id_hash"), size), 0, frequent), "jaccard-order0")
+    alive = met.select("sid").distinct()
+    ids = bit_map(first.join(alive, "sid", "left_semi"), "id_hash")
+    sets = cut(whole_sets(texts_in(docs, ids, size), alive), "jaccard-tokens")
+    others = None
     for k in range(1, len(ORDERS)):
-        ids = bit_map(first.join(alive, "sid", "left_semi"), "id_hash")
-        of = cut(met_tokens(docs, size, k, frequent, ids), f"jaccard-order{k}")
-        used.append(of)
         # a document's prefix bounds its list
-        lists = of.groupBy("sid").agg(F.collect_list("token").alias(f"q{k}"))
-        others = lists if k == 1 else others.join(lists, "sid")
-        alive = others.select("sid")
+        lists = met_tokens(sets_in(sets), k, frequent).groupBy("sid").agg(F.collect_list("token").alias(f"q{k}"))
+        others = lists if others is None else others.join(lists, "sid")
     others = cut(others, "jaccard-prefixes")
-    discard(*used[1:])
-    sets = cut(whole_sets(docs, size, others.select("sid"), bit_map(first.join(others, "sid", "left_semi"), "id_hash")), "jaccard-tokens")
-    rows = cut(met[0].join(others.select("sid"), "sid", "left_semi"), "jaccard-met")
-    discard(*met)
+    rows = cut(met.join(others.select("sid"), "sid", "left_semi"), "jaccard-met")
+    discard(met)
 
     # each set with that of its tokens' least sets with which it shares most
     least = rows.groupBy("token").agg(F.min(F.struct("sid", "m", "at")).alias("least"))
