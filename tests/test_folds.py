@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from timeloom.functions import scalars
-from timeloom.operators import editing, frames, helpers
+from timeloom.operators import editing, frames, helpers, reframe
 
 
 def test_one_euro_follows_a_constant(spark):
@@ -50,7 +50,7 @@ def test_beats_pull_clips_without_overlaps(spark):
 
 def test_reframe_keeps_its_bounds_and_holds_before_cuts(spark):
     rows = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 0, 1.0, 1.0, 0.0), (1, 0, 2.0, 1.0, 0.0), (1, 1, 3.0, 0.5, 0.5)], "clip_id long, shot long, t double, cx double, cy double")
-    got = sorted(((r.t, r.x, r.easing) for r in editing.reframe_keyframes(rows, 0.4, 100.0).collect()))
+    got = sorted(((r.t, r.x, r.easing) for r in reframe.reframe_keyframes(rows, 0.4, 100.0).collect()))
     times, xs = [g[0] for g in got if g[0] <= 2], [g[1] for g in got if g[0] <= 2]
     assert times == [0.0, 0.5, 1.0, 1.5, 2.0] and all(abs(b - a) <= 0.2 + 1e-9 for a, b in zip(xs, xs[1:]))
     assert got[-2:] == [(2.999, xs[-1], "hold"), (3.0, -0.5, "linear")]

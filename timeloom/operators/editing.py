@@ -395,60 +395,6 @@ def beat_aligned(clips: DataFrame, beats: DataFrame, chosen: Column) -> DataFram
     return fold_per_key(made, TRACK, ["start_ms", "clip_id"], fold, "clip_id long, start_ms long")
 
 
-def reframe_keyframes(path: DataFrame, velocity: float, acceleration: float, interval: float = 0.5, hold_gap: float = 0.001, sweeps: int = 10) -> DataFrame:
-    """Keyframes that follow a subject's path (``clip_id, shot, t, cx, cy``): ``clip_id, shot, t, x, y, easing``; a fold per clip.
-
-    Each shot is sampled at regular times, linear in between; velocity and then acceleration are clamped in up to ``sweeps``
-    passes; the position before a cut is held until just before the next shot begins.
-    """
-    import numpy as np
-
-    def clamped(values, times):
-        out = values.copy()
-        for _ in range(sweeps):
-            changed = False
-            for i in range(1, len(out)):
-                dt, dv = times[i] - times[i - 1], out[i] - out[i - 1]
-                if dt > 0 and abs(dv / dt) > velocity:
-                    out[i], changed = out[i - 1] + np.sign(dv) * velocity * dt, True
-            if not changed:
-                break
-        for _ in range(sweeps):
-            changed = False
-            for i in range(2, len(out)):
-                d1, d2 = times[i - 1] - times[i - 2], times[i] - times[i - 1]
-                if d1 <= 0 or d2 <= 0:
-                    continue
-                v1, v2 = (out[i - 1] - out[i - 2]) / d1, (out[i] - out[i - 1]) / d2
-                if abs((v2 - v1) / d2) > acceleration:
-                    out[i], changed = out[i - 1] + (v1 + np.sign(v2 - v1) * acceleration * d2) * d2, True
-            if not changed:
-                break
-        return out
-
-    def fold(rows):
-        shots: dict = {}
-        for r in rows:
-            shots.setdefault(r["shot"], []).append(r)
-        order = sorted(shots.items(), key=lambda s: s[1][0]["t"])
-        for k, (shot, points) in enumerate(order):
-            t = np.array([r["t"] for r in points])
-            times = [t[0]]
-            while times[-1] + interval < t[-1] - 1e-6:
-                times.append(times[-1] + interval)
-            if t[-1] - t[0] > 1e-6:
-                times.append(t[-1])
-            x, y = (clamped(np.interp(times, t, -np.array([r[c] for r in points])), times) for c in ("cx", "cy"))
-            made = [(times[i], x[i], y[i], "linear") for i in range(len(times))]
-            if k < len(order) - 1:
-                hold = order[k + 1][1][0]["t"] - hold_gap
-                made = made + [(hold, x[-1], y[-1], "hold")] if hold > times[-1] + 1e-6 else made[:-1] + [(times[-1], x[-1], y[-1], "hold")]
-            for at, a, b, easing in made:
-                yield {"clip_id": points[0]["clip_id"], "shot": shot, "t": round(float(at), 6), "x": round(float(a), 6), "y": round(float(b), 6), "easing": easing}
-
-    return fold_per_key(path, ["clip_id"], ["t"], fold, "clip_id long, shot long, t double, x double, y double, easing string")
-
-
 def layer_matches(layers: DataFrame, clips: DataFrame) -> DataFrame:
     """Scene layers (``project_id, layer, source_id, track_no``) with a clip: by source first, else by track."""
     by_source = clips.groupBy("project_id", "source_id").agg(F.min("clip_id").alias("s_clip"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
 from timeloom.operators import quality as qu
+from timeloom.operators import reframe
 from timeloom.plans.timeline import PIECES
 from timeloom.sources.views import sql_with, view
 
@@ -54,6 +55,13 @@ def _cuts(s, d):
 CUTS = "x AS (SELECT project_id, clip_id, CAST(floor(in_ms * 25 / 1000 + 0.5) AS BIGINT) AS src, CAST(floor(start_ms * 25 / 1000 + 0.5) AS BIGINT) AS rec, CAST(floor((start_ms + dur_ms) * 25 / 1000 + 0.5) AS BIGINT) AS e FROM v_timeline QUALIFY track_no = min(track_no) OVER (PARTITION BY project_id)), cl AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rec, clip_id) AS INTEGER) AS event, clip_id, src AS source_in, src + e - rec AS source_out, rec + 90000 AS record_in, e + 90000 AS record_out FROM x WHERE e > rec)"
 TRACKS = "SELECT DISTINCT project_id, track_no FROM v_clips"
 
+def _reframed(s, d):
+    """The frames of a clip are 25 ids, two a second."""
+    pixels = view(s, d, "v_rgb")
+    frames = pixels.select("frame_id").distinct().selectExpr("frame_id div 25 AS clip_id", "frame_id", "frame_id % 25 / 2D AS t")
+    return reframe.reframe(frames, view(s, d, "v_detections"), pixels, 16 / 9, 9 / 16, 4)
+
+
 PLANS = {
     "c10_sampled_keyframes": (lambda s, d: op.sampled_keyframes(_points(s, d), _keys(s, d), 100), ["v_points", "v_timeline"],
         f"WITH {POINTS}, {KEYS}, j AS (SELECT p.*, a.key_ms AS ta, a.value AS va, a.easing AS e FROM p ASOF LEFT JOIN k a ON p.project_id = a.project_id AND a.key_ms <= p.t_ms), n AS (SELECT j.*, b.key_ms AS tb, b.value AS vb FROM j ASOF LEFT JOIN k b ON j.project_id = b.project_id AND b.key_ms >= j.t_ms), u AS (SELECT *, (t_ms - ta)::DOUBLE / nullif(tb - ta, 0) AS t FROM n) SELECT point_id, project_id, t_ms, round(CASE WHEN va IS NULL AND vb IS NULL THEN 100.0 WHEN va IS NULL THEN vb WHEN vb IS NULL OR ta = tb THEN va ELSE va + (vb - va) * CASE e WHEN 'hold' THEN 0.0 WHEN 'smooth' THEN t * t * (3 - 2 * t) ELSE t END END, 6) AS value FROM u"),
@@ -104,7 +112,11 @@ PLANS = {
     "f6_weighted_picks": (lambda s, d: op.weighted_picks(view(s, d, "v_detections").selectExpr("*", "frame_id div 50 AS track", "det_id % 3 AS face_id")), ["v_detections"], None),
     "f6_face_scores": (lambda s, d: op.face_scores(view(s, d, "v_detections")).select("frame_id", "det_id", "score"), ["v_detections"], "SELECT frame_id, det_id, round(0.45::DOUBLE * conf_milli / 1000 + 0.25::DOUBLE * w_milli * h_milli / 1000000 + 0.2::DOUBLE * greatest(0.0, 1 - sqrt(power((x_milli + 150.0::DOUBLE) / 500 - 1, 2) + power((y_milli + 150.0::DOUBLE) / 500 - 1, 2))), 6) AS score FROM v_detections WHERE conf_milli >= 300"),
     "g14_beat_aligned": (lambda s, d: op.beat_aligned(_tl(s, d), _points(s, d), F.expr("clip_id % 2 = 0")), ["v_points", "v_timeline"], None),
-    "e23_reframe_keyframes": (lambda s, d: op.reframe_keyframes(op.tracked_subjects(view(s, d, "v_detections").withColumns({"shot": F.expr("frame_id div 40"), "face": F.expr("conf_milli >= 400")})).join(view(s, d, "v_detections").select("det_id", "x_milli", "y_milli"), "det_id").selectExpr("shot div 4 AS clip_id", "shot", "frame_id / 10D AS t", "x_milli / 1000D AS cx", "y_milli / 1000D AS cy"), 0.5, 1.0), ["v_detections"], None),
+    "e23_reframe_keyframes": (lambda s, d: reframe.reframe_keyframes(op.tracked_subjects(view(s, d, "v_detections").withColumns({"shot": F.expr("frame_id div 40"), "face": F.expr("conf_milli >= 400")})).join(view(s, d, "v_detections").select("det_id", "x_milli", "y_milli"), "det_id").selectExpr("shot div 4 AS clip_id", "shot", "frame_id / 10D AS t", "x_milli / 1000D AS cx", "y_milli / 1000D AS cy"), 0.5, 1.0), ["v_detections"], None),
+    "k8_reframe_figures": (lambda s, d: _reframed(s, d)["figures"], [], None),
+    "k8_reframe_keyframes": (lambda s, d: _reframed(s, d)["keyframes"], [], None),
+    "k8_reframe_counts": (lambda s, d: _reframed(s, d)["path"].groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("face").alias("n_face"), F.count_distinct("segment").alias("n_segments")), ["v_rgb", "v_detections"],
+        "WITH f AS (SELECT DISTINCT frame_id FROM v_rgb), h AS (SELECT frame_id, floor(greatest(0, least(0.9999, r)) * 8) * 64 + floor(greatest(0, least(0.9999, g)) * 8) * 8 + floor(greatest(0, least(0.9999, b)) * 8) AS bin, count(*) AS n FROM v_rgb GROUP BY 1, 2), q AS (SELECT frame_id, frame_id // 25 AS clip_id, lag(frame_id) OVER (PARTITION BY frame_id // 25 ORDER BY frame_id) AS p, max(frame_id) OVER (PARTITION BY frame_id // 25) AS last FROM f), u AS (SELECT q.frame_id, bin, n AS a, 0 AS b FROM q JOIN h USING (frame_id) WHERE p IS NOT NULL UNION ALL SELECT q.frame_id, bin, 0, n FROM q JOIN h ON h.frame_id = q.p), w AS (SELECT frame_id, bin, sum(a) AS a, sum(b) AS b FROM u GROUP BY 1, 2), x AS (SELECT frame_id, round(sum(power(a - b, 2) / (a + b)) / sum(a), 6) > 0.5 AS cut FROM w GROUP BY 1), g AS (SELECT DISTINCT frame_id FROM v_detections WHERE conf_milli >= 300) SELECT clip_id, count(*) AS n_frames, count(g.frame_id) AS n_face, 1 + count(*) FILTER (WHERE cut AND q.frame_id < last) AS n_segments FROM q LEFT JOIN x USING (frame_id) LEFT JOIN g USING (frame_id) GROUP BY clip_id"),
     "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 3)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"], "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(4))) SELECT l.project_id, layer, coalesce(a, b) AS clip_id, a IS NOT NULL AS by_source FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id LEFT JOIN (SELECT project_id, track_no, min(clip_id) AS b FROM v_timeline GROUP BY 1, 2) t ON t.project_id = l.project_id AND t.track_no = l.layer"),
     "e24_one_euro": (lambda s, d: op.one_euro(view(s, d, "v_pcm").selectExpr("source_id AS key", "CAST(i AS BIGINT) AS t", "x_milli AS value")), ["v_pcm"], None),
     "b16_normalised_effects": (lambda s, d: op.normalised_effects(view(s, d, "v_clips").selectExpr("clip_id", "CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 END AS brightness", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 END AS contrast", "in_ms % 300 AS saturation", "CAST(NULL AS BIGINT) AS opacity")), ["v_clips"], "SELECT clip_id, greatest(-100, least(100, CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 ELSE 0 END)) AS brightness, least(200, CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 ELSE 100 END) AS contrast, least(200, in_ms % 300) AS saturation, 100 AS opacity FROM v_clips"),
