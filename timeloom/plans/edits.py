@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
 from timeloom.operators import quality as qu
-from timeloom.operators import reframe
+from timeloom.operators import mixdown, reframe
 from timeloom.plans.timeline import PIECES
 from timeloom.sources.views import sql_with, view
 
@@ -55,6 +55,20 @@ def _cuts(s, d):
 CUTS = "x AS (SELECT project_id, clip_id, CAST(floor(in_ms * 25 / 1000 + 0.5) AS BIGINT) AS src, CAST(floor(start_ms * 25 / 1000 + 0.5) AS BIGINT) AS rec, CAST(floor((start_ms + dur_ms) * 25 / 1000 + 0.5) AS BIGINT) AS e FROM v_timeline QUALIFY track_no = min(track_no) OVER (PARTITION BY project_id)), cl AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rec, clip_id) AS INTEGER) AS event, clip_id, src AS source_in, src + e - rec AS source_out, rec + 90000 AS record_in, e + 90000 AS record_out FROM x WHERE e > rec)"
 TRACKS = "SELECT DISTINCT project_id, track_no FROM v_clips"
 
+def _mixed(s, d):
+    """Sums of the channels of each block of the mix of tight tracks, 8 frames a second."""
+    t = view(s, d, "v_tight")
+    chunks = view(s, d, "v_chunks")
+    n = chunks.agg(F.max("source_id") + 1).first()[0]
+    clips = t.selectExpr("*", "in_ms % 3 * 500 AS fade_in_ms", "in_ms % 4 * 250 AS fade_out_ms").withColumn("source_id", F.col("source_id") % n)
+    tracks = t.select("project_id", "track_no").distinct().selectExpr("*", "'audio' AS type", "0.5D + track_no / 4 AS gain", "(track_no - 1) / 2 AS pan", "(project_id + track_no) % 7 = 0 AS muted", "project_id % 5 = 0 AND track_no = 1 AS solo")
+    masters = t.select("project_id").distinct().selectExpr("project_id", "0.3D + project_id % 4 / 2 AS master_gain")
+    cuts = op.touching_cuts(t.filter("track_no = 0")).select("project_id", "track_no", "from_clip", "to_clip", F.lit(1000).cast("long").alias("dur_ms"))
+    mix = mixdown.mix_down(clips, tracks, masters, chunks, cuts, rate=8, channels=2, block=256)
+    total = lambda side: F.round(F.aggregate(F.filter("samples", lambda _, i: i % 2 == side), F.lit(0.0), lambda a, x: a + x), 3)
+    return mix.select("project_id", "block", F.size("samples").cast("long").alias("n_samples"), total(0).alias("left_sum"), total(1).alias("right_sum"))
+
+
 def _reframed(s, d):
     """The frames of a clip are 25 ids, two a second."""
     pixels = view(s, d, "v_rgb")
@@ -113,6 +127,16 @@ PLANS = {
     "f6_face_scores": (lambda s, d: op.face_scores(view(s, d, "v_detections")).select("frame_id", "det_id", "score"), ["v_detections"], "SELECT frame_id, det_id, round(0.45::DOUBLE * conf_milli / 1000 + 0.25::DOUBLE * w_milli * h_milli / 1000000 + 0.2::DOUBLE * greatest(0.0, 1 - sqrt(power((x_milli + 150.0::DOUBLE) / 500 - 1, 2) + power((y_milli + 150.0::DOUBLE) / 500 - 1, 2))), 6) AS score FROM v_detections WHERE conf_milli >= 300"),
     "g14_beat_aligned": (lambda s, d: op.beat_aligned(_tl(s, d), _points(s, d), F.expr("clip_id % 2 = 0")), ["v_points", "v_timeline"], None),
     "e23_reframe_keyframes": (lambda s, d: reframe.reframe_keyframes(op.tracked_subjects(view(s, d, "v_detections").withColumns({"shot": F.expr("frame_id div 40"), "face": F.expr("conf_milli >= 400")})).join(view(s, d, "v_detections").select("det_id", "x_milli", "y_milli"), "det_id").selectExpr("shot div 4 AS clip_id", "shot", "frame_id / 10D AS t", "x_milli / 1000D AS cx", "y_milli / 1000D AS cy"), 0.5, 1.0), ["v_detections"], None),
+    "d23_mixed_timeline": (_mixed, ["v_tight", "v_chunks"],
+        "WITH n AS (SELECT max(source_id) + 1 AS n FROM v_chunks), x AS (SELECT source_id, unnest(range(len(samples))) + o AS i, unnest(samples) AS v FROM (SELECT source_id, samples, coalesce(sum(len(samples)) OVER (PARTITION BY source_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM v_chunks)), f AS MATERIALIZED (SELECT source_id, CAST(i // 2 AS BIGINT) AS j, sum(CASE WHEN i % 2 = 0 THEN v END) AS l, sum(CASE WHEN i % 2 = 1 THEN v END) AS r FROM x GROUP BY 1, 2), "
+        "c0 AS (SELECT project_id, track_no, clip_id, source_id % n AS source_id, start_ms, dur_ms, in_ms, start_ms + dur_ms AS end_ms, in_ms % 3 * 500 AS fi, in_ms % 4 * 250 AS fo, lag(start_ms + dur_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM v_tight, n WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)), "
+        "c1 AS (SELECT *, track_no = 0 AND abs(start_ms - pe) <= 1 AS xi, track_no = 0 AND abs(ns - end_ms) <= 1 AS xo FROM c0 WHERE (project_id + track_no) % 7 <> 0 AND (track_no = 1 OR project_id % 5 <> 0 OR project_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM v_tight q WHERE q.project_id = c0.project_id AND q.track_no = 1))), "
+        "c AS (SELECT *, CAST(floor((in_ms - start_ms) * 8 / 1000.0 + 0.5) AS BIGINT) AS sh, CASE WHEN xi THEN pe - 500 ELSE start_ms END AS fr, CASE WHEN xo THEN end_ms + 500 ELSE end_ms END AS til FROM c1), "
+        "h AS (SELECT *, unnest(range(CAST(greatest(0, -sh, ceil(fr * 8 / 1000.0)) AS BIGINT), CAST(ceil(til * 8 / 1000.0) AS BIGINT))) AS k FROM c), "
+        "y AS (SELECT h.project_id, h.k, l, r, track_no, (0.5::DOUBLE + track_no / 4) * CASE WHEN fi > 0 THEN greatest(0, least(1, (k * 125.0::DOUBLE - start_ms) / fi)) ELSE 1 END * CASE WHEN fo > 0 THEN greatest(0, least(1, (end_ms - k * 125.0::DOUBLE) / fo)) ELSE 1 END * CASE WHEN xi THEN sin(greatest(0, least(1, (k * 125.0::DOUBLE - pe + 500) / 1000)) * pi() / 2) ELSE 1 END * CASE WHEN xo THEN cos(greatest(0, least(1, (k * 125.0::DOUBLE - end_ms + 500) / 1000)) * pi() / 2) ELSE 1 END AS g FROM h JOIN f ON f.source_id = h.source_id AND f.j = h.k + h.sh), "
+        "z AS (SELECT project_id, k, sum(l * g * least(1, 1 - (track_no - 1) / 2)) * (0.3::DOUBLE + project_id % 4 / 2) AS l, sum(r * g * least(1, 1 + (track_no - 1) / 2)) * (0.3::DOUBLE + project_id % 4 / 2) AS r FROM y GROUP BY 1, 2), "
+        "e AS (SELECT project_id, CAST(ceil(max(start_ms + dur_ms) * 8 / 1000.0) AS BIGINT) AS total FROM v_tight GROUP BY 1), g AS (SELECT project_id, total, unnest(range((total - 1) // 256 + 1)) AS block FROM e), s AS (SELECT z.project_id, k // 256 AS block, sum(greatest(-1, least(1, l))) AS l, sum(greatest(-1, least(1, r))) AS r FROM z JOIN e USING (project_id) WHERE k < total GROUP BY 1, 2) "
+        "SELECT g.project_id, g.block, 2 * least(256, total - g.block * 256) AS n_samples, round(coalesce(l, 0), 3) AS left_sum, round(coalesce(r, 0), 3) AS right_sum FROM g LEFT JOIN s ON s.project_id = g.project_id AND s.block = g.block"),
     "k8_reframe_figures": (lambda s, d: _reframed(s, d)["figures"], [], None),
     "k8_reframe_keyframes": (lambda s, d: _reframed(s, d)["keyframes"], [], None),
     "k8_reframe_counts": (lambda s, d: _reframed(s, d)["path"].groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("face").alias("n_face"), F.count_distinct("segment").alias("n_segments")), ["v_rgb", "v_detections"],
