@@ -84,3 +84,43 @@ def test_windowed_means(spark, sf_dir, tmp_path):
     got = replay(rows, 3, "ts", tmp_path, lambda s: metrics.windowed_means(s, "ts", "10 seconds", "1 day"), "append").collect()
     want = {(r.start, r.event_type): r.n for r in rows.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got and all(want[(r.start, r.event_type)] == r.n for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_ring_drains_equal_batch(spark, sf_dir, tmp_path, parts):
+    rows = view(spark, sf_dir, "v_events").filter("session_id < 40").selectExpr("session_id", "t_us", "event_id", "kind = 'click' AS drain")
+    got = replay(rows, parts, "t_us, drain, event_id", tmp_path, lambda s: metrics.ring_drains(s, 2, None))
+    want = ev.ring_drains(rows.filter("NOT drain"), rows.filter("drain"), 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_ring_by_hand(spark):
+    at = lambda rows: spark.createDataFrame(rows, "session_id long, event_id long, t_us long")
+    events = at([(1, 1, 10), (1, 2, 11), (1, 3, 12), (1, 4, 20), (1, 5, 20), (1, 6, 31), (1, 7, None), (2, 8, 5)])
+    drains = at([(1, 0, 20), (1, 0, 20), (1, 0, 25), (1, 0, 40), (3, 0, 7)])
+    kept = {r.event_id: (r.period, r.held, r.kept) for r in ev.ring_intake(events, drains, 2).collect()}
+    assert kept == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 2, False), 4: (0, 2, False), 5: (0, 2, False), 6: (2, 1, True), 8: (0, 1, True)}
+    assert sorted(map(tuple, ev.ring_drains(events, drains, 2).collect())) == [(1, 20, 2, 3), (1, 25, 0, 3), (1, 40, 1, 3), (3, 7, 0, 0)]
+
+
+def test_late_rows_across_batches(spark, tmp_path):
+    at = 1_700_000_000
+    # (batch, session, second): late by one batch, by two, within the bound, in their own batch, and of another session
+    rows = [(1, 1, 0), (1, 1, 100), (2, 1, 50), (2, 1, 95), (2, 1, 200), (2, 2, 10), (3, 1, 130), (3, 1, 195), (3, 2, 5), (4, 1, 99), (4, 3, 300), (4, 3, 200)]
+    made = spark.createDataFrame(rows, "batch long, session_id long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + at))
+    path = str(tmp_path / "in")
+    for b in range(1, 5):
+        made.filter(F.col("batch") == b).orderBy("session_id", F.col("s") == 200).coalesce(1).write.mode("append").parquet(path)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = metrics.late_marked(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(path), "ts", 10_000, None)
+        good, late = str(tmp_path / "good"), str(tmp_path / "late")
+        run = stream.writeStream.foreachBatch(metrics.split_late(good, late)).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        run.awaitTermination(240)
+    finally:
+        spark.conf.set(store, before)
+    got = {(r.session_id, r.s) for r in spark.read.parquet(late).collect()}
+    assert got == {(1, 50), (1, 130), (1, 99), (3, 200)}
+    assert spark.read.parquet(good).count() == len(rows) - len(got)

@@ -223,6 +223,37 @@ def bounded_intake(events: DataFrame, period_us: int, most: int) -> DataFrame:
     return events.groupBy("session_id", F.expr(f"t_us div {period_us}").alias("period")).agg(F.count(F.lit(1)).alias("n")).select("session_id", "period", F.least("n", F.lit(most)).alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).alias("dropped"))
 
 
+def _drained(events: DataFrame, drains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with ``period``, how many drains came before them, and the drains, numbered by the period that they end.
+
+    A drain reads what was written by its time, so an event at that time is read by it.
+    """
+    numbered = drains.select("session_id", "t_us").distinct().withColumn("period", F.row_number().over(Window.partitionBy("session_id").orderBy("t_us")).cast("long"))
+    before = events.filter("t_us IS NOT NULL").withColumn("_before", F.col("t_us") - 1)
+    met = asof_join(before, numbered.select("session_id", F.col("t_us").alias("_drain"), "period"), ["session_id"], "_before", "_drain", ["period"])
+    return met.drop("_before").withColumn("period", F.coalesce("period", F.lit(0)).cast("long")), numbered.withColumn("period", F.col("period") - 1)
+
+
+def ring_intake(events: DataFrame, drains: DataFrame, capacity: int) -> DataFrame:
+    """A ring of ``capacity`` events (``session_id, event_id, t_us``) that drains (``session_id, t_us``) empty: ``session_id, event_id, period, held, kept``.
+
+    When the ring is full, the newest event is dropped. Each drain empties it, so the length is counted anew in every period between drains:
+    ``held`` is the length after the event. Events without a time are neither written nor dropped.
+    """
+    rows, _ = _drained(events, drains)
+    turn = F.row_number().over(Window.partitionBy("session_id", "period").orderBy("t_us", "event_id"))
+    return rows.select("session_id", "event_id", "period", turn.alias("_n")).select("session_id", "event_id", "period", F.least("_n", F.lit(capacity)).cast("long").alias("held"), (F.col("_n") <= capacity).alias("kept"))
+
+
+def ring_drains(events: DataFrame, drains: DataFrame, capacity: int) -> DataFrame:
+    """What each drain of ``ring_intake`` reads, and how many events its session has dropped by then: ``session_id, t_us, n_read, dropped``."""
+    rows, ends = _drained(events, drains)
+    sizes = rows.groupBy("session_id", "period").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("session_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.join(sizes, ["session_id", "period"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return met.select("session_id", "t_us", F.least("n", F.lit(capacity)).cast("long").alias("n_read"), F.sum(F.greatest(F.col("n") - capacity, F.lit(0))).over(so_far).alias("dropped"))
+
+
 def scene_intervals(switches: DataFrame, end_us: Column) -> DataFrame:
     """Scene switches as ranges up to the next one (or ``end_us``), empty ones dropped."""
     w = Window.partitionBy("session_id").orderBy("t_us", "event_id")

@@ -82,6 +82,19 @@ def interval_join(a: DataFrame, b: DataFrame, by: list[str], width: int, how: st
     return a.join(keys, reduce(lambda x, y: x & y, same), "left_semi" if how == "semi" else "left_anti")
 
 
+def swept(points: DataFrame, by: list[str], at: str, value: str, width: int) -> DataFrame:
+    """Points of a key (one row each ``at``) with ``run``, the sum of ``value`` up to them, and ``next``, the point after (or null).
+
+    Sums go by bins of ``width`` first, so a key is no single task's work: only one row a bin is summed in order.
+    """
+    points = points.withColumn("_bin", F.expr(f"{at} div {width}"))
+    inside, across = Window.partitionBy(*by, "_bin").orderBy(at), Window.partitionBy(*by).orderBy("_bin")
+    bins = points.groupBy(*by, "_bin").agg(F.sum(value).alias("_s"), F.min(at).alias("_first"))
+    bins = bins.select(*by, "_bin", F.coalesce(F.sum("_s").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    rows = points.withColumns({"_run": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead(at).over(inside)}).join(bins, [*by, "_bin"])
+    return rows.withColumns({"run": F.col("_run") + F.col("_before"), "next": F.coalesce("_next", "_after")}).drop("_bin", "_run", "_next", "_before", "_after")
+
+
 def fold_per_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
     """Rows of each key, in order, through ``fold(rows) -> rows`` (iterators of dicts).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.operators.helpers import asof_join, interval_join, islands
+from timeloom.operators.helpers import asof_join, interval_join, islands, swept
 
 TRACK = ["project_id", "track_no"]
 #: Clips no further apart are neighbours that touch.
@@ -65,6 +65,23 @@ def intersect_tracks(a: DataFrame, b: DataFrame, by: list[str], width: int = 163
     return met.select(*by, F.greatest("a_start", "b_start").alias("start_ms"), F.least("a_end", "b_end").alias("end_ms"), F.greatest("a_peak", "b_peak").alias("peak"))
 
 
+def intersect_all(ranges: DataFrame, by: list[str], of: str, sets: DataFrame | None = None, width: int = 16384) -> DataFrame:
+    """Where all sets of a key have a range (``by, of, start_ms, end_ms, peak``): ``by, start_ms, end_ms, peak``, the largest peak there.
+
+    Any number of sets, whose own ranges don't overlap; ``sets`` says how many a key has (``by, n_sets``), by default those with ranges.
+    A sweep over starts and ends counts the ranges that are open; ranges that touch keep their pieces apart.
+    """
+    if sets is None:
+        sets = ranges.groupBy(*by).agg(F.count_distinct(of).alias("n_sets"))
+    some = ranges.filter("start_ms < end_ms")
+    ends = some.select(*by, F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("e"))
+    points = ends.groupBy(*by, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
+    full = swept(points, by, "t", "d", width).join(sets, by).filter("run = n_sets AND next IS NOT NULL")
+    pieces = full.select(*by, F.col("t").alias("a_start"), F.col("next").alias("a_end"))
+    under = some.select(*by, F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"), "peak")
+    return interval_join(pieces, under, by, width).groupBy(*by, F.col("a_start").alias("start_ms"), F.col("a_end").alias("end_ms")).agg(F.max("peak").alias("peak"))
+
+
 def selected(clips: DataFrame, ranges: DataFrame, width: int = 65536) -> DataFrame:
     """Clips that overlap any range (``project_id, start_ms, end_ms``)."""
     a = clips.select("project_id", "track_no", "clip_id", F.col("start_ms").alias("a_start"), _end().alias("a_end"))

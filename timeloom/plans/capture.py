@@ -72,6 +72,10 @@ PLANS = {
     "i6_hopping_windows": (lambda s, d: op.hopping_windows(view(s, d, "v_sources").select("source_id", F.expr("duration_ms div 1000 * 7").alias("duration_s"))), ["v_sources"],
         "WITH u AS (SELECT source_id, duration_ms // 1000 * 7 AS ds FROM v_sources), n AS (SELECT source_id, ds, unnest(range(0, greatest(0, (ds - 5 + 24) // 25 - 1) + 1)) AS n FROM u WHERE ds > 0) SELECT source_id, n, n * 25 AS start_s, least(n * 25 + 30, ds) AS end_s, CASE WHEN n = 0 THEN 0 ELSE n * 25 + 2 END AS from_s, CASE WHEN n * 25 + 30 >= ds THEN least(n * 25 + 30, ds) ELSE n * 25 + 27 END AS to_s FROM n"),
     "i1_bounded_intake": (lambda s, d: op.bounded_intake(view(s, d, "v_events"), 600_000_000_000, 20), ["v_events"], "SELECT session_id, t_us // 600000000000 AS period, least(count(*), 20) AS kept, greatest(count(*) - 20, 0) AS dropped FROM v_events GROUP BY ALL"),
+    "i1_ring_intake": (lambda s, d: (lambda e: op.ring_intake(e.filter("kind <> 'click'"), e.filter("kind = 'click'"), 3))(view(s, d, "v_events")), ["v_events"],
+        "SELECT session_id, event_id, period, least(n, 3) AS held, n <= 3 AS kept FROM (SELECT *, row_number() OVER (PARTITION BY session_id, period ORDER BY t_us, event_id) AS n FROM (SELECT session_id, event_id, t_us, kind, dense - CASE WHEN kind = 'click' THEN 1 ELSE 0 END AS period FROM (SELECT *, (SELECT count(DISTINCT c.t_us) FROM v_events c WHERE c.kind = 'click' AND c.session_id = e.session_id AND c.t_us < e.t_us) AS dense FROM v_events e WHERE kind <> 'click')))"),
+    "i1_ring_drains": (lambda s, d: (lambda e: op.ring_drains(e.filter("kind <> 'click'"), e.filter("kind = 'click'"), 3))(view(s, d, "v_events")), ["v_events"],
+        "WITH c AS (SELECT session_id, t_us, row_number() OVER (PARTITION BY session_id ORDER BY t_us) AS k, coalesce(lag(t_us) OVER (PARTITION BY session_id ORDER BY t_us), -1) AS p FROM (SELECT DISTINCT session_id, t_us FROM v_events WHERE kind = 'click')), n AS (SELECT c.session_id, c.t_us, c.k, count(e.event_id) AS n FROM c LEFT JOIN v_events e ON e.session_id = c.session_id AND e.kind <> 'click' AND e.t_us > p AND e.t_us <= c.t_us GROUP BY ALL) SELECT session_id, t_us, least(n, 3) AS n_read, CAST(sum(greatest(n - 3, 0)) OVER (PARTITION BY session_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS dropped FROM n"),
     "e12_scene_intervals": (lambda s, d: op.scene_intervals(view(s, d, "v_events"), F.lit(1_800_000_000_000_000)), ["v_events"], "SELECT * FROM (SELECT session_id, kind, t_us AS start_us, coalesce(lead(t_us) OVER (PARTITION BY session_id ORDER BY t_us, event_id), 1800000000000000) AS end_us FROM v_events) WHERE end_us > start_us"),
     "i3_replay_snapshot": (lambda s, d: (lambda e: op.replay_snapshot(e.select("session_id", "t_us", F.expr("event_id % 30 = 0 AND session_id % 5 <> 0").alias("keyframe"), F.col("x_milli").alias("bytes")), e.filter("kind = 'click'").select(F.col("event_id").alias("request_id"), "session_id", (F.col("t_us") - 30_000_000_000).alias("start_us"), F.col("t_us").alias("end_us")), 40_000_000_000))(view(s, d, "v_events")), ["v_events"],
         "WITH c AS (SELECT *, event_id % 30 = 0 AND session_id % 5 <> 0 AS kf FROM v_events), q AS (SELECT event_id AS request_id, session_id, t_us - 30000000000 AS s, t_us AS e FROM v_events WHERE kind = 'click'), b AS (SELECT q.*, (SELECT max(t_us) FROM c WHERE c.session_id = q.session_id AND kf AND t_us <= s) AS k, (SELECT min(t_us) FROM c WHERE c.session_id = q.session_id AND kf AND t_us >= s AND t_us <= e) AS n, q.session_id IN (SELECT session_id FROM c WHERE kf) AS v FROM q), f AS (SELECT *, CASE WHEN v THEN coalesce(k, n) ELSE s END AS from_us FROM b) SELECT request_id, from_us, count(*) AS n, CAST(sum(x_milli) AS BIGINT) AS bytes FROM f JOIN c ON c.session_id = f.session_id AND t_us BETWEEN from_us AND e GROUP BY 1, 2"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timeloom.operators import audio as au
 from timeloom.operators import frames as fr
 from timeloom.operators import intervals as iv
+from timeloom.operators import mixdown as mx
 from timeloom.operators import signal as op
 from timeloom.sources.views import sql_with, view
 
@@ -28,6 +29,14 @@ def _common(s, d):
     return iv.intersect_tracks(rows.filter("side = 0"), rows.filter("side = 1"), ["project_id"], 64)
 
 
+def _silent_everywhere(s, d):
+    """Tracks 0 to 2 of each project, 8 frames a second, samples in thousandths."""
+    chunks = view(s, d, "v_chunks").withColumn("samples", F.transform("samples", lambda x: F.floor(x * 1000).cast("double")))
+    n = chunks.agg(F.max("source_id") + 1).first()[0]
+    clips = view(s, d, "v_timeline").withColumn("source_id", F.col("source_id") % n)
+    return mx.common_silence(clips, clips.filter("track_no < 3").select("project_id", "track_no").distinct(), chunks, 8, 110, 135, 16, 2, 12, rate=8, block=1024)
+
+
 def _times(s, d):
     return view(s, d, "v_events").select(F.col("session_id").alias("source_id"), F.col("t_us").alias("t"))
 
@@ -50,6 +59,9 @@ PLANS = {
     "e4_quiet_regions": (_quiet, ["v_pcm"], f"WITH {QUIET} SELECT source_id, start_i, end_i, peak_sq FROM q"),
     "e5_padded_regions": (_padded, ["v_pcm"], f"WITH {PAD} SELECT * FROM m"),
     "k7_common_silence": (_common, ["v_pcm"], f"WITH {PAD}, r AS (SELECT source_id % 25 AS project_id, source_id // 25 % 2 AS side, start_i, end_i, peak_sq FROM m) SELECT a.project_id, greatest(a.start_i, b.start_i) AS start_ms, least(a.end_i, b.end_i) AS end_ms, greatest(a.peak_sq, b.peak_sq) AS peak FROM r a JOIN r b ON a.project_id = b.project_id AND a.side = 0 AND b.side = 1 AND a.start_i < b.end_i AND b.start_i < a.end_i"),
+    "k7_silent_everywhere": (_silent_everywhere, ["v_timeline", "v_chunks"],
+        "WITH n AS (SELECT max(source_id) + 1 AS n FROM v_chunks), f AS MATERIALIZED (SELECT source_id, CAST(unnest(range(len(samples))) + o AS BIGINT) AS j, CAST(floor(unnest(samples) * 1000) AS BIGINT) AS v FROM (SELECT source_id, samples, coalesce(sum(len(samples)) OVER (PARTITION BY source_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM v_chunks)), c AS (SELECT project_id * 10 + track_no AS t, source_id % n AS source_id, start_ms, start_ms + dur_ms AS end_ms, CAST(floor((in_ms - start_ms) * 8 / 1000.0 + 0.5) AS BIGINT) AS sh FROM v_timeline, n WHERE track_no < 3), h AS (SELECT t, source_id, sh, unnest(range(CAST(greatest(0, -sh, ceil(start_ms * 8 / 1000.0)) AS BIGINT), CAST(ceil(end_ms * 8 / 1000.0) AS BIGINT))) AS k FROM c), e0 AS (SELECT t, CAST(ceil(max(end_ms) * 8 / 1000.0) AS BIGINT) AS total FROM c GROUP BY 1), trk AS MATERIALIZED (SELECT g.t AS source_id, g.k AS i, coalesce(v, 0) AS x_milli FROM (SELECT t, unnest(range(total)) AS k FROM e0) g LEFT JOIN h ON h.t = g.t AND h.k = g.k LEFT JOIN f ON f.source_id = h.source_id AND f.j = h.k + h.sh), "
+        + PAD.replace("v_pcm", "trk") + ", r AS (SELECT source_id // 10 AS project_id, source_id % 10 AS track_no, start_i AS a, end_i AS b, peak_sq AS p FROM m), x AS (SELECT m.project_id, greatest(m.a, r.a) AS a, least(m.b, r.b) AS b, greatest(m.p, r.p) AS p FROM r m JOIN r ON r.project_id = m.project_id AND m.track_no = 0 AND r.track_no = 1 AND m.a < r.b AND r.a < m.b) SELECT x.project_id, CAST(round(greatest(x.a, r.a) * 125) AS BIGINT) AS start_ms, CAST(round(least(x.b, r.b) * 125) AS BIGINT) AS end_ms, greatest(x.p, r.p) AS peak FROM x JOIN r ON r.project_id = x.project_id AND r.track_no = 2 AND x.a < r.b AND r.a < x.b"),
     "d2_waveform_peaks": (lambda s, d: op.waveform_peaks(view(s, d, "v_pcm"), 10), ["v_pcm"],
         "SELECT source_id, ((i + 1) * k - 1) // n AS bucket, least(0, min(x_milli)) AS low, greatest(0, max(x_milli)) AS high FROM (SELECT *, greatest(8, least(10, n)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY source_id) AS n FROM v_pcm)) GROUP BY 1, 2"),
     "e7_block_loudness": (lambda s, d: op.block_loudness(view(s, d, "v_pcm")), ["v_pcm"],

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def windowed_means(events: DataFrame, time: str, late: str, size: str) -> DataFrame:
@@ -46,10 +48,95 @@ def bounded_intake(events: DataFrame, time: str, late: str, period: str, most: i
     return made.select("session_id", F.col("window.start").alias("start"), F.least("n", F.lit(most)).alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).alias("dropped"))
 
 
-def in_time(events: DataFrame, time: str, late_ms: int) -> DataFrame:
-    """Rows of one micro-batch marked ``late`` where they are over ``late_ms`` behind the newest of their session in it; use it in ``foreachBatch`` to keep a table of late rows."""
-    newest = F.max(time).over(Window.partitionBy("session_id"))
-    return events.withColumn("late", F.unix_millis(newest) - F.unix_millis(time) > late_ms)
+class _Newest(StatefulProcessor):
+    """Keeps the newest time of a session, and a timer that ends it when nothing has come for a while."""
+
+    def __init__(self, time: str, late_ms: int, idle_ms: int | None, columns: list[str]):
+        self.time, self.late_ms, self.idle_ms, self.columns = time, late_ms, idle_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "us long")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        for part in rows:
+            us = part[self.time].astype("datetime64[us]").astype("int64")
+            # a row is measured against all that came before it, in this batch and in those before
+            before = us.cummax().shift()
+            before = before.fillna(newest) if newest is not None else before
+            before = before.clip(lower=newest) if newest is not None else before
+            late = (before - us > self.late_ms * 1000).fillna(False)
+            newest = int(us.max()) if newest is None else max(newest, int(us.max()))
+            yield part[self.columns].assign(late=late.to_numpy(bool))
+        if newest is not None:
+            self.newest.update((newest,))
+        if self.idle_ms:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            ends = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(ends)
+            self.timer.update((ends,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        self.timer.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def late_marked(events: DataFrame, time: str, late_ms: int, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """All rows of a stream with ``late``: whether they are over ``late_ms`` behind the newest row of their session that came before them, in any batch.
+
+    Rows of a session are taken in the order in which they came. The newest time is state; it goes when a session has been idle for ``idle_ms``
+    (None: it stays until a bounded replay ends). Needs the RocksDB state store.
+    """
+    schema = StructType([*events.schema.fields, StructField("late", BooleanType())])
+    return events.groupBy("session_id").transformWithStateInPandas(_Newest(time, late_ms, idle_ms, events.columns), schema, "Append", "ProcessingTime" if idle_ms else "None")
+
+
+def split_late(in_time: str, late: str):
+    """For ``foreachBatch``: appends rows of ``late_marked`` to two Parquet folders, those in time and the late ones.
+
+    A batch that is run again writes its own folder again, so no row is there twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        for flag, path in ((False, in_time), (True, late)):
+            batch.filter(F.col("late") == flag).drop("late").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def ring_drains(rows: DataFrame, capacity: int, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """What each drain of a ring of ``capacity`` events reads, and what its session has dropped by then: ``session_id, t_us, n_read, dropped``.
+
+    ``rows``: ``session_id, t_us, event_id, drain``. Equal to the batch operator for any split into batches, as long as rows come in order.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, dropped = state.get if state.exists else (0, 0)
+        made, last = [], None
+        rows = pd.concat(list(frames)).dropna(subset=["t_us"]).sort_values(["t_us", "drain", "event_id"])
+        for t, drain in zip(rows.t_us, rows.drain):
+            if drain and t != last:
+                made.append((key[0], int(t), held, dropped))
+                held, last = 0, t
+            elif not drain and held < capacity:
+                held += 1
+            elif not drain:
+                dropped += 1
+        state.update((held, dropped))
+        _idle(state, idle_ms)
+        yield pd.DataFrame(made, columns=["session_id", "t_us", "n_read", "dropped"])
+
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id long, t_us long, n_read long, dropped long", "held long, dropped long", "append", _timeout(idle_ms))
 
 
 def _idle(state, idle_ms: int | None) -> None:
