@@ -22,6 +22,7 @@ id; an empty table gives an empty result; other columns are ignored; texts of an
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -145,84 +146,86 @@ def texts_in(docs: DataFrame, ids: np.ndarray, size: int):
     return docs.select(F.xxhash64("doc_id").alias("id_hash"), "text"), read
 
 
-def sets_in(sets: DataFrame):
-    """The same of a table of sets."""
+def met_tokens(docs: DataFrame, ids: np.ndarray, size: int, orders: tuple[int, ...], frequent, placed: bool) -> DataFrame:
+    """The prefix tokens that two sets or more have, of documents whose hashed id is in the bit map ``ids``: ``order, token, s0, sid, m, at``.
 
-    def read(batch):
-        for key, made in zip(batch.column(0), batch.column(1)):
-            yield key.as_py(), np.frombuffer(made.as_buffer(), np.uint64)
-
-    return sets.select("sid", "tokens"), read
-
-
-def met_tokens(source, order: int, frequent) -> DataFrame:
-    """``token, sid, m, at`` (place in the prefix, from 0) of the prefix tokens that two sets or more have under one order.
-
-    ``source``: as ``texts_in`` and ``sets_in`` give it.
+    ``sid`` is the set's key and ``s0`` its first half, ``m`` its size and ``at`` the token's place in the prefix, from 0. Without ``placed`` only
+    ``s0`` is known, to shuffle half as much; sets that have it in common then share their tokens, which drops no candidate.
     """
     import pyarrow as pa
 
-    rows_of, read = source
-    n_parts = 4 * int(rows_of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = rows_of.sparkSession.sparkContext.broadcast(frequent)
-    kind = np.dtype([("token", np.uint64), ("s0", np.uint64), ("s1", np.uint64), ("m", np.int32), ("at", np.int32)])
+    rows_of, read = texts_in(docs, ids, size)
+    n_parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    fields = [("token", np.uint64), ("s0", np.uint64)]
+    kind = np.dtype(fields + [("s1", np.uint64), ("m", np.int32), ("at", np.int32)] if placed else fields)
 
     def run(batches):
         words, rank = shared.value
-        held, n = [], 0
+        held, n = [[] for _ in orders], 0
 
         def packed():
-            rows = np.concatenate(held)
-            # frequent tokens are met anyway and needn't meet here: they are dealt by set too
-            key = np.where(_within(words, rows["token"]), rows["token"] ^ rows["s0"], rows["token"])
-            part = (key * np.uint64(ORDERS[0]) >> np.uint64(33)) % np.uint64(n_parts)
-            by = np.argsort(part, kind="stable")
-            rows, cuts = rows[by], np.searchsorted(part[by], np.arange(n_parts + 1))
-            own = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([rows[cuts[p] : cuts[p + 1]].tobytes() for p in own], pa.binary())], names=["part", "rows"])
+            for k, own in zip(orders, held):
+                rows = np.concatenate(own)
+                # frequent tokens are met anyway and needn't meet here: they are dealt by set too
+                key = np.where(_within(words, rows["token"]), rows["token"] ^ rows["s0"], rows["token"])
+                part = (key * np.uint64(ORDERS[0]) >> np.uint64(33)) % np.uint64(n_parts)
+                by = np.argsort(part, kind="stable")
+                rows, cuts = rows[by], np.searchsorted(part[by], np.arange(n_parts + 1))
+                some = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
+                blobs = [rows[cuts[p] : cuts[p + 1]].tobytes() for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["order", "part", "rows"])
 
         for batch in batches:
             for key, made in read(batch):
-                first = prefix(made, ORDERS[order], words, rank)
-                rows = np.empty(len(first), kind)
-                rows["s0"], rows["s1"] = np.frombuffer(key, np.uint64)
-                rows["token"], rows["m"], rows["at"] = first, len(made), np.arange(len(first))
-                held.append(rows)
-                n += len(rows)
+                for k, own in zip(orders, held):
+                    first = prefix(made, ORDERS[k], words, rank)
+                    rows = np.empty(len(first), kind)
+                    s0, s1 = np.frombuffer(key, np.uint64)
+                    rows["token"], rows["s0"] = first, s0
+                    if placed:
+                        rows["s1"], rows["m"], rows["at"] = s1, len(made), np.arange(len(first))
+                    own.append(rows)
+                    n += len(rows)
                 if n >= 1 << 20:
-                    yield packed()
-                    held, n = [], 0
-        if held:
-            yield packed()
+                    yield from packed()
+                    held, n = [[] for _ in orders], 0
+        if n:
+            yield from packed()
 
     def met(batches):
         """Parts come one after another; one is held at a time."""
         words = shared.value[0]
-        blobs = ((p, b) for batch in batches for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for _, own in groupby(blobs, key=itemgetter(0)):
-            rows = np.concatenate([np.frombuffer(b, kind) for _, b in own])
-            rows = rows[np.lexsort((rows["s1"], rows["s0"], rows["token"]))]
-            same = rows["token"][1:] == rows["token"][:-1]
+        blobs = ((k, p, b) for batch in batches for k, p, b in zip(*(c.to_pylist() for c in batch.columns)))
+        for (k, _), own in groupby(blobs, key=itemgetter(0, 1)):
+            rows = np.concatenate([np.frombuffer(b, kind) for *_, b in own])
             # documents of one set leave one row
-            again = same & (rows["s0"][1:] == rows["s0"][:-1]) & (rows["s1"][1:] == rows["s1"][:-1])
-            rows = rows[np.concatenate([[True], ~again])]
+            rows = np.unique(rows) if not placed else rows[np.lexsort((rows["s1"], rows["s0"], rows["token"]))]
             same = rows["token"][1:] == rows["token"][:-1]
+            if placed:
+                again = same & (rows["s0"][1:] == rows["s0"][:-1]) & (rows["s1"][1:] == rows["s1"][:-1])
+                rows = rows[np.concatenate([[True], ~again])]
+                same = rows["token"][1:] == rows["token"][:-1]
             rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | _within(words, rows["token"])]
             for at in range(0, len(rows), 1 << 16):
                 own = rows[at : at + (1 << 16)]
-                sids = np.stack([own["s0"], own["s1"]], axis=1).tobytes()
-                sids = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(sids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(own["token"].view(np.int64)), sids, pa.array(own["m"].astype(np.int64)), pa.array(own["at"].astype(np.int64))], names=["token", "sid", "m", "at"])
+                columns = [pa.array(np.full(len(own), k, np.int32)), *(pa.array(np.ascontiguousarray(own[c]).view(np.int64)) for c in ("token", "s0"))]
+                if placed:
+                    sids = pa.py_buffer(np.stack([own["s0"], own["s1"]], axis=1).tobytes())
+                    columns += [pa.Array.from_buffers(pa.binary(16), len(own), [None, sids]).cast(pa.binary()), *(pa.array(own[c].astype(np.int64)) for c in ("m", "at"))]
+                else:
+                    columns += [pa.nulls(len(own), pa.binary()), *[pa.nulls(len(own), pa.int64())] * 2]
+                yield pa.RecordBatch.from_arrays(columns, names=["order", "token", "s0", "sid", "m", "at"])
 
-    made = rows_of.mapInArrow(run, "part int, rows binary")
-    return made.repartition(n_parts // 4, "part").sortWithinPartitions("part").mapInArrow(met, "token long, sid binary, m long, at long")
+    made = rows_of.mapInArrow(run, "order int, part int, rows binary")
+    return made.repartition(n_parts // 4, "part").sortWithinPartitions("order", "part").mapInArrow(met, "order int, token long, s0 long, sid binary, m long, at long")
 
 
-def whole_sets(source, sids: DataFrame) -> DataFrame:
-    """``sid, tokens`` (sorted) of the sets ``sids``, one row each."""
+def whole_sets(docs: DataFrame, size: int, sids: DataFrame, first: DataFrame) -> DataFrame:
+    """``sid, tokens`` (sorted) of the sets ``sids``, one row each; ``first`` names a document (``sid, id_hash``) of each set."""
     import pyarrow as pa
 
-    rows_of, read = source
+    rows_of, read = texts_in(docs, bit_map(first.join(sids, "sid", "left_semi"), "id_hash"), size)
 
     def run(batches):
         for batch in batches:
@@ -245,7 +248,7 @@ def could_link(m_a: Column, m_b: Column, at_a: Column, at_b: Column) -> Column:
     return ((100 + PERCENT) * most >= PERCENT * (m_a + m_b)) & (100 * F.least(m_a, m_b) >= PERCENT * F.greatest(m_a, m_b))
 
 
-def linked(pairs: DataFrame, others: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, others: DataFrame, docs: DataFrame, size: int, first: DataFrame) -> DataFrame:
     """The ``pairs`` (``a, b``) that share prefix tokens under the other orders too, and are verified on their whole sets."""
     import pyarrow as pa
 
@@ -254,6 +257,8 @@ def linked(pairs: DataFrame, others: DataFrame, sets: DataFrame) -> DataFrame:
     for k in range(1, len(ORDERS)):
         near = near.filter(F.arrays_overlap(f"q{k}_a", f"q{k}_b"))
     near = cut(near.select("a", "b"), "jaccard-candidates")
+    ends = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct()
+    sets = cut(whole_sets(docs, size, ends, first), "jaccard-tokens")
     both = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "tokens_a", "tokens_b")
 
     def verify(batches):
@@ -267,7 +272,7 @@ def linked(pairs: DataFrame, others: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     made = cut(both.mapInArrow(verify, "a binary, b binary"), "jaccard-links")
-    discard(near)
+    discard(near, sets)
     return made
 
 
@@ -278,25 +283,22 @@ def classes(docs: DataFrame, size: int = 5, large: int = 64) -> tuple[DataFrame,
     made._written = every._written
     frequent = frequent_tokens(every.select(F.explode("often").alias("x")).select("x.*"))
     # one document stands for its set; a bit map of the ids may let others through, which only adds work
-    first = made.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id_hash").alias("id_hash"))
-    met = cut(met_tokens(texts_in(docs, bit_map(first, "id_hash"), size), 0, frequent), "jaccard-order0")
-    alive = met.select("sid").distinct()
-    ids = bit_map(first.join(alive, "sid", "left_semi"), "id_hash")
-    sets = cut(whole_sets(texts_in(docs, ids, size), alive), "jaccard-tokens")
-    others = None
-    for k in range(1, len(ORDERS)):
-        # a document's prefix bounds its list
-        lists = met_tokens(sets_in(sets), k, frequent).groupBy("sid").agg(F.collect_list("token").alias(f"q{k}"))
-        others = lists if others is None else others.join(lists, "sid")
-    others = cut(others, "jaccard-prefixes")
-    rows = cut(met.join(others.select("sid"), "sid", "left_semi"), "jaccard-met")
+    first = cut(made.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id_hash").alias("id_hash")), "jaccard-first")
+    met = cut(met_tokens(docs, bit_map(first, "id_hash"), size, (0,), frequent, True).drop("order"), "jaccard-order0")
+    ids = bit_map(first.join(met.select("sid").distinct(), "sid", "left_semi"), "id_hash")
+    more = met_tokens(docs, ids, size, tuple(range(1, len(ORDERS))), frequent, False)
+    # a document's prefix bounds its lists
+    lists = more.groupBy("s0").agg(*[F.collect_list(F.when(F.col("order") == k, F.col("token"))).alias(f"q{k}") for k in range(1, len(ORDERS))])
+    lists = lists.filter(reduce(lambda x, y: x & y, [F.size(f"q{k}") > 0 for k in range(1, len(ORDERS))]))
+    others = cut(met.select("sid", "s0").distinct().join(lists, "s0").drop("s0"), "jaccard-prefixes")
+    rows = cut(met.join(others.select("sid"), "sid", "left_semi").drop("s0"), "jaccard-met")
     discard(met)
 
     # each set with that of its tokens' least sets with which it shares most
     least = rows.groupBy("token").agg(F.min(F.struct("sid", "m", "at")).alias("least"))
     stars = rows.join(least, "token").filter(F.col("sid") != F.col("least.sid")).filter(could_link(F.col("m"), F.col("least.m"), F.col("at"), F.col("least.at")))
     shared = stars.groupBy(F.col("sid").alias("b"), F.col("least.sid").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-    links = linked(shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), others, sets)
+    links = linked(shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), others, docs, size, first)
     found = cut(components(links), "jaccard-components")
 
     # pairs of a token whose components differ
@@ -308,9 +310,9 @@ def classes(docs: DataFrame, size: int = 5, large: int = 64) -> tuple[DataFrame,
     keyed = few.unionByName(many).select("token", "by", "sid", "m", "at", "root")
     a, b = (keyed.select("token", "by", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "m", "at", "root")]) for s in "ab")
     pairs = a.join(b, ["token", "by"]).filter("sid_a < sid_b AND root_a <> root_b").filter(could_link(F.col("m_a"), F.col("m_b"), F.col("at_a"), F.col("at_b")))
-    more = linked(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), others, sets)
+    more = linked(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), others, docs, size, first)
     final = cut(components(links.unionByName(more)), "jaccard-classes")
-    discard(rows, open_rows, others, sets, links, more, found)
+    discard(rows, open_rows, others, first, links, more, found)
     return made, final
 
 
