@@ -27,8 +27,9 @@ def parsed_srt_time(text: Column) -> Column:
 
 
 def chapter_time(ms: Column) -> Column:
-    s = F.floor(ms / 1000)
-    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
+    """HH:MM:SS of a chapter, whole seconds, never negative."""
+    s = F.greatest(F.lit(0), F.floor(ms / 1000))
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
 def snapped_frames(ms: Column, fps: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.operators.helpers import asof_join, fold_per_key, interval_join
-from timeloom.operators.intervals import TOUCH_MS, cut_by_ranges, resolve_at
+from timeloom.operators.intervals import TOUCH_MS, cut_by_ranges, locked_projects, resolve_at, unless_locked
 
 TRACK = ["project_id", "track_no"]
 
@@ -113,31 +113,39 @@ def patched(clips: DataFrame, patches: DataFrame) -> DataFrame:
     return met.select("clip_id", gain.cast("long").alias("gain"), fade.cast("long").alias("fade_ms"))
 
 
-def overwritten(clips: DataFrame, inserts: DataFrame, lifted: DataFrame) -> DataFrame:
-    """``lifted`` (the clips without the inserts' ranges) with the inserts added."""
+def overwritten(clips: DataFrame, inserts: DataFrame, lifted: DataFrame, locks: DataFrame | None = None) -> DataFrame:
+    """``lifted`` (the clips without the inserts' ranges) with the inserts added; a project keeps its ``clips`` if a track with an insert is locked."""
+    if locks is not None:
+        refused = inserts.join(locks.select(*TRACK), TRACK, "left_semi").select("project_id").distinct()
+        inserts = inserts.join(refused, "project_id", "left_anti")
+        lifted = lifted.join(refused, "project_id", "left_anti").unionByName(clips.join(refused, "project_id", "left_semi").select(*lifted.columns))
     return lifted.select(*TRACK, "clip_id", "start_ms", "dur_ms").unionByName(inserts.select(*TRACK, "clip_id", "start_ms", "dur_ms"))
 
 
-def rolled(clips: DataFrame, by_ms: int) -> DataFrame:
-    """Cuts that may move by ``by_ms`` without emptying the clip before or running out of the one after: changed pairs."""
+def rolled(clips: DataFrame, by_ms: int, locks: DataFrame | None = None) -> DataFrame:
+    """Cuts of unlocked tracks that may move by ``by_ms`` without emptying the clip before or running out of the one after: changed pairs."""
+    clips = clips if locks is None else clips.join(locks.select(*TRACK), TRACK, "left_anti")
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id")
     rows = clips.select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms", F.lead("clip_id").over(w).alias("to_clip"), F.lead("start_ms").over(w).alias("to_start"), F.lead("dur_ms").over(w).alias("to_dur"), F.lead("in_ms").over(w).alias("to_in"))
     ok = rows.filter((F.abs(F.col("to_start") - _end()) <= TOUCH_MS) & (F.col("dur_ms") + by_ms > 0) & (F.col("to_dur") - by_ms > 0) & (F.col("to_in") + by_ms >= 0))
     return ok.select("clip_id", "to_clip", (F.col("dur_ms") + by_ms).alias("dur_ms"), (F.col("to_start") + by_ms).alias("to_start"), (F.col("to_dur") - by_ms).alias("to_dur"), (F.col("to_in") + by_ms).alias("to_in"))
 
 
-def slipped(clips: DataFrame, by_ms: int, source_ms: int) -> DataFrame:
-    """Clips whose in-point can move within the source."""
-    moved = F.greatest(F.lit(0), F.least(F.col("in_ms") + by_ms, F.lit(source_ms) - F.col("dur_ms")))
+def slipped(clips: DataFrame, by_ms: int, source_ms: int | None = None, sources: DataFrame | None = None, locks: DataFrame | None = None) -> DataFrame:
+    """Clips of unlocked tracks whose in-point can move within the source, whose length is ``source_ms`` or comes from ``sources`` (``source_id, length_ms``)."""
+    clips = clips if locks is None else clips.join(locks.select(*TRACK), TRACK, "left_anti")
+    clips = clips.withColumn("length_ms", F.lit(source_ms)) if sources is None else clips.join(sources.select("source_id", "length_ms"), "source_id")
+    moved = F.greatest(F.lit(0), F.least(F.col("in_ms") + by_ms, F.col("length_ms") - F.col("dur_ms")))
     return clips.select("clip_id", "in_ms", moved.alias("new_in")).filter("in_ms <> new_in")
 
 
-def moved_batches(clips: DataFrame, moves: DataFrame) -> DataFrame:
-    """Move clips (``clip_id, by_ms``); a project whose result overlaps keeps its old times: ``clip_id, start_ms, accepted``."""
+def moved_batches(clips: DataFrame, moves: DataFrame, locks: DataFrame | None = None) -> DataFrame:
+    """Move clips (``clip_id, by_ms``); a project whose result overlaps, or that moves a clip of a locked track, keeps its old times: ``clip_id, start_ms, accepted``."""
     met = clips.join(moves, "clip_id", "left").withColumn("to_ms", F.col("start_ms") + F.coalesce("by_ms", F.lit(0)))
     w = Window.partitionBy(*TRACK).orderBy("to_ms", "clip_id")
     bad = (F.col("to_ms") < 0) | F.coalesce(F.col("to_ms") < F.lag(F.col("to_ms") + F.col("dur_ms")).over(w), F.lit(False))
-    rows = met.withColumn("_bad", bad).withColumn("_any", F.max("_bad").over(Window.partitionBy("project_id")))
+    refused = locked_projects(met, locks, F.col("by_ms").isNotNull()).withColumn("_no", F.lit(True))
+    rows = met.withColumn("_bad", bad).join(refused, "project_id", "left").withColumn("_bad", F.col("_bad") | F.coalesce("_no", F.lit(False))).withColumn("_any", F.max("_bad").over(Window.partitionBy("project_id")))
     return rows.select("project_id", "clip_id", F.when(F.col("_any"), F.col("start_ms")).otherwise(F.col("to_ms")).alias("start_ms"), (~F.col("_any")).alias("accepted"))
 
 
@@ -314,12 +322,16 @@ def normalised_keyframes(keys: DataFrame, grain_ms: int) -> DataFrame:
     return rows.select("project_id", "k.ord", "k.key_ms", "k.value")
 
 
-def silence_cuts(clips: DataFrame, regions: DataFrame) -> DataFrame:
-    """Clips split at the regions' edges (any number a project: ``cut_start, cut_end``), pieces inside a region deleted, the rest of a track moved left by them."""
+def silence_cuts(clips: DataFrame, regions: DataFrame, locks: DataFrame | None = None) -> DataFrame:
+    """Clips split at the regions' edges (any number a project: ``cut_start, cut_end``), pieces inside a region deleted, the rest of a track moved left by them.
+
+    A project with a locked track keeps its clips, each as its piece 0.
+    """
     pieces = cut_by_ranges(clips, regions)
     w = Window.partitionBy(*TRACK).orderBy("start_ms", "clip_id", "piece_no").rowsBetween(Window.unboundedPreceding, -1)
     gone = F.coalesce(F.sum(F.when(F.col("inside"), F.col("dur_ms")).otherwise(0)).over(w), F.lit(0))
-    return pieces.withColumn("_gone", gone).filter("NOT inside").select(*TRACK, "clip_id", "piece_no", (F.col("start_ms") - F.col("_gone")).alias("start_ms"), "dur_ms")
+    made = pieces.withColumn("_gone", gone).filter("NOT inside").select(*TRACK, "clip_id", "piece_no", (F.col("start_ms") - F.col("_gone")).alias("start_ms"), "dur_ms")
+    return unless_locked(made, clips.withColumn("piece_no", F.lit(0)), locks, F.lit(True))
 
 
 def reframe_stats(frames: DataFrame) -> DataFrame:
@@ -396,11 +408,21 @@ def beat_aligned(clips: DataFrame, beats: DataFrame, chosen: Column) -> DataFram
 
 
 def layer_matches(layers: DataFrame, clips: DataFrame) -> DataFrame:
-    """Scene layers (``project_id, layer, source_id, track_no``) with a clip: by source first, else by track."""
+    """Scene layers (``project_id, layer, source_id, track_no``, in the order of ``layer``) with a clip: the first of their source, else of their track.
+
+    Of a track's clips, each goes to one such layer at most: the layers without a source's clip take them by rank, and layers without one left
+    are dropped.
+    """
     by_source = clips.groupBy("project_id", "source_id").agg(F.min("clip_id").alias("s_clip"))
-    by_track = clips.groupBy("project_id", "track_no").agg(F.min("clip_id").alias("t_clip"))
-    met = layers.join(by_source, ["project_id", "source_id"], "left").join(by_track, ["project_id", "track_no"], "left")
-    return met.select("project_id", "layer", F.coalesce("s_clip", "t_clip").alias("clip_id"), F.col("s_clip").isNotNull().alias("by_source"))
+    met = layers.join(by_source, ["project_id", "source_id"], "left")
+    rank = lambda order: F.row_number().over(Window.partitionBy(*TRACK).orderBy(order)).alias("_rank")
+    # of a track, layers are few; of its clips, only as many as it has layers are needed
+    rest = met.filter("s_clip IS NULL").select(*TRACK, "layer", rank("layer"))
+    most = rest.groupBy(*TRACK).agg(F.max("_rank").alias("_most"))
+    ranked = clips.join(most, TRACK).select(*TRACK, F.col("clip_id").alias("t_clip"), "_most", rank("clip_id")).filter("_rank <= _most").drop("_most")
+    by_track = rest.join(ranked, [*TRACK, "_rank"]).select("project_id", "layer", "t_clip")
+    both = met.join(by_track, ["project_id", "layer"], "left")
+    return both.select("project_id", "layer", F.coalesce("s_clip", "t_clip").alias("clip_id"), F.col("s_clip").isNotNull().alias("by_source")).filter("clip_id IS NOT NULL")
 
 
 def one_euro(points: DataFrame, floor: float = 1.0, beta: float = 0.01, rate: float = 30.0) -> DataFrame:

@@ -144,21 +144,40 @@ def cut_by_ranges(clips: DataFrame, ranges: DataFrame, target: Column | None = N
     return rows.select(*TRACK, "clip_id", "piece_no", F.col("p.s").alias("start_ms"), (F.col("p.e") - F.col("p.s")).alias("dur_ms"), (F.col("in_ms") + F.col("p.s") - F.col("_s")).alias("in_ms"), inside.alias("inside"))
 
 
-def lift(clips: DataFrame, ranges: DataFrame, target: Column | None = None) -> DataFrame:
-    """Remove the ranges of each project (any number: ``project_id, cut_start, cut_end``) from the target tracks, keeping what stands out."""
-    return cut_by_ranges(clips, ranges, target).filter("NOT inside").select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms")
+def locked_projects(clips: DataFrame, locks: DataFrame | None, touched: Column) -> DataFrame:
+    """Projects of which a locked track (``project_id, track_no``) has a clip that an edit touches: no such edit runs."""
+    rows = clips.filter(touched)
+    return (rows.join(locks.select(*TRACK), TRACK, "left_semi") if locks is not None else rows.limit(0)).select("project_id").distinct()
 
 
-def extract(clips: DataFrame, ranges: DataFrame, target: Column | None = None, synced: Column | None = None) -> DataFrame:
+def unless_locked(made: DataFrame, clips: DataFrame, locks: DataFrame | None, touched: Column) -> DataFrame:
+    """``made``, what an edit of ``clips`` gives, but the clips as they were of projects where it touches a locked track."""
+    if locks is None:
+        return made
+    refused = locked_projects(clips, locks, touched)
+    return made.join(refused, "project_id", "left_anti").unionByName(clips.join(refused, "project_id", "left_semi").select(*made.columns))
+
+
+def lift(clips: DataFrame, ranges: DataFrame, target: Column | None = None, locks: DataFrame | None = None) -> DataFrame:
+    """Remove the ranges of each project (any number: ``project_id, cut_start, cut_end``) from the target tracks, keeping what stands out.
+
+    A project with a locked target track keeps its clips.
+    """
+    made = cut_by_ranges(clips, ranges, target).filter("NOT inside").select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms")
+    return unless_locked(made, clips, locks, F.lit(True) if target is None else target)
+
+
+def extract(clips: DataFrame, ranges: DataFrame, target: Column | None = None, synced: Column | None = None, locks: DataFrame | None = None) -> DataFrame:
     """``lift``, then what starts at or after a range's end moves left by it, on target and on synced tracks.
 
-    A project is refused, and keeps its clips, if a clip of a synced track that is no target overlaps a range: ``accepted``.
+    A project is refused, and keeps its clips, if a clip of a synced track that is no target overlaps a range, or a target or synced
+    track is locked: ``accepted``.
     """
     target, synced = F.lit(True) if target is None else target, F.lit(False) if synced is None else synced
     runs = merged_ranges(ranges)
     a = clips.filter(synced & ~target).select(*TRACK, "clip_id", F.col("start_ms").alias("a_start"), _end().alias("a_end"))
     b = runs.select("project_id", F.col("cut_start").alias("b_start"), F.col("cut_end").alias("b_end"))
-    refused = interval_join(a, b, ["project_id"], 16384).select("project_id").distinct()
+    refused = interval_join(a, b, ["project_id"], 16384).select("project_id").unionByName(locked_projects(clips, locks, target | synced)).distinct()
     kept = clips.join(refused, "project_id", "left_semi").select(*TRACK, "clip_id", "start_ms", "dur_ms", "in_ms", F.lit(False).alias("accepted"))
     good = lift(clips.join(refused, "project_id", "left_anti"), ranges, target)
     moved = asof_join(good, runs.select("project_id", "cut_end", "gone"), ["project_id"], "start_ms", "cut_end", ["gone"])
@@ -171,13 +190,24 @@ def _with_refusal(rows: DataFrame, refused: DataFrame) -> DataFrame:
     return rows.join(refused.select("project_id", F.lit(True).alias("_no")).distinct(), "project_id", "left").withColumn("accepted", F.col("_no").isNull()).drop("_no")
 
 
-def ripple_delete(clips: DataFrame, removed: Column, synced: Column | None = None) -> DataFrame:
-    """Delete the clips that ``removed`` marks; later ones of their track move left by the deleted time before them.
+def with_linked(clips: DataFrame, chosen: Column, group: Column) -> DataFrame:
+    """Add ``_chosen``: the clip, or one of its group (of one project), is chosen."""
+    rows = clips.withColumns({"_own": F.coalesce(chosen, F.lit(False)), "_group": group})
+    groups = rows.filter("_own AND _group IS NOT NULL").select("project_id", "_group", F.lit(True).alias("_met")).distinct()
+    return rows.join(groups, ["project_id", "_group"], "left").withColumn("_chosen", F.col("_own") | F.coalesce("_met", F.lit(False))).drop("_own", "_group", "_met")
+
+
+def ripple_delete(clips: DataFrame, removed: Column, synced: Column | None = None, locks: DataFrame | None = None, group: Column | None = None) -> DataFrame:
+    """Delete the clips that ``removed`` marks, and all of their linked ``group``s; later ones of their track move left by the deleted time before them.
 
     Synced tracks without deleted clips move by what the track that loses most loses, from its first deleted clip on. A
-    project is refused, and keeps its clips, if a clip of such a track stands over that point or clips then overlap: ``accepted``.
+    project is refused, and keeps its clips, if a clip of such a track stands over that point, clips then overlap, or a track with
+    deleted clips or a synced one is locked: ``accepted``.
     """
     synced = F.lit(False) if synced is None else synced
+    if group is not None:
+        clips, removed = with_linked(clips, removed, group), F.col("_chosen")
+    no_edit = locked_projects(clips, locks, removed | synced)
     rows = clips.withColumns({"_gone": F.coalesce(F.sum(F.when(removed, F.col("dur_ms")).otherwise(0)).over(_before(TRACK, "start_ms", "clip_id")), F.lit(0)).cast("long"), "_removed": removed, "_synced": synced})
     per = rows.filter("_removed").groupBy(*TRACK).agg(F.sum("dur_ms").alias("_total"), F.min("start_ms").alias("_from"))
     best = per.groupBy("project_id").agg(F.max_by(F.struct("_total", "_from"), F.struct("_total", -F.col("track_no"))).alias("_b"))
@@ -187,26 +217,29 @@ def ripple_delete(clips: DataFrame, removed: Column, synced: Column | None = Non
     over = follows & (F.col("start_ms") < F.col("_b._from")) & (_end() > F.col("_b._from"))
     rows = rows.withColumns({"_to": to, "_over": over})
     left = rows.filter("NOT _removed").withColumn("_hit", F.col("_to") < F.lag(F.col("_to") + F.col("dur_ms")).over(Window.partitionBy(*TRACK).orderBy("_to", "clip_id")))
-    refused = left.filter("_over OR _hit").select("project_id")
+    refused = left.filter("_over OR _hit").select("project_id").unionByName(no_edit)
     made = _with_refusal(rows, refused).filter("NOT (_removed AND accepted)")
     return made.select(*TRACK, "clip_id", F.when(F.col("accepted"), F.col("_to")).otherwise(F.col("start_ms")).alias("start_ms"), "dur_ms", "in_ms", "accepted")
 
 
-def insert_edit(clips: DataFrame, inserts: DataFrame, synced: Column | None = None) -> DataFrame:
+def insert_edit(clips: DataFrame, inserts: DataFrame, synced: Column | None = None, locks: DataFrame | None = None) -> DataFrame:
     """Insert clips (``project_id, track_no, clip_id, at_ms, dur_ms``, one point a project) and make room for the longest.
 
     What starts at or after the point moves right, on the tracks that get a clip and on synced ones. A project is refused,
-    and keeps its clips, if a clip of those tracks stands over the point: ``accepted``.
+    and keeps its clips, if a clip of those tracks stands over the point or one of them is locked: ``accepted``.
     """
     synced = F.lit(False) if synced is None else synced
     room = inserts.groupBy("project_id").agg(F.min("at_ms").alias("at_ms"), F.max("dur_ms").alias("room_ms"))
     rows = clips.join(inserts.select(*TRACK, F.lit(True).alias("_own")).distinct(), TRACK, "left").join(room, "project_id", "left")
     moves = F.coalesce(F.col("_own"), F.lit(False)) | (synced & F.col("at_ms").isNotNull())
     over = moves & (F.col("start_ms") < F.col("at_ms")) & (F.col("at_ms") < _end())
-    made = _with_refusal(rows, rows.filter(over).select("project_id"))
+    refused = rows.filter(over).select("project_id").unionByName(locked_projects(rows, locks, moves))
+    if locks is not None:
+        refused = refused.unionByName(inserts.join(locks.select(*TRACK), TRACK, "left_semi").select("project_id"))
+    made = _with_refusal(rows, refused)
     start = F.when(F.col("accepted") & moves & (F.col("start_ms") >= F.col("at_ms")), F.col("start_ms") + F.col("room_ms")).otherwise(F.col("start_ms"))
     made = made.select(*TRACK, "clip_id", start.alias("start_ms"), "dur_ms", "accepted")
-    added = inserts.join(made.filter("NOT accepted").select("project_id").distinct(), "project_id", "left_anti")
+    added = inserts.join(refused.distinct(), "project_id", "left_anti")
     return made.unionByName(added.select(*TRACK, "clip_id", F.col("at_ms").alias("start_ms"), "dur_ms", F.lit(True).alias("accepted")))
 
 

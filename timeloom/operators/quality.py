@@ -83,10 +83,20 @@ def proxy_reasons(sources: DataFrame) -> DataFrame:
     return sources.filter("can_decode").select("source_id", F.array_join(reasons, ",").alias("reasons")).filter("reasons <> ''")
 
 
-def proxy_order(sources: DataFrame) -> DataFrame:
-    """Place of each source in its project's proxy plan: large first, then variable, then by id."""
-    rank = F.when(F.col("width") >= 2560, 0).when(F.col("fps_code") == 0, 1).otherwise(2)
-    return sources.select("project_id", "source_id", rank.alias("priority")).withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("priority", "source_id")))
+#: What a source's place in the proxy plan goes by, most urgent first.
+PROXY_PRIORITIES = ("active-range", "visible-filmstrip", "selected-source", "background-bin")
+
+
+def proxy_order(sources: DataFrame, active: DataFrame, visible: DataFrame, selected: DataFrame) -> DataFrame:
+    """``priority`` and ``place`` of each source in its project's proxy plan: sources of the active range, then visible, selected and all others, each by id.
+
+    The sets (``project_id, source_id``) may overlap; the most urgent counts.
+    """
+    sets = [df.select("project_id", "source_id", F.lit(k).alias("_k")) for k, df in enumerate((active, visible, selected))]
+    best = sets[0].unionByName(sets[1]).unionByName(sets[2]).groupBy("project_id", "source_id").agg(F.min("_k").alias("_k"))
+    rows = sources.select("project_id", "source_id").join(best, ["project_id", "source_id"], "left").withColumn("_k", F.coalesce("_k", F.lit(3)))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("_k", "source_id"))
+    return rows.select("project_id", "source_id", F.get(F.array(*map(F.lit, PROXY_PRIORITIES)), F.col("_k")).alias("priority"), place.alias("place"))
 
 
 def sequence_rates(sources: DataFrame) -> DataFrame:
@@ -160,18 +170,24 @@ def usage_rollup(entries: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("store_id", F.lit("all")).alias("store_id"), F.coalesce("category_rank", F.lit(-1)).alias("category_rank"), "bytes", "n")
 
 
+#: What an entry's ``status_rank`` says: those in use are never evicted, deleted ones take no room.
+IN_USE, DELETED = 0, 4
+
+
 def eviction_plan(entries: DataFrame, target: int, pressure: DataFrame | None = None) -> DataFrame:
-    """Entries to evict from each store, in order, until its bytes are at most ``target``; status 0 is protected.
+    """Entries to evict from each store, in order (failed, stale, ready; then by category and last use), until its bytes are at most ``target``.
 
-    ``pressure`` (``store_id, free_bytes, least_free``) lowers a store's target by what its free space lacks.
+    ``pressure`` (``store_id, free_bytes, least_free``) asks for as much as a store's free space lacks, where the target doesn't give that.
     """
-    total = entries.withColumn("_all", F.sum("bytes").over(Window.partitionBy("store_id"))).filter("status_rank <> 0")
+    live = entries.filter(F.col("status_rank") != DELETED)
+    total = live.withColumn("_all", F.sum("bytes").over(Window.partitionBy("store_id"))).filter(F.col("status_rank") != IN_USE)
+    aim = F.lit(target)
     if pressure is not None:
-        total = total.join(pressure.select("store_id", F.greatest(F.lit(0), F.col("least_free") - F.col("free_bytes")).alias("_lack")), "store_id", "left")
-    lack = F.coalesce("_lack", F.lit(0)) if pressure is not None else F.lit(0)
+        total = total.join(pressure.select("store_id", (F.col("least_free") - F.col("free_bytes")).alias("_lack")), "store_id", "left")
+        aim = F.when(F.col("_lack") > 0, F.least(aim, F.greatest(F.lit(0), F.col("_all") - F.col("_lack")))).otherwise(aim)
     w = Window.partitionBy("store_id").orderBy(F.desc("status_rank"), "category_rank", "last_used", "entry_id")
     gone = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return total.withColumns({"_gone": gone, "place": F.row_number().over(w)}).filter(F.col("_all") - F.col("_gone") > F.greatest(F.lit(0), F.lit(target) - lack)).select("store_id", "entry_id", "place", "bytes")
+    return total.withColumns({"_gone": gone, "place": F.row_number().over(w)}).filter(F.col("_all") - F.col("_gone") > F.greatest(F.lit(0), aim)).select("store_id", "entry_id", "place", "bytes")
 
 
 def least_recent(entries: DataFrame, most_bytes: int) -> DataFrame:

@@ -8,7 +8,7 @@ from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
 from timeloom.operators import quality as qu
 from timeloom.operators import mixdown, reframe
-from timeloom.plans.timeline import PIECES
+from timeloom.plans.timeline import PIECES, _locks
 from timeloom.sources.views import sql_with, view
 
 
@@ -34,7 +34,7 @@ def _tight(s, d):
 
 #: Cuts between clips that touch.
 CUTS_AT = "tc AS (SELECT * FROM (SELECT project_id, track_no, clip_id AS from_clip, lead(clip_id) OVER w AS to_clip, lead(start_ms) OVER w AS cut, start_ms + dur_ms AS e FROM v_tight WINDOW w AS (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id)) WHERE abs(cut - e) <= 1)"
-LAYERS = f"{POINTS}, {CUTS_AT}, x AS (SELECT point_id, track_no, from_clip, to_clip, (t_ms - cut + 400) * 1000 // 800 AS m FROM tc JOIN p USING (project_id) WHERE t_ms >= cut - 400 AND t_ms < cut + 400), ly AS (SELECT point_id, track_no, clip_id, 'plain' AS role, 0 AS mix_milli FROM p JOIN v_tight c ON p.project_id = c.project_id AND start_ms <= t_ms AND t_ms < start_ms + dur_ms WHERE (point_id, track_no) NOT IN (SELECT (point_id, track_no) FROM x) UNION ALL SELECT point_id, track_no, from_clip, 'out', m FROM x UNION ALL SELECT point_id, track_no, to_clip, 'in', m FROM x)"
+LAYERS = f"{POINTS}, {CUTS_AT}, x AS MATERIALIZED (SELECT point_id, track_no, from_clip, to_clip, (t_ms - cut + 400) * 1000 // 800 AS m FROM tc JOIN p USING (project_id) WHERE t_ms >= cut - 400 AND t_ms < cut + 400), ly AS (SELECT point_id, track_no, clip_id, 'plain' AS role, 0 AS mix_milli FROM p JOIN v_tight c ON p.project_id = c.project_id AND start_ms <= t_ms AND t_ms < start_ms + dur_ms WHERE NOT EXISTS (SELECT 1 FROM x q WHERE q.point_id = p.point_id AND q.track_no = c.track_no) UNION ALL SELECT point_id, track_no, from_clip, 'out', m FROM x UNION ALL SELECT point_id, track_no, to_clip, 'in', m FROM x)"
 
 
 def _timing(s, d):
@@ -55,6 +55,10 @@ def _cuts(s, d):
 CUTS = "x AS (SELECT project_id, clip_id, CAST(floor(in_ms * 25 / 1000 + 0.5) AS BIGINT) AS src, CAST(floor(start_ms * 25 / 1000 + 0.5) AS BIGINT) AS rec, CAST(floor((start_ms + dur_ms) * 25 / 1000 + 0.5) AS BIGINT) AS e FROM v_timeline QUALIFY track_no = min(track_no) OVER (PARTITION BY project_id)), cl AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rec, clip_id) AS INTEGER) AS event, clip_id, src AS source_in, src + e - rec AS source_out, rec + 90000 AS record_in, e + 90000 AS record_out FROM x WHERE e > rec)"
 TRACKS = "SELECT DISTINCT project_id, track_no FROM v_clips"
 
+def _locked_inserts(t):
+    return t.select("project_id").distinct().selectExpr("project_id", "CAST(1 AS BIGINT) AS track_no", "-project_id AS clip_id", "CAST(project_id % 5 * 7000 + 500 AS BIGINT) AS start_ms", "CAST(6000 AS BIGINT) AS dur_ms")
+
+
 def _mixed(s, d):
     """Sums of the channels of each block of the mix of tight tracks, 8 frames a second."""
     t = view(s, d, "v_tight")
@@ -141,7 +145,12 @@ PLANS = {
     "k8_reframe_keyframes": (lambda s, d: _reframed(s, d)["keyframes"], [], None),
     "k8_reframe_counts": (lambda s, d: _reframed(s, d)["path"].groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("face").alias("n_face"), F.count_distinct("segment").alias("n_segments")), ["v_rgb", "v_detections"],
         "WITH f AS (SELECT DISTINCT frame_id FROM v_rgb), h AS (SELECT frame_id, floor(greatest(0, least(0.9999, r)) * 8) * 64 + floor(greatest(0, least(0.9999, g)) * 8) * 8 + floor(greatest(0, least(0.9999, b)) * 8) AS bin, count(*) AS n FROM v_rgb GROUP BY 1, 2), q AS (SELECT frame_id, frame_id // 25 AS clip_id, lag(frame_id) OVER (PARTITION BY frame_id // 25 ORDER BY frame_id) AS p, max(frame_id) OVER (PARTITION BY frame_id // 25) AS last FROM f), u AS (SELECT q.frame_id, bin, n AS a, 0 AS b FROM q JOIN h USING (frame_id) WHERE p IS NOT NULL UNION ALL SELECT q.frame_id, bin, 0, n FROM q JOIN h ON h.frame_id = q.p), w AS (SELECT frame_id, bin, sum(a) AS a, sum(b) AS b FROM u GROUP BY 1, 2), x AS (SELECT frame_id, round(sum(power(a - b, 2) / (a + b)) / sum(a), 6) > 0.5 AS cut FROM w GROUP BY 1), g AS (SELECT DISTINCT frame_id FROM v_detections WHERE conf_milli >= 300) SELECT clip_id, count(*) AS n_frames, count(g.frame_id) AS n_face, 1 + count(*) FILTER (WHERE cut AND q.frame_id < last) AS n_segments FROM q LEFT JOIN x USING (frame_id) LEFT JOIN g USING (frame_id) GROUP BY clip_id"),
-    "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 3)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"], "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(4))) SELECT l.project_id, layer, coalesce(a, b) AS clip_id, a IS NOT NULL AS by_source FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id LEFT JOIN (SELECT project_id, track_no, min(clip_id) AS b FROM v_timeline GROUP BY 1, 2) t ON t.project_id = l.project_id AND t.track_no = l.layer"),
+    "g4_overwritten_locked": (lambda s, d: (lambda t: op.overwritten(t, _locked_inserts(t), iv.lift(t, _locked_inserts(t).selectExpr("project_id", "start_ms AS cut_start", "start_ms + dur_ms AS cut_end"), F.expr("track_no = 1")), _locks(t)))(_tl(s, d)), ["v_timeline"],
+        "WITH i AS (SELECT DISTINCT project_id, CAST(project_id % 5 * 7000 + 500 AS BIGINT) AS a, CAST(project_id % 5 * 7000 + 6500 AS BIGINT) AS b FROM v_timeline), c AS (SELECT t.*, start_ms + dur_ms AS e, a, b, t.project_id % 9 = 4 AND t.project_id % 4 = 1 AS lk FROM v_timeline t JOIN i USING (project_id)) SELECT project_id, track_no, clip_id, start_ms, dur_ms FROM c WHERE lk OR track_no <> 1 OR start_ms >= b OR e <= a UNION ALL SELECT project_id, track_no, clip_id, start_ms, a - start_ms FROM c WHERE NOT lk AND track_no = 1 AND start_ms < a AND e > a UNION ALL SELECT project_id, track_no, clip_id, b, e - b FROM c WHERE NOT lk AND track_no = 1 AND start_ms < b AND e > b UNION ALL SELECT project_id, 1, -project_id, a, 6000 FROM i WHERE NOT (project_id % 9 = 4 AND project_id % 4 = 1)"),
+    "g10_slipped_in_sources": (lambda s, d: (lambda t: op.slipped(t, 2500, sources=t.select("source_id").distinct().selectExpr("source_id", "40000 + source_id % 30 * 1000 AS length_ms"), locks=_locks(t)))(_tl(s, d)), ["v_timeline"],
+        "SELECT * FROM (SELECT clip_id, in_ms, greatest(0, least(in_ms + 2500, 40000 + source_id % 30 * 1000 - dur_ms)) AS new_in FROM v_timeline WHERE NOT (project_id % 9 = 4 AND track_no = project_id % 4)) WHERE in_ms <> new_in"),
+    "c18_layer_matches": (lambda s, d: op.layer_matches(_tl(s, d).select("project_id").distinct().selectExpr("project_id", "explode(sequence(0, 7)) AS layer").selectExpr("project_id", "layer", "CAST(project_id * 3 + layer AS BIGINT) AS source_id", "CAST(layer % 4 AS BIGINT) AS track_no"), _tl(s, d)), ["v_timeline"],
+        "WITH l AS (SELECT project_id, layer, project_id * 3 + layer AS source_id, layer % 4 AS track_no FROM (SELECT DISTINCT project_id FROM v_timeline), (SELECT CAST(range AS INTEGER) AS layer FROM range(8))), m AS (SELECT l.*, a FROM l LEFT JOIN (SELECT project_id, source_id, min(clip_id) AS a FROM v_timeline GROUP BY 1, 2) s ON s.project_id = l.project_id AND s.source_id = l.source_id), u AS (SELECT project_id, layer, track_no, row_number() OVER (PARTITION BY project_id, track_no ORDER BY layer) AS k FROM m WHERE a IS NULL), c AS (SELECT project_id, track_no, clip_id, row_number() OVER (PARTITION BY project_id, track_no ORDER BY clip_id) AS k FROM v_timeline) SELECT m.project_id, m.layer, coalesce(a, c.clip_id) AS clip_id, a IS NOT NULL AS by_source FROM m LEFT JOIN u ON u.project_id = m.project_id AND u.layer = m.layer LEFT JOIN c ON c.project_id = u.project_id AND c.track_no = u.track_no AND c.k = u.k WHERE coalesce(a, c.clip_id) IS NOT NULL"),
     "e24_one_euro": (lambda s, d: op.one_euro(view(s, d, "v_pcm").selectExpr("source_id AS key", "CAST(i AS BIGINT) AS t", "x_milli AS value")), ["v_pcm"], None),
     "b16_normalised_effects": (lambda s, d: op.normalised_effects(view(s, d, "v_clips").selectExpr("clip_id", "CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 END AS brightness", "CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 END AS contrast", "in_ms % 300 AS saturation", "CAST(NULL AS BIGINT) AS opacity")), ["v_clips"], "SELECT clip_id, greatest(-100, least(100, CASE WHEN in_ms % 3 = 0 THEN in_ms % 500 - 250 ELSE 0 END)) AS brightness, least(200, CASE WHEN in_ms % 2 = 0 THEN in_ms % 700 ELSE 100 END) AS contrast, least(200, in_ms % 300) AS saturation, 100 AS opacity FROM v_clips"),
     "c22_crossfade_gains": (lambda s, d: op.crossfade_gains(_points(s, d), _tight(s, d), 800), ["v_points", "v_tight"],

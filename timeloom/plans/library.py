@@ -135,7 +135,7 @@ PLANS = {
     "b5_health_status": (lambda s, d: op.health_status(_src(s, d), _warnings(s, d)), ["v_sources", "v_tracks"], f"WITH {WARN} {STATUS.format('')}"),
     "b6_visible_health": (lambda s, d: op.visible_health(_src(s, d), _warnings(s, d), ("rotation-metadata", "mixed-audio-sample-rates")), ["v_sources", "v_tracks"], f"WITH {WARN} " + STATUS.format("WHERE code NOT IN ('rotation-metadata', 'mixed-audio-sample-rates')")),
     "b7_proxy_reasons": (lambda s, d: op.proxy_reasons(_proxies(s, d)), ["v_sources", "v_tracks"], "SELECT source_id, r AS reasons FROM (SELECT source_id, concat_ws(',', CASE WHEN width >= 2560 OR width * 9 // 16 >= 1440 THEN 'large-resolution' END, CASE WHEN byte_size * 8000000.0 / duration_ms >= 35000000 THEN 'high-bitrate' END, CASE WHEN rate_mode = 'variable' THEN 'variable-frame-rate' END, CASE WHEN regexp_matches(lower(codec), 'vp9|vp09|av1|av01|hev1|hvc1') THEN 'heavy-codec' END, CASE WHEN byte_size % 8 = 0 AND 20 < CASE WHEN fps_code > 0 THEN fps_code * 30 ELSE 30 END * 0.75 THEN 'slow-throughput' END) AS r FROM v_sources JOIN v_tracks USING (source_id) WHERE kind = 'video' AND can_decode) WHERE r <> ''"),
-    "f2_proxy_order": (lambda s, d: op.proxy_order(_src(s, d)), ["v_sources"], "SELECT project_id, source_id, p AS priority, CAST(row_number() OVER (PARTITION BY project_id ORDER BY p, source_id) AS INTEGER) AS place FROM (SELECT *, CASE WHEN width >= 2560 THEN 0 WHEN fps_code = 0 THEN 1 ELSE 2 END AS p FROM v_sources)"),
+    "f2_proxy_order": (lambda s, d: (lambda q: op.proxy_order(q, q.filter("source_id % 11 = 0"), q.filter("width >= 2560"), q.filter("source_id % 5 < 2")))(_src(s, d)), ["v_sources"], "SELECT project_id, source_id, ['active-range', 'visible-filmstrip', 'selected-source', 'background-bin'][p + 1] AS priority, CAST(row_number() OVER (PARTITION BY project_id ORDER BY p, source_id) AS INTEGER) AS place FROM (SELECT *, CASE WHEN source_id % 11 = 0 THEN 0 WHEN width >= 2560 THEN 1 WHEN source_id % 5 < 2 THEN 2 ELSE 3 END AS p FROM v_sources)"),
     "d6_sequence_rates": (lambda s, d: op.sequence_rates(_src(s, d).withColumn("fps", F.expr("CASE WHEN width % 300 = 0 THEN 24 * nullif(fps_code, 0) END"))), ["v_sources"], "SELECT project_id, coalesce(fps, 30) AS fps FROM (SELECT project_id, CASE WHEN width % 300 = 0 THEN 24 * nullif(fps_code, 0) END AS fps, count(*) AS n FROM v_sources GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN fps IS NULL THEN 0 ELSE n END DESC, fps DESC NULLS LAST) = 1"),
     "c16_relink": (lambda s, d: op.relink(view(s, d, "v_descriptors"), view(s, d, "v_candidates")), ["v_descriptors", "v_candidates"], "WITH x AS (SELECT s.source_id, c.cand_id, c.byte_size <> s.byte_size AS r1, abs(c.duration_ms - s.duration_ms) > 250 AS r2, abs(c.start_ms - s.start_ms) > 50 AS r3, c.rotation <> s.rotation AS r4, c.sample_rate <> s.sample_rate AS r5, c.channels <> s.channels AS r6, min(abs(c.byte_size - s.byte_size)) OVER (PARTITION BY source_id) AS best, row_number() OVER (PARTITION BY source_id ORDER BY abs(c.byte_size - s.byte_size), c.byte_size) AS k FROM v_descriptors s JOIN v_candidates c USING (file_name)) SELECT source_id, cand_id, concat_ws(',', CASE WHEN r1 THEN 'size' END, CASE WHEN r2 THEN 'duration' END, CASE WHEN r3 THEN 'track timing' END, CASE WHEN r4 THEN 'rotation' END, CASE WHEN r5 THEN 'audio sample rate' END, CASE WHEN r6 THEN 'audio channel count' END) AS reasons FROM x WHERE NOT r1 OR (best > 0 AND k = 1)"),
     "c17_bundle_integrity": (_bundle, ["v_cache"], "SELECT entry_id, CASE WHEN entry_id % 13 = 0 THEN 'missing' WHEN entry_id % 7 = 0 THEN 'size' WHEN entry_id % 5 = 0 THEN 'digest' WHEN entry_id % 4 = 3 THEN 'descriptor' ELSE 'ok' END AS result FROM v_cache"),
@@ -144,7 +144,7 @@ PLANS = {
     "a14_fingerprints": (lambda s, d: view(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint")), [], "SELECT doc_id, sha256(text) AS fingerprint FROM documents"),
     "d3_cache_usage": (lambda s, d: op.cache_usage(view(s, d, "v_cache"), 7_000_000, view(s, d, "v_cache").groupBy("store_id").agg((9_000_000 - F.sum("bytes")).alias("free_bytes"))), ["v_cache"], "WITH u AS (SELECT store_id, category_rank, CAST(sum(greatest(0, bytes)) AS BIGINT) AS bytes, count(*) AS n FROM v_cache WHERE status_rank <> 4 GROUP BY ALL), q AS (SELECT store_id, CAST(9000000 - sum(bytes) AS BIGINT) AS free_bytes FROM v_cache GROUP BY 1) SELECT store_id, category_rank, bytes, n, total, CASE WHEN total >= 7000000 THEN 'full' WHEN total * 10 >= 56000000 THEN 'near' ELSE 'ok' END AS level, free_bytes FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY store_id) AS BIGINT) AS total FROM u) JOIN q USING (store_id)"),
     "d3_usage_rollup": (lambda s, d: op.usage_rollup(view(s, d, "v_cache")), ["v_cache"], "SELECT coalesce(store_id, 'all') AS store_id, coalesce(category_rank, -1) AS category_rank, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n FROM v_cache WHERE status_rank <> 4 GROUP BY ROLLUP (store_id, category_rank)"),
-    "f1_eviction_plan": (lambda s, d: op.eviction_plan(view(s, d, "v_cache"), 4_000_000, view(s, d, "v_cache").groupBy("store_id").agg((F.sum("bytes") % 2_000_000).alias("free_bytes"), F.lit(1_500_000).alias("least_free"))), ["v_cache"], "SELECT store_id, entry_id, CAST(place AS INTEGER) AS place, bytes FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY store_id ORDER BY status_rank DESC, category_rank, last_used, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g, row_number() OVER (PARTITION BY store_id ORDER BY status_rank DESC, category_rank, last_used, entry_id) AS place FROM (SELECT *, sum(bytes) OVER (PARTITION BY store_id) AS a FROM v_cache) WHERE status_rank <> 0) WHERE a - g > greatest(0, 4000000 - greatest(0, 1500000 - a % 2000000))"),
+    "f1_eviction_plan": (lambda s, d: op.eviction_plan(view(s, d, "v_cache"), 4_000_000, view(s, d, "v_cache").groupBy("store_id").agg((F.sum("bytes") % 2_000_000).alias("free_bytes"), F.lit(1_500_000).alias("least_free"))), ["v_cache"], "SELECT store_id, entry_id, CAST(place AS INTEGER) AS place, bytes FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY store_id ORDER BY status_rank DESC, category_rank, last_used, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g, row_number() OVER (PARTITION BY store_id ORDER BY status_rank DESC, category_rank, last_used, entry_id) AS place FROM (SELECT *, sum(bytes) OVER (PARTITION BY store_id) AS a, f FROM v_cache JOIN (SELECT store_id, sum(bytes) % 2000000 AS f FROM v_cache GROUP BY 1) USING (store_id) WHERE status_rank <> 4) WHERE status_rank <> 0) WHERE a - g > greatest(0, CASE WHEN f < 1500000 THEN least(4000000, greatest(0, a - 1500000 + f)) ELSE 4000000 END)"),
     "f12_least_recent": (lambda s, d: op.least_recent(view(s, d, "v_cache"), 3_000_000), ["v_cache"], "SELECT store_id, entry_id FROM (SELECT *, sum(bytes) OVER (PARTITION BY store_id ORDER BY last_used DESC, entry_id ROWS UNBOUNDED PRECEDING) AS r FROM v_cache) WHERE r > 3000000"),
     "d19_job_summary": (lambda s, d: op.job_summary(view(s, d, "v_jobs")), ["v_jobs"], "SELECT project_id, count(*) FILTER (WHERE status = 'pending') AS n_pending, count(*) FILTER (WHERE status = 'completed') AS n_completed, count(*) FILTER (WHERE status IN ('failed', 'running', 'finalizing', 'choosing-destination')) AS n_failed, count(*) FILTER (WHERE status = 'canceled') AS n_canceled, count(*) AS n FROM v_jobs GROUP BY 1"),
     "f4_history_evictions": (lambda s, d: op.history_evictions(view(s, d, "v_jobs")), ["v_jobs"], "SELECT project_id, job_id, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY r, enqueued_day, job_id) AS p FROM (SELECT *, count(*) OVER (PARTITION BY project_id) AS n, CASE status WHEN 'completed' THEN 0 WHEN 'failed' THEN 1 WHEN 'canceled' THEN 2 END AS r FROM v_jobs) WHERE r IS NOT NULL) WHERE p <= n - 50"),
@@ -163,11 +163,11 @@ PLANS = {
     "f8_ordered_captions": (lambda s, d: _seg(s, d).select("track_id", "seg_id", F.expr("row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_id)").alias("place")), ["v_segments"], "SELECT track_id, seg_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_id) AS INTEGER) AS place FROM v_segments"),
     "d17_dominant_language": (lambda s, d: cap.dominant_language(view(s, d, "documents").selectExpr("source", "CASE lang WHEN 'fr' THEN 'zh-Hans' WHEN 'de' THEN 'zh' WHEN 'en' THEN CASE WHEN n_chars % 3 = 0 THEN 'en-GB' ELSE 'und' END ELSE lang END AS detected", "n_chars % 100 AS confidence"), "source"), [], "SELECT source, CASE WHEN sum(CASE WHEN lang IN ('fr', 'de') THEN n_chars % 100 ELSE 0 END) >= sum(CASE WHEN lang = 'en' AND n_chars % 3 = 0 THEN n_chars % 100 ELSE 0 END) THEN 'zh' ELSE 'en' END AS lang FROM documents GROUP BY 1"),
     "e10_chapters": (lambda s, d: cap.chapters(_markers(s, d), 240_000_000), ["v_points"],
-        "WITH q AS (SELECT project_id, point_id, t_ms, CASE WHEN point_id % 3 = 0 THEN '  ' ELSE ' part ' || point_id END AS label FROM v_points), r AS (SELECT * FROM q WHERE trim(label) <> '' AND t_ms < 240000000), a AS (SELECT * FROM r UNION ALL SELECT DISTINCT project_id, -1, 0, 'Intro' FROM q WHERE project_id NOT IN (SELECT project_id FROM r WHERE t_ms = 0)), g AS (SELECT *, lead(t_ms) OVER (PARTITION BY project_id ORDER BY t_ms, point_id) - t_ms AS gap, CASE WHEN t_ms >= 3600000 THEN printf('%d:%02d:%02d', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60) ELSE printf('%d:%02d', t_ms // 60000, t_ms // 1000 % 60) END || ' ' || trim(label) AS l FROM a) SELECT project_id, count(*) AS n, CASE WHEN count(*) < 3 THEN 'too-few' WHEN min(gap) < 10000 THEN 'too-close' WHEN max(t_ms) > 239990000 THEN 'too-late' ELSE 'ok' END AS reason, string_agg(l, chr(10) ORDER BY t_ms, point_id) AS text FROM g GROUP BY 1"),
+        "WITH q AS (SELECT project_id, point_id, t_ms, CASE WHEN point_id % 3 = 0 THEN '  ' ELSE ' part ' || point_id END AS label FROM v_points), r AS (SELECT * FROM q WHERE trim(label) <> '' AND t_ms < 240000000), a AS (SELECT * FROM r UNION ALL SELECT DISTINCT project_id, -1, 0, 'Intro' FROM q WHERE project_id NOT IN (SELECT project_id FROM r WHERE t_ms = 0)), g AS (SELECT *, lead(t_ms) OVER (PARTITION BY project_id ORDER BY t_ms, point_id) - t_ms AS gap, printf('%02d:%02d:%02d', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60) || ' ' || trim(label) AS l FROM a) SELECT project_id, count(*) AS n, CASE WHEN count(*) < 3 THEN 'too-few' WHEN min(gap) < 10000 THEN 'too-close' WHEN max(t_ms) > 239990000 THEN 'too-late' ELSE 'ok' END AS reason, string_agg(l, chr(10) ORDER BY t_ms, point_id) AS text FROM g GROUP BY 1"),
     "b19_hallucinations": (lambda s, d: cap.without_hallucinations(_seg(s, d), ("^click", "2!$")), ["v_segments"], "SELECT * FROM v_segments WHERE trim(text) <> '' AND NOT regexp_matches(lower(text), '^click') AND NOT regexp_matches(lower(text), '2!$')"),
     "b18_trusted_range": (lambda s, d: cap.in_trusted_range(_seg(s, d), _seg(s, d).groupBy("track_id").agg(F.expr("min(start_ms) + 10000").alias("from_ms"), F.expr("min(start_ms) + 400000").alias("to_ms"))), ["v_segments"], "SELECT v.track_id, seg_id, start_ms FROM v_segments v JOIN (SELECT track_id, min(start_ms) AS a FROM v_segments GROUP BY 1) USING (track_id) WHERE start_ms >= a + 10000 AND start_ms < a + 400000"),
     "h1_timecodes": (lambda s, d: view(s, d, "v_clips").select("clip_id", fn.timecode(F.expr("start_ms div 40"), 25).alias("timecode"), fn.srt_time(F.col("in_ms")).alias("srt"), fn.parsed_srt_time(fn.srt_time(F.col("in_ms"))).alias("parsed"), fn.chapter_time(F.col("dur_ms") * 100).alias("chapter")), ["v_clips"],
-        f"SELECT clip_id, printf('%02d:%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 40 % 25) AS timecode, {SRT_T.format('in_ms')} AS srt, in_ms AS parsed, CASE WHEN dur_ms * 100 >= 3600000 THEN printf('%d:%02d:%02d', dur_ms * 100 // 3600000, dur_ms * 100 // 60000 % 60, dur_ms * 100 // 1000 % 60) ELSE printf('%d:%02d', dur_ms * 100 // 60000, dur_ms * 100 // 1000 % 60) END AS chapter FROM v_clips"),
+        f"SELECT clip_id, printf('%02d:%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 40 % 25) AS timecode, {SRT_T.format('in_ms')} AS srt, in_ms AS parsed, printf('%02d:%02d:%02d', dur_ms * 100 // 3600000, dur_ms * 100 // 60000 % 60, dur_ms * 100 // 1000 % 60) AS chapter FROM v_clips"),
     "h2_snapped_frames": (lambda s, d: view(s, d, "v_clips").select("clip_id", fn.snapped_frames(F.col("in_ms"), 24).alias("frame")), ["v_clips"], "SELECT clip_id, CAST(floor(in_ms * 24 / 1000 + 0.5) AS BIGINT) AS frame FROM v_clips"),
     "h3_redacted": (lambda s, d: view(s, d, "pages").select("page_id", fn.redacted(F.expr(DIRTY.format("url", "sha2(url, 256)").replace("\\", "\\\\").replace("''", "\\'"))).alias("text")), [], f"SELECT page_id, {REDACT} AS text FROM (SELECT page_id, {DIRTY.format('url', 'sha256(url)')} AS t FROM pages)"),
     "h5_normalised_text": (lambda s, d: view(s, d, "conversations").select("conv_id", "turn", fn.normalised_text(F.col("text")).alias("text")), [], f"SELECT conv_id, turn, {NORM} AS text FROM conversations"),

@@ -25,6 +25,15 @@ MERGED = "rg0 AS (SELECT *, max(cut_end) OVER (PARTITION BY project_id ORDER BY
 PIECES = MERGED + ", ed AS (SELECT c.project_id, c.track_no, c.clip_id, unnest([greatest(a, start_ms), least(b, start_ms + dur_ms)]) AS s FROM v_timeline c JOIN mr ON mr.project_id = c.project_id AND start_ms < b AND a < start_ms + dur_ms WHERE {0} UNION SELECT project_id, track_no, clip_id, start_ms FROM v_timeline UNION SELECT project_id, track_no, clip_id, start_ms + dur_ms FROM v_timeline), pc AS (SELECT * FROM (SELECT *, row_number() OVER w - 1 AS piece_no, lead(s) OVER w AS n FROM ed WINDOW w AS (PARTITION BY clip_id ORDER BY s)) WHERE n IS NOT NULL), pp AS (SELECT pc.project_id, pc.track_no, pc.clip_id, CAST(piece_no AS INTEGER) AS piece_no, s, n - s AS d, in_ms + s - start_ms AS i, ({0}) AND EXISTS (SELECT 1 FROM mr WHERE mr.project_id = pc.project_id AND a <= s AND n <= b) AS inside FROM pc JOIN v_timeline c USING (clip_id, project_id, track_no))"
 
 
+#: A ripple delete; what is deleted beyond the chosen clips, and what else refuses, are filled in.
+RIPPLE = "WITH x0 AS (SELECT *, track_no < 2 AND in_ms < 90 AS own_gone, track_no = 3 AND project_id % 4 = 1 AS sync FROM v_timeline), {groups}x AS MATERIALIZED (SELECT *, {gone} AS gone FROM x0), y AS (SELECT *, CAST(coalesce(sum(CASE WHEN gone THEN dur_ms ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM x), pt AS MATERIALIZED (SELECT project_id, track_no, CAST(sum(dur_ms) AS BIGINT) AS total, min(start_ms) AS f FROM x WHERE gone GROUP BY 1, 2), bt AS MATERIALIZED (SELECT project_id, total AS bt, f AS bf FROM pt QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY total DESC, track_no) = 1), z AS (SELECT y.*, pt.f IS NOT NULL AS own, sync AND pt.f IS NULL AND bf IS NOT NULL AS fol, bt, bf FROM y LEFT JOIN pt USING (project_id, track_no) LEFT JOIN bt USING (project_id)), v AS MATERIALIZED (SELECT *, CASE WHEN own THEN start_ms - g WHEN fol AND start_ms >= bf THEN greatest(0, start_ms - bt) ELSE start_ms END AS t FROM z), h AS (SELECT *, lag(t + dur_ms) OVER (PARTITION BY project_id, track_no ORDER BY t, clip_id) AS e FROM v WHERE NOT gone), no AS MATERIALIZED (SELECT DISTINCT project_id, true AS no FROM h WHERE t < e OR (fol AND start_ms < bf AND bf < start_ms + dur_ms){refuse}) SELECT v.project_id, track_no, clip_id, CASE WHEN no THEN start_ms ELSE t END AS start_ms, dur_ms, in_ms, no IS NULL AS accepted FROM v LEFT JOIN no ON no.project_id = v.project_id WHERE NOT gone OR no"
+
+
+def _locks(t):
+    """One locked track of some projects."""
+    return t.select("project_id").distinct().filter("project_id % 9 = 4").selectExpr("project_id", "CAST(project_id % 4 AS BIGINT) AS track_no")
+
+
 def _inserts(t):
     at = t.filter("track_no = 0").groupBy("project_id").agg(F.max("start_ms").alias("at_ms"))
     return at.selectExpr("project_id", "CAST(0 AS BIGINT) AS track_no", "-project_id AS clip_id", "at_ms", "CAST(4000 AS BIGINT) AS dur_ms")
@@ -78,7 +87,15 @@ PLANS = {
     "g5_insert_edit": (lambda s, d: (lambda t: op.insert_edit(t, _inserts(t), F.expr("track_no = 2 AND project_id % 3 = 0")))(view(s, d, "v_timeline")), ["v_timeline"],
         "WITH i AS (SELECT project_id, max(start_ms) AS p_at FROM v_timeline WHERE track_no = 0 GROUP BY 1), m AS (SELECT c.*, p_at, track_no = 0 OR (track_no = 2 AND project_id % 3 = 0) AS mv FROM v_timeline c LEFT JOIN i USING (project_id)), no AS (SELECT DISTINCT project_id FROM m WHERE mv AND start_ms < p_at AND p_at < start_ms + dur_ms) SELECT project_id, track_no, clip_id, CASE WHEN mv AND start_ms >= p_at AND project_id NOT IN (FROM no) THEN start_ms + 4000 ELSE start_ms END AS start_ms, dur_ms, project_id NOT IN (FROM no) AS accepted FROM m UNION ALL SELECT project_id, 0, -project_id, p_at, 4000, true FROM i WHERE project_id NOT IN (FROM no)"),
     "g6_ripple_delete": (lambda s, d: op.ripple_delete(view(s, d, "v_timeline"), F.expr("track_no < 2 AND in_ms < 90"), F.expr("track_no = 3 AND project_id % 4 = 1")), ["v_timeline"],
-        "WITH x AS (SELECT *, track_no < 2 AND in_ms < 90 AS gone, track_no = 3 AND project_id % 4 = 1 AS sync FROM v_timeline), y AS (SELECT *, CAST(coalesce(sum(CASE WHEN gone THEN dur_ms ELSE 0 END) OVER (PARTITION BY project_id, track_no ORDER BY start_ms, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM x), pt AS (SELECT project_id, track_no, CAST(sum(dur_ms) AS BIGINT) AS total, min(start_ms) AS f FROM x WHERE gone GROUP BY 1, 2), bt AS (SELECT project_id, total AS bt, f AS bf FROM pt QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY total DESC, track_no) = 1), z AS (SELECT y.*, pt.f IS NOT NULL AS own, sync AND pt.f IS NULL AND bf IS NOT NULL AS fol, bt, bf FROM y LEFT JOIN pt USING (project_id, track_no) LEFT JOIN bt USING (project_id)), v AS (SELECT *, CASE WHEN own THEN start_ms - g WHEN fol AND start_ms >= bf THEN greatest(0, start_ms - bt) ELSE start_ms END AS t FROM z), h AS (SELECT *, lag(t + dur_ms) OVER (PARTITION BY project_id, track_no ORDER BY t, clip_id) AS e FROM v WHERE NOT gone), no AS (SELECT DISTINCT project_id FROM h WHERE t < e OR (fol AND start_ms < bf AND bf < start_ms + dur_ms)) SELECT project_id, track_no, clip_id, CASE WHEN project_id IN (FROM no) THEN start_ms ELSE t END AS start_ms, dur_ms, in_ms, project_id NOT IN (FROM no) AS accepted FROM v WHERE NOT gone OR project_id IN (FROM no)"),
+        RIPPLE.format(groups="", gone="own_gone", refuse="")),
+    "g6_ripple_linked": (lambda s, d: (lambda t: op.ripple_delete(t, F.expr("track_no < 2 AND in_ms < 90"), F.expr("track_no = 3 AND project_id % 4 = 1"), _locks(t), F.expr("CASE WHEN clip_id % 5 = 0 THEN clip_id % 300 END")))(view(s, d, "v_timeline")), ["v_timeline"],
+        RIPPLE.format(groups="gs AS (SELECT DISTINCT project_id, clip_id % 300 AS grp, true AS met FROM x0 WHERE own_gone AND clip_id % 5 = 0), ", gone="own_gone OR coalesce((SELECT met FROM gs WHERE gs.project_id = x0.project_id AND x0.clip_id % 5 = 0 AND gs.grp = x0.clip_id % 300), false)", refuse=" UNION SELECT DISTINCT project_id, true FROM x WHERE project_id % 9 = 4 AND track_no = project_id % 4 AND (gone OR sync)")),
+    "g2_lift_locked": (lambda s, d: (lambda t: op.lift(t, view(s, d, "v_regions"), F.col("track_no") != 3, _locks(t)))(view(s, d, "v_timeline")), ["v_timeline", "v_regions"],
+        f"WITH {PIECES.format('c.track_no <> 3')}, no AS MATERIALIZED (SELECT DISTINCT project_id FROM v_timeline WHERE project_id % 9 = 4 AND track_no = project_id % 4 AND track_no <> 3) SELECT project_id, track_no, clip_id, s AS start_ms, d AS dur_ms, i AS in_ms FROM pp WHERE NOT inside AND project_id NOT IN (FROM no) UNION ALL SELECT project_id, track_no, clip_id, start_ms, dur_ms, in_ms FROM v_timeline WHERE project_id IN (FROM no)"),
+    "g3_extract_locked": (lambda s, d: (lambda t: op.extract(t, view(s, d, "v_regions"), F.col("track_no") < 2, None, _locks(t)).groupBy("project_id", "accepted").agg(F.count(F.lit(1)).alias("n"), F.sum("start_ms").alias("starts")))(view(s, d, "v_timeline")), ["v_timeline", "v_regions"],
+        f"WITH {PIECES.format('c.track_no < 2')}, no AS MATERIALIZED (SELECT DISTINCT project_id FROM v_timeline WHERE project_id % 9 = 4 AND track_no = project_id % 4 AND track_no < 2), y AS (SELECT pp.project_id, CAST(s - CASE WHEN track_no < 2 THEN coalesce((SELECT sum(b - a) FROM mr WHERE mr.project_id = pp.project_id AND b <= s), 0) ELSE 0 END AS BIGINT) AS t, true AS ok FROM pp WHERE NOT inside AND project_id NOT IN (FROM no) UNION ALL SELECT project_id, start_ms, false FROM v_timeline WHERE project_id IN (FROM no)) SELECT project_id, ok AS accepted, count(*) AS n, CAST(sum(t) AS BIGINT) AS starts FROM y GROUP BY 1, 2"),
+    "g5_insert_locked": (lambda s, d: (lambda t: op.insert_edit(t, _inserts(t), F.expr("track_no = 2 AND project_id % 3 = 0"), _locks(t)).groupBy("project_id", "accepted").agg(F.count(F.lit(1)).alias("n"), F.sum("start_ms").alias("starts")))(view(s, d, "v_timeline")), ["v_timeline"],
+        "WITH i AS (SELECT project_id, max(start_ms) AS p_at FROM v_timeline WHERE track_no = 0 GROUP BY 1), m AS MATERIALIZED (SELECT c.*, p_at, track_no = 0 OR (track_no = 2 AND project_id % 3 = 0 AND p_at IS NOT NULL) AS mv FROM v_timeline c LEFT JOIN i USING (project_id)), no AS MATERIALIZED (SELECT DISTINCT project_id, true AS no FROM m WHERE mv AND (start_ms < p_at AND p_at < start_ms + dur_ms OR project_id % 9 = 4 AND track_no = project_id % 4)), y AS (SELECT m.project_id, CASE WHEN mv AND start_ms >= p_at AND no IS NULL THEN start_ms + 4000 ELSE start_ms END AS t, no IS NULL AS ok FROM m LEFT JOIN no USING (project_id) UNION ALL SELECT i.project_id, p_at, true FROM i LEFT JOIN no USING (project_id) WHERE no IS NULL) SELECT project_id, ok AS accepted, count(*) AS n, CAST(sum(t) AS BIGINT) AS starts FROM y GROUP BY 1, 2"),
     "g7_shifted_markers": (lambda s, d: op.shifted_markers(view(s, d, "v_points").withColumn("t_ms", F.col("t_ms") * 11 % 700000), view(s, d, "v_regions")), ["v_points", "v_regions"],
         f"WITH {MERGED}, p AS (SELECT point_id, project_id, t_ms * 11 % 700000 AS t_ms FROM v_points) SELECT point_id, p.project_id, CAST(t_ms - coalesce(sum(b - a), 0) AS BIGINT) AS t_ms FROM p LEFT JOIN mr ON mr.project_id = p.project_id AND b <= t_ms WHERE NOT EXISTS (SELECT 1 FROM mr q WHERE q.project_id = p.project_id AND q.a <= t_ms AND t_ms < q.b) GROUP BY point_id, p.project_id, t_ms"),
     "g9_trim_room": (lambda s, d: op.trim_room(view(s, d, "v_timeline")).fillna(-1), ["v_timeline"],
