@@ -7,22 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.functions.variants import at, flag, items, number, parsed, text
 from timeloom.operators.helpers import asof_join, fold_per_key, interval_join, islands
 
 #: The kinds of capture sources, and the fields that each kind of record must have.
 SOURCE_KINDS = ("screen", "webcam", "mic", "system-audio")
-RECORD = "kind STRING, version DOUBLE, sessionId STRING, startedAtIso STRING, epochUs BIGINT, sources ARRAY<STRUCT<sourceId: STRING, kind: STRING>>, chunkTargetS DOUBLE, sourceId STRING, file STRING, byteOffset BIGINT, byteLength BIGINT, fromUs BIGINT, toUs BIGINT, keyFrame BOOLEAN, preEncodeDrops BIGINT, reason STRING, endedAtIso STRING, atUs BIGINT, source STRUCT<sourceId: STRING, kind: STRING, label: STRING>, mode STRING, sceneId STRING"
 REQUIRED = {
-    "header": ("sessionId", "startedAtIso", "sources", "chunkTargetS"),
-    "epoch": ("epochUs",),
-    "chunk": ("sourceId", "file", "byteOffset", "byteLength", "fromUs", "toUs", "keyFrame", "preEncodeDrops"),
-    "source-ended": ("sourceId", "reason"),
-    "finalize": ("endedAtIso", "reason"),
-    "pause": ("atUs",),
-    "resume": ("atUs",),
-    "source-added": ("atUs", "source.sourceId", "source.label"),
-    "source-region-applied": ("sourceId", "atUs"),
-    "scene-switch": ("sceneId", "atUs"),
+    "header": {"sessionId": text, "startedAtIso": text, "sources": items, "chunkTargetS": number},
+    "epoch": {"epochUs": number},
+    "chunk": {"sourceId": text, "file": text, "byteOffset": number, "byteLength": number, "fromUs": number, "toUs": number, "keyFrame": flag, "preEncodeDrops": number},
+    "source-ended": {"sourceId": text, "reason": text},
+    "finalize": {"endedAtIso": text, "reason": text},
+    "pause": {"atUs": number},
+    "resume": {"atUs": number},
+    "source-added": {"atUs": number, "source.sourceId": text, "source.label": text},
+    "source-region-applied": {"sourceId": text, "atUs": number},
+    "scene-switch": {"sceneId": text, "atUs": number},
 }
 
 
@@ -30,23 +30,25 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     """NDJSON lines (``session_id, line_no, line``) of known kinds with their required fields; torn, malformed and unknown ones are dropped.
 
     ``session_id, line_no, kind, t_us`` (the record's time, or null), ``bytes, source_id, to_us, key_frame, drops, detail``
-    (file, reason, mode or scene).
+    (file, reason, mode or scene). Numbers may have fractions, which are cut off; a header's epoch may be null, but not absent.
     """
-    rows = lines.select("session_id", "line_no", F.from_json("line", RECORD).alias("j"))
-    whole = None
-    for kind, names in REQUIRED.items():
-        ok = reduce(lambda x, y: x & y, [F.col(f"j.{n}").isNotNull() for n in names])
-        if kind == "header":
-            ok = ok & (F.col("j.version") == 1) & F.forall("j.sources", lambda x: x["sourceId"].isNotNull() & F.coalesce(x["kind"].isin(*SOURCE_KINDS), F.lit(False)))
-        if kind == "source-added":
-            ok = ok & F.col("j.source.kind").isin(*SOURCE_KINDS)
-        if kind == "source-region-applied":
-            ok = ok & F.col("j.mode").isin("crop", "element")
-        whole = F.when(F.col("j.kind") == kind, ok) if whole is None else whole.when(F.col("j.kind") == kind, ok)
-    rows = rows.filter(whole)
-    return rows.select(
-        "session_id", "line_no", "j.kind", F.coalesce("j.atUs", "j.fromUs", "j.epochUs").alias("t_us"), F.coalesce("j.byteLength", F.lit(0)).alias("bytes"), F.coalesce("j.sourceId", "j.source.sourceId").alias("source_id"),
-        F.col("j.toUs").alias("to_us"), F.col("j.keyFrame").alias("key_frame"), F.col("j.preEncodeDrops").alias("drops"), F.coalesce("j.file", "j.reason", "j.mode", "j.sceneId").alias("detail"),
+    rows = lines.select("session_id", "line_no", parsed("line").alias("j"))
+    of = lambda path: at(F.col("j"), path)
+    kind, whole = text(of("kind")), None
+    for name, columns in REQUIRED.items():
+        ok = reduce(lambda x, y: x & y, [read(of(path)).isNotNull() for path, read in columns.items()])
+        if name == "header":
+            known = lambda x: text(at(x, "sourceId")).isNotNull() & F.coalesce(text(at(x, "kind")).isin(*SOURCE_KINDS), F.lit(False))
+            ok = ok & (number(of("version")) == 1) & F.forall(items(of("sources")), known) & (F.is_variant_null(of("epochUs")) | number(of("epochUs")).isNotNull())
+        if name == "source-added":
+            ok = ok & text(of("source.kind")).isin(*SOURCE_KINDS)
+        if name == "source-region-applied":
+            ok = ok & text(of("mode")).isin("crop", "element")
+        whole = F.when(kind == name, ok) if whole is None else whole.when(kind == name, ok)
+    long = lambda path: number(of(path)).cast("long")
+    return rows.filter(whole).select(
+        "session_id", "line_no", kind.alias("kind"), F.coalesce(long("atUs"), long("fromUs"), long("epochUs")).alias("t_us"), F.coalesce(long("byteLength"), F.lit(0)).alias("bytes"), F.coalesce(text(of("sourceId")), text(of("source.sourceId"))).alias("source_id"),
+        long("toUs").alias("to_us"), flag(of("keyFrame")).alias("key_frame"), long("preEncodeDrops").alias("drops"), F.coalesce(*[text(of(p)) for p in ("file", "reason", "mode", "sceneId")]).alias("detail"),
     )
 
 
