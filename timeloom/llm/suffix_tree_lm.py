@@ -32,8 +32,8 @@ from timeloom.llm._shared import bit_map, cut, discard, groups, in_map, run_key,
 
 #: Runs that a task holds before it hands them on.
 HELD = 4_000_000
-#: Parts in which runs are looked up.
-PARTS = 4
+#: Parts in which runs are looked up, a power of two: a run belongs to that of its key's lowest bits.
+PARTS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,7 +206,7 @@ def model(docs: DataFrame, depth: int, strength: float, least_gain: float) -> tu
     return words, grams, n_all, n_words
 
 
-def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 20.0, head_words: int = 1 << 17, head_runs: int = 1 << 17) -> DataFrame:
+def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: float = 20.0, head_words: int = 1 << 19, head_runs: int = 1 << 19) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     import pyarrow as pa
 
@@ -216,7 +216,7 @@ def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: fl
     sent = [[t[c].to_numpy().copy() for c in ("key", "n", "v")] for t in (df.toArrow().sort_by("key") for df in (head, often))]
     shared = spark.sparkContext.broadcast((sent, bit_map(grams)))
     del sent
-    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, row long, n_tokens long, head_known long, head_base double, head_score double, tail array<long>").fields])
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, row long, n_tokens long, head_known long, head_base double, head_score double").fields, *StructType.fromDDL(", ".join(f"tail_{p} array<long>" for p in range(PARTS))).fields])
 
     def run(batches):
         from pyspark import TaskContext
@@ -246,22 +246,26 @@ def score(docs: DataFrame, depth: int = 2, strength: float = 1.0, least_gain: fl
                     tail.append(keys[own].view(np.int64))
                 tail_at, tail = np.concatenate(tail_at), np.concatenate(tail)
                 order = np.argsort(tail_at, kind="stable")
-                cuts = np.concatenate([np.searchsorted(tail_at[order], starts), [len(order)]])
+                tail_at, tail = tail_at[order], tail[order]
+                lists = []
+                for p in range(PARTS):
+                    own = tail & (PARTS - 1) == p
+                    cuts = np.concatenate([np.searchsorted(tail_at[own], starts), [own.sum()]])
+                    lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tail[own])))
                 part = batch.slice(at, len(texts))
-                made = [part.column(0), part.column(1), pa.array(row + np.arange(len(texts))), pa.array(last - starts + 1), pa.array(np.add.reduceat((place < len(word_keys)).astype(np.int64), starts)), pa.array(np.add.reduceat(base[place], starts)), pa.array(np.add.reduceat(value, starts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tail[order]))]
+                made = [part.column(0), part.column(1), pa.array(row + np.arange(len(texts))), pa.array(last - starts + 1), pa.array(np.add.reduceat((place < len(word_keys)).astype(np.int64), starts)), pa.array(np.add.reduceat(base[place], starts)), pa.array(np.add.reduceat(value, starts)), *lists]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, target)], schema=target)
 
     scored = cut(docs.select("doc_id", F.coalesce(_held(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, full), "lm-scores")
     rest = words.filter(F.col("n") < least_word).unionByName(grams.filter(F.col("n") < least_run).withColumn("n", F.lit(None).cast("long")))
     # by parts of the keys, each written before the next, so that the shuffles of one part at a time are on disk
-    own = lambda key, part: F.pmod(key, F.lit(PARTS)) == part
     sums = []
     for part in range(PARTS):
-        met = scored.select("row", F.explode(F.filter("tail", lambda k: own(k, part))).alias("key")).join(rest.filter(own(F.col("key"), part)), "key")
+        met = scored.select("row", F.explode(f"tail_{part}").alias("key")).join(rest.filter(F.col("key").bitwiseAND(F.lit(PARTS - 1)) == part), "key")
         sums.append(cut(met.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("tail_base"), F.sum("v").alias("tail_score")), "lm-found"))
     found = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("tail_known", "tail_base", "tail_score")])
-    made = scored.drop("tail").join(found, "row", "left")
+    made = scored.drop(*[f"tail_{p}" for p in range(PARTS)]).join(found, "row", "left")
     each = F.col("n_tokens") * F.lit(float(np.log10(n_all + n_words + 1)))
     base, total = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) - each, F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - each
     return made.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))
