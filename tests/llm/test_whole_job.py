@@ -151,7 +151,7 @@ def test_near_copies_of_any_length(spark):
     # every link holds 0.8 of both texts' words in common runs of five words
     texts = dict(rows)
     made, linked = simhash.near_copies(docs)
-    of = {r.th: texts[r.doc_id].split() for r in made.collect()}
+    of = {bytes(r.th): texts[r.doc_id].split() for r in made.collect()}
 
     def share(a, b):
         five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
@@ -160,9 +160,45 @@ def test_near_copies_of_any_length(spark):
         return (inside(a) + inside(b)) / (len(a) + len(b))
 
     found = linked.collect()
-    assert found and all(share(of[r.a], of[r.b]) >= 0.8 for r in found)
+    assert found and all(share(of[bytes(r.a)], of[bytes(r.b)]) >= 0.8 for r in found)
 
 
 def test_texts_without_words_are_copies(spark):
     docs = spark.createDataFrame([(1, ""), (2, " \n"), (3, None), (4, None), (None, "a"), (None, "a"), (5, "A"), (6, "b")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 5, 6]
+
+
+def test_near_copies_in_crowds_that_share_paragraphs(spark):
+    """Texts of five of twelve paragraphs, at most three of which any two share, and the same with three more words: all in crowds."""
+    from itertools import combinations
+
+    parts, chosen = [prose(40_000 + i, 40) for i in range(12)], []
+    for own in combinations(range(12), 5):
+        if all(len(set(own) & set(x)) <= 3 for x in chosen):
+            chosen.append(own)
+    rows = []
+    for k, own in enumerate(chosen):
+        t = " ".join(parts[i] for i in own)
+        rows += [(2 * k, t), (2 * k + 1, t + " three more words")]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(chosen) > 50
+    assert kept == {2 * k for k in range(len(chosen))}
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Random pairs with 0.8 to 0.9 of their words in common runs, as they are and doubled in length classes."""
+    rng = np.random.default_rng(8)
+    rows, shares = [], []
+    for k in range(300):
+        words = [f"w{int(x)}" for x in rng.integers(0, 50_000, int(rng.integers(60, 700)))]
+        other = list(words)
+        # an edit breaks up to nine words' runs
+        for at in rng.choice(np.arange(5, len(words) - 5), max(1, int(len(words) * rng.uniform(0.1, 0.2) / 9)), replace=False):
+            other[at] = f"x{k}-{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        shares.append(simhash.common_share(rows[-2][1], rows[-1][1], 5))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [k for k, s in enumerate(shares) if 0.8 <= s < 0.92]
+    assert len(near) > 100
+    assert sum(2 * k + 1 not in kept for k in near) >= 0.9 * len(near)
+    assert all(2 * k + 1 in kept for k, s in enumerate(shares) if s < 0.8)

@@ -104,6 +104,11 @@ def exclusive_prefix(df: DataFrame, group: list[str], order: str, value: str, ou
     return df.withColumn(out, F.col("_o0") + F.col("_o")).drop("_p1", "_o0", "_o")
 
 
+def text_key() -> Column:
+    """16 bytes that stand for a text; a null text has none."""
+    return F.coalesce(F.unhex(F.md5("text")), F.lit(b"").cast("binary"))
+
+
 def map_texts(docs: DataFrame, keep: list[str], make, schema: str) -> DataFrame:
     """``keep`` columns and those that ``make(texts)`` gives, computed in Arrow batches.
 

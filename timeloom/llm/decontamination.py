@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import cut, groups
+from timeloom.llm._shared import cut, groups, text_key
 
 #: Units that may follow a number.
 UNITS = frozenset("% ° $ € £ mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs day days week weeks month months year years hz khz mhz ghz b kb mb gb tb w kw kwh v a ma k c f mph kmh usd eur gbp euros dollars pounds percent meters metres kilometers kilograms grams liters litres hours minutes seconds miles feet inches".split())
@@ -209,7 +209,7 @@ def whole_items(benchmark: DataFrame, width: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, min_windows: int = 3) -> DataFrame:
     """Documents that hold ``min_windows`` (or all, if it has fewer) consistently matching windows of an item.
 
-    ``doc_id, th`` (the text's hash), ``item_id, n_windows, item_windows, share, same_values`` (no slot differs),
+    ``doc_id, th`` (the text's key), ``item_id, n_windows, item_windows, share, same_values`` (no slot differs),
     ``first_word`` (place among the words that have a letter or digit).
     """
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -225,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals
     low = items.select(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     np.bitwise_or.at(bitmap, low >> 3, (1 << (low & 7)).astype(np.uint8))
-    found = template_windows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"], width, literals, bitmap, sizes)
+    found = template_windows(docs.select("doc_id", text_key().alias("th"), "text"), ["doc_id", "th"], width, literals, bitmap, sizes)
     # repeated rows of one id and text must not count twice
     met = found.join(items, "key").dropDuplicates(["doc_id", "th", "item_id", "place", "item_place"])
     pair = F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))
@@ -251,5 +251,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     leaves all; an empty table gives an empty one; extra columns may have any names.
     """
     bad = contaminated(docs, benchmark, **options).select("th").distinct()
-    packed = docs.select(F.xxhash64("text").alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    packed = docs.select(text_key().alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     return packed.join(bad, "th", "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

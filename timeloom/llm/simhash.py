@@ -17,13 +17,14 @@ ignored; texts of any length are hashed whole.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.llm._shared import cut, discard, groups, map_texts, run_key, tokens
+from timeloom.llm._shared import cut, discard, groups, map_texts, run_key, text_key, tokens
 
 #: The seed of the shingle hash, and the white space that parts words.
 SEED = 42
@@ -153,28 +154,28 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return made
 
 
-def sampled(made: np.ndarray, least: int = 16) -> np.ndarray:
-    """Distinct shingles whose hash ends in as many zero bits as leave ``least`` to twice as many of the text's.
+def sampled(made: np.ndarray, least: int = 16) -> tuple[np.ndarray, int]:
+    """Distinct shingles whose hash ends in as many zero bits as leave ``least`` to twice as many of the text's, and how many bits.
 
     Texts of another size class keep a part of the same ones, so that near copies meet in many shingles however long they are.
     """
     made = np.unique(made)
     bits = max(0, int(len(made) / least).bit_length() - 1)
-    return made[made & np.uint64((1 << bits) - 1) == 0]
+    return made[made & np.uint64((1 << bits) - 1) == 0], bits
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, th`` (the text's hash), ``fp`` (the fingerprint of its shingles) and ``keys`` (its sampled shingles)."""
+    """``doc_id, th`` (the text's key), ``fp`` (the fingerprint of its shingles), ``keys`` (its sampled shingles, sorted) and ``bits``, how sparse they are."""
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
-    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("th long, fp long, keys array<long>").fields])
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("th binary, fp long, keys array<long>, bits int").fields])
 
     def run(batches):
         for batch in batches:
             for at, texts in groups(batch.column(2)):
                 hashes, ends = tokens(texts)
-                fps, keys, start = [], [], 0
+                fps, keys, sparse, start = [], [], [], 0
                 for end in np.flatnonzero(ends).tolist():
                     made, start = shingles(hashes[start:end], size), end + 1
                     votes = np.zeros(64, np.int64)
@@ -182,12 +183,26 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                         votes += np.unpackbits(made[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                     fps.append(int.from_bytes(np.packbits(votes * 2 > len(made)).tobytes(), "little", signed=True))
                     # texts without words meet under a key of their own
-                    keys.append(sampled(made).view(np.int64) if len(made) else np.zeros(1, np.int64))
+                    own, bits = sampled(made) if len(made) else (np.zeros(1, np.uint64), 0)
+                    keys.append(own.view(np.int64))
+                    sparse.append(bits)
                 part = batch.slice(at, len(texts))
                 cuts = np.cumsum([0, *map(len, keys)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(keys)))], names=["doc_id", "th", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(keys))), pa.array(sparse, pa.int32())], names=["doc_id", "th", "fp", "keys", "bits"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, full)
+    return docs.select("doc_id", text_key().alias("th"), "text").mapInArrow(run, full)
+
+
+def bands(width: int) -> Column:
+    """Keys of a text: hashes of ``width`` sampled shingles in a row, by hash, and of those of them that a text twice as long would have sampled.
+
+    Near copies share most samples, so they share runs of them; texts that only quote the same passage do not.
+    """
+    if width == 1:
+        return F.col("keys")
+    runs = lambda a: F.when(F.size(a) > width, F.transform(F.sequence(F.lit(0), F.size(a) - width), lambda i: F.xxhash64(F.slice(a, i + 1, F.lit(width))))).otherwise(F.array(F.xxhash64(a)))
+    sparser = F.expr("filter(keys, k -> (k & shiftleft(1L, bits)) = 0)")
+    return F.array_distinct(F.concat(runs(F.col("keys")), F.when(F.size(sparser) > 0, runs(sparser)).otherwise(F.array().cast("array<long>"))))
 
 
 def common_share(a: str | None, b: str | None, size: int) -> float:
@@ -206,28 +221,34 @@ def common_share(a: str | None, b: str | None, size: int) -> float:
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 24, large: int = 32) -> tuple[DataFrame, DataFrame]:
-    """``made`` (``doc_id, th``) and the links ``a, b`` between hashes of texts that are near copies.
+    """``made`` (``doc_id, th``) and the links ``a, b`` between keys of texts that are near copies.
 
     Two texts are near copies if ``similarity`` of their words lie in shingles of ``size`` words that both have. All pairs are
-    compared in groups of up to ``large`` texts with one sampled shingle. In larger groups each text is compared with the
-    least, in linear work: copies of one text are near copies of each other too, and near copies that meet in a crowd of
-    other texts (a passage that many quote) have most of their shingles outside that crowd and meet there as well.
+    compared in groups of up to ``large`` texts with one sampled shingle. In larger groups each text is compared with the least, in
+    linear work, and the members go on to groups of 2, 4 and 8 sampled shingles in a row, so that a crowd that shares a passage falls apart
+    into those who share most; a group of eight in a row holds copies of one text.
     """
     import pyarrow as pa
 
     made = cut(sketches(docs, size), "simhash-sketches")
-    distinct = made.groupBy("th").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    keyed = distinct.select("th", "fp", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "fp")).alias("least")).filter("n > 1")
-    met = cut(keyed.join(sizes, "key"), "simhash-shingles")
+    distinct = cut(made.groupBy("th").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "simhash-distinct")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    few, many = met.filter(F.col("n") <= large), met.filter(F.col("n") > large)
-    a, b = few.select("key", F.col("th").alias("a"), F.col("fp").alias("fa")), few.select("key", F.col("th").alias("b"), F.col("fp").alias("fb"))
-    pairs = a.join(b, "key").filter("a < b").filter(close("fa", "fb")).select("a", "b")
-    stars = many.select(F.col("least.th").alias("a"), F.col("th").alias("b"), F.col("least.fp").alias("fa"), F.col("fp").alias("fb")).filter(close("fa", "fb")).select("a", "b")
-    pairs = cut(pairs.unionByName(stars).filter("a <> b").distinct(), "simhash-pairs")
+    crowd, found, used = distinct, [], [distinct]
+    for width in (1, 2, 4, 8):
+        keyed = crowd.select("th", "fp", F.explode(bands(width)).alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "fp")).alias("least")).filter("n > 1")
+        met = cut(keyed.join(sizes, "key"), f"simhash-shingles{width}")
+        used.append(met)
+        few, many = met.filter(F.col("n") <= large), met.filter(F.col("n") > large)
+        a, b = few.select("key", F.col("th").alias("a"), F.col("fp").alias("fa")), few.select("key", F.col("th").alias("b"), F.col("fp").alias("fb"))
+        found.append(a.join(b, "key").filter("a < b").filter(close("fa", "fb")).select("a", "b"))
+        found.append(many.select(F.col("least.th").alias("a"), F.col("th").alias("b"), F.col("least.fp").alias("fa"), F.col("fp").alias("fb")).filter("a <> b").filter(close("fa", "fb")).select("a", "b"))
+        if not many.take(1):
+            break
+        crowd = distinct.join(many.select("th").distinct(), "th", "left_semi")
+    pairs = cut(reduce(DataFrame.unionByName, found).distinct(), "simhash-pairs")
     sides = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(sides, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    texts = docs.select(text_key().alias("th"), "text").join(sides, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     texts = cut(texts, "simhash-texts")
     both = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -236,8 +257,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distanc
             own = [common_share(x.as_py(), y.as_py(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(own, pa.bool_()))
 
-    linked = cut(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "simhash-links")
-    discard(met, pairs, texts)
+    linked = cut(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary"), "simhash-links")
+    discard(*used, pairs, texts)
     return made, linked
 
 
@@ -253,7 +274,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("first")
     by_text = made.groupBy("th").agg(first).join(roots, "th", "left")
     stay = by_text.groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("_id"), F.col("first.none").alias("_none"), F.col("first.th").alias("_th"))
-    packed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_th"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    packed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), text_key().alias("_th"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     keys = ["_id", "_none", "_th"]
     # repeated rows share all keys; the join has already brought them together
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("_th"))
