@@ -1,18 +1,18 @@
 """Jaccard join of documents over word shingles, with candidates filtered under several global token orders.
 
-A set of ``m`` tokens and any set linked with it have at least ``0.8 m`` tokens in common, so under every global order of the
-tokens the two share one of the first ``m - ceil(0.8 m) + 1`` of each: its prefix. Candidates must share prefix tokens under all
-of ``ORDERS`` orders; the filters are intersected, first set by set, then pair by pair, and only what is left is verified.
+Let a set have ``m`` tokens. It has at least ``0.8 m`` in common with any set that it is linked with, so of its first
+``m - ceil(0.8 m) + need(m)`` tokens under a global order, its prefix, at least ``need`` of the smaller of the two sizes are in the other's
+prefix too. Candidates must pass that under all of ``ORDERS`` orders, each a hash of its own. The filters are intersected set by set: a set
+goes on to the next order only if enough of its prefix tokens are met in prefixes of other sets that are still there, so texts that only
+quote a passage go, however many quote it. What is left is small; pairs of it share enough tokens of the last order, and are verified.
 
-Tokens are hashes of shingles. Each order is a hash of its own, after which the tokens known to be frequent follow, rarest first:
-a bounded number of them goes to every task, for any order that all tasks share gives right results, and this one keeps passages
-that many documents hold out of the prefixes. Documents of one set are one row, under a key of 16 bytes. Prefixes are shuffled
-as packed arrays of tokens, and of these only tokens that two sets or more have go on.
+Tokens are hashes of shingles. In each order the tokens known to be frequent come last, rarest first; a bounded number of them goes to
+every task, for any order that all tasks share gives right results. Documents of one set are one row, under a key of 16 bytes. Prefixes
+are shuffled as packed arrays of tokens and halves of keys (sets that share a half share their tokens, which drops no candidate).
 
-Components need no list of all links. First each set of a prefix token is compared with the token's least set: near copies of
-one text, however many, become one component in work linear in their prefixes. Then pairs of one token are compared only where
-their components still differ; tokens with more than ``large`` sets left are split by the tokens of the second order, which
-linked pairs share too. No pair is left out at any size, and sizes, places in the prefix and the other orders thin what is compared.
+Components need no list of all links. In a few rounds each set is compared with one pivot, drawn anew in each round among the sets of
+its tokens, and linked ones become one component: near copies of one text, however many, in work linear in their prefixes. Then
+pairs of one token are compared where their components still differ, all of them: no pair is left out at any size.
 
 Defined results: null texts and texts without words are empty sets, linked with nothing, also not with each other; texts of fewer
 words than a shingle are one shingle of all; repeated rows and null ids give a row each, and a component of null ids has a null
@@ -22,7 +22,6 @@ id; an empty table gives an empty result; other columns are ignored; texts of an
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -61,8 +60,18 @@ def set_key(made: np.ndarray) -> bytes:
     return hashlib.blake2b(made.tobytes(), digest_size=16).digest()
 
 
+def need(m):
+    """How many prefix tokens two linked sets share, of which the smaller has ``m`` tokens."""
+    return 1 + m // 6
+
+
+def least_common(m: int) -> int:
+    """The smallest size of a set that one of ``m`` tokens is linked with, and of what they have in common."""
+    return (PERCENT * m + 99) // 100
+
+
 def prefix_size(m: int) -> int:
-    return m - (PERCENT * m + 99) // 100 + 1
+    return min(m, m - least_common(m) + need(m))
 
 
 def _within(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -79,13 +88,13 @@ def prefix(made: np.ndarray, seed: int, frequent: np.ndarray, rank: np.ndarray)
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, id_hash, m`` (distinct shingles) and ``sid``, the key of the set; null for empty sets.
+    """``doc_id, id_hash, m`` (distinct shingles), ``sid``, the key of the set, and ``s0``, its first half; null for empty sets.
 
     Rows with ``often`` are no documents but tokens that stand often among ``CHUNK`` tokens of distinct sets of a task, with counts.
     """
     import pyarrow as pa
 
-    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("id_hash long, m long, sid binary, often array<struct<token: long, n: long>>").fields])
+    full = StructType([docs.schema["doc_id"], *StructType.fromDDL("id_hash long, m long, sid binary, s0 long, often array<struct<token: long, n: long>>").fields])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -96,7 +105,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             own = counts >= OFTEN
             pairs = pa.StructArray.from_arrays([pa.array(values[own].view(np.int64)), pa.array(counts[own], pa.int64())], names=["token", "n"])
-            row = [pa.nulls(1, f.type) for f in target][:-1] + [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs).cast(target.field(4).type)]
+            row = [pa.nulls(1, f.type) for f in target][:-1] + [pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs).cast(target.field(5).type)]
             return pa.RecordBatch.from_arrays(row, schema=target)
 
         for batch in batches:
@@ -104,7 +113,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
                 made = list(token_sets(texts, size))
                 keys = [set_key(s) if len(s) else None for s in made]
                 part = batch.slice(at, len(texts))
-                columns = [part.column(0), part.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(made), target.field(4).type)]
+                columns = [part.column(0), part.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pa.nulls(len(made), target.field(5).type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
                 for own, key in zip(made, keys):
                     if key is not None and key not in seen:
@@ -146,79 +155,60 @@ def texts_in(docs: DataFrame, ids: np.ndarray, size: int):
     return docs.select(F.xxhash64("doc_id").alias("id_hash"), "text"), read
 
 
-def met_tokens(docs: DataFrame, ids: np.ndarray, size: int, orders: tuple[int, ...], frequent, placed: bool) -> DataFrame:
-    """The prefix tokens that two sets or more have, of documents whose hashed id is in the bit map ``ids``: ``order, token, s0, sid, m, at``.
-
-    ``sid`` is the set's key and ``s0`` its first half, ``m`` its size and ``at`` the token's place in the prefix, from 0. Without ``placed`` only
-    ``s0`` is known, to shuffle half as much; sets that have it in common then share their tokens, which drops no candidate.
-    """
+def met_tokens(docs: DataFrame, ids: np.ndarray, size: int, order: int, frequent) -> DataFrame:
+    """``token, s0`` (half a set's key): the prefix tokens under one order that two sets or more have, of documents whose hashed id is in the bit map ``ids``."""
     import pyarrow as pa
 
     rows_of, read = texts_in(docs, ids, size)
     n_parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    fields = [("token", np.uint64), ("s0", np.uint64)]
-    kind = np.dtype(fields + [("s1", np.uint64), ("m", np.int32), ("at", np.int32)] if placed else fields)
+    kind = np.dtype([("token", np.uint64), ("s0", np.uint64)])
 
     def run(batches):
         words, rank = shared.value
-        held, n = [[] for _ in orders], 0
+        held, n = [], 0
 
         def packed():
-            for k, own in zip(orders, held):
-                rows = np.concatenate(own)
-                # frequent tokens are met anyway and needn't meet here: they are dealt by set too
-                key = np.where(_within(words, rows["token"]), rows["token"] ^ rows["s0"], rows["token"])
-                part = (key * np.uint64(ORDERS[0]) >> np.uint64(33)) % np.uint64(n_parts)
-                by = np.argsort(part, kind="stable")
-                rows, cuts = rows[by], np.searchsorted(part[by], np.arange(n_parts + 1))
-                some = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
-                blobs = [rows[cuts[p] : cuts[p + 1]].tobytes() for p in some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["order", "part", "rows"])
+            rows = np.concatenate(held)
+            # frequent tokens are met anyway and needn't meet here: they are dealt by set too
+            key = np.where(_within(words, rows["token"]), rows["token"] ^ rows["s0"], rows["token"])
+            part = (key * np.uint64(ORDERS[0]) >> np.uint64(33)) % np.uint64(n_parts)
+            by = np.argsort(part, kind="stable")
+            rows, cuts = rows[by], np.searchsorted(part[by], np.arange(n_parts + 1))
+            some = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "rows"])
 
         for batch in batches:
             for key, made in read(batch):
-                for k, own in zip(orders, held):
-                    first = prefix(made, ORDERS[k], words, rank)
-                    rows = np.empty(len(first), kind)
-                    s0, s1 = np.frombuffer(key, np.uint64)
-                    rows["token"], rows["s0"] = first, s0
-                    if placed:
-                        rows["s1"], rows["m"], rows["at"] = s1, len(made), np.arange(len(first))
-                    own.append(rows)
-                    n += len(rows)
+                first = prefix(made, ORDERS[order], words, rank)
+                rows = np.empty(len(first), kind)
+                rows["token"], rows["s0"] = first, np.frombuffer(key, np.uint64)[0]
+                held.append(rows)
+                n += len(rows)
                 if n >= 1 << 20:
-                    yield from packed()
-                    held, n = [[] for _ in orders], 0
-        if n:
-            yield from packed()
+                    yield packed()
+                    held, n = [], 0
+        if held:
+            yield packed()
 
     def met(batches):
         """Parts come one after another; one is held at a time."""
         words = shared.value[0]
-        blobs = ((k, p, b) for batch in batches for k, p, b in zip(*(c.to_pylist() for c in batch.columns)))
-        for (k, _), own in groupby(blobs, key=itemgetter(0, 1)):
-            rows = np.concatenate([np.frombuffer(b, kind) for *_, b in own])
+        blobs = ((p, b) for batch in batches for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for _, own in groupby(blobs, key=itemgetter(0)):
+            rows = np.concatenate([np.frombuffer(b, kind) for _, b in own])
+            rows = rows[np.lexsort((rows["s0"], rows["token"]))]
             # documents of one set leave one row
-            rows = np.unique(rows) if not placed else rows[np.lexsort((rows["s1"], rows["s0"], rows["token"]))]
             same = rows["token"][1:] == rows["token"][:-1]
-            if placed:
-                again = same & (rows["s0"][1:] == rows["s0"][:-1]) & (rows["s1"][1:] == rows["s1"][:-1])
-                rows = rows[np.concatenate([[True], ~again])]
-                same = rows["token"][1:] == rows["token"][:-1]
+            rows = rows[np.concatenate([[True], ~(same & (rows["s0"][1:] == rows["s0"][:-1]))])]
+            same = rows["token"][1:] == rows["token"][:-1]
             rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | _within(words, rows["token"])]
             for at in range(0, len(rows), 1 << 16):
                 own = rows[at : at + (1 << 16)]
-                columns = [pa.array(np.full(len(own), k, np.int32)), *(pa.array(np.ascontiguousarray(own[c]).view(np.int64)) for c in ("token", "s0"))]
-                if placed:
-                    sids = pa.py_buffer(np.stack([own["s0"], own["s1"]], axis=1).tobytes())
-                    columns += [pa.Array.from_buffers(pa.binary(16), len(own), [None, sids]).cast(pa.binary()), *(pa.array(own[c].astype(np.int64)) for c in ("m", "at"))]
-                else:
-                    columns += [pa.nulls(len(own), pa.binary()), *[pa.nulls(len(own), pa.int64())] * 2]
-                yield pa.RecordBatch.from_arrays(columns, names=["order", "token", "s0", "sid", "m", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c]).view(np.int64)) for c in ("token", "s0")], names=["token", "s0"])
 
-    made = rows_of.mapInArrow(run, "order int, part int, rows binary")
-    return made.repartition(n_parts // 4, "part").sortWithinPartitions("order", "part").mapInArrow(met, "order int, token long, s0 long, sid binary, m long, at long")
+    made = rows_of.mapInArrow(run, "part int, rows binary")
+    return made.repartition(n_parts // 4, "part").sortWithinPartitions("part").mapInArrow(met, "token long, s0 long")
 
 
 def whole_sets(docs: DataFrame, size: int, sids: DataFrame, first: DataFrame) -> DataFrame:
@@ -242,23 +232,16 @@ def whole_sets(docs: DataFrame, size: int, sids: DataFrame, first: DataFrame) ->
     return rows_of.mapInArrow(run, "sid binary, tokens binary").join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def could_link(m_a: Column, m_b: Column, at_a: Column, at_b: Column) -> Column:
-    """Whether two sets that meet first at these places of their prefixes can still have enough in common."""
-    most = 1 + F.least(m_a - at_a - 1, m_b - at_b - 1)
-    return ((100 + PERCENT) * most >= PERCENT * (m_a + m_b)) & (100 * F.least(m_a, m_b) >= PERCENT * F.greatest(m_a, m_b))
+def sizes_fit(a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def linked(pairs: DataFrame, others: DataFrame, docs: DataFrame, size: int, first: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a, b``) that share prefix tokens under the other orders too, and are verified on their whole sets."""
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (``a, b``) that are linked, by their whole sets."""
     import pyarrow as pa
 
     side = lambda df, s: df.select(F.col("sid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "sid"])
-    near = pairs.join(side(others, "a"), "a").join(side(others, "b"), "b")
-    for k in range(1, len(ORDERS)):
-        near = near.filter(F.arrays_overlap(f"q{k}_a", f"q{k}_b"))
-    near = cut(near.select("a", "b"), "jaccard-candidates")
-    ends = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct()
-    sets = cut(whole_sets(docs, size, ends, first), "jaccard-tokens")
+    near = cut(pairs, "jaccard-candidates")
     both = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "tokens_a", "tokens_b")
 
     def verify(batches):
@@ -272,47 +255,61 @@ def linked(pairs: DataFrame, others: DataFrame, docs: DataFrame, size: int, firs
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     made = cut(both.mapInArrow(verify, "a binary, b binary"), "jaccard-links")
-    discard(near, sets)
+    discard(near)
     return made
 
 
-def classes(docs: DataFrame, size: int = 5, large: int = 64) -> tuple[DataFrame, DataFrame]:
+def survivors(docs: DataFrame, first: DataFrame, size: int, frequent) -> tuple[DataFrame, DataFrame]:
+    """The sets that pass the filters of all orders, as in ``first``, and the tokens of the last order that they share: ``token, sid, m``."""
+    alive = first
+    enough = 1 + F.expr(f"({PERCENT} * m + 99) div 100 div 6")  # need(least_common(m)): a partner may be that small
+    for k in range(len(ORDERS)):
+        met = cut(met_tokens(docs, bit_map(alive, "id_hash"), size, k, frequent), f"jaccard-order{k}")
+        counts = met.groupBy("s0").agg(F.count(F.lit(1)).alias("_n"))
+        before, alive = alive, cut(alive.join(counts, "s0").filter(F.col("_n") >= enough).drop("_n"), f"jaccard-alive{k}")
+        if k:
+            discard(before)
+        if k < len(ORDERS) - 1:
+            discard(met)
+    rows = cut(met.join(alive.select("s0", "sid", "m"), "s0").drop("s0"), "jaccard-met")
+    discard(met)
+    return alive, rows
+
+
+def classes(docs: DataFrame, size: int = 5, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """``doc_id, m, sid`` of all documents, and ``node, root`` of the sets in components of two or more."""
     every = cut(sets_of(docs, size), "jaccard-sets")
     made = every.filter("often IS NULL").drop("often")
     made._written = every._written
     frequent = frequent_tokens(every.select(F.explode("often").alias("x")).select("x.*"))
     # one document stands for its set; a bit map of the ids may let others through, which only adds work
-    first = cut(made.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id_hash").alias("id_hash")), "jaccard-first")
-    met = cut(met_tokens(docs, bit_map(first, "id_hash"), size, (0,), frequent, True).drop("order"), "jaccard-order0")
-    ids = bit_map(first.join(met.select("sid").distinct(), "sid", "left_semi"), "id_hash")
-    more = met_tokens(docs, ids, size, tuple(range(1, len(ORDERS))), frequent, False)
-    # a document's prefix bounds its lists
-    lists = more.groupBy("s0").agg(*[F.collect_list(F.when(F.col("order") == k, F.col("token"))).alias(f"q{k}") for k in range(1, len(ORDERS))])
-    lists = lists.filter(reduce(lambda x, y: x & y, [F.size(f"q{k}") > 0 for k in range(1, len(ORDERS))]))
-    others = cut(met.select("sid", "s0").distinct().join(lists, "s0").drop("s0"), "jaccard-prefixes")
-    rows = cut(met.join(others.select("sid"), "sid", "left_semi").drop("s0"), "jaccard-met")
-    discard(met)
-
-    # each set with that of its tokens' least sets with which it shares most
-    least = rows.groupBy("token").agg(F.min(F.struct("sid", "m", "at")).alias("least"))
-    stars = rows.join(least, "token").filter(F.col("sid") != F.col("least.sid")).filter(could_link(F.col("m"), F.col("least.m"), F.col("at"), F.col("least.at")))
-    shared = stars.groupBy(F.col("sid").alias("b"), F.col("least.sid").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-    links = linked(shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), others, docs, size, first)
-    found = cut(components(links), "jaccard-components")
+    first = cut(made.filter("sid IS NOT NULL").groupBy("sid", "s0", "m").agg(F.min("id_hash").alias("id_hash")), "jaccard-first")
+    alive, rows = survivors(docs, first, size, frequent)
+    sets = cut(whole_sets(docs, size, alive.select("sid"), alive), "jaccard-tokens")
+    links = found = None
+    for turn in range(rounds):
+        roots = rows if found is None else rows.join(found.withColumnRenamed("node", "sid"), "sid", "left")
+        roots = roots.withColumn("root", F.coalesce("root", "sid") if found is not None else F.col("sid"))
+        # each set with that of its tokens' pivots with which it shares most; pivots differ from round to round
+        pivot = roots.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "m", "root")).alias("p"))
+        stars = roots.join(pivot, "token").filter(F.col("root") != F.col("p.root")).filter(sizes_fit("m", "p.m"))
+        shared = stars.groupBy(F.col("sid").alias("b"), F.col("p.sid").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+        made_links = linked(shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), sets)
+        if not made_links.take(1):
+            break
+        links = made_links if links is None else links.unionByName(made_links)
+        found = cut(components(links), "jaccard-components")
 
     # pairs of a token whose components differ
-    parts = rows.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("token", "n")
+    parts = rows.withColumn("root", F.col("sid")) if found is None else rows.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = parts.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("token")
     open_rows = cut(parts.join(mixed, "token"), "jaccard-open")
-    few = open_rows.filter(F.col("n") <= large).withColumn("by", F.lit(0).cast("long"))
-    many = open_rows.filter(F.col("n") > large).join(others.select("sid", F.explode("q1").alias("by")), "sid")
-    keyed = few.unionByName(many).select("token", "by", "sid", "m", "at", "root")
-    a, b = (keyed.select("token", "by", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "m", "at", "root")]) for s in "ab")
-    pairs = a.join(b, ["token", "by"]).filter("sid_a < sid_b AND root_a <> root_b").filter(could_link(F.col("m_a"), F.col("m_b"), F.col("at_a"), F.col("at_b")))
-    more = linked(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), others, docs, size, first)
-    final = cut(components(links.unionByName(more)), "jaccard-classes")
-    discard(rows, open_rows, others, first, links, more, found)
+    a, b = (open_rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "m", "root")]) for s in "ab")
+    both = a.join(b, "token").filter("sid_a < sid_b AND root_a <> root_b").filter(sizes_fit("m_a", "m_b"))
+    pairs = both.groupBy(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("m_a", "m_b")).alias("m")).filter("n > m div 6").select("a", "b")
+    more = linked(pairs, sets)
+    final = cut(components(more if links is None else links.unionByName(more)), "jaccard-classes")
+    discard(rows, open_rows, first, alive, sets)
     return made, final
 
 
