@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timeloom.operators import editing as op
 from timeloom.operators import intervals as iv
 from timeloom.operators import quality as qu
-from timeloom.operators import mixdown, reframe
+from timeloom.operators import cut_lists, mixdown, reframe
 from timeloom.plans.timeline import PIECES, _locks
 from timeloom.sources.views import sql_with, view
 
@@ -55,6 +55,17 @@ def _cuts(s, d):
 CUTS = "x AS (SELECT project_id, clip_id, CAST(floor(in_ms * 25 / 1000 + 0.5) AS BIGINT) AS src, CAST(floor(start_ms * 25 / 1000 + 0.5) AS BIGINT) AS rec, CAST(floor((start_ms + dur_ms) * 25 / 1000 + 0.5) AS BIGINT) AS e FROM v_timeline QUALIFY track_no = min(track_no) OVER (PARTITION BY project_id)), cl AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rec, clip_id) AS INTEGER) AS event, clip_id, src AS source_in, src + e - rec AS source_out, rec + 90000 AS record_in, e + 90000 AS record_out FROM x WHERE e > rec)"
 TRACKS = "SELECT DISTINCT project_id, track_no FROM v_clips"
 
+def _tc(c):
+    return f"printf('%02d:%02d:%02d:%02d', {c} // 90000, {c} // 1500 % 60, {c} // 25 % 60, {c} % 25)"
+
+
+def _cut_texts(s, d):
+    t = _tl(s, d)
+    sources = t.select("source_id").distinct().selectExpr("source_id", "concat('Clip-', source_id, '.mov') AS file_name")
+    projects = t.select("project_id").distinct().selectExpr("project_id", "concat('Project ', project_id) AS name")
+    return cut_lists.cut_list_text(t, sources, projects, 25, t.filter("track_no = 0").select("project_id", "track_no"))
+
+
 def _locked_inserts(t):
     return t.select("project_id").distinct().selectExpr("project_id", "CAST(1 AS BIGINT) AS track_no", "-project_id AS clip_id", "CAST(project_id % 5 * 7000 + 500 AS BIGINT) AS start_ms", "CAST(6000 AS BIGINT) AS dur_ms")
 
@@ -109,6 +120,10 @@ PLANS = {
     "g18_merged_sets": (lambda s, d: op.merged_sets(view(s, d, "v_clips"), ["project_id"], "source_id"), ["v_clips"], "SELECT project_id, string_agg(v, ',' ORDER BY v) AS items FROM (SELECT DISTINCT project_id, CAST(source_id AS VARCHAR) AS v FROM v_clips) GROUP BY 1"),
     "g19_retakes": (lambda s, d: op.retakes(view(s, d, "v_clips"), view(s, d, "v_sources").filter("source_id % 6 = 0").selectExpr("source_id", "source_id + 7000000 AS new_id", "duration_ms AS new_ms")), ["v_clips", "v_sources"], "SELECT clip_id, start_ms, source_id + 7000000 AS source_id, least(dur_ms, duration_ms) AS dur_ms FROM v_clips JOIN v_sources s USING (source_id) WHERE source_id % 6 = 0"),
     "a9_cut_list": (_cuts, ["v_timeline"], f"WITH {CUTS} SELECT * FROM cl"),
+    "a9_cut_list_text": (lambda s, d: _cut_texts(s, d).selectExpr("project_id", "text", "warnings"), ["v_timeline"],
+        f"WITH {CUTS}, l AS (SELECT cl.*, 'Clip-' || source_id || '.mov' AS f, 'CLIP' || source_id AS reel FROM cl JOIN (SELECT clip_id, any_value(source_id) AS source_id FROM v_timeline GROUP BY 1) c ON c.clip_id = cl.clip_id), t AS (SELECT project_id, string_agg(printf('%03d', event) || '  ' || rpad(reel, 8, ' ') || ' V     C        ' || {_tc('source_in')} || ' ' || {_tc('source_out')} || ' ' || {_tc('record_in')} || ' ' || {_tc('record_out')} || chr(10) || '* FROM CLIP NAME: ' || f, chr(10) ORDER BY event) AS b FROM l GROUP BY 1), n AS (SELECT project_id, count(DISTINCT track_no) AS k, min(track_no) AS m FROM v_timeline GROUP BY 1) SELECT t.project_id, 'TITLE: PROJECT ' || t.project_id || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || b || chr(10) AS text, concat_ws('; ', CASE WHEN k > 1 THEN 'EDL is single-track: ' || (k - 1) || ' other track(s) with clips were omitted.' END, CASE WHEN m = 0 THEN 'EDL export is cuts-only: transitions become straight cuts.' END) AS warnings FROM t JOIN n ON n.project_id = t.project_id"),
+    "a11_cut_list_text_issues": (lambda s, d: cut_lists.cut_list_text_issues(_cut_texts(s, d).withColumn("text", F.expr("CASE WHEN project_id % 4 = 1 THEN replace(text, 'FCM: NON-DROP', 'FCM NON-DROP') WHEN project_id % 4 = 2 THEN replace(text, '005  ', '006  ') WHEN project_id % 4 = 3 THEN replace(text, '003  CLIP', '003  clip') ELSE text END")), 25), ["v_timeline"],
+        f"WITH {CUTS}, n AS (SELECT project_id, max(event) AS n FROM cl GROUP BY 1) SELECT project_id, CAST(u.line_no AS INTEGER) AS line_no, u.issue FROM (SELECT project_id, unnest(CASE project_id % 4 WHEN 1 THEN [{{'line_no': 2, 'issue': 'frame-count-mode'}}] WHEN 2 THEN CASE WHEN n >= 6 THEN [{{'line_no': 11, 'issue': 'sequence'}}, {{'line_no': 13, 'issue': 'sequence'}}] WHEN n = 5 THEN [{{'line_no': 11, 'issue': 'sequence'}}] ELSE [] END WHEN 3 THEN CASE WHEN n >= 4 THEN [{{'line_no': 7, 'issue': 'grammar'}}, {{'line_no': 9, 'issue': 'sequence'}}] WHEN n = 3 THEN [{{'line_no': 7, 'issue': 'grammar'}}] ELSE [] END ELSE [] END) AS u FROM n)"),
     "a11_cut_list_issues": (lambda s, d: op.cut_list_issues(_cuts(s, d).filter("event % 50 <> 7").withColumn("source_out", F.col("source_out") + F.when(F.col("event") % 31 == 0, 2).otherwise(0))), ["v_timeline"],
         f"WITH {CUTS}, y AS (SELECT project_id, event, source_in, source_out + CASE WHEN event % 31 = 0 THEN 2 ELSE 0 END AS so, record_in, record_out FROM cl WHERE event % 50 <> 7), z AS (SELECT *, lag(event) OVER w AS le, lag(record_out) OVER w AS lr FROM y WINDOW w AS (PARTITION BY project_id ORDER BY event)) SELECT project_id, event, 'sequence' AS issue FROM z WHERE event <> coalesce(le, 0) + 1 UNION ALL SELECT project_id, event, 'duration' FROM z WHERE so - source_in <> record_out - record_in UNION ALL SELECT project_id, event, 'record-order' FROM z WHERE record_in < lr"),
     "a10_gapped_sequence": (lambda s, d: op.gapped_sequence(_tl(s, d)), ["v_timeline"],
