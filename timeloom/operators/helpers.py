@@ -9,25 +9,26 @@ from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names and read again: computed once, and safe against lost executors.
-
-    Only a local session may fall back to a temporary folder. What a session wrote stays in a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session in the one that ``spark.checkpoint.dir`` names; only a local session may fall back to a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/timeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/timeloom/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and safe against lost executors. What a session wrote stays."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], new: Column, out: str = "island") -> DataFrame:

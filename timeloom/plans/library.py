@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timeloom.functions import scalars as fn
 from timeloom.operators import captions as cap
 from timeloom.operators import events as ev
 from timeloom.operators import quality as op
+from timeloom.operators.helpers import shared_folder
+from timeloom.sources import sinks
 from timeloom.sources.views import sql_with, view
 
 
@@ -84,6 +88,17 @@ def _tracks(s, d):
     return view(s, d, "v_clips").groupBy("project_id", "track_no").agg(F.expr("(project_id + track_no) % 3 = 0").alias("muted"), F.expr("(project_id * 7 + track_no) % 11 = 0").alias("solo"))
 
 
+def _caption_files(s, d):
+    """Cues of the files that are written for all tracks, read back from them."""
+    path = f"{shared_folder(s)}/captions-{uuid.uuid4().hex}"
+    sinks.write_captions(_seg(s, d), path)
+    files = sinks.read_files(s, path, "body")
+    srt = cap.parsed_cues(files.filter("format = 'srt'").withColumnRenamed("body", "srt"))
+    vtt = cap.parse_vtt(files.filter("format = 'vtt'").withColumnRenamed("body", "vtt"))
+    columns = ["format", F.col("track_id").cast("long").alias("track_id"), F.col("cue").cast("int").alias("cue"), "start_ms", "end_ms", "text"]
+    return srt.withColumn("format", F.lit("srt")).select(*columns).unionByName(vtt.withColumn("format", F.lit("vtt")).select(*columns))
+
+
 def _markers(s, d):
     return view(s, d, "v_points").select("project_id", "point_id", "t_ms", F.expr("CASE WHEN point_id % 3 = 0 THEN '  ' ELSE concat(' part ', point_id) END").alias("label"))
 
@@ -158,6 +173,10 @@ PLANS = {
     "e18_adjacent_repeats": (lambda s, d: cap.without_adjacent_repeats(_seg(s, d)), ["v_segments"],
         f"WITH RECURSIVE o AS (SELECT *, {NORM} AS n, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_id) AS k FROM v_segments), f AS (SELECT track_id, k, seg_id, start_ms, n AS ln, start_ms + dur_ms AS le, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.track_id, o.k, o.seg_id, o.start_ms, CASE WHEN j THEN f.ln ELSE o.n END, CASE WHEN j THEN f.le ELSE o.start_ms + o.dur_ms END, NOT j FROM f JOIN o ON o.track_id = f.track_id AND o.k = f.k + 1, LATERAL (SELECT o.n = f.ln AND o.start_ms - f.le <= 6000 AS j)) SELECT track_id, seg_id, start_ms FROM f WHERE kept"),
     "d18_transcripts": (lambda s, d: cap.transcripts(_seg(s, d)), ["v_segments"], "SELECT track_id, count(*) AS n, string_agg(trim(text), ' ' ORDER BY start_ms, seg_id) AS text FROM v_segments WHERE trim(text) <> '' GROUP BY 1"),
+    "a17_chapters_json": (lambda s, d: sinks.parsed_chapters(sinks.chapters_json(_markers(s, d).select("project_id", "t_ms", F.trim("label").alias("label")).filter("label <> ''"))), ["v_points"],
+        "SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY t_ms, label) - 1 AS INTEGER) AS n, t_ms, label, printf('%02d:%02d:%02d', t_ms // 3600000, t_ms // 60000 % 60, t_ms // 1000 % 60) AS stamp FROM (SELECT project_id, t_ms, trim(CASE WHEN point_id % 3 = 0 THEN '  ' ELSE ' part ' || point_id END) AS label FROM v_points) WHERE label <> ''"),
+    "a8_caption_files": (lambda s, d: _caption_files(s, d), ["v_segments"],
+        "WITH o AS (SELECT track_id, row_number() OVER w - 1 AS n, start_ms, start_ms + dur_ms AS end_ms, text FROM v_segments WINDOW w AS (PARTITION BY track_id ORDER BY start_ms, seg_id)) SELECT format, track_id, CAST(n AS INTEGER) AS cue, start_ms, end_ms, text FROM o, (VALUES ('srt')) f(format) UNION ALL SELECT 'vtt', track_id, CAST(n AS INTEGER) + 1, start_ms, end_ms, text FROM o"),
     "a8_srt_files": (lambda s, d: cap.srt_files(_seg(s, d)), ["v_segments"], SRT),
     "a6_parse_srt": (lambda s, d: cap.parse_srt(cap.srt_files(_seg(s, d))), ["v_segments"], "SELECT track_id, CAST(row_number() OVER w - 1 AS INTEGER) AS cue, start_ms, start_ms + dur_ms AS end_ms, text, CASE WHEN start_ms < lag(start_ms + dur_ms) OVER w THEN 'overlap' ELSE 'ok' END AS problem FROM v_segments WINDOW w AS (PARTITION BY track_id ORDER BY start_ms, seg_id)"),
     "f8_ordered_captions": (lambda s, d: _seg(s, d).select("track_id", "seg_id", F.expr("row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_id)").alias("place")), ["v_segments"], "SELECT track_id, seg_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_id) AS INTEGER) AS place FROM v_segments"),
