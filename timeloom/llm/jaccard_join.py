@@ -36,7 +36,7 @@ from timeloom.llm.simhash import components
 #: Global token orders; the seeds of their hashes.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Frequent tokens that go to every task, and how often one must stand among ``CHUNK`` tokens to be looked at.
-FREQUENT, CHUNK, OFTEN = 1 << 17, 1 << 22, 8
+FREQUENT, CHUNK, OFTEN = 1 << 17, 1 << 20, 4
 _WEIGHTS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Links need 100 * common >= PERCENT * all.
 PERCENT = 80
@@ -185,7 +185,7 @@ def met_tokens(docs: DataFrame, ids: np.ndarray, size: int, order: int, frequent
                 rows["token"], rows["s0"] = first, np.frombuffer(key, np.uint64)[0]
                 held.append(rows)
                 n += len(rows)
-                if n >= 1 << 20:
+                if n >= 1 << 19:
                     yield packed()
                     held, n = [], 0
         if held:
@@ -223,7 +223,7 @@ def whole_sets(docs: DataFrame, size: int, sids: DataFrame, first: DataFrame) ->
             for key, own in read(batch):
                 made.append((key, own.tobytes()))
                 n += len(own)
-                if n >= 1 << 20:
+                if n >= 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*made)], names=["sid", "tokens"])
                     made, n = [], 0
             if made:
