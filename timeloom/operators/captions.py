@@ -88,11 +88,23 @@ def chapters(markers: DataFrame, length_ms: int, least: int = 3, spacing_ms: int
     return made.select("project_id", "n", reason.alias("reason"), F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("text"))
 
 
-def without_hallucinations(segments: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
-    """Segments with text that match none of the patterns."""
-    rows = segments.filter(F.trim("text") != "")
+#: What speech models say of music, silence and noise, and characters that speech has at least one of.
+HALLUCINATIONS = (
+    r"^\[.*\]$",
+    r"^\(.*(?:music|singing|applause|laughter|speaking|foreign|language|indistinct|inaudible|mumbling|dramatic|upbeat|instrumental).*\)$",
+    r"^(?:thank you for (?:watching|listening|your (?:attention|time))|subscribe|like and subscribe|don't forget to subscribe)",
+    r"^(?:you|we)\s+(?:can|will|shall|should|may|might)\s+(?:also|now)\s+(?:see|look|watch|listen)",
+    r"^(\b\w+\b)(?:\s+\1)+$",
+)
+SPEECH = "[A-Za-z0-9\u3400-\u9fff]"
+
+
+def without_hallucinations(segments: DataFrame, patterns: tuple[str, ...] = HALLUCINATIONS) -> DataFrame:
+    """Segments with speech in them whose text, without outer white space, matches none of the patterns in either case."""
+    said = F.regexp_replace("text", r"^\s+|\s+$", "")
+    rows = segments.filter(said.rlike(SPEECH))
     for p in patterns:
-        rows = rows.filter(~F.lower("text").rlike(p))
+        rows = rows.filter(~said.rlike(f"(?i){p}"))
     return rows
 
 

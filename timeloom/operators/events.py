@@ -174,6 +174,12 @@ def private_keys_dropped(events: DataFrame, printable: Column, modified: Column)
     return events.filter(~printable | modified)
 
 
+def recorded_keys(keys: DataFrame) -> DataFrame:
+    """Key events that may be kept (``key, ctrl, meta, alt, in_field``): none typed into a field, and none of one character unless control, meta or alt is held (shift is not enough)."""
+    typed = (F.length("key") == 1) & ~(F.col("ctrl") | F.col("meta") | F.col("alt"))
+    return keys.filter(~F.coalesce(F.col("in_field") | typed, F.lit(True)))
+
+
 def publish_rates(samples: DataFrame) -> DataFrame:
     """Bits a second between samples of a running byte counter (``total``): 0 first and after a reset."""
     w = Window.partitionBy("session_id").orderBy("t_us", "event_id")

@@ -48,6 +48,10 @@ def _zooms(s, d):
     return op.zoom_proposals(_clusters(s, d), 400_000, 1_000_000)
 
 
+def _keys_pressed(s, d):
+    return view(s, d, "v_events").selectExpr("event_id", "get(array('a', 'Enter', 'Z', 'é', 'F5'), CAST(event_id % 5 AS INT)) AS key", "x_milli % 4 = 0 AS ctrl", "y_milli % 6 = 0 AS meta", "x_milli % 7 = 0 AS alt", "session_id % 9 = 0 AND x_milli % 2 = 0 AS in_field")
+
+
 PLANS = {
     "a1_parse_manifest": (_man, ["v_manifest"], f"WITH {MAN} SELECT * FROM m"),
     "a1_dropped_lines": (lambda s, d: op.dropped_lines(view(s, d, "v_manifest")), ["v_manifest"], f"WITH {MAN} SELECT session_id, count(*) - count(m.line_no) AS n_dropped FROM v_manifest v LEFT JOIN m USING (session_id, line_no) GROUP BY session_id"),
@@ -63,6 +67,8 @@ PLANS = {
     "e16_zoom_ramps": (lambda s, d: op.zoom_ramps(_zooms(s, d), 300_000), ["v_events"], ZOOMS + " SELECT session_id, in_us, point, CASE point WHEN 0 THEN in_us WHEN 1 THEN in_us + 300000 WHEN 2 THEN out_us - 300000 ELSE out_us END AS t_us, CASE WHEN point IN (1, 2) THEN 200 ELSE 100 END AS scale_pct FROM zp, (SELECT CAST(range AS INTEGER) AS point FROM range(4))"),
     "e17_key_overlays": (lambda s, d: op.key_overlays(view(s, d, "v_events"), 9_000_000_000, 4, 30_000_000_000).fillna(-1, ["end_us"]), ["v_events"],
         "WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_us, event_id) AS k FROM v_events), f AS (SELECT session_id, k, t_us AS s, t_us AS e, 1::BIGINT AS n, kind AS text, 1::BIGINT AS c FROM o WHERE k = 1 UNION ALL SELECT o.session_id, o.k, CASE WHEN j THEN f.s ELSE o.t_us END, o.t_us, CASE WHEN j THEN f.n + 1 ELSE 1 END, CASE WHEN j THEN f.text || ' ' || o.kind ELSE o.kind END, CASE WHEN j THEN f.c ELSE f.c + 1 END FROM f JOIN o ON o.session_id = f.session_id AND o.k = f.k + 1, LATERAL (SELECT o.t_us - f.e < 9000000000 AND f.n < 4 AND o.t_us - f.s <= 30000000000 AS j)), g AS (SELECT session_id, min(s) AS s, max(e) AS e, max(n) AS n, max_by(text, k) AS text FROM f GROUP BY session_id, c) SELECT session_id, s AS start_us, least(e + 9000000000, coalesce(lead(s) OVER (PARTITION BY session_id ORDER BY s), e + 9000000000)) AS end_us, n, text FROM g"),
+    "b20_recorded_keys": (lambda s, d: op.recorded_keys(_keys_pressed(s, d)).select("event_id", "key"), ["v_events"],
+        "SELECT event_id, key FROM (SELECT *, ['a', 'Enter', 'Z', 'é', 'F5'][1 + event_id % 5] AS key FROM v_events) WHERE NOT (session_id % 9 = 0 AND x_milli % 2 = 0) AND (event_id % 5 IN (1, 4) OR x_milli % 4 = 0 OR y_milli % 6 = 0 OR x_milli % 7 = 0)"),
     "b20_private_keys": (lambda s, d: op.private_keys_dropped(view(s, d, "v_events"), F.expr("kind = 'click'"), F.expr("x_milli % 4 = 0")), ["v_events"], "SELECT * FROM v_events WHERE NOT kind = 'click' OR x_milli % 4 = 0"),
     "e27_publish_rates": (lambda s, d: op.publish_rates(view(s, d, "v_events").withColumn("total", F.col("event_id") * 1000 % 700001)), ["v_events"], "SELECT session_id, event_id, coalesce(CASE WHEN t_us > t THEN greatest(0, total - b) * 8000000 // (t_us - t) END, 0) AS bps FROM (SELECT *, lag(total) OVER w AS b, lag(t_us) OVER w AS t FROM (SELECT *, event_id * 1000 % 700001 AS total FROM v_events) WINDOW w AS (PARTITION BY session_id ORDER BY t_us, event_id))"),
     "e28_coalesced_edits": (lambda s, d: op.coalesced_edits(view(s, d, "v_events"), 20_000_000_000, 20), ["v_events"], "WITH i AS (SELECT *, sum(CASE WHEN lk = kind AND t_us - lt <= 20000000000 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(kind) OVER w AS lk, lag(t_us) OVER w AS lt FROM v_events WINDOW w AS (PARTITION BY session_id ORDER BY t_us, event_id))) SELECT session_id, kind, first_us, last_us, n FROM (SELECT session_id, k, min(kind) AS kind, min(t_us) AS first_us, max(t_us) AS last_us, count(*) AS n FROM i GROUP BY session_id, k) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) <= 20"),
