@@ -202,3 +202,24 @@ def test_recall_of_pairs_at_the_threshold(spark):
     assert len(near) > 100
     assert sum(2 * k + 1 not in kept for k in near) >= 0.9 * len(near)
     assert all(2 * k + 1 in kept for k, s in enumerate(shares) if s < 0.8)
+
+
+def test_texts_full_of_one_phrase_cost_no_matching():
+    """A megabyte of a notice's phrase again and again is read in seconds, and a notice amid it is still found."""
+    import time
+
+    find, began = license_scan.Finder(), time.time()
+    text, label, most = max(license_scan.NOTICES, key=lambda x: x[2])
+    phrase = " ".join(text.split()[:4]) + " "
+    assert find.find(phrase * (1_000_000 // len(phrase))) == []
+    assert time.time() - began < 20
+    edited_text = text[: len(text) // 2] + "zz" + text[len(text) // 2 + 1 :]
+    got = find.find(phrase * 200 + edited_text + " " + phrase * 200)
+    assert [find.notices[n][1] for n, *_ in got] == [label]
+    assert most > 2
+
+
+def test_pieces_in_step():
+    assert license_scan.in_step([(10, 0), (12, 3), (13, 6), (40, 0), (41, 0), (90, 3)], 5, 3) == [10, 12, 13]
+    assert license_scan.in_step([(10, 0), (14, 3), (18, 6)], 5, 3) == []
+    assert license_scan.in_step([(10, 0)], 5, 1) == [10]

@@ -12,6 +12,7 @@ are searched whole, and only the neighbourhood of a seed is ever matched.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from functools import cache
 from itertools import accumulate
 
@@ -49,6 +50,23 @@ NOTICES = (
 )
 
 
+def in_step(hits: list[tuple[int, int]], within: int, least: int) -> list[int]:
+    """The places, sorted, of hits (place, piece) that lie with ``least`` different pieces in a window no longer than ``within``."""
+    hits = sorted(set(hits))
+    good, low, marked, count = set(), 0, 0, Counter()
+    for i, (at, piece) in enumerate(hits):
+        count[piece] += 1
+        while at - hits[low][0] > within:
+            count[hits[low][1]] -= 1
+            if not count[hits[low][1]]:
+                del count[hits[low][1]]
+            low += 1
+        if len(count) >= least:
+            good.update(h[0] for h in hits[max(low, marked) : i + 1])
+            marked = i + 1
+    return sorted(good)
+
+
 class Finder:
     """The compiled notices of one Python process."""
 
@@ -63,7 +81,8 @@ class Finder:
         self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}(?![^ ])") if k else None for text, _, k in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (text, _, k) in enumerate(self.notices):
-            cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
+            pieces = self.pieces(n)
+            cuts = [len(text) * i // pieces for i in range(pieces + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(text[a:b], []).append((n, a))
         self.seeds = ahocorasick.Automaton()
@@ -71,15 +90,24 @@ class Finder:
             self.seeds.add_word(seed, (len(seed), uses))
         self.seeds.make_automaton()
 
+    def pieces(self, n: int) -> int:
+        """Pieces that a notice is cut into: up to twice as many as it may have edits, as long as they have six characters."""
+        text, _, k = self.notices[n]
+        return max(k + 1, min(2 * k + 2, len(text) // 6)) if k else 1
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Notice, start, end and edits of every place in a normalised text, by notice and start."""
+        """Notice, start, end and edits of every place in a normalised text, by notice and start.
+
+        ``k`` edits leave all but ``k`` pieces as they are, and move them by no more than ``k`` against each other: only where so many
+        are found in step is a match looked for, so a text full of one phrase of a notice costs no matching.
+        """
         around: dict[int, list[tuple[int, int]]] = {}
         for last, (n_seed, uses) in self.seeds.iter(text):
             for n, offset in uses:
                 start, k = last + 1 - n_seed - offset, self.notices[n][2]
                 end = start + len(self.notices[n][0])
                 if k:
-                    around.setdefault(n, []).append((start - k, end + k))
+                    around.setdefault(n, []).append((start, offset))
                 elif text[max(0, start - 1) : start] in ("", " ") and text[end : end + 1] in ("", " "):
                     around.setdefault(n, []).append((start, end))
         found = []
@@ -87,7 +115,10 @@ class Finder:
             if not self.notices[n][2]:
                 found += [(n, a, b, 0) for a, b in spans]
                 continue
-            spans.sort()
+            size, k = len(self.notices[n][0]), self.notices[n][2]
+            spans = [(start - k, start + size + k) for start in in_step(spans, k, self.pieces(n) - k)]
+            if not spans:
+                continue
             merged = [list(spans[0])]
             for a, b in spans[1:]:
                 if a <= merged[-1][1]:
