@@ -155,7 +155,7 @@ PLANS = {
         "y AS (SELECT h.project_id, h.k, l, r, track_no, (0.5::DOUBLE + track_no / 4) * CASE WHEN fi > 0 THEN greatest(0, least(1, (k * 125.0::DOUBLE - start_ms) / fi)) ELSE 1 END * CASE WHEN fo > 0 THEN greatest(0, least(1, (end_ms - k * 125.0::DOUBLE) / fo)) ELSE 1 END * CASE WHEN xi THEN sin(greatest(0, least(1, (k * 125.0::DOUBLE - pe + 500) / 1000)) * pi() / 2) ELSE 1 END * CASE WHEN xo THEN cos(greatest(0, least(1, (k * 125.0::DOUBLE - end_ms + 500) / 1000)) * pi() / 2) ELSE 1 END AS g FROM h JOIN f ON f.source_id = h.source_id AND f.j = h.k + h.sh), "
         "z AS (SELECT project_id, k, sum(l * g * least(1, 1 - (track_no - 1) / 2)) * (0.3::DOUBLE + project_id % 4 / 2) AS l, sum(r * g * least(1, 1 + (track_no - 1) / 2)) * (0.3::DOUBLE + project_id % 4 / 2) AS r FROM y GROUP BY 1, 2), "
         "e AS (SELECT project_id, CAST(ceil(max(start_ms + dur_ms) * 8 / 1000.0) AS BIGINT) AS total FROM v_tight GROUP BY 1), g AS (SELECT project_id, total, unnest(range((total - 1) // 256 + 1)) AS block FROM e), s AS (SELECT z.project_id, k // 256 AS block, sum(greatest(-1, least(1, l))) AS l, sum(greatest(-1, least(1, r))) AS r FROM z JOIN e USING (project_id) WHERE k < total GROUP BY 1, 2) "
-        "SELECT g.project_id, g.block, 2 * least(256, total - g.block * 256) AS n_samples, round(coalesce(l, 0), 3) AS left_sum, round(coalesce(r, 0), 3) AS right_sum FROM g LEFT JOIN s ON s.project_id = g.project_id AND s.block = g.block"),
+        "SELECT g.project_id, g.block, 2 * least(256, total - g.block * 256) AS n_samples, round(coalesce(l, 0), 3) + 0.0::DOUBLE AS left_sum, round(coalesce(r, 0), 3) + 0.0::DOUBLE AS right_sum FROM g LEFT JOIN s ON s.project_id = g.project_id AND s.block = g.block"),
     "k8_reframe_figures": (lambda s, d: _reframed(s, d)["figures"], [], None),
     "k8_reframe_keyframes": (lambda s, d: _reframed(s, d)["keyframes"], [], None),
     "k8_reframe_counts": (lambda s, d: _reframed(s, d)["path"].groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if("face").alias("n_face"), F.count_distinct("segment").alias("n_segments")), ["v_rgb", "v_detections"],
