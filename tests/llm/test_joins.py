@@ -76,6 +76,15 @@ def test_manifest_of_odd_rows(spark):
     assert merkle_manifest.audit(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_every_row_is_folded(spark, monkeypatch):
+    """A wrong sibling is noticed by rows that nobody tampered with, too."""
+    made = merkle_manifest.manifest
+    wrong = F.transform("path", lambda s: F.struct(s["left"].alias("left"), F.concat(s["right"], F.lit(b"x").cast("binary")).alias("right")))
+    monkeypatch.setattr(merkle_manifest, "manifest", lambda *a, **k: made(*a, **k).withColumn("path", wrong))
+    got = merkle_manifest.audit(spark.createDataFrame([(i, "t", "en", "s", 1) for i in range(20)], DOCS)).collect()
+    assert len(got) == 20 and not any(r.verified for r in got)
+
+
 def plain_classes(texts, size=5):
     """Set size and least id reachable, by counting common shingles of all pairs."""
     sets = {}

@@ -158,7 +158,7 @@ def audit(docs: DataFrame, arity: int = 8) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of all documents, in trees of ``lang``.
 
     The texts of those whose id's CRC-32 is divisible by 3 are lower-cased (A-Z) as a tampering; ``folded_root`` is what the row then
-    gives with the original siblings, and ``verified`` whether that is still the root.
+    gives with the original siblings, and ``verified`` whether that is still the root. Every row is folded, tampered or not.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     fields = [F.col(c) for c in FIELDS]
@@ -166,7 +166,7 @@ def audit(docs: DataFrame, arity: int = 8) -> DataFrame:
     tampered = F.when(touched & F.col("text").rlike("[A-Z]"), leaf(*fields[:-1], F.translate("text", upper, upper.lower())))
     made = manifest(docs, "doc_id", F.col("lang"), leaf(*fields), tampered, arity=arity)
     proof = F.sha2(F.lower(F.hex(F.aggregate("path", F.lit(b"").cast("binary"), lambda a, s: F.concat(a, s["left"], s["right"])))), 256)
-    again = F.when(F.col("_k0").isNull(), F.col("root")).otherwise(folded(F.col("_k0")))
+    again = folded(F.coalesce("_k0", "leaf"))
     made = made.select("doc_id", as_text(F.col("leaf")).alias("leaf"), as_text(F.col("subroot")).alias("subroot"), as_text(F.col("root")).alias("root"), proof.alias("proof_sha256"), as_text(again).alias("folded_root"))
     return made.withColumn("verified", F.col("folded_root") == F.col("root"))
 
