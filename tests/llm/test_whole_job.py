@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import base64
+import hashlib
 import math
 import random
 
@@ -169,6 +170,26 @@ def test_texts_without_words_are_copies(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 5, 6]
 
 
+def test_all_near_copies_of_a_crowd_are_linked(spark):
+    """Texts that share 0.7 of their words; of some pairs the rest differs at every sixth word, so that it shares hardly a shingle."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common, texts = " ".join(word() for _ in range(210)), []
+    for i in range(60):
+        own = [word() for _ in range(90)]
+        texts.append(f"{common} {' '.join(own)}")
+        if i < 30:
+            texts.append(f"{common} {' '.join(w if k % 6 else word() for k, w in enumerate(own))}")
+    _, linked = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    keys = [hashlib.md5(t.encode()).digest() for t in texts]
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(linked).collect()}
+    sketches = simhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()
+    bits = {bytes(r.th): r.fp & (1 << 64) - 1 for r in sketches}
+    close = [(a, b) for a, b in zip(keys[:60:2], keys[1:60:2]) if (bits[a] ^ bits[b]).bit_count() <= 24]
+    assert len(close) >= 25 and all(simhash.common_share(a, b, 5) >= 0.8 for a, b in zip(texts[:60:2], texts[1:60:2]))
+    assert [p for p in close if roots.get(p[0], 0) != roots.get(p[1], 1)] == []
+
+
 def test_near_copies_in_crowds_that_share_paragraphs(spark):
     """Texts of five of twelve paragraphs, at most three of which any two share, and the same with three more words: all in crowds."""
     from itertools import combinations

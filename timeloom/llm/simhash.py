@@ -8,7 +8,8 @@ Components of the links are found by alternating star contractions, written to t
 
 ``one_of_each`` drops near copies for a pipeline. A similarity of 0.8 puts 64-bit fingerprints some 12 bits apart, which no
 choice of blocks finds in a large corpus, so there candidates are texts that share a sampled shingle of five words; the
-Hamming distance thins them, and the share of words in common shingles, counted on the texts, decides.
+Hamming distance thins them, and the share of words in common shingles, counted on the texts, decides. No group is cut: what
+is left apart in a large one meets in its other shingles or is compared in blocks.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows and null ids
 give a row each, and a component of null ids has a null id; an empty table gives an empty result; other columns are
@@ -18,7 +19,7 @@ ignored; texts of any length are hashed whole.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -205,31 +206,157 @@ def bands(width: int) -> Column:
     return F.array_distinct(F.concat(runs(F.col("keys")), F.when(F.size(sparser) > 0, runs(sparser)).otherwise(F.array().cast("array<long>"))))
 
 
-def common_share(a: str | None, b: str | None, size: int) -> float:
-    """The share of the words of both texts that lie in shingles which both have; 1 if neither has a word."""
-    sides = [tokens([t])[0][:-1] for t in (a, b)]
-    made = [shingles(x, size) for x in sides]
+def laid_out(text: str | None, size: int) -> tuple[int, np.ndarray]:
+    """How many words a text has, and the hashes of its shingles in order."""
+    words = tokens([text])[0][:-1]
+    return len(words), shingles(words, size)
+
+
+def share(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], size: int) -> float:
+    """The share of the words of two laid out texts that lie in shingles which both have; 1 if neither has a word."""
     total = 0
-    for own, other in (made, made[::-1]):
+    for (n, own), (_, other) in ((a, b), (b, a)):
         edge = np.zeros(len(own) + size, np.int64)
         hit = np.isin(own, other)
-        width = min(size, len(sides[0] if own is made[0] else sides[1]))
+        width = min(size, n)
         edge[: len(own)] += hit
         edge[width : width + len(own)] -= hit
         total += int((np.cumsum(edge) > 0).sum())
-    return total / max(1, sum(map(len, sides))) if any(map(len, sides)) else 1.0
+    return total / (a[0] + b[0]) if a[0] or b[0] else 1.0
+
+
+def common_share(a: str | None, b: str | None, size: int) -> float:
+    """The share of the words of both texts that lie in shingles which both have; 1 if neither has a word."""
+    return share(laid_out(a, size), laid_out(b, size), size)
+
+
+def placed_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """``th, words, key, at``: each distinct shingle of each text (``th, text``) with its places, and how many words the text has."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, made = laid_out(text, size)
+                if not len(made):
+                    continue
+                order = np.argsort(made, kind="stable").astype(np.int32)
+                made = made[order]
+                first = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1]]))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(made)).astype(np.int32)), pa.array(order))
+                yield pa.RecordBatch.from_arrays([pa.array([th] * len(first), pa.binary()), pa.array(np.full(len(first), words, np.int32)), pa.array(made[first].view(np.int64)), places], names=["th", "words", "key", "at"])
+
+    return texts.mapInArrow(run, "th binary, words int, key long, at array<int>")
+
+
+def crowd_pairs(docs: DataFrame, crowd: DataFrame, roots: DataFrame, size: int, similarity: float, distance: int, large: int) -> DataFrame:
+    """Pairs ``a, b`` of texts with one sampled shingle (``key, th, fp``) that may be near copies, within ``distance`` bits, but those that ``roots`` connects.
+
+    A pair that has a shingle of at most ``large`` texts meets in it, now that all shingles count. Any other pair shares frequent shingles alone, so
+    it is near only if the words that those cover in either text reach ``similarity`` together: texts that only quote a passage go, all others are compared.
+    """
+    who = crowd.select("th", "fp").distinct().join(roots.withColumnRenamed("node", "th"), "th", "left").select("th", "fp", F.xxhash64(F.coalesce("root", "th")).alias("root"))
+    texts = docs.select(text_key().alias("th"), "text").join(who.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    placed = cut(placed_shingles(texts, size).join(who, "th"), "simhash-placed")
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 1 AND low <> high")
+    met = cut(placed.join(sizes.select("key", "n"), "key"), "simhash-met")
+    few = met.filter(F.col("n") <= large)
+    a, b = (few.select("key", F.col("th").alias(x), F.col("fp").alias(f"f{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
+    rare = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    # words under frequent shingles: from each place to the next, but no more than a shingle has
+    spots = met.filter(F.col("n") > large).select("th", "words", "fp", "root", F.explode("at").alias("p"))
+    reach = F.least(F.lit(size), F.col("words"), F.coalesce(F.lead("p").over(Window.partitionBy("th").orderBy("p")) - F.col("p"), F.lit(size)))
+    spare = spots.withColumn("_reach", reach).groupBy("th", "words", "root").agg(F.sum("_reach").alias("_under")).select("th", "root", (F.col("_under") - similarity * F.col("words")).alias("spare"))
+    rows = crowd.select("key", "th", "fp").join(spare, "th")
+    most = rows.groupBy("key").agg(F.max("spare").alias("_most"))
+    rows = rows.join(most, "key").filter("spare + _most >= -1e-6").drop("_most")
+    made = cut(rare.unionByName(blockwise(rows, distance)).distinct(), "simhash-rest")
+    discard(placed, met)
+    return made
+
+
+def blockwise(rows: DataFrame, distance: int, block: int = 2048) -> DataFrame:
+    """Pairs ``a, b`` of a group (``key, th, fp, root, spare``) within ``distance`` bits, of unlike ``root``, whose ``spare`` words are not below zero together.
+
+    All pairs of a group are compared, so work is quadratic in it: members are dealt into blocks, each two blocks are a cell, and
+    cells are spread over tasks, which hold one at a time. No row is a pair before it is compared.
+    """
+    import pyarrow as pa
+
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key", "n")
+    parts = F.expr(f"(n - 1) div {block} + 1")
+    dealt = rows.join(sizes, "key").withColumns({"own": F.pmod(F.xxhash64("th"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "fp", "root", F.col("spare").cast("double").alias("spare"))
+
+    def pairs_of(side, other, same):
+        names, fps, roots, spare = zip(*side)
+        names_b, fps_b, roots_b, spare_b = (names, fps, roots, spare) if same else zip(*other)
+        fps_b, roots_b, spare_b = np.array(fps_b, np.int64).view(np.uint64), np.array(roots_b), np.array(spare_b)
+        for at in range(0, len(names), 256):
+            own, root, left = np.array(fps[at : at + 256], np.int64).view(np.uint64), np.array(roots[at : at + 256]), np.array(spare[at : at + 256])
+            hit = (np.bitwise_count(own[:, None] ^ fps_b[None]) <= distance) & (root[:, None] != roots_b[None]) & (left[:, None] + spare_b[None] >= -1e-6)
+            x, y = np.nonzero(np.triu(hit, at + 1) if same else hit)
+            made = [(names[at + p], names_b[q]) for p, q in zip(x.tolist(), y.tolist())]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([min(m) for m in made], pa.binary()), pa.array([max(m) for m in made], pa.binary())], names=["a", "b"])
+
+    def run(batches):
+        each = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns]))
+        for (_, i, j), own in groupby(each, key=lambda r: r[:3]):
+            sides = {i: [], j: []}
+            for r in own:
+                sides[r[3]].append(r[4:])
+            if sides[i] and sides[j]:
+                yield from pairs_of(sides[i], sides[j], i == j)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, block: int = 256) -> DataFrame:
+    """The pairs of keys of texts of which ``similarity`` of the words lie in common shingles.
+
+    Keys are dealt into blocks, and a cell of two blocks gets each text that its pairs name once, so that a text in many pairs isn't sent with each.
+    """
+    import pyarrow as pa
+
+    sides = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    texts = cut(docs.select(text_key().alias("th"), "text").join(sides, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "simhash-texts")
+    parts = F.lit(texts.count() // block + 1)
+    none = F.lit(None)
+    dealt = pairs.select(F.pmod(F.xxhash64("a"), parts).alias("i"), F.pmod(F.xxhash64("b"), parts).alias("j"), "a", "b")
+    needed = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("th")).distinct().join(texts, "th")
+    # a cell's texts come before its pairs
+    rows = needed.select("i", "j", F.lit(0).alias("turn"), F.col("th").alias("a"), none.cast("binary").alias("b"), "text").unionByName(dealt.select("i", "j", F.lit(1).alias("turn"), "a", "b", none.cast("string").alias("text")))
+
+    def run(batches):
+        cell, known = None, {}
+        for batch in batches:
+            left, right = [], []
+            for i, j, turn, a, b, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (i, j) != cell:
+                    cell, known = (i, j), {}
+                if not turn:
+                    known[a] = laid_out(text, size)
+                elif share(known[a], known[b], size) >= similarity:
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    made = cut(rows.repartition("i", "j").sortWithinPartitions("i", "j", "turn").mapInArrow(run, "a binary, b binary"), "simhash-links")
+    discard(texts)
+    return made
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 24, large: int = 32) -> tuple[DataFrame, DataFrame]:
-    """``made`` (``doc_id, th``) and the links ``a, b`` between keys of texts that are near copies.
+    """``made`` (``doc_id, th``) and links ``a, b`` between keys of texts that are near copies; they connect all such pairs within
+    ``distance`` bits that share a sampled shingle.
 
     Two texts are near copies if ``similarity`` of their words lie in shingles of ``size`` words that both have. All pairs are
     compared in groups of up to ``large`` texts with one sampled shingle. In larger groups each text is compared with the least, in
     linear work, and the members go on to groups of 2, 4 and 8 sampled shingles in a row, so that a crowd that shares a passage falls apart
-    into those who share most; a group of eight in a row holds copies of one text.
+    into those who share most. What these links leave apart in a larger group is then compared (``crowd_pairs``): nothing is left out for a group's size.
     """
-    import pyarrow as pa
-
     made = cut(sketches(docs, size), "simhash-sketches")
     distinct = cut(made.groupBy("th").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "simhash-distinct")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
@@ -243,22 +370,17 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distanc
         a, b = few.select("key", F.col("th").alias("a"), F.col("fp").alias("fa")), few.select("key", F.col("th").alias("b"), F.col("fp").alias("fb"))
         found.append(a.join(b, "key").filter("a < b").filter(close("fa", "fb")).select("a", "b"))
         found.append(many.select(F.col("least.th").alias("a"), F.col("th").alias("b"), F.col("least.fp").alias("fa"), F.col("fp").alias("fb")).filter("a <> b").filter(close("fa", "fb")).select("a", "b"))
+        crowds = many if width == 1 else crowds
         if not many.take(1):
             break
         crowd = distinct.join(many.select("th").distinct(), "th", "left_semi")
     pairs = cut(reduce(DataFrame.unionByName, found).distinct(), "simhash-pairs")
-    sides = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    texts = docs.select(text_key().alias("th"), "text").join(sides, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    texts = cut(texts, "simhash-texts")
-    both = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            own = [common_share(x.as_py(), y.as_py(), size) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(own, pa.bool_()))
-
-    linked = cut(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary"), "simhash-links")
-    discard(*used, pairs, texts)
+    linked = verified(docs, pairs, size, similarity)
+    if len(found) > 2:
+        rest = crowd_pairs(docs, crowds, components(linked), size, similarity, distance, large)
+        linked = linked.unionByName(verified(docs, rest, size, similarity))
+        discard(rest)
+    discard(*used, pairs)
     return made, linked
 
 
