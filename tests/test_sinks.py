@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +43,23 @@ def test_chapters_as_json(spark):
     made = sinks.chapters_json(rows)
     assert {r.project_id: json.loads(r.json) for r in made.collect()} == {1: [{"time": 0.0, "label": "a"}, {"time": 75.5, "label": 'b "x"'}], 2: [{"time": 3700.0, "label": "c"}]}
     assert sorted(map(tuple, sinks.parsed_chapters(made).collect())) == [(1, 0, 0, "a", "00:00:00"), (1, 1, 75_500, 'b "x"', "00:01:15"), (2, 0, 3_700_000, "c", "01:01:40")]
+
+
+def test_keys_come_back_from_names_and_none_is_lost(spark, tmp_path):
+    path, rows = str(tmp_path / "texts"), [("a/b=c", "x"), ("a/b=c", "y"), (None, "z"), ("é %25", "n\n")]
+    texts = spark.createDataFrame(rows, "name string, body string")
+    sinks.write_files(texts, path, ["name"], "body")
+    found = lambda: sorted((r.name or "", r.body) for r in sinks.read_files(spark, path, "body").collect())
+    want = [("", "z\n"), ("a/b=c", "x\n"), ("a/b=c", "y\n"), ("é %25", "n\n")]
+    assert found() == sorted(want) and not [p for p in os.listdir(tmp_path) if p.startswith(".")]
+    sinks.write_files(texts, path, ["name"], "body", "append")
+    assert found() == sorted(want * 2)
+    sinks.write_files(texts, path, ["name"], "body", "overwrite")
+    assert found() == sorted(want)
+
+
+def test_many_small_files_take_no_process_each(spark, tmp_path):
+    path = str(tmp_path / "many")
+    began = time.time()
+    sinks.write_files(spark.range(4000).selectExpr("id", "cast(id AS string) AS body"), path, ["id"], "body")
+    assert time.time() - began < 10 and len([n for n in os.listdir(path) if n.startswith("id=")]) == 4000

@@ -1,11 +1,17 @@
 """Files of one text each: captions, chapters, cut lists and project documents, written and read back.
 
-A file lies in a folder of its key (``track_id=7/format=srt``), so that names need no rule and readers get the key back as columns. Spark commits a
-job's files together when all of them are written: a job that fails leaves none, and none is ever half a file.
+A file lies in a folder of its key (``track_id=7/format=srt``), so that names need no rule and readers get the key back as columns. A job's files
+are committed together when all of them are written: a job that fails leaves none, and none is ever half a file.
 """
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +19,81 @@ from timeloom.functions.scalars import chapter_time
 from timeloom.operators.captions import srt_files, vtt_files
 
 
+#: What Spark escapes in the names of partition folders, and the name for a key without a value.
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder(keys: dict[str, str | None]) -> str:
+    escaped = lambda v: _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v)
+    return os.path.join(*[f"{escaped(k)}={escaped(v) if v else _NO_VALUE}" for k, v in keys.items()])
+
+
 def write_files(texts: DataFrame, path: str, by: list[str], text: str, mode: str = "errorifexists") -> None:
     """One file a row (``by`` is a key) with ``text`` as it is and a line break at its end, if it has none yet."""
-    body = F.regexp_replace(F.col(text), "\n$", "")
+    rows = texts.select(*by, F.regexp_replace(F.col(text), "\n$", "").alias("value"))
+    spark = texts.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getScheme() == "file":
+        return _write_mounted(rows, store.makeQualified(place).toUri().getPath(), by, mode.lower())
     # files become visible when the whole job is done, not task by task
-    writer = texts.select(*by, body.alias("value")).write.partitionBy(*by).mode(mode)
+    writer = rows.write.partitionBy(*by).mode(mode)
     writer.option("mapreduce.fileoutputcommitter.algorithm.version", "1").text(path)
 
 
+def _write_mounted(rows: DataFrame, path: str, by: list[str], mode: str) -> None:
+    """The same in a mounted folder: there Hadoop's writer starts a process for each folder and file that it makes, which takes most of the time.
+
+    Tasks write to a folder beside ``path``; when all are done, one rename makes it ``path``. A file takes its name when it is whole,
+    and a task that runs again writes the same ones.
+    """
+    if os.path.exists(path) and mode in ("error", "errorifexists"):
+        raise FileExistsError(f"path {path} already exists")
+    if os.path.exists(path) and mode == "ignore":
+        return
+    job = uuid.uuid4().hex
+    staged = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}-{job}")
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen, n = {}, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                value = row.pop("value")
+                folder = os.path.join(staged, _folder(row))
+                os.makedirs(folder, exist_ok=True)
+                number = next(seen.setdefault(folder, count()))
+                whole = os.path.join(folder, f"part-{number:05d}-{job}.txt")
+                part = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(part, "w", encoding="utf-8", newline="") as f:
+                    f.write(f"{value or ''}\n")
+                os.replace(part, whole)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    # rows of one key lie in one task, which numbers its files
+    dealt = rows.select(*[F.col(c).cast("string").alias(c) for c in by], "value").repartition(*by)
+    try:
+        os.makedirs(staged)
+        dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()
+        with open(os.path.join(staged, "_SUCCESS"), "w"):
+            pass
+        if mode == "append" and os.path.exists(path):
+            for folder, _, names in os.walk(staged):
+                own = os.path.join(path, os.path.relpath(folder, staged))
+                os.makedirs(own, exist_ok=True)
+                for name in names:
+                    os.replace(os.path.join(folder, name), os.path.join(own, name))
+            return
+        if mode == "overwrite" and os.path.exists(path):
+            shutil.rmtree(path)
+        os.rename(staged, path)
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+
+
 def read_files(spark: SparkSession, path: str, text: str) -> DataFrame:
     """The files of ``write_files``: their keys and their whole texts."""
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", text)
