@@ -166,6 +166,33 @@ def test_prefixes_of_linked_sets_meet():
             assert np.intersect1d(p, q).size >= jaccard_join.need(min(len(a), len(b)))
 
 
+def test_pairs_at_the_limit_share_a_class(spark):
+    # sets that are just linked, of sizes around those where the number of classes changes
+    rng, ends = np.random.default_rng(5), []
+    for k, m in enumerate([1, 2, 5, 9, 63, 64, 80, 127, 128, 129, 150, 159, 160, 255, 256, 300, 320, 700, 1100] * 3):
+        n = int(rng.integers(jaccard_join.least_common(m), m + 1))
+        common = -(-8 * (m + n) // 18)  # the least with which they are linked
+        if common > n:
+            continue
+        tokens = rng.choice(1 << 62, m + n - common, replace=False).astype(np.uint64) * np.uint64(4)
+        ends += [(k * 2, np.sort(tokens[:m])), (k * 2 + 1, np.sort(np.concatenate([tokens[:common], tokens[m:]])))]
+    sets = spark.createDataFrame([(i.to_bytes(16, "big"), bytearray(t.tobytes()), i) for i, t in ends], "sid binary, tokens binary, root long")
+    frequent = np.sort(rng.choice(np.concatenate([t for _, t in ends]), 500)), rng.permutation(500)
+    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in jaccard_join.class_pairs(jaccard_join.class_prefixes(sets, frequent)).collect()}
+    assert {(i, i + 1) for i, _ in ends[::2]} <= found and len(ends) > 80
+
+
+def test_texts_that_are_not_near_make_no_pairs(spark, monkeypatch):
+    # each two of a family have half their shingles in common, so all share many tokens, but none are linked
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(600)]
+    family = [" ".join(f"x{k}_{i}" if hit else w for i, (w, hit) in enumerate(zip(base, rng.random(600) < 0.035))) for k in range(60)]
+    made, whole = [], jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda pairs, sets: made.append(pairs.count()) or whole(pairs, sets))
+    _, found = jaccard_join.classes(spark.createDataFrame([(i, t) for i, t in enumerate(family)], "doc_id long, text string"), rounds=1)
+    assert found.count() == 0 and made[-1] < 60
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     got = jaccard_join.join_classes(docs).collect()

@@ -12,7 +12,9 @@ are shuffled as packed arrays of tokens and halves of keys (sets that share a ha
 
 Components need no list of all links. In a few rounds each set is compared with one pivot, drawn anew in each round among the sets of
 its tokens, and linked ones become one component: near copies of one text, however many, in work linear in their prefixes. Then
-pairs of one token are compared where their components still differ, all of them: no pair is left out at any size.
+all pairs whose components still differ are compared: sets are parted into classes of some hundred tokens by bits of the tokens, and linked sets
+are near in one class at least, where they share a prefix token and have sketches of few unlike bits. So only pairs that are near become rows,
+and no pair is left out at any size.
 
 Defined results: null texts and texts without words are empty sets, linked with nothing, also not with each other; texts of fewer
 words than a shingle are one shingle of all; repeated rows and null ids give a row each, and a component of null ids has a null
@@ -22,6 +24,7 @@ id; an empty table gives an empty result; other columns are ignored; texts of an
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -40,6 +43,8 @@ FREQUENT, CHUNK, OFTEN = 1 << 17, 1 << 20, 4
 _WEIGHTS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Links need 100 * common >= PERCENT * all.
 PERCENT = 80
+#: Tokens of a class at least, and bits of its sketch.
+CLASS, SKETCH = 64, 256
 
 
 def token_sets(texts: list[str | None], size: int):
@@ -276,6 +281,69 @@ def survivors(docs: DataFrame, first: DataFrame, size: int, frequent) -> tuple[D
     return alive, rows
 
 
+def level_of(m: int) -> int:
+    """How many bits of its tokens part a set of ``m`` tokens into classes of ``CLASS`` to twice as many."""
+    return max(0, (m // CLASS).bit_length() - 1)
+
+
+def class_rows(made: np.ndarray, level: int, frequent: np.ndarray, rank: np.ndarray):
+    """Of each class of a set: its prefix tokens, and for each of them its place in the order, the class's size and its sketch."""
+    part = (made >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(made), np.int64)
+    sizes = np.bincount(part, minlength=1 << level)
+    bit = (_mixed(made ^ np.uint64(ORDERS[1])) & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(part * SKETCH + bit, minlength=SKETCH << level) & 1).astype(np.uint8)
+    sketch = np.packbits(odd).view(np.int64).reshape(-1, SKETCH // 64)
+    late = np.zeros(len(made), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, made), len(frequent) - 1)
+        late = np.where(frequent[at] == made, rank[at] + 1, 0)
+    order = np.lexsort((_mixed(made ^ np.uint64(ORDERS[-1])), late, part))
+    place = np.arange(len(made)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = place < (sizes - (PERCENT * sizes + 99) // 100 + 1)[part]  # part is sorted, as tokens are
+    return made[order][own], place[own], sizes[part[own]], sketch[part[own]]
+
+
+def class_prefixes(sets: DataFrame, frequent) -> DataFrame:
+    """Rows of the classes of sets (``sid, tokens, root``): ``key`` (a prefix token and the level), ``sid, root, m``, whether the level is
+    the set's own, the token's ``place``, the class's size ``n``, and ``s0`` to ``s3``, its sketch.
+
+    Linked sets have ``9 * apart <= size + size``, where ``apart`` counts the tokens that one of them has. If that held in none of the classes into
+    which bits of the tokens part both, it would not hold in sum, so it does in one that has tokens: there they share one of their prefix tokens
+    and their sketches, parities of the tokens, differ in no more bits than that. A pair is compared at the level of its smaller set.
+    """
+    import pyarrow as pa
+
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    names = ["key", "sid", "root", "m", "own", "place", "n", *(f"s{i}" for i in range(SKETCH // 64))]
+
+    def run(batches):
+        words, rank = shared.value
+        for batch in batches:
+            for sid, blob, root in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                made = np.frombuffer(blob.as_buffer(), np.uint64)
+                m = len(made)
+                for level in sorted({level_of(m), level_of(least_common(m))}):
+                    token, place, n, sketch = class_rows(made, level, words, rank)
+                    key = _mixed(token ^ np.uint64((level + 1) * ORDERS[0] % (1 << 64))).view(np.int64)
+                    k = len(key)
+                    columns = [pa.array(key), pa.array([sid] * k, pa.binary()), pa.array(np.full(k, root, np.int64)), pa.array(np.full(k, m, np.int32)), pa.array(np.full(k, level == level_of(m))), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(s)) for s in sketch.T)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return sets.select("sid", "tokens", "root").mapInArrow(run, f"key long, sid binary, root long, m int, own boolean, place int, n int, {', '.join(f's{i} long' for i in range(SKETCH // 64))}")
+
+
+def class_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets of unlike ``root`` that may be linked, by rows of ``class_prefixes``: all that are linked are among them."""
+    mixed = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key"]) for s in "ab")
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH // 64)])
+    # as many tokens may be apart; of the first that both have, all before it are
+    fits = lambda apart: (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+    near = F.expr("sid_a < sid_b AND root_a <> root_b AND (own_a OR own_b)") & sizes_fit("m_a", "m_b") & sizes_fit("n_a", "n_b") & fits(F.col("place_a") + F.col("place_b")) & fits(bits)
+    return a.join(b, "key").filter(near).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, size: int = 5, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """``doc_id, m, sid`` of all documents, and ``node, root`` of the sets in components of two or more."""
     every = cut(sets_of(docs, size), "jaccard-sets")
@@ -300,14 +368,12 @@ def classes(docs: DataFrame, size: int = 5, rounds: int = 3) -> tuple[DataFrame,
         links = made_links if links is None else links.unionByName(made_links)
         found = cut(components(links), "jaccard-components")
 
-    # pairs of a token whose components differ
+    # pairs whose components differ, of sets that share a token with another component
     parts = rows.withColumn("root", F.col("sid")) if found is None else rows.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = parts.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("token")
-    open_rows = cut(parts.join(mixed, "token"), "jaccard-open")
-    a, b = (open_rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "m", "root")]) for s in "ab")
-    both = a.join(b, "token").filter("sid_a < sid_b AND root_a <> root_b").filter(sizes_fit("m_a", "m_b"))
-    pairs = both.groupBy(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("m_a", "m_b")).alias("m")).filter("n > m div 6").select("a", "b")
-    more = linked(pairs, sets)
+    apart = parts.join(mixed, "token", "left_semi").select("sid", F.xxhash64("root").alias("root")).distinct()
+    open_rows = cut(class_prefixes(sets.join(apart, "sid"), frequent), "jaccard-open")
+    more = linked(class_pairs(open_rows), sets)
     final = cut(components(more if links is None else links.unionByName(more)), "jaccard-classes")
     discard(rows, open_rows, first, alive, sets)
     return made, final
