@@ -63,3 +63,21 @@ def test_many_small_files_take_no_process_each(spark, tmp_path):
     began = time.time()
     sinks.write_files(spark.range(4000).selectExpr("id", "cast(id AS string) AS body"), path, ["id"], "body")
     assert time.time() - began < 10 and len([n for n in os.listdir(path) if n.startswith("id=")]) == 4000
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    path = str(tmp_path / "captions")
+    sinks.write_captions(segments(spark), path)
+    files = sinks.read_files(spark, path, "body", format="vtt")
+    assert files.inputFiles() == [] and sorted((r.track_id, r.format) for r in files.collect()) == [(1, "vtt"), (2, "vtt")]
+    assert dict(sinks.read_files(spark, path, "body").dtypes) == {"body": "string", "track_id": "int", "format": "string"}
+    assert sinks.read_files(spark, path, "body").count() == 4
+
+
+@pytest.mark.parametrize("values, kind", [(["5000000000", "7"], "bigint"), (["1.5", "2"], "double"), (["2024-01-31", None], "date"), (["1", "x"], "string"), (["99999999999999999999"], "decimal(38,0)")])
+def test_keys_get_types_as_from_the_reader(spark, tmp_path, values, kind):
+    path = str(tmp_path / "typed")
+    sinks.write_files(spark.createDataFrame([(v, "t") for v in values], "k string, body string"), path, ["k"], "body")
+    mine, theirs = sinks.read_files(spark, path, "body"), spark.read.text(path, wholetext=True)
+    assert dict(mine.dtypes)["k"] == kind and sorted(map(str, [r.k for r in mine.collect()])) == sorted(map(str, [r.k for r in theirs.collect()]))
+    assert kind.startswith("decimal") or dict(theirs.dtypes)["k"] == kind

@@ -94,9 +94,100 @@ def _write_mounted(rows: DataFrame, path: str, by: list[str], mode: str) -> None
         shutil.rmtree(staged, ignore_errors=True)
 
 
-def read_files(spark: SparkSession, path: str, text: str) -> DataFrame:
-    """The files of ``write_files``: their keys and their whole texts."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", text)
+#: Types that keys get back from the names of folders, the first that fits all of a key's values, and how such values look.
+_TYPES = (("int", r"^[+-]?\d+$"), ("bigint", r"^[+-]?\d+$"), ("decimal(38,0)", r"^[+-]?\d{1,38}$"), ("double", r"^.*[^dDfF]$"), ("date", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("timestamp", r"^\d{4}-\d{1,2}-\d{1,2}[ T]"))
+
+
+def read_files(spark: SparkSession, path: str, text: str, **only: str) -> DataFrame:
+    """The files of ``write_files``: their keys and their whole texts; ``only`` names values of keys (as in their folders), and other folders aren't read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getScheme() == "file":
+        return _read_mounted(spark, store.makeQualified(place).toUri().getPath(), text, only)
+    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", text)
+    for name, value in only.items():
+        files = files.filter(F.col(name) == value)
+    return files
+
+
+def _entries(folder: str, folders: bool):
+    """Names in a folder as a stream, without hidden ones."""
+    with os.scandir(folder) as found:
+        for e in found:
+            if not e.name.startswith((".", "_")) and e.is_dir() == folders:
+                yield e.name
+
+
+def _value(name: str) -> str | None:
+    """The value of a key in the name of its folder."""
+    value = re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), name.split("=", 1)[1])
+    return None if value == _NO_VALUE else value
+
+
+def _read_mounted(spark: SparkSession, path: str, text: str, only: dict[str, str]) -> DataFrame:
+    """The same from a mounted folder: tasks list folders, level by level, and read files, so the driver holds no list of them (Spark's reader keeps one entry a folder and a file there)."""
+    names, at = [], path
+    while (first := next((n for n in _entries(at, True) if "=" in n), None)) is not None:
+        names.append(first.split("=", 1)[0])
+        at = os.path.join(at, first)
+
+    def level(wanted):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for own in batch.column(0).to_pylist():
+                    made = []
+                    for name in _entries(own, True):
+                        if "=" in name and (wanted is None or _value(name) == wanted):
+                            made.append(os.path.join(own, name))
+                        if len(made) == 10_000:
+                            yield pa.RecordBatch.from_pydict({"folder": made})
+                            made = []
+                    if made:
+                        yield pa.RecordBatch.from_pydict({"folder": made})
+
+        return run
+
+    keys = [f"_k{i}" for i in range(len(names))]
+    folders = spark.range(1).select(F.lit(path).alias("folder"))
+    for name in names:
+        folders = folders.mapInArrow(level(only.get(name)), "folder string").repartition("folder")
+
+    def values(folder):
+        return [_value(n) for n in os.path.relpath(folder, path).split(os.sep)] if names else []
+
+    def run_keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [values(f) for f in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.string()) for i in range(len(names))], names=keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        made, size = [], 0
+        full = pa.schema([(k, pa.string()) for k in [*keys, "value"]])
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                for name in _entries(folder, False):
+                    with open(os.path.join(folder, name), encoding="utf-8", errors="replace", newline="") as f:
+                        made.append([*values(folder), f.read()])
+                    size += len(made[-1][-1])
+                    if size > 1 << 22 or len(made) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made)], schema=full)
+                        made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made)], schema=full)
+
+    kinds = {}
+    if names:
+        fits = lambda k, kind, look: F.bool_and(F.col(k).isNull() | (F.col(k).rlike(look) & F.col(k).try_cast(kind).isNotNull())) & (F.count(k) > 0)
+        row = folders.mapInArrow(run_keys, ", ".join(f"{k} string" for k in keys)).agg(*[fits(k, kind, look).alias(f"{k} {kind}") for k in keys for kind, look in _TYPES]).first()
+        kinds = {k: next((kind for kind, _ in _TYPES if row[f"{k} {kind}"]), "string") for k in keys}
+    files = folders.mapInArrow(run, ", ".join(f"{k} string" for k in [*keys, "value"]))
+    return files.select(F.col("value").alias(text), *[F.col(k).cast(kinds[k]).alias(n) for k, n in zip(keys, names)])
 
 
 def write_captions(segments: DataFrame, path: str, formats: tuple[str, ...] = ("srt", "vtt"), mode: str = "errorifexists") -> None:
